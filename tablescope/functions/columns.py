@@ -74,6 +74,15 @@ def clean_number(name: str, df: DataFrame | None = None) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation aggregate over complete pairs, NULL where one side is constant.
+
+    Spark's ``corr`` fails on a constant column under ANSI rules.
+    """
+    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+    return F.try_divide(F.regr_sxy(y, x), spread)
+
+
 def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
     """A result table of driver-side aggregates; its size is bounded by columns, never by rows."""
     return spark.createDataFrame(data, schema).coalesce(1)

@@ -24,6 +24,7 @@ from tablescope.functions.columns import (
     col,
     datetime_cols,
     numeric_cols,
+    pearson,
     require_columns,
     require_numeric,
     rows,
@@ -165,9 +166,8 @@ def box_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     require_columns(df, x)
     require_numeric(df, y)
     freq = _group_freq(df, x, y)
-    boxes = (
-        group_quantiles(freq, ["x"], "y", [0.25, 0.5, 0.75])
-        .withColumnsRenamed({"total": "n_rows", "q0": "q1", "q1": "median", "q2": "q3"})
+    boxes = group_quantiles(freq, ["x"], "y", [0.25, 0.5, 0.75]).selectExpr(
+        "x", "total AS n_rows", "q0 AS q1", "q1 AS median", "q2 AS q3"
     )
     reach = SETTINGS.iqr_multiplier * (F.col("q3") - F.col("q1"))
     inside = (F.col("y") >= F.col("q1") - reach) & (F.col("y") <= F.col("q3") + reach)
@@ -574,7 +574,7 @@ def chart_insight(df: DataFrame, kind: str, x: str | None = None, y: str | None
             ]
     elif kind == "scatter":
         a, b = clean_number(x), clean_number(y)
-        r = df.agg(F.corr(a, b).alias("r"), F.regr_count(a, b).alias("n")).first()
+        r = df.agg(pearson(a, b).alias("r"), F.regr_count(a, b).alias("n")).first()
         if r["n"] >= 5 and r["r"] is not None:
             label = f"{strength_of(r['r'])} {'positive' if r['r'] > 0 else 'negative'}"
             found = [(kind, f"{x}, {y}", "r", r["r"], label, f"{x} and {y}: {label} relation (r = {r['r']:.2f})")]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
-from tablescope.functions.columns import clean_number, col, numeric_cols, require_numeric, rows
+from tablescope.functions.columns import clean_number, col, numeric_cols, pearson, require_numeric, rows
 from tablescope.plans.ordered import over_order
 from tablescope.plans.quantiles import quantiles
 
@@ -171,7 +171,7 @@ def autocorrelation(
         lambda w: {f"_lag{k}": F.lag("_y", k).over(w) for k in lags},
         **limits,
     )
-    per_lag = [F.struct(F.lit(k).alias("lag"), F.corr("_y", f"_lag{k}").alias("autocorrelation")) for k in lags]
+    per_lag = [F.struct(F.lit(k).alias("lag"), pearson(F.col("_y"), F.col(f"_lag{k}")).alias("autocorrelation")) for k in lags]
     grouped = shifted.groupBy(*[col(k) for k in keys])
     return (
         grouped.agg(F.count("_y").alias("_n"), F.array(*per_lag).alias("_r"))

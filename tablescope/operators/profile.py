@@ -181,14 +181,17 @@ def domain_scores(catalog_df: DataFrame) -> DataFrame:
         for rank, (domain, bank) in enumerate(DOMAIN_KEYWORDS.items())
         for word in bank
     ]
-    name = F.replace(F.lower("column"), F.lit("_"), F.lit(" "))
-    found = F.filter(F.array(*words), lambda w: F.contains(name, w["needle"]))
-    sizes = catalog_df.groupBy("table").agg(F.count(F.lit(1)).alias("columns"))
-    # One pattern over all keywords spares most names the search for each of them.
+    # One pattern over all keywords drops most names before any shuffle.
     any_word = "|".join(sorted({w.replace("_", " ") for bank in DOMAIN_KEYWORDS.values() for w in bank}))
+    names = (
+        catalog_df.select("table", F.replace(F.lower("column"), F.lit("_"), F.lit(" ")).alias("name"))
+        .filter(F.col("name").rlike(any_word))
+        .distinct()
+    )
+    found = F.filter(F.array(*words), lambda w: F.contains(F.col("name"), w["needle"]))
+    sizes = catalog_df.groupBy("table").agg(F.count(F.lit(1)).alias("columns"))
     hits = (
-        catalog_df.filter(name.rlike(any_word))
-        .select("table", F.explode(found).alias("hit"))
+        names.select("table", F.explode(found).alias("hit"))
         .groupBy("table", "hit")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("table", "hit.rank", "hit.domain")

@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 from tablescope.config import SETTINGS
 from tablescope.errors import ValidationError
 from tablescope.functions import special
-from tablescope.functions.columns import clean_number, col, numeric_cols, require_columns, require_numeric, rows
+from tablescope.functions.columns import (
+    clean_number,
+    col,
+    numeric_cols,
+    pearson,
+    require_columns,
+    require_numeric,
+    rows,
+)
 from tablescope.operators.describe import corrected_kurtosis, corrected_skew
 from tablescope.operators.ingest import sample_rows
 from tablescope.plans.frequency import cumulative_counts
@@ -34,7 +42,7 @@ def _pearson(df: DataFrame, names: list[str]) -> list[tuple[str, str, float | No
         aggregates = []
         for i, (a, b) in enumerate(chunk):
             x, y = clean_number(a), clean_number(b)
-            aggregates += [F.corr(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
+            aggregates += [pearson(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
         row = df.agg(*aggregates).first()
         for i, (a, b) in enumerate(chunk):
             r = row[f"r{i}"]
@@ -324,7 +332,7 @@ def regression_diagnostics(df: DataFrame, x: str, y: str) -> DataFrame:
         F.regr_count(b, a).alias("n"),
         F.regr_slope(b, a).alias("slope"),
         F.regr_intercept(b, a).alias("intercept"),
-        F.corr(b, a).alias("r"),
+        pearson(b, a).alias("r"),
         F.regr_sxx(b, a).alias("sxx"),
         F.regr_syy(b, a).alias("syy"),
     ).first()

@@ -110,20 +110,36 @@ def resample_daily(df: DataFrame, date: str, value: str, partition_by: list[str]
     calendar needs no join.
     """
     keys = partition_by or []
-    ahead = F.lead("day").over(_by_day(keys))
-    until = F.coalesce(F.date_sub(ahead, 1), F.col("day"))
-    return (
-        _daily(df, date, value, keys)
-        .withColumn("_until", until)
-        .select(
-            *[col(k) for k in keys],
-            F.col("day").alias("_known"),
-            "value",
-            F.explode(F.sequence("day", "_until")).alias("day"),
-        )
-        .select(
-            *[col(k) for k in keys], "day", F.when(F.col("day") == F.col("_known"), F.col("value")).alias("value")
-        )
+    days = _calendar(df, date, value, keys)
+    return days.select(
+        *[col(k) for k in keys], "day", F.when(F.col("day") == F.col("_known"), F.col("value")).alias("value")
+    )
+
+
+def daily_series(df: DataFrame, date: str, value: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Gap-free daily means with gaps filled by straight lines between known days."""
+    keys = partition_by or []
+    days = _calendar(df, date, value, keys)
+    past = F.datediff("day", "_known")
+    step = (F.col("_next_value") - F.col("value")) * past / F.datediff("_next", "_known")
+    filled = F.when(past == 0, F.col("value")).otherwise(F.col("value") + step)
+    return days.select(*[col(k) for k in keys], "day", filled.alias("value"))
+
+
+def _calendar(df: DataFrame, date: str, value: str, keys: list[str]) -> DataFrame:
+    """Every day with the last known day and value, and the next ones."""
+    order = _by_day(keys)
+    known = _daily(df, date, value, keys).withColumns(
+        {"_next": F.lead("day").over(order), "_next_value": F.lead("value").over(order)}
+    )
+    until = F.coalesce(F.date_sub("_next", 1), F.col("day"))
+    return known.select(
+        *[col(k) for k in keys],
+        F.col("day").alias("_known"),
+        "value",
+        "_next",
+        "_next_value",
+        F.explode(F.sequence(F.col("day"), until)).alias("day"),
     )
 
 
@@ -136,14 +152,16 @@ def interpolate_linear(
     """
     keys = [col(k) for k in partition_by or []]
     rising = Window.partitionBy(*keys).orderBy(col(order))
+    falling = Window.partitionBy(*keys).orderBy(col(order).desc())
+    # Both frames start at an end of the series, so each is one running pass.
     past = rising.rowsBetween(Window.unboundedPreceding, 0)
-    future = rising.rowsBetween(0, Window.unboundedFollowing)
+    future = falling.rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(col(value).isNotNull(), F.struct(F.col("_i").alias("i"), col(value).alias("v")))
     placed = df.withColumn("_i", F.row_number().over(rising)).withColumn("_known", known)
     around = placed.withColumns(
         {
             "_a": F.last("_known", ignorenulls=True).over(past),
-            "_b": F.first("_known", ignorenulls=True).over(future),
+            "_b": F.last("_known", ignorenulls=True).over(future),
         }
     )
     a, b = F.col("_a"), F.col("_b")
@@ -152,11 +170,6 @@ def interpolate_linear(
     return around.withColumn(value, filled).drop("_i", "_known", "_a", "_b")
 
 
-def daily_series(df: DataFrame, date: str, value: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Gap-free daily means with gaps filled by straight lines."""
-    return interpolate_linear(resample_daily(df, date, value, partition_by), "day", "value", partition_by)
-
-
 def actuals_by_date(df: DataFrame, date: str, value: str) -> DataFrame:
     """(date, value): mean of the rows that share a date value."""
     return (

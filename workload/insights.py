@@ -1,0 +1,73 @@
+"""Insight rows."""
+
+from __future__ import annotations
+
+from tablescope.operators import insights
+from workload.profiling import MESSY, profile_sql
+from workload.registry import query, rounded, with_messy
+
+_PROFILE = profile_sql("messy_orders", MESSY)
+_DUPLICATES = "(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy_orders)) FROM messy_orders)"
+
+
+def _section(t, build):
+    return build(insights.gather_facts(t.messy_orders))
+
+
+@query()
+def executive_summary(t):
+    return _section(t, insights.executive_summary)
+
+
+@query(with_messy(
+    f"""SELECT subject, metric, round(value, 2) AS value FROM (
+      SELECT c AS subject, 'skew' AS metric, s AS value FROM (
+        SELECT 'order_id' AS c, skewness(order_id) AS s FROM messy_orders
+        UNION ALL SELECT 'customer_id', skewness(customer_id) FROM messy_orders
+        UNION ALL SELECT 'amount', skewness(amount) FROM messy_orders) WHERE abs(s) > 1
+      UNION ALL SELECT 'table', 'duplicate_rows', CAST({_DUPLICATES} AS DOUBLE) WHERE {_DUPLICATES} > 0
+      UNION ALL SELECT "column", 'missing_pct', missing_pct FROM ({_PROFILE}) WHERE missing_pct > 20 AND missing_pct <= 60)"""
+))
+def key_findings(t):
+    return rounded(_section(t, insights.key_findings).select("subject", "metric", "value"), 2)
+
+
+@query(with_messy(
+    f"""SELECT subject, metric, value FROM (
+      SELECT 'table' AS subject, 'completeness' AS metric,
+             (SELECT CAST(round(100.0 * sum(n_rows - n_missing) / sum(n_rows), 1) AS DOUBLE) FROM ({_PROFILE})) AS value,
+             80 AS ceiling
+      ) WHERE value < ceiling
+    UNION ALL SELECT 'table', 'duplicate_rows', CAST({_DUPLICATES} AS DOUBLE)
+      WHERE {_DUPLICATES} > 0.02 * (SELECT count(*) FROM messy_orders)
+    UNION ALL SELECT "column", 'n_unique', CAST(n_unique AS DOUBLE) FROM ({_PROFILE}) WHERE semantic_type = 'mixed'"""
+))
+def business_risks(t):
+    found = _section(t, insights.business_risks).filter("metric IS NULL OR metric <> 'outlier_pct'")
+    return found.select("subject", "metric", "value")
+
+
+@query(with_messy(
+    """SELECT 'numeric' AS subject, 'columns' AS metric, CAST(5 AS DOUBLE) AS value FROM messy_orders HAVING count(*) > 0
+    UNION ALL SELECT 'categorical', 'columns', CAST(4 AS DOUBLE) FROM messy_orders HAVING count(*) > 0"""
+))
+def opportunities(t):
+    found = _section(t, insights.opportunities).select("subject", "metric", "value")
+    return found.filter("metric = 'columns'")
+
+
+@query(with_messy(
+    f"""SELECT metric, value FROM (
+      SELECT 'completeness' AS metric,
+        (SELECT CAST(round(100.0 * sum(n_rows - n_missing) / sum(n_rows), 1) AS DOUBLE) FROM ({_PROFILE})) AS value) WHERE value < 90
+    UNION ALL SELECT 'duplicate_rows', CAST({_DUPLICATES} AS DOUBLE) WHERE {_DUPLICATES} > 0
+    UNION ALL SELECT 'high_cardinality_columns', CAST(count(*) AS DOUBLE) FROM ({_PROFILE}) WHERE n_unique > 100 HAVING count(*) > 0
+    UNION ALL SELECT NULL, NULL"""
+))
+def recommendations(t):
+    return _section(t, insights.recommendations).select("metric", "value")
+
+
+@query()
+def full_report(t):
+    return insights.full_report(t.messy_orders)

@@ -67,6 +67,13 @@ def resample_daily(t):
 
 @query(f"WITH {_CALENDAR} SELECT l_suppkey, CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM filled")
 def interpolate_linear(t):
+    gaps = timeseries.resample_daily(t.lineitem, "l_shipdate", "l_quantity", ["l_suppkey"])
+    return texts(rounded(timeseries.interpolate_linear(gaps, "day", "value", ["l_suppkey"]), 6), "day")
+
+
+@query(f"WITH {_CALENDAR} SELECT l_suppkey, CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM filled")
+def daily_series(t):
+    """Calendar and interpolation in one pass."""
     found = timeseries.daily_series(t.lineitem, "l_shipdate", "l_quantity", ["l_suppkey"])
     return texts(rounded(found, 6), "day")
 
