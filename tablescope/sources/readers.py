@@ -21,8 +21,6 @@ CSV_NULLS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-_REPLACEMENT = "�"
-
 
 def read_table(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
     """Read a file or folder, choosing the reader by ``format`` or by the path's suffix."""
@@ -51,7 +49,7 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str
     lines = spark.read.option("encoding", encoding).text(path).limit(1).collect()
     if not lines or not lines[0]["value"].strip():
         raise ValidationError(f"No header row in {path!r}")
-    return next(csv.reader([lines[0]["value"].lstrip("﻿")], delimiter=sep))
+    return next(csv.reader([lines[0]["value"].lstrip("\ufeff")], delimiter=sep))
 
 
 def read_delimited(
@@ -70,7 +68,7 @@ def read_delimited(
     price of unsplittable files.
     """
     if encoding is None:
-        broken = spark.read.text(path).filter(F.col("value").contains(_REPLACEMENT))
+        broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
         encoding = "ISO-8859-1" if broken.limit(1).count() else "UTF-8"
     names = dedupe_columns(_header(spark, path, sep, encoding))
     surplus = "_surplus_cells"
