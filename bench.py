@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from workload import QUERIES  # noqa: E402
 
-HEADLINE = [
+HEADLINE = (os.environ.get("BENCH_QUERIES") or "").split() or [
     "descriptive_stats",
     "outlier_summary",
     "correlation_matrix",

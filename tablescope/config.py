@@ -58,7 +58,7 @@ class Settings:
     hot_group_rows: int = 1_000_000
     split_block_rows: int = 500_000
     sketch_accuracy: int = 1_000
-    prefix_buckets: int = 512
+    prefix_buckets: int = 10_000
 
 
 def load_settings(environ=os.environ) -> Settings:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Symbols stripped from numbers, texts read as missing, date layouts in order of preference.
-CURRENCY_AND_GROUPING = r"[$₹€£¥,\s]"
-TRAILING_PERCENT = r"%\s*$"
-NUMBER_PLACEHOLDERS = ["", "nan", "None", "N/A", "NA", "null", "NULL"]
+# Symbols stripped from numbers, all kinds of white space, date layouts in order of preference.
+CURRENCY_AND_GROUPING = "$₹€£¥,"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 DATE_LAYOUTS = [
     "yyyy-M-d",
     "yyyy-M-d H:m:s",
@@ -30,24 +34,50 @@ DATE_LAYOUTS = [
 ]
 DATE_NAME_HINT = r"(?i)date|time|dt|timestamp|year|month|day"
 
-_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_INFINITE = r"(?i)^[+-]?inf(inity)?$"
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))$"
 
 
 def parse_number(text: Column) -> Column:
     """Double read from text with currency signs, thousands separators or a percent sign.
 
     Percentages keep their face value.  Spark's cast alone would also take
-    ``1d`` or ``0x1p3``, hence the guard.
+    ``1d`` or ``0x1p3``, hence the guard; it also turns down every placeholder
+    for a missing value.
     """
-    bare = F.regexp_replace(F.trim(text), CURRENCY_AND_GROUPING, "")
-    bare = F.regexp_replace(bare, TRAILING_PERCENT, "")
-    readable = bare.rlike(_DECIMAL) | bare.rlike(_INFINITE)
-    return F.when(readable & ~bare.isin(NUMBER_PLACEHOLDERS), bare).try_cast("double")
+    bare = F.translate(text, CURRENCY_AND_GROUPING + WHITE_SPACE, "")
+    bare = F.when(bare.endswith("%"), F.left(bare, F.length(bare) - 1)).otherwise(bare)
+    return F.when(bare.rlike(_NUMBER), bare).try_cast("double")
+
+
+_FIELD_SHAPES = {
+    "yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "SSSSSS": r"\d{6}",
+    "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}",
+}
+
+
+def layout_shape(layout: str) -> str:
+    """Regular expression of the texts that a date layout can read."""
+    fields = re.compile("'(.)'|" + "|".join(sorted(_FIELD_SHAPES, key=len, reverse=True)))
+    shape, end = "", 0
+    for found in fields.finditer(layout):
+        shape += re.escape(layout[end : found.start()]) + (found.group(1) or _FIELD_SHAPES[found.group()])
+        end = found.end()
+    return f"^{shape}{re.escape(layout[end:])}$"
 
 
 def parse_timestamp(text: Column, layouts: list[str] | None = None) -> Column:
-    """Timestamp (without zone) read with the first layout that fits; month-first wins over day-first."""
+    """Timestamp (without zone) read with the first layout that fits; month-first wins over day-first.
+
+    A failed parse costs the JVM an exception, so a layout is only tried on
+    texts of its shape.
+    """
     value = F.trim(text)
-    tries = [F.try_to_timestamp(value, F.lit(layout)) for layout in layouts or DATE_LAYOUTS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    by_shape: dict[str, list[Column]] = {}
+    for layout in layouts or DATE_LAYOUTS:
+        by_shape.setdefault(layout_shape(layout), []).append(F.try_to_timestamp(value, F.lit(layout)))
+    shapes = iter(by_shape.items())
+    shape, tries = next(shapes)
+    parsed = F.when(value.rlike(shape), F.coalesce(*tries))
+    for shape, tries in shapes:
+        parsed = parsed.when(value.rlike(shape), F.coalesce(*tries))
+    return parsed.cast("timestamp_ntz")

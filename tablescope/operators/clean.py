@@ -26,6 +26,7 @@ CONVERTED_NULLS = ["nan", "NaN", "None"]
 MISSING_CATEGORY = "Unknown"
 RARE_CATEGORY = "Other"
 
+_STEPS_BEFORE_BASE = 3
 _REPORT_SCHEMA = "step string, column string, metric string, value string"
 
 
@@ -225,10 +226,16 @@ def winsor_bounds(df: DataFrame, names: list[str], n: int) -> dict[str, tuple[fl
 
 
 def fit_plan(df: DataFrame) -> tuple[CleanPlan, DataFrame]:
-    """Decide every cleaning step; returns the plan and the report (step, column, metric, value).
+    """Decide every cleaning step; returns the plan and the report (step, column, metric, value)."""
+    plan, report, _ = _fit(df)
+    return plan, report
 
-    The de-duplicated table is written once to the shared folder, so that the
-    later fits read it back instead of repeating the full-row shuffle.
+
+def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
+    """The plan, the report and the de-duplicated table.
+
+    The latter is written once to the shared folder, so that later fits and
+    steps read it back instead of repeating the full-row shuffle.
     """
     report: list[tuple[str, str | None, str, str]] = []
 
@@ -304,7 +311,7 @@ def fit_plan(df: DataFrame) -> tuple[CleanPlan, DataFrame]:
     steps.append(Step("collapse_rare", collapse))
     note("summary", None, "columns_before", len(df.columns))
     note("summary", None, "columns_after", len(kept.columns))
-    return CleanPlan(steps), rows(df.sparkSession, report, _REPORT_SCHEMA)
+    return CleanPlan(steps), rows(df.sparkSession, report, _REPORT_SCHEMA), base
 
 
 def _frequency(freq: DataFrame, name: str, value: str) -> int:
@@ -332,6 +339,6 @@ def _count_outside(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dic
 
 
 def clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table (lazy) and the report of what was done."""
-    plan, report = fit_plan(df)
-    return apply_plan(df, plan), report
+    """The cleaned table and the report of what was done."""
+    plan, report, base = _fit(df)
+    return apply_plan(base, CleanPlan(plan.steps[_STEPS_BEFORE_BASE:])), report

@@ -80,14 +80,19 @@ def few_valued(df: DataFrame, columns: list[str], limit: int) -> dict[str, dict]
 
 def _bucket_cuts(values: DataFrame, value: str, rows_per_bucket: int) -> list[float]:
     """Cut points that split the rows of ``values`` into even ranges; none while one range is enough."""
-    grid = SETTINGS.prefix_buckets
-    shares = [i / grid for i in range(1, grid)]
-    row = values.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, shares, 4 * grid).alias("cuts")
-    ).first()
-    if row["n"] <= rows_per_bucket:
+
+    def sketch(buckets: int):
+        shares = [i / buckets for i in range(1, buckets)]
+        return F.percentile_approx(value, shares, 4 * buckets).alias("cuts")
+
+    grid = 128
+    row = values.agg(F.count(F.lit(1)).alias("n"), sketch(grid)).first()
+    wanted = min(-(-row["n"] // rows_per_bucket), SETTINGS.prefix_buckets)
+    if wanted <= 1:
         return []
-    return sorted(set(row["cuts"]))
+    if wanted > grid:
+        return sorted(set(values.agg(sketch(wanted)).first()["cuts"]))
+    return sorted(set(row["cuts"][:: grid // wanted]))
 
 
 def _with_range(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
