@@ -36,6 +36,7 @@ from tablescope.operators.relate import correlation_matrix, strength_of
 from tablescope.plans.frequency import cumulative_counts, few_valued, group_quantiles
 from tablescope.plans.ordered import over_order
 from tablescope.plans.shipping import ship_by_value
+from tablescope.plans.storage import materialize
 
 _MAX_BINS = 60
 _GRID = 200
@@ -86,22 +87,14 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 def _densities(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """(keys..., point, at, density) on 200 points from the group's minimum to its maximum.
 
-    Distinct values are counted first.  Each Arrow batch is then reduced to one
-    partial sum per group and grid point, and the partial sums are added up, so
-    the kernel never needs a group in one place.
+    Each Arrow batch is reduced to one partial sum per group and grid point,
+    and the partial sums are added up, so the kernel never needs a group in one
+    place and the rows themselves are not shuffled.
     """
     ship_by_value()
-    group = [col(k) for k in keys]
-    freq = (
-        df.select(*group, clean_number(value).alias("v"))
-        .dropna()
-        .groupBy(*keys, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    known = df.select(*[col(k) for k in keys], clean_number(value).alias("v")).dropna()
     scale = (
-        df.select(*group, clean_number(value).alias("v"))
-        .dropna()
-        .groupBy(*keys)
+        known.groupBy(*keys)
         .agg(
             F.count("v").alias("total"),
             F.stddev_samp("v").alias("sd"),
@@ -111,12 +104,13 @@ def _densities(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
         .filter("total >= 3 AND sd > 0")
         .withColumn("bandwidth", F.col("sd") * F.pow("total", F.lit(-0.2)))
     )
-    joined = freq.join(scale.select(*keys, "low", "high", "bandwidth"), keys) if keys else None
-    if not keys:
+    if keys:
+        joined = known.join(scale.select(*keys, "low", "high", "bandwidth"), keys)
+    else:
         one = scale.first()
         if one is None:
             return rows(df.sparkSession, [], "point int, at double, density double")
-        joined = freq.withColumns({c: F.lit(one[c]) for c in ("low", "high", "bandwidth")})
+        joined = known.withColumns({c: F.lit(one[c]) for c in ("low", "high", "bandwidth")})
 
     schema = T.StructType(
         [joined.schema[k] for k in keys]
@@ -128,10 +122,12 @@ def _densities(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
         for batch in batches:
             split = batch.groupby(keys, sort=False) if keys else [((), batch)]
             for key, part in split:
+                if part.empty:
+                    continue
+                values, counts = np.unique(part["v"].to_numpy(), return_counts=True)
                 low, high = part["low"].iloc[0], part["high"].iloc[0]
-                grid = low + (high - low) * steps
-                z = (grid[None, :] - part["v"].to_numpy()[:, None]) / part["bandwidth"].iloc[0]
-                sums = part["n"].to_numpy(dtype=float) @ np.exp(-0.5 * z * z)
+                z = (low + (high - low) * steps[None, :] - values[:, None]) / part["bandwidth"].iloc[0]
+                sums = counts.astype(float) @ np.exp(-0.5 * z * z)
                 named = dict(zip(keys, key if isinstance(key, tuple) else (key,)))
                 yield pd.DataFrame({**named, "point": np.arange(_GRID, dtype="int32"), "part": sums})
 
@@ -398,7 +394,7 @@ def count_plot(df: DataFrame, column: str, top: int = 20) -> DataFrame:
 def pie(df: DataFrame, names: str, values: str | None = None) -> DataFrame:
     """(name, value, share): sums of ``values`` or row counts, also the data of a donut."""
     amount = F.sum(clean_number(values)) if values else F.count(F.lit(1))
-    parts = df.filter(col(names).isNotNull()).groupBy(col(names).alias("name")).agg(amount.alias("value"))
+    parts = materialize(df.filter(col(names).isNotNull()).groupBy(col(names).alias("name")).agg(amount.alias("value")))
     total = parts.agg(F.sum("value").alias("_total")).first()["_total"]
     return parts.withColumn("share", F.try_divide(F.col("value"), F.lit(total)))
 

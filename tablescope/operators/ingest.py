@@ -211,11 +211,29 @@ def schema_report(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row (rows, distinct_rows, duplicate_rows); nulls count as equal."""
-    per_value = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return per_value.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows")
-    ).withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))
+    """One row (rows, distinct_rows, duplicate_rows); nulls count as equal.
+
+    A row whose 64-bit hash occurs once is unique, so only hashes are shuffled
+    at first; the rows behind repeated hashes are then compared in full.
+    """
+    names = analysable_cols(df)
+    if len(names) == len(df.columns):
+        # Hashes pass over nulls, hence the flags.
+        parts = [p for c in names for p in (col(c), col(c).isNull())]
+    else:
+        parts = [F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})]
+    hashed = df.withColumn("_hash", F.xxhash64(*parts))
+    per_hash = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    found = per_hash.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") == 1).alias("unique")
+    ).first()
+    total, distinct = found["rows"], found["unique"]
+    if distinct < total:
+        repeated = hashed.join(per_hash.filter("n > 1").select("_hash"), "_hash", "left_semi").drop("_hash")
+        distinct += repeated.distinct().count()
+    return rows(
+        df.sparkSession, [(total, distinct, total - distinct)], "rows long, distinct_rows long, duplicate_rows long"
+    )
 
 
 @dataclass

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
 from tablescope.functions.columns import clean_number, col, numeric_cols, rows, stack_rows
-from tablescope.plans.quantiles import finite_counts, quantiles
+from tablescope.plans.quantiles import counted_quantiles
 
 
 def robust_scales(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and robust standard deviation of the columns that can be judged."""
-    counts = finite_counts(df, columns) if columns else {}
-    names = [c for c in columns if counts[c] >= SETTINGS.min_rows_anomaly]
-    found = quantiles(df, names, [0.25, 0.5, 0.75], {c: counts[c] for c in names})
+    counts, found = counted_quantiles(df, columns, [0.25, 0.5, 0.75])
     return {
-        c: (median, (q3 - q1) * SETTINGS.iqr_to_sigma) for c, (q1, median, q3) in found.items() if q3 > q1
+        c: (median, (q3 - q1) * SETTINGS.iqr_to_sigma)
+        for c, (q1, median, q3) in found.items()
+        if counts[c] >= SETTINGS.min_rows_anomaly and q3 > q1
     }
 
 
@@ -58,11 +58,10 @@ _OUTLIER_SCHEMA = "column string, n long, outliers long, pct double, lower_bound
 def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column with at least four values: cells outside the quartile fences, most first."""
     names = numeric_cols(df) if columns is None else columns
-    counts = finite_counts(df, names) if names else {}
+    counts, quartiles = counted_quantiles(df, names, [0.25, 0.75])
     usable = [c for c in names if counts[c] >= 4]
     if not usable:
         return rows(df.sparkSession, [], _OUTLIER_SCHEMA)
-    quartiles = quantiles(df, usable, [0.25, 0.75], {c: counts[c] for c in usable})
     aggregates, entries = [], []
     for i, name in enumerate(usable):
         q1, q3 = quartiles[name]

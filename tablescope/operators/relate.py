@@ -8,8 +8,11 @@ with a ``status`` other than ``ok`` and null statistics.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +31,56 @@ from tablescope.functions.columns import (
 from tablescope.operators.describe import corrected_kurtosis, corrected_skew
 from tablescope.operators.ingest import sample_rows
 from tablescope.plans.frequency import cumulative_counts
+from tablescope.plans.shipping import ship_by_value
 from tablescope.plans.storage import materialize
 
-_PAIRS_PER_SCAN = 200
+_MAX_PAIR_AGGREGATES = 200
 
 
 def _pearson(df: DataFrame, names: list[str]) -> list[tuple[str, str, float | None, int]]:
-    """(a, b, r, pairs) for all pairs; wide tables take one scan per few hundred pairs."""
+    """(a, b, r, pairs) for all pairs of columns, in one scan of aggregates."""
     pairs = list(combinations(names, 2))
+    if len(pairs) > _MAX_PAIR_AGGREGATES:
+        return _pearson_wide(df, names)
+    aggregates = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = clean_number(a), clean_number(b)
+        aggregates += [pearson(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
+    row = df.agg(*aggregates).first()
+    return [(a, b, row[f"r{i}"], row[f"n{i}"]) for i, (a, b) in enumerate(pairs)]
+
+
+def _pearson_wide(df: DataFrame, names: list[str]) -> list[tuple[str, str, float | None, int]]:
+    """The same for wide tables: matrix products per Arrow batch, added up per task and then per pair.
+
+    Columns are centred first; cells are masked, so that each pair uses the
+    rows in which both are present.
+    """
+    ship_by_value()
+    means = df.agg(*[F.avg(clean_number(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    centred = df.select(*[(clean_number(c) - F.lit(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(names)])
+    left, right = np.triu_indices(len(names), 1)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            seen = ~np.isnan(x)
+            x, m = np.where(seen, x, 0.0), seen.astype(float)
+            parts = np.stack([m.T @ m, x.T @ m, m.T @ x, x.T @ x, (x * x).T @ m, m.T @ (x * x)])
+            sums = parts if sums is None else sums + parts
+        if sums is not None:
+            table = pd.DataFrame(sums[:, left, right].T, columns=["n", "x", "y", "xy", "xx", "yy"])
+            table.insert(0, "pair", np.arange(len(left)))
+            yield table
+
+    fields = "pair long, n double, x double, y double, xy double, xx double, yy double"
+    totals = centred.mapInPandas(add_up, fields).groupBy("pair").sum("n", "x", "y", "xy", "xx", "yy")
     found = []
-    for start in range(0, len(pairs), _PAIRS_PER_SCAN):
-        chunk = pairs[start : start + _PAIRS_PER_SCAN]
-        aggregates = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = clean_number(a), clean_number(b)
-            aggregates += [pearson(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-        row = df.agg(*aggregates).first()
-        for i, (a, b) in enumerate(chunk):
-            r = row[f"r{i}"]
-            found.append((a, b, None if r is None or math.isnan(r) else r, row[f"n{i}"]))
+    for pair, _, n, x, y, xy, xx, yy in sorted((r[0], *r) for r in totals.collect()):
+        spread = (xx - x * x / n) * (yy - y * y / n) if n else 0.0
+        r = (xy - x * y / n) / math.sqrt(spread) if spread > 0 else None
+        found.append((names[left[pair]], names[right[pair]], r, int(n)))
     return found
 
 
@@ -248,7 +282,7 @@ def t_test(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def anova_test(df: DataFrame, value: str, group: str) -> DataFrame:
     """One-way F test over the levels with at least two rows; any number of levels."""
-    levels = group_moments(df, value, group).filter("n >= 2")
+    levels = materialize(group_moments(df, value, group).filter("n >= 2"))
     row = levels.agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
@@ -282,7 +316,7 @@ def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
     Empty cells are accounted for through the margins, since a sum over all
     cells of (o - e)^2 / e needs o only where it is not zero.
     """
-    cells = crosstab(df, a, b)
+    cells = materialize(crosstab(df, a, b))
     by_a = cells.groupBy("a").agg(F.sum("n").alias("na"))
     by_b = cells.groupBy("b").agg(F.sum("n").alias("nb"))
     size = cells.agg(F.sum("n").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c")).first()

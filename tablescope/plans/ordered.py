@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
-from tablescope.functions.columns import col
+from tablescope.functions.columns import analysable_cols, col
 from tablescope.plans.storage import materialize
 
 POSITION = "_pos"
@@ -34,7 +34,7 @@ def with_positions(df: DataFrame, order_by: list[str]) -> DataFrame:
     keys), rows are numbered per partition, and the written table fixes that
     numbering before partition sizes are turned into offsets.
     """
-    tie = F.xxhash64(*[F.to_json(F.struct(*[col(c) for c in df.columns]))])
+    tie = F.xxhash64(*[col(c) for c in analysable_cols(df)])
     numbered = df.orderBy(*[col(c) for c in order_by], tie).withColumn("_id", F.monotonically_increasing_id())
     stored = materialize(numbered).withColumn("_part", F.shiftright("_id", 33))
     sizes = sorted((r["_part"], r["n"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect())

@@ -69,16 +69,28 @@ def _spans(searches: list[_Search]) -> list[list[_Search]]:
     return list(groups.values())
 
 
-def _narrow(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """One sketch scan and one counting scan; each search ends or continues in a far smaller bracket."""
-    spans = _spans(searches)
+def _sketch_ends(shares: list[float], accuracy: int) -> list[float]:
+    """Shares a little below and above each wanted one."""
     slack = 2.0 / accuracy
-    sketches = []
-    for i, group in enumerate(spans):
-        shares = [(s.rank - s.below + 0.5) / s.inside for s in group]
-        grid = sorted({min(1.0, max(0.0, share + d)) for share in shares for d in (-slack, slack)})
-        sketches.append(F.percentile_approx(group[0].value(), grid, accuracy).alias(f"s{i}"))
-    found = df.agg(*sketches).first()
+    return sorted({min(1.0, max(0.0, share + d)) for share in shares for d in (-slack, slack)})
+
+
+def _narrow(
+    df: DataFrame, searches: list[_Search], accuracy: int, known: dict[str, list[float]] | None = None
+) -> None:
+    """One sketch scan and one counting scan; each search ends or continues in a far smaller bracket.
+
+    ``known`` saves the sketch scan: cut points per column taken beforehand.
+    """
+    spans = _spans(searches)
+    if known is not None:
+        found = {f"s{i}": known[group[0].column] for i, group in enumerate(spans)}
+    else:
+        sketches = []
+        for i, group in enumerate(spans):
+            ends = _sketch_ends([(s.rank - s.below + 0.5) / s.inside for s in group], accuracy)
+            sketches.append(F.percentile_approx(group[0].value(), ends, accuracy).alias(f"s{i}"))
+        found = df.agg(*sketches).first()
 
     cuts = [sorted(set(found[f"s{i}"])) for i in range(len(spans))]
     regions = []
@@ -134,10 +146,12 @@ def order_statistics(
     counts: dict[str, int],
     exact_rows: int | None = None,
     accuracy: int | None = None,
+    known_cuts: dict[str, list[float]] | None = None,
 ) -> dict[str, dict[int, float]]:
     """The values at the given 0-based ranks of each column's sorted finite values.
 
-    ``counts`` holds the number of finite values per column.
+    ``counts`` holds the number of finite values per column, ``known_cuts``
+    values near the wanted ranks if the caller has taken a sketch already.
     """
     exact_rows = exact_rows or SETTINGS.exact_rows
     accuracy = accuracy or SETTINGS.sketch_accuracy
@@ -146,7 +160,8 @@ def order_statistics(
         wide = [s for s in searches if s.answer is None and s.inside > exact_rows]
         if not wide:
             break
-        _narrow(df, wide, accuracy)
+        _narrow(df, wide, accuracy, known_cuts)
+        known_cuts = None
     left = [s for s in searches if s.answer is None]
     if left:
         _rank_inside(df, left)
@@ -156,9 +171,31 @@ def order_statistics(
     return result
 
 
-def finite_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    row = df.agg(*[F.count(clean_number(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"c{i}"] for i, c in enumerate(columns)}
+def _counts_and_cuts(
+    df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int | None
+) -> tuple[dict[str, int], dict[str, list[float]]]:
+    """Finite values and sketched cut points per column in one scan."""
+    accuracy = accuracy or SETTINGS.sketch_accuracy
+    ends = _sketch_ends(probabilities, accuracy)
+    aggregates = []
+    for i, c in enumerate(columns):
+        value = clean_number(c)
+        aggregates += [F.count(value).alias(f"c{i}"), F.percentile_approx(value, ends, accuracy).alias(f"s{i}")]
+    row = df.agg(*aggregates).first()
+    counts, cuts = {}, {}
+    for i, c in enumerate(columns):
+        counts[c], cuts[c] = row[f"c{i}"], row[f"s{i}"] or []
+    return counts, cuts
+
+
+def counted_quantiles(
+    df: DataFrame, columns: list[str], probabilities: list[float], **limits
+) -> tuple[dict[str, int], dict[str, list[float | None]]]:
+    """Finite values and quantiles per column; the first scan serves both."""
+    if not columns:
+        return {}, {}
+    counts, cuts = _counts_and_cuts(df, columns, probabilities, limits.get("accuracy"))
+    return counts, _interpolated(df, columns, probabilities, counts, cuts, limits)
 
 
 def quantiles(
@@ -168,21 +205,22 @@ def quantiles(
     counts: dict[str, int] | None = None,
     **limits,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of several columns; None where a column is empty."""
-    if not columns:
-        return {}
-    counts = counts or finite_counts(df, columns)
+    """Linearly interpolated quantiles of several columns; None where a column is empty.
+
+    ``counts`` saves a scan of small columns if the finite values are counted already.
+    """
+    if counts is None:
+        return counted_quantiles(df, columns, probabilities, **limits)[1]
+    return _interpolated(df, columns, probabilities, counts, None, limits)
+
+
+def _interpolated(df, columns, probabilities, counts, cuts, limits) -> dict[str, list[float | None]]:
     usable = [c for c in columns if counts[c]]
     positions = {c: [(counts[c] - 1) * p for p in probabilities] for c in usable}
     ranks = {c: [f(h) for h in hs for f in (math.floor, math.ceil)] for c, hs in positions.items()}
-    found = order_statistics(df, ranks, counts, **limits) if usable else {}
-    result: dict[str, list[float | None]] = {}
-    for c in columns:
-        if c not in found:
-            result[c] = [None] * len(probabilities)
-            continue
-        result[c] = []
-        for h in positions[c]:
-            low, high = found[c][math.floor(h)], found[c][math.ceil(h)]
-            result[c].append(low + (high - low) * (h - math.floor(h)))
+    found = order_statistics(df, ranks, counts, known_cuts=cuts, **limits) if usable else {}
+    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    for c, hs in positions.items():
+        ends = [(found[c][math.floor(h)], found[c][math.ceil(h)], h - math.floor(h)) for h in hs]
+        result[c] = [low + (high - low) * part for low, high, part in ends]
     return result

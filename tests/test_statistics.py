@@ -215,3 +215,17 @@ def test_isolation_share_and_copies(spark):
 def test_flat_column_has_no_spikes(spark):
     df = spark.range(50).selectExpr("id", "CAST(CASE WHEN id = 0 THEN 99 ELSE 1 END AS DOUBLE) AS x")
     assert outliers.robust_z_flags(df, ["x"]).filter("is_spike").count() == 0
+
+
+def test_wide_tables_use_matrix_products(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 22)) @ rng.normal(size=(22, 22)) + 1e4
+    x[rng.random(x.shape) < 0.1] = np.nan
+    frame = pd.DataFrame(x, columns=[f"v{i}" for i in range(22)])
+    frame["flat"] = 3.0
+    got = relate.pair_correlations(spark.createDataFrame(frame))
+    expected = frame.corr()
+    assert len(got) == 23 * 22 // 2
+    for a, b, r, n in got:
+        assert n == (frame[a].notna() & frame[b].notna()).sum()
+        assert r is None if "flat" in (a, b) else r == pytest.approx(expected.loc[a, b], abs=1e-9)
