@@ -150,7 +150,8 @@ def kde(df: DataFrame, column: str) -> DataFrame:
 def _group_freq(df: DataFrame, x: str | None, y: str) -> DataFrame:
     keys = [col(x).alias("x")] if x else []
     return (
-        df.select(*keys, clean_number(y).alias("y"))
+        df.filter(col(y).isNotNull())  # reaches the file scan
+        .select(*keys, clean_number(y).alias("y"))
         .dropna()
         .groupBy(*(["x"] if x else []), "y")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -98,7 +98,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     rankings and the final sums read them.
     """
     x, y = clean_number(a).alias("x"), clean_number(b).alias("y")
-    pairs = materialize(df.select(x, y).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    known = df.filter(col(a).isNotNull() & col(b).isNotNull())
+    pairs = materialize(known.select(x, y).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     rank_x = average_ranks(pairs.groupBy("x").agg(F.sum("n").alias("n")), "x").withColumnRenamed("rank", "rx")
     rank_y = average_ranks(pairs.groupBy("y").agg(F.sum("n").alias("n")), "y").withColumnRenamed("rank", "ry")
     ranked = pairs.join(rank_x, "x").join(rank_y, "y")
@@ -251,7 +252,8 @@ def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
     require_numeric(df, value)
     require_columns(df, group)
     return (
-        df.select(col(group).alias("level"), clean_number(value).alias("v"))
+        df.filter(col(group).isNotNull() & col(value).isNotNull())
+        .select(col(group).alias("level"), clean_number(value).alias("v"))
         .dropna()
         .groupBy("level")
         .agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("variance"))

@@ -97,8 +97,6 @@ def _bucket_cuts(values: DataFrame, value: str, rows_per_bucket: int) -> list[fl
 
 def _with_range(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
     """Add ``_range``, the index of the interval between two cut points that holds the value."""
-    if not cuts:
-        return df.withColumn("_range", F.lit(0.0))
     splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
     return Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(df)
 
@@ -113,10 +111,15 @@ def cumulative_counts(
     totals supply the offsets; no task sees a whole group, and a group's offset
     window holds one row per range.
     """
-    rows_per_bucket = rows_per_bucket or SETTINGS.exact_rows
-    cuts = _bucket_cuts(freq, value, rows_per_bucket)
-    cut = _with_range(freq.withColumn(value, F.col(value).cast("double")), value, cuts)
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    freq = freq.withColumn(value, F.col(value).cast("double"))
+    cuts = _bucket_cuts(freq, value, rows_per_bucket or SETTINGS.exact_rows)
+    by_group = Window.partitionBy(*keys)
+    if not cuts:
+        running = by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return freq.withColumns(
+            {"before": F.coalesce(F.sum("n").over(running), F.lit(0)), "total": F.sum("n").over(by_group)}
+        )
+    cut = _with_range(freq, value, cuts)
     earlier = by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*keys, "_range")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescope.functions import normal
 from tablescope.operators import charts, isolation, timeseries, unsupervised
 from workload.registry import query, rounded, texts, with_messy
+from workload.series import _decompose_sql
 
 
 def _bin_sql(column: str, table: str, bins: int) -> str:
@@ -97,9 +99,28 @@ def qq_points(t):
     return found.withColumns({"value": F.round("value", 6), "probability": F.round("probability", 8)})
 
 
-@query()
+def _horner(coefficients: list[float], x: str) -> str:
+    text = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}::DOUBLE)"
+    return text
+
+
+_QQ_LINE = f"""WITH points AS (
+  SELECT value, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n)
+                ELSE (i - 0.3175) / (n + 0.365) END AS p
+  FROM (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events)),
+places AS (SELECT value, p - 0.5 AS q, 0.180625 - (p - 0.5) * (p - 0.5) AS c, sqrt(-ln(least(p, 1 - p))) AS t FROM points),
+scores AS (SELECT value, CASE
+    WHEN abs(q) <= 0.425 THEN q * {_horner(normal.CENTRE_TOP, 'c')} / {_horner(normal.CENTRE_BOTTOM, 'c')}
+    WHEN t <= 5 THEN sign(q) * {_horner(normal.MIDDLE_TOP, '(t - 1.6)')} / {_horner(normal.MIDDLE_BOTTOM, '(t - 1.6)')}
+    ELSE sign(q) * {_horner(normal.FAR_TOP, '(t - 5)')} / {_horner(normal.FAR_BOTTOM, '(t - 5)')} END AS z FROM places)
+SELECT round(regr_slope(value, z), 6) AS slope, round(regr_intercept(value, z), 6) AS intercept, count(*) AS n FROM scores"""
+
+
+@query(_QQ_LINE)
 def qq_line(t):
-    return charts.qq_line(t.events, "value")
+    return rounded(charts.qq_line(t.events, "value"), 6)
 
 
 @query()
@@ -317,10 +338,16 @@ def anomaly_points(t):
     return charts.anomaly_points(flagged, "o_orderkey", "o_totalprice")
 
 
-@query()
+@query(
+    _decompose_sql(7, "1")
+    + " UNION ALL ".join(
+        f" SELECT day, '{c}' AS component, {c} AS value FROM parts" for c in ("value", "trend", "seasonal", "resid")
+    )
+)
 def seasonal_lines(t):
     parts = timeseries.seasonal_decompose(t.events, "ts", "value", 7)
-    return texts(charts.seasonal_lines(parts), "day")
+    lines = texts(rounded(charts.seasonal_lines(parts), 5), "day")
+    return lines.withColumn("value", F.col("value") + 0.0)
 
 
 @query()

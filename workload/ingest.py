@@ -225,6 +225,31 @@ def sample_rows(t):
     return ingest.sample_rows(t.lineitem)
 
 
+@query(
+    """SELECT least(count(*), 20000) AS sampled, CAST(0 AS BIGINT) AS strays, CAST(0 AS BIGINT) AS repeats FROM lineitem"""
+)
+def sample_rows_check(t):
+    """The sample has the wanted size and holds rows of the table, each at most once."""
+    sample = ingest.sample_rows(t.lineitem)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    held = sample.groupBy(*keys).agg(F.count("*").alias("n"))
+    there = t.lineitem.groupBy(*keys).agg(F.count("*").alias("m"))
+    return held.join(there, keys, "left").agg(
+        F.sum("n").alias("sampled"),
+        F.count_if(F.col("m").isNull()).alias("strays"),
+        F.count_if(F.col("n") > F.col("m")).alias("repeats"),
+    )
+
+
+@query(
+    """SELECT page_id, url FROM pages
+    WHERE regexp_matches(lower(html), 'aulich|/and"') OR regexp_matches(lower(url), 'aulich|/and"')"""
+)
+def search_pages(t):
+    """A pattern over whole pages."""
+    return filters.search_rows(t.pages, 'aulich|/and"').select("page_id", "url")
+
+
 @query("SELECT * FROM customer WHERE c_name ILIKE '%building%' OR c_mktsegment ILIKE '%building%'")
 def search_rows(t):
     return filters.search_rows(t.customer, " Building ")

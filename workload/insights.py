@@ -14,9 +14,31 @@ def _section(t, build):
     return build(insights.gather_facts(t.messy_orders))
 
 
-@query()
+_PENALTY = (
+    "sum(CASE WHEN semantic_type = 'mixed' THEN 1.0 "
+    "WHEN semantic_type = 'categorical' AND n_unique > n_lowered THEN 0.3 ELSE 0.0 END)"
+)
+
+
+@query(with_messy(
+    f"""WITH parts AS (
+      SELECT CAST(max(n_rows) AS DOUBLE) AS n, CAST(round(100.0 * sum(n_rows - n_missing) / sum(n_rows), 1) AS DOUBLE) AS complete,
+             CAST(round(100.0 - 100.0 * {_PENALTY} / 9, 1) AS DOUBLE) AS consistent,
+             CAST(round(100.0 * (1 - {_DUPLICATES} / max(n_rows)), 1) AS DOUBLE) AS uniq FROM ({_PROFILE}))
+    SELECT 'table' AS subject, 'rows' AS metric, n AS value FROM parts
+    UNION ALL SELECT 'table', 'columns', 9 FROM parts
+    UNION ALL SELECT 'quality', 'completeness', complete FROM parts
+    UNION ALL SELECT 'quality', 'uniqueness', uniq FROM parts
+    UNION ALL SELECT 'quality', 'consistency', consistent FROM parts
+    UNION ALL SELECT 'quality', 'validity', 100 FROM parts
+    UNION ALL SELECT 'quality', 'overall', round(0.4 * complete + 0.2 * uniq + 0.2 * consistent + 20, 1) FROM parts
+    UNION ALL SELECT 'columns', 'numeric', 5 FROM parts
+    UNION ALL SELECT 'columns', 'categorical', 4 FROM parts
+    UNION ALL SELECT 'columns', 'datetime', 0 FROM parts"""
+))
 def executive_summary(t):
-    return _section(t, insights.executive_summary)
+    found = _section(t, insights.executive_summary).filter("subject <> 'domain'")
+    return found.select("subject", "metric", "value")
 
 
 @query(with_messy(

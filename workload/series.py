@@ -83,32 +83,35 @@ def actuals_by_date(t):
     return rounded(timeseries.actuals_by_date(t.events, "ts", "value"), 6)
 
 
-def _decompose_sql(m: int) -> str:
+def _decompose_sql(m: int, key: str = "event_type") -> str:
     half = m // 2
     if m % 2:
-        mean = f"avg(value) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+        mean = f"avg(value) OVER (PARTITION BY k ORDER BY day ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
     else:
         mean = (
-            f"(sum(value) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) "
+            f"(sum(value) OVER (PARTITION BY k ORDER BY day ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) "
             f"- (lag(value, {half}) OVER w + lead(value, {half}) OVER w) / 2) / {m}"
         )
     return f"""WITH daily AS (
-      SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY 1, 2),
-    base AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, {mean} AS mean
-             FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day)),
+      SELECT {key} AS k, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY 1, 2),
+    base AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY k) AS n, {mean} AS mean
+             FROM daily WINDOW w AS (PARTITION BY k ORDER BY day)),
     smooth AS (SELECT *, CASE WHEN i >= {half} AND i <= n - 1 - {half} THEN mean END AS t FROM base WHERE n >= {2 * m}),
-    heads AS (SELECT event_type, regr_slope(t, i) AS k, regr_intercept(t, i) AS c FROM smooth
-              WHERE i >= {half} AND i < least({half} + {m}, n - 1 - {half}) GROUP BY event_type),
-    tails AS (SELECT event_type, regr_slope(t, i) AS k, regr_intercept(t, i) AS c FROM smooth
-              WHERE i >= greatest({half}, n - 1 - {half} - {m}) AND i < n - 1 - {half} GROUP BY event_type),
-    trended AS (SELECT s.event_type, s.day, s.value, s.i,
-                CASE WHEN s.i < {half} THEN h.c + h.k * s.i WHEN s.i > s.n - 1 - {half} THEN l.c + l.k * s.i ELSE s.t END AS trend
-                FROM smooth s JOIN heads h USING (event_type) JOIN tails l USING (event_type)),
-    phases AS (SELECT event_type, i % {m} AS phase, avg(value - trend) AS p FROM trended GROUP BY 1, 2),
-    centred AS (SELECT event_type, phase, p - avg(p) OVER (PARTITION BY event_type) AS s FROM phases)
-    SELECT t.event_type, CAST(day AS VARCHAR) AS day, round(value, 5) + 0.0 AS value, round(trend, 5) + 0.0 AS trend,
+    heads AS (SELECT k, regr_slope(t, i) AS b, regr_intercept(t, i) AS c FROM smooth
+              WHERE i >= {half} AND i < least({half} + {m}, n - 1 - {half}) GROUP BY k),
+    tails AS (SELECT k, regr_slope(t, i) AS b, regr_intercept(t, i) AS c FROM smooth
+              WHERE i >= greatest({half}, n - 1 - {half} - {m}) AND i < n - 1 - {half} GROUP BY k),
+    trended AS (SELECT s.k, s.day, s.value, s.i,
+                CASE WHEN s.i < {half} THEN h.c + h.b * s.i WHEN s.i > s.n - 1 - {half} THEN l.c + l.b * s.i ELSE s.t END AS trend
+                FROM smooth s JOIN heads h USING (k) JOIN tails l USING (k)),
+    phases AS (SELECT k, i % {m} AS phase, avg(value - trend) AS p FROM trended GROUP BY 1, 2),
+    centred AS (SELECT k, phase, p - avg(p) OVER (PARTITION BY k) AS s FROM phases),
+    parts AS (SELECT t.k, CAST(day AS VARCHAR) AS day, round(value, 5) + 0.0 AS value, round(trend, 5) + 0.0 AS trend,
            round(s, 5) + 0.0 AS seasonal, round(value - trend - s, 5) + 0.0 AS resid
-    FROM trended t JOIN centred c ON c.event_type = t.event_type AND c.phase = t.i % {m}"""
+    FROM trended t JOIN centred c ON c.k = t.k AND c.phase = t.i % {m})"""
+
+
+_BY_TYPE = " SELECT k AS event_type, day, value, trend, seasonal, resid FROM parts"
 
 
 def _decomposed(t, period: int):
@@ -117,12 +120,12 @@ def _decomposed(t, period: int):
     return parts.withColumns({c: F.col(c) + 0.0 for c in ("value", "trend", "seasonal", "resid")})
 
 
-@query(_decompose_sql(7))
+@query(_decompose_sql(7) + _BY_TYPE)
 def seasonal_decompose(t):
     return _decomposed(t, 7)
 
 
-@query(_decompose_sql(4))
+@query(_decompose_sql(4) + _BY_TYPE)
 def seasonal_decompose_even(t):
     return _decomposed(t, 4)
 
@@ -132,6 +135,16 @@ def holt_winters_forecast(t):
     return timeseries.holt_winters_forecast(t.events, "ts", "value", 30, ["event_type"])
 
 
+@query(
+    """SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS ds, round(avg(value), 6) AS yhat,
+              round(avg(value), 6) AS yhat_lower, round(avg(value), 6) AS yhat_upper FROM events GROUP BY 1, 2"""
+)
+def forecast_history(t):
+    """The history rows of a forecast carry the daily values."""
+    found = timeseries.holt_winters_forecast(t.events, "ts", "value", 30, ["event_type"])
+    return texts(rounded(found.filter("NOT is_forecast").drop("is_forecast"), 6), "ds")
+
+
 @query()
 def forecast_after(t):
     last = t.events.agg(F.max("ts")).first()[0].date()
