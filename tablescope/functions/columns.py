@@ -74,6 +74,13 @@ def clean_number(name: str, df: DataFrame | None = None) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN, which counts as missing, turned into NULL."""
+    if name in floating_cols(df):
+        return F.when(~F.isnan(col(name)), col(name))
+    return col(name)
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation aggregate over complete pairs, NULL where one side is constant.
 

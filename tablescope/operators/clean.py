@@ -15,7 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
-from tablescope.functions.columns import analysable_cols, categorical_cols, col, numeric_cols, rows
+from tablescope.functions.columns import (
+    analysable_cols,
+    categorical_cols,
+    clean_number,
+    col,
+    floating_cols,
+    numeric_cols,
+    rows,
+)
 from tablescope.plans.frequency import value_frequencies
 from tablescope.plans.quantiles import order_statistics, quantiles
 from tablescope.plans.storage import materialize
@@ -49,12 +57,12 @@ def _edit(df: DataFrame, edits: dict[str, Column]) -> DataFrame:
 
 def _blanked(name: str) -> Column:
     # A cell of other whitespace than blanks counts as empty as well.
-    bare = F.regexp_replace(col(name), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(col(name), r"(?U)^\s+|\s+$", "")
     return F.when(~bare.isin(NULL_TEXTS), col(name))
 
 
 def _tidied(name: str) -> Column:
-    text = F.trim(F.regexp_replace(col(name), r"\s+", " "))
+    text = F.trim(F.regexp_replace(col(name), r"(?U)\s+", " "))
     return F.when(~text.isin(CONVERTED_NULLS), text)
 
 
@@ -75,14 +83,12 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def impute(df: DataFrame, fills: dict) -> DataFrame:
-    return _edit(df, {c: F.coalesce(_present(df, c), F.lit(v)) for c, v in fills.items() if c in df.columns})
+def _finite(df: DataFrame, name: str) -> Column:
+    return clean_number(name) if name in floating_cols(df) else col(name)
 
 
-def _present(df: DataFrame, name: str) -> Column:
-    if df.schema[name].dataType.typeName() in ("double", "float"):
-        return F.nanvl(col(name), F.lit(None).cast("double"))
-    return col(name)
+def impute(df: DataFrame, fills: dict) -> DataFrame:
+    return _edit(df, {c: F.coalesce(_finite(df, c), F.lit(v)) for c, v in fills.items() if c in df.columns})
 
 
 def winsorize(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -134,7 +140,7 @@ def replay(df: DataFrame, plan: CleanPlan, upto: int) -> DataFrame:
 def text_audit(df: DataFrame) -> DataFrame:
     """(column, placeholders, respaced) for the text columns, before cleaning."""
     names = categorical_cols(df)
-    found = _text_audit(df, names)
+    _, found = _text_audit(df, names)
     return rows(
         df.sparkSession,
         [(c, *found[c]) for c in names],
@@ -142,10 +148,9 @@ def text_audit(df: DataFrame) -> DataFrame:
     )
 
 
-def _text_audit(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
-    if not names:
-        return {}
-    aggregates = []
+def _text_audit(df: DataFrame, names: list[str]) -> tuple[int, dict[str, tuple[int, int]]]:
+    """Rows, and per text column the placeholders and respaced texts, in one scan."""
+    aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(names):
         blanked = _blanked(c)
         aggregates += [
@@ -153,7 +158,7 @@ def _text_audit(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
             F.count_if(blanked.isNotNull() & (_tidied(c) != col(c))).alias(f"r{i}"),
         ]
     row = df.agg(*aggregates).first()
-    return {c: (row[f"p{i}"], row[f"r{i}"]) for i, c in enumerate(names)}
+    return row["rows"], {c: (row[f"p{i}"], row[f"r{i}"]) for i, c in enumerate(names)}
 
 
 @dataclass(frozen=True)
@@ -168,7 +173,7 @@ def column_facts(df: DataFrame) -> tuple[int, dict[str, ColumnFacts], DataFrame]
     freq = value_frequencies(df, names)
     per_column = freq.groupBy("column").agg(F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"))
     counts = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+        F.count(F.lit(1)).alias("rows"), *[F.count(_finite(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
     ).first()
     distinct = {r["column"]: r["distinct"] for r in per_column.collect()}
     facts = {
@@ -243,7 +248,8 @@ def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
         report.append((step, column, metric, str(value)))
 
     texts = categorical_cols(df)
-    for name, (placeholders, respaced) in _text_audit(df, texts).items():
+    before, audit = _text_audit(df, texts)
+    for name, (placeholders, respaced) in audit.items():
         if placeholders:
             note("standardize_nulls", name, "replaced", placeholders)
         if respaced:
@@ -253,7 +259,6 @@ def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
         Step("standardize_text", {c: True for c in texts}),
         Step("drop_duplicates"),
     ]
-    before = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     base = materialize(apply_plan(df, CleanPlan(steps)))
 
     n, facts, freq = column_facts(base)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
@@ -19,6 +21,7 @@ from tablescope.functions.columns import (
     floating_cols,
     integer_cols,
     numeric_cols,
+    present,
     rows,
     stack_rows,
 )
@@ -59,7 +62,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def _present(df: DataFrame):
-    return [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    return [F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
 
 
 def empty_columns(df: DataFrame) -> list[str]:
@@ -83,15 +86,89 @@ def coercion_rates(df: DataFrame) -> DataFrame:
     return stack_rows(df.agg(*aggregates), entries)
 
 
+@dataclass(frozen=True)
+class Choice:
+    """Aggregates to take in one scan, and the decision drawn from their row."""
+
+    aggregates: list[Column]
+    decide: Callable[[Row], dict[str, object]]
+
+
+def _numbers_in_text(df: DataFrame, min_success: float | None = None) -> Choice:
+    needed = SETTINGS.numeric_success_rate if min_success is None else min_success
+    names = categorical_cols(df)
+    aggregates = []
+    for i, name in enumerate(names):
+        aggregates += [
+            F.count(col(name)).alias(f"number_of{i}"),
+            F.count(parse_number(col(name))).alias(f"number_ok{i}"),
+        ]
+
+    def decide(row):
+        return {
+            c: True
+            for i, c in enumerate(names)
+            if row[f"number_of{i}"] and row[f"number_ok{i}"] / row[f"number_of{i}"] >= needed
+        }
+
+    return Choice(aggregates, decide)
+
+
+def _dates_in_text(df: DataFrame, layouts: list[str] | None) -> Choice:
+    names = categorical_cols(df)
+    aggregates = []
+    for i, name in enumerate(names):
+        aggregates += [
+            F.count(col(name)).alias(f"date_of{i}"),
+            F.count(parse_timestamp(col(name), layouts)).alias(f"date_ok{i}"),
+        ]
+
+    def decide(row):
+        chosen = {}
+        for i, c in enumerate(names):
+            hinted = re.search(DATE_NAME_HINT, c)
+            needed = SETTINGS.datetime_success_rate if hinted else SETTINGS.datetime_success_rate_unhinted
+            if row[f"date_of{i}"] and row[f"date_ok{i}"] / row[f"date_of{i}"] >= needed:
+                chosen[c] = True
+        return chosen
+
+    return Choice(aggregates, decide)
+
+
+def _widths(df: DataFrame, floats: bool = False) -> Choice:
+    whole = integer_cols(df)
+    real = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"] if floats else []
+    aggregates = []
+    for i, name in enumerate(whole):
+        aggregates += [F.min(col(name)).alias(f"low{i}"), F.max(col(name)).alias(f"high{i}")]
+    for i, name in enumerate(real):
+        aggregates.append(F.max(F.abs(col(name) - col(name).cast("float"))).alias(f"loss{i}"))
+
+    def decide(row):
+        target = {}
+        for i, name in enumerate(whole):
+            low, high = row[f"low{i}"], row[f"high{i}"]
+            for kind, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)):
+                if low is not None and -(1 << bits) <= low and high < (1 << bits):
+                    target[name] = kind
+                    break
+        target |= {name: "float" for i, name in enumerate(real) if row[f"loss{i}"] == 0.0}
+        return target
+
+    return Choice(aggregates, decide)
+
+
+def _taken(df: DataFrame, choice: Choice) -> dict[str, object]:
+    return choice.decide(df.agg(*choice.aggregates).first()) if choice.aggregates else {}
+
+
+def _edited(df: DataFrame, edits: dict[str, Column]) -> DataFrame:
+    return df.select([edits[c].alias(c) if c in edits else col(c) for c in df.columns])
+
+
 def try_coerce_columns(df: DataFrame, min_success: float | None = None) -> DataFrame:
     """Turn a text column into numbers if at least ``min_success`` of its values read as numbers."""
-    needed = SETTINGS.numeric_success_rate if min_success is None else min_success
-    chosen = {
-        r["column"]
-        for r in coercion_rates(df).collect()
-        if r["non_null"] and r["parsed"] / r["non_null"] >= needed
-    }
-    return df.select([parse_number(col(c)).alias(c) if c in chosen else col(c) for c in df.columns])
+    return _edited(df, {c: parse_number(col(c)) for c in _taken(df, _numbers_in_text(df, min_success))})
 
 
 def sanitize_infinities(df: DataFrame) -> DataFrame:
@@ -110,26 +187,7 @@ def infer_datetimes(df: DataFrame, layouts: list[str] | None = None) -> DataFram
 
     A column whose name hints at dates needs a lower share of readable values.
     """
-    names = categorical_cols(df)
-    if not names:
-        return df
-    aggregates = []
-    for i, name in enumerate(names):
-        aggregates += [
-            F.count(col(name)).alias(f"n{i}"),
-            F.count(parse_timestamp(col(name), layouts)).alias(f"p{i}"),
-            F.lit(name).rlike(DATE_NAME_HINT).alias(f"h{i}"),
-        ]
-    found = df.agg(*aggregates).first()
-    chosen = set()
-    for i, name in enumerate(names):
-        total, parsed, hinted = found[f"n{i}"], found[f"p{i}"], found[f"h{i}"]
-        needed = SETTINGS.datetime_success_rate if hinted else SETTINGS.datetime_success_rate_unhinted
-        if total and parsed / total >= needed:
-            chosen.add(name)
-    return df.select(
-        [parse_timestamp(col(c), layouts).alias(c) if c in chosen else col(c) for c in df.columns]
-    )
+    return _edited(df, {c: parse_timestamp(col(c), layouts) for c in _taken(df, _dates_in_text(df, layouts))})
 
 
 def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:
@@ -137,52 +195,38 @@ def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:
 
     ``floats`` also turns doubles into floats where no value changes.
     """
-    whole = integer_cols(df)
-    real = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"] if floats else []
-    aggregates = []
-    for i, name in enumerate(whole):
-        aggregates += [F.min(col(name)).alias(f"low{i}"), F.max(col(name)).alias(f"high{i}")]
-    for i, name in enumerate(real):
-        aggregates.append(F.max(F.abs(col(name) - col(name).cast("float"))).alias(f"loss{i}"))
-    if not aggregates:
-        return df
-    found = df.agg(*aggregates).first()
-    target = {}
-    for i, name in enumerate(whole):
-        low, high = found[f"low{i}"], found[f"high{i}"]
-        if low is None:
-            continue
-        for kind, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)):
-            if -(1 << bits) <= low and high < (1 << bits):
-                target[name] = kind
-                break
-    for i, name in enumerate(real):
-        if found[f"loss{i}"] == 0.0:
-            target[name] = "float"
-    return df.select([col(c).cast(target[c]).alias(c) if c in target else col(c) for c in df.columns])
+    return _edited(df, {c: col(c).cast(kind) for c, kind in _taken(df, _widths(df, floats)).items()})
 
 
 def normalise(df: DataFrame, layouts: list[str] | None = None) -> Ingested:
-    """Empty rows, header names, numbers in text, dates in text, infinities, integer widths, in this order."""
-    notes = []
+    """Empty rows, header names, numbers in text, dates in text, infinities, integer widths, in this order.
+
+    One scan decides everything; the result is a filter and a projection.
+    """
     named = rename_duplicates(df)
-    counts = named.agg(
+    numbers, dates, widths = _numbers_in_text(named), _dates_in_text(named, layouts), _widths(named)
+    row = named.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(reduce(or_, [col(c).isNotNull() for c in named.columns])).alias("kept"),
         *_present(named),
+        *numbers.aggregates,
+        *dates.aggregates,
+        *widths.aggregates,
     ).first()
-    if counts["rows"] > counts["kept"]:
-        notes.append(f"{counts['rows'] - counts['kept']} empty rows dropped")
-    empty = [c for i, c in enumerate(named.columns) if counts[f"n{i}"] == 0]
+    notes = []
+    if row["rows"] > row["kept"]:
+        notes.append(f"{row['rows'] - row['kept']} empty rows dropped")
+    empty = [c for i, c in enumerate(named.columns) if row[f"n{i}"] == 0]
     if empty:
         notes.append(f"columns without values: {', '.join(empty)}")
-    kept = drop_empty_rows(named)
-    numbers = try_coerce_columns(kept)
-    dated = infer_datetimes(numbers, layouts)
-    for name, before, after in zip(kept.columns, kept.dtypes, dated.dtypes):
+    edits = {c: col(c).cast(kind) for c, kind in widths.decide(row).items()}
+    edits |= {c: parse_timestamp(col(c), layouts) for c in dates.decide(row)}
+    edits |= {c: parse_number(col(c)) for c in numbers.decide(row)}  # a number is never read as a date
+    typed = _edited(drop_empty_rows(named), edits)
+    for name, before, after in zip(named.columns, named.dtypes, typed.dtypes):
         if before != after:
             notes.append(f"{name}: {before[1]} read as {after[1]}")
-    return Ingested(narrow_types(sanitize_infinities(dated)), notes)
+    return Ingested(sanitize_infinities(typed), notes)
 
 
 def schema_report(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
-from tablescope.functions.columns import categorical_cols, col, datetime_cols, floating_cols, numeric_cols, rows
+from tablescope.functions.columns import categorical_cols, col, datetime_cols, floating_cols, numeric_cols, present, rows
 from tablescope.operators.ingest import duplicate_rows
 from tablescope.operators.semantics import column_profile
 
@@ -68,9 +68,9 @@ GENERIC = "Generic"
 
 def completeness(df: DataFrame) -> DataFrame:
     """One row ``score``: 100 x non-null cells / cells, 0 for an empty table."""
-    present = sum((F.count(col(c)) for c in df.columns), F.lit(0))
+    filled = sum((F.count(present(df, c)) for c in df.columns), F.lit(0))
     cells = F.count(F.lit(1)) * len(df.columns)
-    return df.agg(F.coalesce(F.try_divide(100.0 * present, cells), F.lit(0.0)).alias("score"))
+    return df.agg(F.coalesce(F.try_divide(100.0 * filled, cells), F.lit(0.0)).alias("score"))
 
 
 def quality_score(df: DataFrame) -> DataFrame:

@@ -328,7 +328,7 @@ def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
         return rows(df.sparkSession, [("chi-square", "needs_two_by_two", None, None, None, None)], schema)
     dof = (r - 1) * (c - 1)
     observed = cells.join(by_a, "a").join(by_b, "b")
-    expected = F.col("na") * F.col("nb") / F.lit(float(n))
+    expected = F.col("na").cast("double") * F.col("nb") / F.lit(float(n))
     if dof == 1:
         margins_a = [x["na"] for x in by_a.collect()]
         margins_b = [x["nb"] for x in by_b.collect()]
@@ -339,7 +339,7 @@ def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
         statistic = sum(gap * gap / (x * y / n) for x in margins_a for y in margins_b)
     else:
         # sum (o - e)^2 / e = sum o^2 / e - n
-        row = observed.agg(F.sum(F.col("n") * F.col("n") / expected).alias("s")).first()
+        row = observed.agg(F.sum(F.col("n").cast("double") * F.col("n") / expected).alias("s")).first()
         statistic = row["s"] - n
     p = special.chi2_upper(statistic, dof)
     return rows(df.sparkSession, [("chi-square", "ok", statistic, dof, p, p < SETTINGS.alpha)], schema)

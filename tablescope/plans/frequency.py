@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.config import SETTINGS
-from tablescope.functions.columns import clean_number, col
+from tablescope.functions.columns import col, present
 
 
 def _typed(df: DataFrame, name: str) -> dict[str, Column]:
@@ -20,7 +20,7 @@ def _typed(df: DataFrame, name: str) -> dict[str, Column]:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         return {"whole": value.cast("long")}
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return {"real": clean_number(name)}
+        return {"real": present(df, name).cast("double")}
     if isinstance(kind, T.TimestampNTZType):
         return {"moment": value}
     return {"value": value.cast("string")}

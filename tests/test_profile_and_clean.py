@@ -147,3 +147,19 @@ def test_plan_on_a_stream(spark, tmp_path):
     run.awaitTermination(60)
     got = sorted(map(tuple, spark.table("cleaned").collect()))
     assert got == sorted(map(tuple, clean.apply_plan(batch, plan).collect()))
+
+
+def test_nan_and_infinity_count_as_gaps(spark):
+    df = spark.createDataFrame(
+        [(float("nan"), 1), (float("inf"), 2), (1.0, 3), (2.0, 4), (3.0, 5), (None, 6), (4.0, 7), (5.0, 8)], "x double, n int"
+    )
+    plan, _ = clean.fit_plan(df)
+    done = {r["n"]: r["x"] for r in clean.apply_plan(df, plan).collect()}
+    assert (done[1], done[2], done[6]) == (3.0, 3.0, 3.0)
+    assert score(profile.completeness(df)) == pytest.approx(100 * 14 / 16)
+
+
+def test_unusual_spaces(spark):
+    df = spark.createDataFrame([(" N/A ",), ("a  b",)], "s string")
+    tidy = clean.standardize_text(clean.standardize_nulls(df))
+    assert sorted((r["s"] for r in tidy.collect()), key=str) == [None, "a b"]
