@@ -163,28 +163,49 @@ def _text_audit(df: DataFrame, names: list[str]) -> tuple[int, dict[str, tuple[i
 
 @dataclass(frozen=True)
 class ColumnFacts:
+    """What the fits need to know about a column; ``frequent`` holds at most 1 / rare share values."""
+
     missing: int
     distinct: int
+    mode: str | None = None
+    mode_count: int = 0
+    frequent: dict[str, int] = field(default_factory=dict)
+
 
+def column_facts(df: DataFrame) -> tuple[int, dict[str, ColumnFacts]]:
+    """Row count, and per column missing and distinct values, the mode and the frequent values.
 
-def column_facts(df: DataFrame) -> tuple[int, dict[str, ColumnFacts], DataFrame]:
-    """Row count, missing and distinct values per column, and the frequency table they came from."""
+    One plain scan and one pass over the value frequencies; ties go to the
+    smallest value.
+    """
     names = analysable_cols(df)
-    freq = value_frequencies(df, names)
-    per_column = freq.groupBy("column").agg(F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"))
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count(_finite(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
     ).first()
-    distinct = {r["column"]: r["distinct"] for r in per_column.collect()}
-    facts = {
-        c: ColumnFacts(
-            counts["rows"] - counts[f"n{i}"],
-            # Lists and maps are not compared; they never count as constant.
-            distinct.get(c, 0) if c in names else counts[f"n{i}"],
+    n = counts["rows"]
+    entry = F.struct("value", "n")
+    is_frequent = F.col("value").isNotNull() & (F.col("n") >= n * SETTINGS.rare_category_frac)
+    per_column = (
+        value_frequencies(df, names)
+        .groupBy("column")
+        .agg(
+            F.count(F.lit(1)).alias("distinct"),
+            F.min_by(entry, F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))).alias("mode"),
+            F.collect_list(F.when(is_frequent, entry)).alias("frequent"),
         )
-        for i, c in enumerate(df.columns)
-    }
-    return counts["rows"], facts, freq
+    )
+    found = {r["column"]: r for r in per_column.collect()}
+    facts = {}
+    for i, c in enumerate(df.columns):
+        missing = n - counts[f"n{i}"]
+        if c in found:
+            r = found[c]
+            frequent = {e["value"]: e["n"] for e in r["frequent"]}
+            facts[c] = ColumnFacts(missing, r["distinct"], r["mode"]["value"], r["mode"]["n"], frequent)
+        else:
+            # Lists and maps are not compared; they never count as constant.
+            facts[c] = ColumnFacts(missing, 0 if c in names else n - missing)
+    return n, facts
 
 
 def sparse_and_constant(n: int, facts: dict[str, ColumnFacts]) -> dict[str, str]:
@@ -200,27 +221,6 @@ def sparse_and_constant(n: int, facts: dict[str, ColumnFacts]) -> dict[str, str]
     return dropped
 
 
-def _frequent_values(freq: DataFrame, names: list[str], n: int) -> dict[str, dict[str, int]]:
-    """Per column the categories that reach the rare share: at most 1 / share of them."""
-    frequent = freq.filter(F.col("column").isin(names) & (F.col("n") >= n * SETTINGS.rare_category_frac))
-    found: dict[str, dict[str, int]] = {c: {} for c in names}
-    for r in frequent.collect():
-        found[r["column"]][r["value"]] = r["n"]
-    return found
-
-
-def modes(freq: DataFrame, names: list[str]) -> dict[str, str]:
-    """The most frequent value per column, the smallest on ties."""
-    if not names:
-        return {}
-    best = (
-        freq.filter(F.col("column").isin(names))
-        .groupBy("column")
-        .agg(F.min_by("value", F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))).alias("mode"))
-    )
-    return {r["column"]: r["mode"] for r in best.collect()}
-
-
 def winsor_bounds(df: DataFrame, names: list[str], n: int) -> dict[str, tuple[float, float]]:
     """Order statistics k and n-k-1 with k = floor(share x n), for columns without nulls."""
     k = int(SETTINGS.winsor_frac * n)
@@ -261,7 +261,7 @@ def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
     ]
     base = materialize(apply_plan(df, CleanPlan(steps)))
 
-    n, facts, freq = column_facts(base)
+    n, facts = column_facts(base)
     note("drop_duplicates", None, "rows_before", before)
     note("drop_duplicates", None, "rows_removed", before - n)
     note("drop_duplicates", None, "rows_after", n)
@@ -279,9 +279,8 @@ def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
     gaps = [c for c in numbers if facts[c].missing]
     text_gaps = [c for c in words if facts[c].missing]
     medians = {c: q[0] for c, q in quantiles(kept, gaps, [0.5]).items()}
-    mode_of = modes(freq, text_gaps)
     fills: dict = {c: 0.0 if medians[c] is None else medians[c] for c in gaps}
-    fills |= {c: mode_of.get(c, MISSING_CATEGORY) for c in text_gaps}
+    fills |= {c: MISSING_CATEGORY if facts[c].mode is None else facts[c].mode for c in text_gaps}
     steps.append(Step("impute", fills))
     for name, value in fills.items():
         note("impute", name, "filled", facts[name].missing)
@@ -298,32 +297,22 @@ def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
             note("winsorize", name, "low", bounds[name][0])
             note("winsorize", name, "high", bounds[name][1])
 
-    frequent = _frequent_values(freq, words, 0 if n == 0 else n) if words else {}
     collapse = {}
     for name in words:
-        distinct = facts[name].distinct
-        common = dict(frequent[name])
-        if facts[name].missing and name in fills:
-            gained = facts[name].missing + common.get(fills[name], 0)
-            if fills[name] not in common:
-                gained += _frequency(freq, name, fills[name])
-            common.pop(fills[name], None)
-            if gained >= n * SETTINGS.rare_category_frac:
-                common[fills[name]] = gained
-        if distinct > 2 and common and len(common) < distinct:
+        fact, common = facts[name], dict(facts[name].frequent)
+        if name in fills:
+            filled_rows = fact.missing + fact.mode_count
+            if filled_rows >= n * SETTINGS.rare_category_frac:
+                common[fills[name]] = filled_rows
+        if fact.distinct > 2 and common and len(common) < fact.distinct:
             collapse[name] = sorted(common)
-            note("collapse_rare", name, "collapsed", distinct - len(common))
+            note("collapse_rare", name, "collapsed", fact.distinct - len(common))
     steps.append(Step("collapse_rare", collapse))
     note("summary", None, "columns_before", len(df.columns))
     note("summary", None, "columns_after", len(kept.columns))
     return CleanPlan(steps), rows(df.sparkSession, report, _REPORT_SCHEMA), base
 
 
-def _frequency(freq: DataFrame, name: str, value: str) -> int:
-    hit = freq.filter((F.col("column") == name) & (F.col("value") == value)).first()
-    return hit["n"] if hit else 0
-
-
 def _distinct_after_fill(df: DataFrame, name: str, fact: ColumnFacts, fills: dict) -> int:
     if name not in fills or fact.distinct != 4:
         return fact.distinct

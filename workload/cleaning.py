@@ -91,7 +91,7 @@ def drop_duplicates(t):
     for c in _TEXT + _OTHER
 )))
 def drop_sparse_and_constant(t):
-    n, facts, _ = clean.column_facts(t.messy_orders)
+    n, facts = clean.column_facts(t.messy_orders)
     dropped = clean.sparse_and_constant(n, facts)
     return t.spark.createDataFrame(list(dropped.items()), "column string, reason string")
 
@@ -153,6 +153,5 @@ def replay_three_steps(t):
        GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1"""
 )
 def mode_of_column(t):
-    _, _, freq = clean.column_facts(t.orders)
-    found = clean.modes(freq, ["o_orderpriority"])
-    return t.spark.createDataFrame(list(found.items()), "column string, mode string")
+    _, facts = clean.column_facts(t.orders.select("o_orderpriority"))
+    return t.spark.createDataFrame([(c, f.mode) for c, f in facts.items()], "column string, mode string")
