@@ -144,30 +144,65 @@ def _calendar(df: DataFrame, date: str, value: str, keys: list[str]) -> DataFram
 
 
 def interpolate_linear(
-    df: DataFrame, order: str, value: str, partition_by: list[str] | None = None
+    df: DataFrame,
+    order: str,
+    value: str,
+    partition_by: list[str] | None = None,
+    hot_group_rows: int | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """Fill NULLs of a calendar series on the line between their known neighbours, by position.
+    """Fill NULLs on the line between their known neighbours, by position in the order.
 
-    Values after the last known one repeat it; values before the first stay NULL.
+    Values after the last known one repeat it; values before the first stay
+    NULL.  Series beyond the size bound are cut into blocks that hand the known
+    values at their edges on to each other.
     """
-    keys = [col(k) for k in partition_by or []]
-    rising = Window.partitionBy(*keys).orderBy(col(order))
-    falling = Window.partitionBy(*keys).orderBy(col(order).desc())
-    # Both frames start at an end of the series, so each is one running pass.
-    past = rising.rowsBetween(Window.unboundedPreceding, 0)
-    future = falling.rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(col(value).isNotNull(), F.struct(F.col("_i").alias("i"), col(value).alias("v")))
-    placed = df.withColumn("_i", F.row_number().over(rising)).withColumn("_known", known)
-    around = placed.withColumns(
-        {
-            "_a": F.last("_known", ignorenulls=True).over(past),
-            "_b": F.last("_known", ignorenulls=True).over(future),
-        }
-    )
+    keys = partition_by or []
+    if largest_group(df, keys) <= (hot_group_rows or SETTINGS.hot_group_rows):
+        place = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order))
+        around = _known_neighbours(df.withColumn("_i", F.row_number().over(place)), keys, value)
+    else:
+        block = F.floor(F.col("_i") / (block_rows or SETTINGS.split_block_rows))
+        placed = with_positions(df, [*keys, order]).withColumnRenamed(POSITION, "_i").withColumn("_block", block)
+        around = _neighbours_across_blocks(_known_neighbours(placed, [*keys, "_block"], value), keys)
     a, b = F.col("_a"), F.col("_b")
     step = (b["v"] - a["v"]) * (F.col("_i") - a["i"]) / F.nullif(b["i"] - a["i"], F.lit(0))
     filled = F.coalesce(col(value), a["v"] + step, a["v"])
-    return around.withColumn(value, filled).drop("_i", "_known", "_a", "_b")
+    return around.withColumn(value, filled).select(*[col(c) for c in df.columns])
+
+
+def _known_neighbours(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_known`` and the nearest known (position, value) at or before, and at or after each row."""
+    group = [col(k) for k in keys]
+    # Both frames start at an end of the group, so each is one running pass.
+    past = Window.partitionBy(*group).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    future = Window.partitionBy(*group).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(col(value).isNotNull(), F.struct(F.col("_i").alias("i"), col(value).alias("v")))
+    return df.withColumn("_known", known).withColumns(
+        {"_a": F.last("_known", ignorenulls=True).over(past), "_b": F.last("_known", ignorenulls=True).over(future)}
+    )
+
+
+def _neighbours_across_blocks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Complete the neighbours of each block from the blocks before and after it."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = df.withColumns({n: col(k) for n, k in zip(names, keys)})
+    edges = keyed.groupBy(*names, "_block").agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
+    whole = Window.partitionBy(*names)  # one row per block of a series
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    handed = edges.select(
+        *[F.col(n).alias(f"{n}_") for n in names],
+        F.col("_block").alias("_block_"),
+        F.last("_last", ignorenulls=True).over(before).alias("_a_"),
+        F.last("_first", ignorenulls=True).over(after).alias("_b_"),
+    )
+    same = F.col("_block") == F.col("_block_")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    return keyed.join(handed, same).withColumns(
+        {"_a": F.coalesce("_a", "_a_"), "_b": F.coalesce("_b", "_b_")}
+    )
 
 
 def actuals_by_date(df: DataFrame, date: str, value: str) -> DataFrame:

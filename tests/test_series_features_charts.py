@@ -183,3 +183,18 @@ def test_rolling_average_split(spark):
     expected = plain.y.rolling(7, min_periods=1).mean()
     assert plain["rolling"].to_numpy() == pytest.approx(expected.to_numpy())
     assert split["rolling"].to_numpy() == pytest.approx(expected.to_numpy())
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_interpolation_across_blocks(spark, keys):
+    df = spark.range(400).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 5) END AS k",
+        "CASE WHEN hash(id) % 6 = 0 OR id BETWEEN 100 AND 103 THEN CAST(id * id % 101 AS DOUBLE) END AS v",
+    )
+    plain = timeseries.interpolate_linear(df, "id", "v", keys)
+    split = timeseries.interpolate_linear(df, "id", "v", keys, hot_group_rows=10, block_rows=7)
+    a, b = ({r["id"]: r["v"] for r in x.collect()} for x in (plain, split))
+    assert a == pytest.approx(b, nan_ok=True) and len(a) == 400
+    if not keys:
+        expected = df.toPandas().sort_values("id").v.interpolate()
+        assert [a[i] for i in range(400) if a[i] is not None] == pytest.approx(expected.dropna().tolist())
