@@ -89,10 +89,12 @@ def column_counts(df: DataFrame) -> DataFrame:
 def value_counts_summary(freq: DataFrame) -> DataFrame:
     """Per text column: casing variants, ordinal words, average length.
 
-    Group-bys on shrinking inputs: lower-cased values, then trimmed ones.
+    Group-bys on shrinking inputs: lower-cased values, then trimmed ones.  The
+    filter also looks at the count, so that it stays above the frequencies and
+    all summaries read the same shuffle.
     """
     lowered = (
-        freq.filter(F.col("value").isNotNull())
+        freq.filter(F.when(F.col("n") > 0, F.col("value")).isNotNull())
         .groupBy("column", F.lower("value").alias("value"))
         .agg(F.sum("n").alias("n"), F.sum(F.length("value") * F.col("n")).alias("chars"))
     )
@@ -108,7 +110,8 @@ def value_counts_summary(freq: DataFrame) -> DataFrame:
 
 
 def distinct_summary(freq: DataFrame) -> DataFrame:
-    return freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    """Distinct values per column; the counts are read for the sake of the shared shuffle."""
+    return freq.groupBy("column").agg(F.when(F.sum("n") > 0, F.count(F.lit(1))).alias("n_unique"))
 
 
 def sample_values(freq: DataFrame, n: int = _SAMPLES) -> DataFrame:
@@ -117,9 +120,10 @@ def sample_values(freq: DataFrame, n: int = _SAMPLES) -> DataFrame:
     smallest = Window.partitionBy("column").orderBy(*order)
     shown = F.coalesce(*[F.col(slot).cast("string") for slot in order])
     ranked = freq.withColumn("_place", F.row_number().over(smallest)).filter(F.col("_place") <= n)
+    listed = F.when(F.col("n") > 0, F.struct("_place", shown.alias("shown")))
     return (
         ranked.groupBy("column")
-        .agg(F.sort_array(F.collect_list(F.struct("_place", shown.alias("shown")))).alias("_r"))
+        .agg(F.sort_array(F.collect_list(listed)).alias("_r"))
         .select("column", F.col("_r.shown").alias("samples"))
     )
 
