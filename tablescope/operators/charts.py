@@ -148,8 +148,9 @@ def kde(df: DataFrame, column: str) -> DataFrame:
 
 
 def _group_freq(df: DataFrame, x: str | None, y: str) -> DataFrame:
+    """Rows per (x, y), stored once: cut points, range totals, running counts and fences all read it."""
     keys = [col(x).alias("x")] if x else []
-    return (
+    return materialize(
         df.filter(col(y).isNotNull())  # reaches the file scan
         .select(*keys, clean_number(y).alias("y"))
         .dropna()
