@@ -62,16 +62,19 @@ def _compressors(model: CompressionModel) -> list:
 
 
 def _features(text: memoryview, compress: list) -> tuple[float, float, float]:
-    """Size difference per byte, both sizes together per byte, log length."""
+    """Size difference over the size, size per byte of text, and the size per byte of the block that shrinks most."""
     n = len(text)
     if not n:
-        return 0.0, 1.0, 0.0
+        return 0.0, 1.0, 1.0
     good = bad = 0
+    least = 1.0
     for k in range(0, n, BLOCK_BYTES):
         block = text[k : k + BLOCK_BYTES]
-        good += len(compress[0](block))
-        bad += len(compress[1](block))
-    return (bad - good) / (bad + good), (bad + good) / (2 * n + 16), float(np.log1p(n))
+        a, b = len(compress[0](block)), len(compress[1](block))
+        good += a
+        bad += b
+        least = min(least, (a + b) / (2 * len(block) + 64))
+    return (bad - good) / (bad + good), (bad + good) / (2 * n + 64), least
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -116,7 +119,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, rows: int = SAMPLE_RO
     total = sum(sample.sizes.values())
     w = np.concatenate([np.full(len(rest[k]), sample.sizes[k] / total * len(y) / len(rest[k])) for k in (0, 1)])
     centre, scale = x.mean(0), x.std(0) + 1e-9
-    # log length only calibrates; it must not carry the score over lengths the sample never had
     z = _design(x, centre, scale)
     beta = _logistic(z, y, w)
     model.centre, model.scale, model.weights = tuple(centre), tuple(scale), tuple(beta)
@@ -124,8 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, rows: int = SAMPLE_RO
 
 
 def _design(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The size difference, and how well the text shrinks at all: text that repeats itself shrinks far too well."""
     z = np.clip((x - centre) / scale, -6, 6)
-    return np.column_stack([z[:, 0], z[:, 1]])
+    return np.column_stack([z, z[:, 1:] ** 2])
 
 
 def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
