@@ -26,9 +26,9 @@ from tablescope.llm.common import (
     word_hashes,
 )
 
-#: Labelled texts of each class that the weights are learned from (a documented bound), and shards they are cut into.
+#: Labelled texts of each class that the weights are learned from (a documented bound), and texts of one shard.
 SAMPLE_ROWS = 6000
-SHARDS = 4
+SHARD_ROWS = 6000
 THRESHOLD = 0.3
 
 
@@ -36,11 +36,11 @@ THRESHOLD = 0.3
 class Rates:
     """FTRL-proximal settings: learning rate, its damping, L1, L2, passes over the shard, bits of the hash space."""
 
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
-    passes: int = 3
+    l1: float = 6.0
+    l2: float = 0.1
+    passes: int = 4
     bits: int = 22
 
 
@@ -88,7 +88,7 @@ def _learn(texts: list[str], labels: np.ndarray, rates: Rates) -> tuple[np.ndarr
     rows = []
     for text in texts:
         _, code = hashed_features(pa.array([text], pa.string()), rates.bits)
-        rows.append(np.append(np.unique(code), constant))
+        rows.append(np.append(np.unique(code), constant).astype(np.int32))
 
     def weights(at: np.ndarray) -> np.ndarray:
         l1 = np.where(at == constant, 0.0, rates.l1)
@@ -115,8 +115,8 @@ def fit(
     """Learn from at most ``rows`` labelled texts per class.
 
     ``held_out`` is a condition on ``doc_id`` that keeps rows from being learned; by default crc32 of the id, modulo
-    4, is 2. Rows with null or other labels are not used. A shard holds at most ``2 * rows`` texts, ``SHARDS`` share
-    them; the class sizes behind the sample correct the constant.
+    4, is 2. Rows with null or other labels are not used. Shards of about ``SHARD_ROWS`` texts learn apart; the class
+    sizes behind the sample correct the constant.
     """
     ship_by_value()
     rates = rates or Rates()
@@ -133,16 +133,17 @@ def fit(
         return pd.DataFrame({"at": np.append(at, [-1, -2]), "weight": np.append(weight, [bias, odds])})
 
     place = F.xxhash64("doc_id", F.lit(23))
+    shards = max(1, round(sum(min(n, rows) for n in sample.sizes.values()) / SHARD_ROWS))
     learned = (
-        sample.docs.select("text", "label", place.alias("place"), F.pmod(place, F.lit(SHARDS)).alias("shard"))
+        sample.docs.select("text", "label", place.alias("place"), F.pmod(place, F.lit(shards)).alias("shard"))
         .groupBy("shard")
         .applyInPandas(shard, "at long, weight double")
     )
     got = learned.groupBy("at").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).toPandas()
     if not len(got):
         return ToxicityModel(constant=sample.prior, bits=rates.bits)
-    shards = int(got.loc[got["at"] == -1, "n"].iloc[0])
-    mean = dict(zip(got["at"], got["weight"] / shards, strict=True))
+    learners = int(got.loc[got["at"] == -1, "n"].iloc[0])
+    mean = dict(zip(got["at"], got["weight"] / learners, strict=True))
     bias, odds = mean.pop(-1), mean.pop(-2)
     bias += np.log(sample.sizes[1] / sample.sizes[0]) - odds
     index = np.array(sorted(mean), np.int64)
