@@ -8,12 +8,16 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces kept per task; beyond this the memory starts anew.
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 700_000
 
 # a run of marks with the space before it, or white space but its last character, or that character
 _BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Python's \s and the tokenizer's differ in these characters
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+# marks that begin a token of their own behind a letter or digit
+_TAIL = ".,;:!?|#*%$&"
+#: Pieces that are encoded as the lines of one string.
+_LINES = 500
 
 
 class PieceEncoder:
@@ -30,27 +34,60 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.memory = memory
         self.known: dict[str, bytes] = {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, special)]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces - self.known.keys())
-        if len(self.known) + len(new) > self.memory:
+        """Encode new pieces: those with marks as lines, since a line end before and behind them is an id of its own.
+
+        A word with stops behind it is the ids of the word and those of the stops.
+        """
+        if len(self.known) + len(pieces) > self.memory:
             self.known.clear()
-            new = sorted(pieces)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in made), strict=True))
+        self.known.update((p, self.whole(p)) for p in pieces if p.isspace())
+        tailed = {}
+        new = set()
+        for p in pieces:
+            base = p.rstrip(_TAIL)
+            if len(base) < len(p) and base and base[-1].isalnum():
+                tailed[p] = base
+                new.add(p[len(base) :])
+            else:
+                base = p
+            if not base.isspace():
+                new.add(base)
+        marks = sorted(new - self.known.keys())
+        groups = [marks[k : k + _LINES] for k in range(0, len(marks), _LINES)]
+        for k in range(0, len(groups), 16):
+            lines = ["\n".join(g) + "\n" for g in groups[k : k + 16]]
+            for group, made in zip(
+                groups[k : k + 16], self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True
+            ):
+                ids = np.array(made.ids, "<u4")
+                ends = (np.flatnonzero(ids == self.line_end) * 4).tolist()
+                raw = ids.tobytes()
+                starts = [0, *(e + 4 for e in ends[:-1])]
+                self.known.update(zip(group, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        self.known.update((p, self.known[base] + self.known[p[len(base) :]]) for p, base in tailed.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [None if self.odd.search(t) else _BYTE_PIECES.findall(t) for t in texts]
-        self.learn(set().union(*(c for c in cut if c is not None)))
-        known = self.known
-        return [
-            self.whole(t) if c is None else b"".join([known[p] for p in c]) for t, c in zip(texts, cut, strict=True)
+        cut = [
+            None if _ODD_SPACE.search(t) or any(s in t for s in self.special) else _BYTE_PIECES.findall(t) for t in texts
         ]
+        found = [None if c is None else list(map(self.known.get, c)) for c in cut]
+        new = {p for c, f in zip(cut, found, strict=True) if c and None in f for p, i in zip(c, f, strict=True) if i is None}
+        if new:
+            self.learn(new)
+        out = []
+        for text, c, f in zip(texts, cut, found, strict=True):
+            if c is None:
+                out.append(self.whole(text))
+            else:
+                if None in f:  # what was known may have been forgotten meanwhile, but `f` holds it
+                    f = [i if i is not None else self.known[p] for p, i in zip(c, f, strict=True)]
+                out.append(b"".join(f))
+        return out
