@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import language, packing, quality, simhash, toxicity
+from tablescope.llm import language, packing, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op7_language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
 
+@_query
+def op9_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digest(_table(spark, folder, "documents"))
+
+
 @_query
 def op10_toxicity_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))

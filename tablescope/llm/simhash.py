@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(smallest, "root").select("bits", "component_id")
     found = nodes.join(linked, "bits", "left").select("bits", F.coalesce("component_id", "least").alias("component_id"))
+    found = materialize(found)  # then both sides of the last join are plain shuffles, and a hot fingerprint can be split
     return prints.join(found, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
