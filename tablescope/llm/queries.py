@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import language, packing, quality, simhash, substrings, toxicity
+from tablescope.llm import exact_search, language, packing, phrases, quality, reuse, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,11 +42,43 @@ def op3_quality_compression(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@_query
+def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_search.search(_table(spark, folder, "embeddings"))
+
+
+ORACLES["op4_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""
+
+
+@_query
+def op5_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.fingerprints(_table(spark, folder, "documents"))
+
+
 @_query
 def op7_language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
 
+@_query
+def op8_chunk_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    return reuse.encoded(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 @_query
 def op9_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digest(_table(spark, folder, "documents"))
