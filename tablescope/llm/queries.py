@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import exact_search, language, packing, phrases, quality, reuse, simhash, substrings, toxicity
+from tablescope.llm import (
+    exact_search,
+    language,
+    packing,
+    phrases,
+    quality,
+    reuse,
+    simhash,
+    substrings,
+    toxicity,
+    wrapper,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +80,11 @@ def op5_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.fingerprints(_table(spark, folder, "documents"))
 
 
+@_query
+def op6_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.extract(_table(spark, folder, "pages"))
+
+
 @_query
 def op7_language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
