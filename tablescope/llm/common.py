@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.plans.shipping import ship_by_value
 from tablescope.plans.storage import materialize
@@ -20,8 +21,10 @@ __all__ = [
     "materialize",
     "mix",
     "ship_by_value",
+    "text_key",
     "text_slices",
     "utf8",
+    "with_column",
     "word_bounds",
     "word_hashes",
 ]
@@ -98,11 +101,37 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(raw ^ mix((ends - starts).astype(np.uint64) + np.uint64(seed)))
 
 
+def text_key() -> list[Column]:
+    """Two 64-bit hashes of the text; null counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("ref"), F.xxhash64(F.lit(1), text).alias("ref2")]
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def with_column(docs: DataFrame, name: str, values) -> DataFrame:
+    """``docs`` and a double column that ``values`` makes of each batch's texts.
+
+    ``values()`` is called once per task and returns a function from a text array to numbers.
+    """
+    ship_by_value()
+    kind = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = values()
+        for batch in batches:
+            for part in text_slices(batch.rename_columns([f"c{k}" for k in range(batch.num_columns)]), f"c{text}"):
+                column = pa.array(made(part.column(text)), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, column], [*docs_names, name])
+
+    docs_names = list(docs.columns)
+    return docs.mapInArrow(run, kind)
+
+
 class LabelledSample:
     """At most ``rows`` labelled documents per class, drawn by a hash of the id, with the class sizes behind them."""
 

@@ -6,7 +6,6 @@ small when both dictionaries help alike, is turned into a probability by a logis
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import crc_remainder, labelled_sample, ship_by_value, utf8
+from tablescope.llm.common import crc_remainder, labelled_sample, utf8, with_column
 
 #: Labelled texts of each class that dictionaries and curve are fitted on (a documented bound).
 SAMPLE_ROWS = 4000
@@ -131,27 +130,25 @@ def _design(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.column_stack([z, z[:, 1:] ** 2])
 
 
-def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """``doc_id, score``: the probability that a text is good, for every row (null text: empty text)."""
-    ship_by_value()
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def with_score(docs: DataFrame, model: CompressionModel, name: str = "score") -> DataFrame:
+    """``docs`` and the probability that its ``text`` is good (null: as the empty text)."""
+
+    def values():
+        if model.constant is not None:
+            return lambda texts: np.full(len(texts), model.constant)
+        compress = _compressors(model)
+        centre, scale, beta = (np.array(x) for x in (model.centre, model.scale, model.weights))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = _compressors(model) if model.constant is None else None
-        for batch in batches:
-            if compress is None:
-                p = np.full(batch.num_rows, model.constant)
-            else:
-                data, places = utf8(batch.column("text"))
-                view = memoryview(np.ascontiguousarray(data))
-                x = np.array([_features(view[a:b], compress) for a, b in zip(places[:-1], places[1:], strict=True)])
-                z = _design(x.reshape(-1, 3), np.array(model.centre), np.array(model.scale))
-                beta = np.array(model.weights)
-                p = 1 / (1 + np.exp(-np.clip(z @ beta[:-1] + beta[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
+        def of(texts: pa.Array) -> np.ndarray:
+            data, places = utf8(texts)
+            view = memoryview(np.ascontiguousarray(data))
+            x = np.array([_features(view[a:b], compress) for a, b in zip(places[:-1], places[1:], strict=True)])
+            z = _design(x.reshape(-1, 3), centre, scale)
+            return 1 / (1 + np.exp(-np.clip(z @ beta[:-1] + beta[-1], -30, 30)))
 
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, score double")
+        return of
+
+    return with_column(docs, name, values)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -160,7 +157,8 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresh
     Empty and null texts get the score of an empty text; repeated rows get equal scores; without labelled texts of
     both classes every score is the share of label 1 (a half without any label).
     """
-    out = score(docs, fit(docs, labels, rows=rows))
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = with_score(chosen, fit(docs, labels, rows=rows))
     return out.select(
         "doc_id",
         (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"),

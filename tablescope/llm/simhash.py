@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import materialize, mix, ship_by_value, utf8
+from tablescope.llm.common import materialize, mix, ship_by_value, text_key, utf8
 from tablescope.llm.components import connected
 
 WORDS = 4
@@ -55,21 +55,20 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, bits``: the fingerprint as a signed 64-bit number; a null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, bits``: the fingerprint as a signed 64-bit number; a null text counts as empty."""
     ship_by_value()
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    chosen = docs.select(*keys, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{k} {chosen.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, places = utf8(batch.column("text"))
             view = data.tobytes()
-            got = np.array(
-                [fingerprint(view[a:b], words) for a, b in itertools.pairwise(places.tolist())], np.uint64
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "bits"])
+            got = np.array([fingerprint(view[a:b], words) for a, b in itertools.pairwise(places.tolist())], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got.view(np.int64))], [*keys, "bits"])
 
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, bits long")
+    return chosen.mapInArrow(run, f"{kinds}, bits long")
 
 
 def block_masks(n: int, bits: int = BITS) -> list[int]:
@@ -195,6 +194,21 @@ def links(distinct: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFram
     return rows.mapInArrow(run, "a long, b long")
 
 
+def groups(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """``bits, root, component_id`` of every different fingerprint of a table with ``doc_id, bits``: a fingerprint that
+    stands for its group, and the group's smallest ``doc_id``."""
+    nodes = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
+    roots = materialize(connected(links(nodes.select("bits"), bits)))
+    linked = nodes.join(roots, F.col("bits") == F.col("vertex")).select("bits", "least", "root")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = linked.join(smallest, "root").select("bits", "root", "component_id")
+    found = nodes.join(linked, "bits", "left").select(
+        "bits", F.coalesce("root", "bits").alias("root"), F.coalesce("component_id", "least").alias("component_id")
+    )
+    # stored, so that both sides of a later join are plain shuffles and a hot fingerprint can be split
+    return materialize(found)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -204,13 +218,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     smallest unless a component has no other.
     """
     prints = materialize(fingerprints(docs, words))
-    nodes = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    roots = materialize(connected(links(nodes.select("bits"), bits)))
-    linked = nodes.join(roots, F.col("bits") == F.col("vertex")).select("bits", "least", "root")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(smallest, "root").select("bits", "component_id")
-    found = nodes.join(linked, "bits", "left").select("bits", F.coalesce("component_id", "least").alias("component_id"))
-    found = materialize(found)  # then both sides of the last join are plain shuffles, and a hot fingerprint can be split
-    return prints.join(found, "bits").select(
+    return prints.join(groups(prints, bits), "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` with one document of each group: the smallest ``doc_id`` (null last), and one row of it."""
+    key = {"doc_id": F.col("doc_id")} | dict(zip(("_ref", "_ref2"), text_key(), strict=True))
+    prints = materialize(
+        fingerprints(docs.select(*[c.alias(k) for k, c in key.items()], "text"), words, tuple(key))
+    )
+    found = groups(prints, bits).select("bits", "root")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), *key)
+    kept = prints.join(found, "bits").groupBy("root").agg(F.min(first).alias("first")).select("first.*")
+    keyed = docs.withColumns({k: c for k, c in key.items() if k != "doc_id"})
+    same = [keyed[k].eqNullSafe(kept[k]) for k in key]
+    stays = keyed.join(kept, same[0] & same[1] & same[2], "left_semi")
+    # rows that are equal in id and text are one document
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    return stays.withColumn("_number", number).where(F.col("_number") == 1).select(*docs.columns)

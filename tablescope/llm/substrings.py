@@ -18,10 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import materialize, mix, ship_by_value, text_slices, utf8, word_bounds, word_hashes
+from tablescope.llm.common import (
+    materialize,
+    mix,
+    ship_by_value,
+    text_key,
+    text_slices,
+    utf8,
+    word_bounds,
+    word_hashes,
+)
 from tablescope.llm.recompression import Ranges, window_symbols
 
 WIDTH = 35
@@ -32,12 +41,6 @@ COMBINED_ROWS = 1 << 20
 _REPEATED, _UNSURE, _WITNESS = 2, 1, 3  # a unit that repeats; one to compare by window; one that repeats and is compared with
 
 
-def text_key() -> list[Column]:
-    """Two 64-bit hashes of the text; null counts as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.xxhash64(text).alias("ref"), F.xxhash64(F.lit(1), text).alias("ref2")]
-
-
 class _Words:
     """Words, windows and units of a slice of texts."""
 

@@ -6,7 +6,6 @@ are averaged (parameter mixing). L1 leaves a few thousand weights, which are bro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,8 +19,8 @@ from tablescope.llm.common import (
     labelled_sample,
     mix,
     ship_by_value,
-    text_slices,
     utf8,
+    with_column,
     word_bounds,
     word_hashes,
 )
@@ -150,30 +149,26 @@ def fit(
     return ToxicityModel(index, np.array([mean[k] for k in index], np.float32), float(bias), rates.bits)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``doc_id, score``: the probability that a text is toxic, for every row (null text: empty text)."""
-    ship_by_value()
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def with_score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """``docs`` and the probability that its ``text`` is toxic (null: as the empty text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values():
+        if model.constant is not None:
+            return lambda texts: np.full(len(texts), model.constant)
         dense = np.zeros(1 << model.bits, np.float32)
         dense[model.index] = model.weight
-        for batch in batches:
-            for part in text_slices(batch):
-                if model.constant is not None:
-                    p = np.full(part.num_rows, model.constant)
-                else:
-                    row, code = hashed_features(part.column("text"), model.bits)
-                    weight = dense[code]
-                    counts = weight != 0
-                    seen = np.unique((row[counts] << model.bits) | code[counts])
-                    at = seen >> model.bits
-                    margin = np.bincount(at, dense[seen & ((1 << model.bits) - 1)], minlength=part.num_rows)
-                    p = 1 / (1 + np.exp(-np.clip(margin + model.bias, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
-
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, score double")
+
+        def of(texts: pa.Array) -> np.ndarray:
+            row, code = hashed_features(texts, model.bits)
+            counts = dense[code] != 0
+            seen = np.unique((row[counts] << model.bits) | code[counts])  # a feature counts once per text
+            weight = dense[seen & ((1 << model.bits) - 1)]
+            margin = np.bincount(seen >> model.bits, weight, minlength=len(texts))
+            return 1 / (1 + np.exp(-np.clip(margin + model.bias, -30, 30)))
+
+        return of
+
+    return with_column(docs, name, values)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,7 +177,8 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresh
     Empty and null texts get the score of the constant alone; repeated rows get equal scores; without labelled texts
     of both classes every score is the share of label 1 (a half without any label).
     """
-    out = score(docs, fit(docs, labels, rows=rows))
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = with_score(chosen, fit(docs, labels, rows=rows))
     return out.select(
         "doc_id",
         (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
