@@ -8,12 +8,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from tablescope.plans.storage import drop_stored  # noqa: E402
 from workload import QUERIES  # noqa: E402
 
 HEADLINE = (os.environ.get("BENCH_QUERIES") or "").split() or [
@@ -41,6 +43,10 @@ HEADLINE = (os.environ.get("BENCH_QUERIES") or "").split() or [
     "isolation_forest",
     "pca_loadings",
     "kmeans",
+    "detect_anomalies",
+    "spearman_matrix",
+    "violin",
+    "full_report",
 ]
 
 
@@ -55,6 +61,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tablescope-')}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -76,6 +83,7 @@ def main() -> None:
             }
         )
     )
+    drop_stored(spark)
     spark.stop()
 
 

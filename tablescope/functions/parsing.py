@@ -31,6 +31,28 @@ DATE_LAYOUTS = [
     "MMM d, yyyy",
     "d MMMM yyyy",
     "d MMM yyyy",
+    "yyyy-M-d H:m",
+    "yyyy-M-d'T'H:m",
+    "yyyy-M-d H:m:s.SSSSSSSSS",
+    "yyyy-M-d'T'H:m:s.SSSSSSSSS",
+    "yyyy-M-d'T'H:mXXX",
+    "yyyy-M-d'T'H:m:sXXX",
+    "yyyy-M-d'T'H:m:s.SSSSSSSSSXXX",
+    "yyyy-M-d H:m:sXXX",
+    "yyyy/M/d H:m:s",
+    "M/d/yyyy H:m",
+    "M/d/yyyy h:m a",
+    "M/d/yyyy h:m:s a",
+    "M/d/yy",
+    "d.M.yyyy",
+    "d.M.yyyy H:m",
+    "d.M.yyyy H:m:s",
+    "MMMM d yyyy",
+    "MMM d yyyy",
+    "d-MMMM-yyyy",
+    "d-MMM-yyyy",
+    "yyyy-MM",
+    "yyyyMMdd",
 ]
 DATE_NAME_HINT = r"(?i)date|time|dt|timestamp|year|month|day"
 
@@ -50,7 +72,8 @@ def parse_number(text: Column) -> Column:
 
 
 _FIELD_SHAPES = {
-    "yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "SSSSSS": r"\d{6}",
+    "yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "SSSSSS": r"\d{6}", "SSSSSSSSS": r"\d{1,9}",
+    "XXX": r"(Z|[+-]\d{2}:\d{2})", "yy": r"\d{2}", "MM": r"\d{2}", "dd": r"\d{2}", "h": r"\d{1,2}", "a": r"[AaPp][Mm]",
     "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}",
 }
 
@@ -68,6 +91,8 @@ def layout_shape(layout: str) -> str:
 def parse_timestamp(text: Column, layouts: list[str] | None = None) -> Column:
     """Timestamp (without zone) read with the first layout that fits; month-first wins over day-first.
 
+    A text with an offset gives the time on the session's clock.  Two-digit years lie in 2000 to 2099.
+
     A failed parse costs the JVM an exception, so a layout is only tried on
     texts of its shape.
     """

@@ -1,7 +1,7 @@
 """The data behind each chart as a DataFrame; drawing is left to the reader's tool.
 
-Aggregates use all rows.  Only charts that show single points draw a fixed
-number of rows (``sample_rows``), which is the chart's own limit.
+All rows are used.  Charts of single points take an argument ``n`` that draws
+that many rows instead (``sample_rows``).
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from tablescope.functions.columns import (
     datetime_cols,
     numeric_cols,
     pearson,
+    present,
     require_columns,
     require_numeric,
     rows,
@@ -253,9 +254,14 @@ def _points(df: DataFrame, needed: list[str], optional: str | None = None) -> Da
     return df.select(*[col(c) for c in names]).dropna(subset=[n for n in needed])
 
 
+def _drawn(points: DataFrame, n: int | None) -> DataFrame:
+    """All points, or ``n`` of them."""
+    return points if n is None else sample_rows(points, n)
+
+
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None, n: int | None = None) -> DataFrame:
-    """At most 20 000 points; ``trend_lines`` gives the line of all rows."""
-    return sample_rows(_points(df, [x, y], color), n)
+    """One point per row; ``trend_lines`` gives the line through them."""
+    return _drawn(_points(df, [x, y], color), n)
 
 
 def trend_lines(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -275,7 +281,7 @@ def trend_lines(df: DataFrame, x: str, y: str, color: str | None = None) -> Data
 
 
 def bubble(df: DataFrame, x: str, y: str, size: str, color: str | None = None, n: int | None = None) -> DataFrame:
-    return sample_rows(_points(df, [x, y, size], color), n)
+    return _drawn(_points(df, [x, y, size], color), n)
 
 
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
@@ -294,13 +300,13 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
 
 
 def pair_points(df: DataFrame, columns: list[str], color: str | None = None, n: int | None = None) -> DataFrame:
-    """Points of a scatter matrix of at most five columns."""
-    return sample_rows(_points(df, columns[:5], color), n)
+    """Points of a scatter matrix."""
+    return _drawn(_points(df, columns, color), n)
 
 
 def pair_matrix(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
-    """(a, b, a_bin, b_bin, n): the 2-d density of every pair of at most five columns, in one scan."""
-    names = columns[:5]
+    """(a, b, a_bin, b_bin, n): the 2-d density of every pair of columns, in one scan."""
+    names = columns
     for name in names:
         require_numeric(df, name)
     spans = dict(zip(names, _range_of(df, *names)))
@@ -330,18 +336,18 @@ def correlation_heatmap(df: DataFrame, columns: list[str] | None = None) -> Data
 def parallel_coordinates(
     df: DataFrame, columns: list[str], color: str | None = None, n: int | None = None
 ) -> DataFrame:
-    return sample_rows(_points(df, columns, color), n)
+    return _drawn(_points(df, columns, color), n)
 
 
-def radar(df: DataFrame, category: str, values: list[str]) -> DataFrame:
-    """Means per category, the first six categories in their own order."""
-    return (
+def radar(df: DataFrame, category: str, values: list[str], top: int | None = None) -> DataFrame:
+    """Means per category, in the categories' own order; ``top`` keeps the first ones only."""
+    means = (
         df.filter(col(category).isNotNull())
         .groupBy(col(category).alias("category"))
         .agg(*[F.avg(clean_number(v)).alias(v) for v in values])
         .orderBy("category")
-        .limit(6)
     )
+    return means if top is None else means.limit(top)
 
 
 # --- categories ------------------------------------------------------------------
@@ -420,10 +426,9 @@ def hierarchy(df: DataFrame, path: list[str], values: str) -> DataFrame:
 
 
 def line(df: DataFrame, x: str, y: str, color: str | None = None, n: int | None = None) -> DataFrame:
-    """Points in x order; more than 5000 are thinned out with a fixed seed."""
+    """Points in x order."""
     needed = [x, y, *([color] if color else [])]
-    kept = sample_rows(_points(df, needed), SETTINGS.line_sample_rows if n is None else n)
-    return kept.orderBy(col(x))
+    return _drawn(_points(df, needed), n).orderBy(col(x))
 
 
 def line_means(df: DataFrame, x: str, y: str, unit: str = "day", color: str | None = None) -> DataFrame:
@@ -485,7 +490,7 @@ def missing_map(df: DataFrame, order_by: str, buckets: int = 50) -> DataFrame:
     counted = (
         df.withColumn("_bucket", _bin(place, span["a"], span["b"], buckets))
         .groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(names)])
+        .agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(names)])
     )
     entries = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(names)]
     return counted.select(F.col("_bucket").alias("bucket"), "n_rows", F.inline(F.array(*entries))).select(
@@ -497,92 +502,113 @@ def missing_map(df: DataFrame, order_by: str, buckets: int = 50) -> DataFrame:
 
 _PLAN_SCHEMA = "ord int, title string, kind string, x string, y string, color string"
 _MAX_CHART_LEVELS = 30
+_MANY = 10**9
+
+# One line per chart: kind, the numbers, groups and dates it takes (``narrow`` is the group of fewest levels), title.
+# A chart is drawn when the table has all that its slots name; ``*`` in front of a slot marks one that may be absent.
+_CHART_RULES = [
+    ("bar", "narrow", "number1", "", "{y} by {x}"),
+    ("count", "narrow", "", "", "Rows per {x}"),
+    ("line", "date1", "number1", "", "{y} along {x}"),
+    ("scatter", "number1", "number2", "*group1", "{x} against {y}"),
+    ("histogram", "number1", "", "", "Values of {x}"),
+    ("heatmap", "number3", "", "", "Correlations"),
+    ("box", "group1", "number2", "", "{y} by {x}"),
+    ("missing", "holes", "", "", "Missing values"),
+]
+_WHOLE_TABLE = {"heatmap", "missing"}
+
+
+def _slots(df: DataFrame) -> dict[str, str]:
+    """Names that the rules refer to, for those that the table has."""
+    levels = few_valued(df, categorical_cols(df), _MAX_CHART_LEVELS)
+    sizes = {c: len(levels[c].keys() - {None}) for c in categorical_cols(df) if c in levels}
+    groups = [c for c, n in sizes.items() if n >= 2]
+    lists = {"number": numeric_cols(df), "group": groups, "date": datetime_cols(df)}
+    found = {f"{kind}{i}": c for kind, names in lists.items() for i, c in enumerate(names, 1)}
+    if groups:
+        found["narrow"] = min(groups, key=lambda c: sizes.get(c, _MANY))
+    empty = df.agg(*[F.count_if(present(df, c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    if any(empty):
+        found["holes"] = "table"
+    return found
 
 
-def auto_charts(df: DataFrame, limit: int = 8) -> DataFrame:
-    """The charts worth drawing, in order; empty without a numeric column."""
-    numbers = numeric_cols(df)
-    if not numbers:
-        return rows(df.sparkSession, [], _PLAN_SCHEMA)
-    levels = {
-        c: len(v.keys() - {None}) for c, v in few_valued(df, categorical_cols(df), _MAX_CHART_LEVELS).items()
-    }
-    groups = [c for c in categorical_cols(df) if levels.get(c, 0) >= 2]
-    dates = datetime_cols(df)
-    first, second = numbers[0], numbers[1] if len(numbers) > 1 else None
+def auto_charts(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """The charts worth drawing, in the order of the rules; empty without a numeric column."""
     plan: list[tuple] = []
-    if groups:
-        narrow = min(groups, key=levels.__getitem__)
-        plan.append((f"{first} by {narrow}", "bar", narrow, first, None))
-        plan.append((f"Rows per {narrow}", "count", narrow, None, None))
-    if dates:
-        plan.append((f"{first} along {dates[0]}", "line", dates[0], first, None))
-    if second:
-        plan.append((f"{first} against {second}", "scatter", first, second, groups[0] if groups else None))
-    plan.append((f"Values of {first}", "histogram", first, None, None))
-    if len(numbers) >= 3:
-        plan.append(("Correlations", "heatmap", None, None, None))
-    if groups and second:
-        plan.append((f"{second} by {groups[0]}", "box", groups[0], second, None))
-    holes = df.agg(sum((F.count_if(col(c).isNull()) for c in df.columns), F.lit(0)).alias("n")).first()["n"]
-    if holes:
-        plan.append(("Missing values", "missing", None, None, None))
-    return rows(df.sparkSession, [(i + 1, *p) for i, p in enumerate(plan[:limit])], _PLAN_SCHEMA)
+    if numeric_cols(df):
+        found = _slots(df)
+        for kind, x, y, color, title in _CHART_RULES:
+            if all(slot in found for slot in (x, y) if slot):
+                at = {"x": found.get(x), "y": found.get(y)}
+                shown = (None, None) if kind in _WHOLE_TABLE else (at["x"], at["y"])
+                plan.append((len(plan) + 1, title.format(**at), kind, *shown, found.get(color.lstrip("*"))))
+    return rows(df.sparkSession, plan[:limit], _PLAN_SCHEMA)
 
 
 _INSIGHT_SCHEMA = "kind string, subject string, metric string, value double, label string, message string"
 
 
+def _histogram_facts(df: DataFrame, x: str, y: str | None) -> tuple[str, dict]:
+    v = clean_number(x)
+    f = df.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.skewness(v).alias("s"))
+    f = f.first().asDict()
+    f["skew"] = corrected_skew(f.pop("s"), f["n"]) or 0.0
+    f["shape"] = "symmetric" if abs(f["skew"]) <= 0.5 else f"{'right' if f['skew'] > 0 else 'left'}-skewed"
+    return x, f if f["n"] else {}
+
+
+def _bar_facts(df: DataFrame, x: str, y: str | None) -> tuple[str, dict]:
+    known = df.select(col(x).cast("string").alias("x"), clean_number(y).alias("y")).where("x IS NOT NULL")
+    means = known.groupBy("x").agg(F.avg("y").alias("v"))
+    f = means.where("v IS NOT NULL").agg(F.max(F.struct("v", "x")).alias("a"), F.min(F.struct("v", "x")).alias("b")).first()
+    if f["a"] is None:
+        return y, {}
+    return y, {"leader": f["a"]["v"], "gap": f["a"]["v"] - f["b"]["v"], "first": f["a"]["x"], "last": f["b"]["x"]}
+
+
+def _scatter_facts(df: DataFrame, x: str, y: str | None) -> tuple[str, dict]:
+    f = df.agg(pearson(clean_number(x), clean_number(y)).alias("r"), F.regr_count(clean_number(x), clean_number(y)).alias("n")).first()
+    if f["r"] is None or f["n"] < 5:
+        return f"{x}, {y}", {}
+    sign = "positive" if f["r"] > 0 else "negative"
+    return f"{x}, {y}", {"r": f["r"], "relation": f"{strength_of(f['r'])} {sign}"}
+
+
+def _missing_facts(df: DataFrame, x: str | None, y: str | None) -> tuple[str, dict]:
+    f = df.agg(F.count(F.lit(1)), *[F.count_if(present(df, c).isNull()) for c in df.columns]).first()
+    cells = f[0] * len(df.columns)
+    return "table", {"missing_pct": round(100.0 * sum(f[1:]) / cells, 1) if cells else 0.0}
+
+
+# Per kind of chart: its facts, the rows made of them as (metric, fact that labels it), and the sentence.
+_READINGS = {
+    "histogram": (
+        _histogram_facts,
+        [("min", None), ("max", None), ("mean", None), ("skew", "shape")],
+        "{subject}: {shape} (skew {skew:.2f}), mean {mean:.2f}, between {min:.2f} and {max:.2f}",
+    ),
+    "bar": (
+        _bar_facts,
+        [("leader", "first"), ("gap", "last")],
+        "{first} leads in {subject} with {leader:.2f} on average; {last} is {gap:.2f} lower",
+    ),
+    "scatter": (_scatter_facts, [("r", "relation")], "{subject}: {relation}, correlation {r:.2f}"),
+    "missing": (_missing_facts, [("missing_pct", None)], "cells without a value: {missing_pct}%"),
+}
+
+
 def chart_insight(df: DataFrame, kind: str, x: str | None = None, y: str | None = None) -> DataFrame:
     """What a chart shows, as rows (kind, subject, metric, value, label, message)."""
-    found: list[tuple] = []
-    if kind == "histogram":
-        value = clean_number(x)
-        r = df.agg(
-            F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
-            F.avg(value).alias("mean"), F.skewness(value).alias("skew"),
-        ).first()
-        if r["n"]:
-            skew = corrected_skew(r["skew"], r["n"]) or 0.0
-            label = "right-skewed" if skew > 0.5 else "left-skewed" if skew < -0.5 else "symmetric"
-            text = f"{x} runs from {r['low']:.2f} to {r['high']:.2f} around {r['mean']:.2f}; it is {label} ({skew:.2f})"
-            found = [
-                (kind, x, "min", r["low"], None, text),
-                (kind, x, "max", r["high"], None, text),
-                (kind, x, "mean", r["mean"], None, text),
-                (kind, x, "skew", skew, label, text),
-            ]
-    elif kind == "bar":
-        means = (
-            df.filter(col(x).isNotNull())
-            .groupBy(col(x).cast("string").alias("x"))
-            .agg(F.avg(clean_number(y)).alias("v"))
-            .filter("v IS NOT NULL")
-        )
-        r = means.agg(
-            F.max(F.struct("v", "x")).alias("top"), F.min(F.struct("v", "x")).alias("bottom")
-        ).first()
-        if r["top"] is not None:
-            top, bottom = r["top"], r["bottom"]
-            gap = top["v"] - bottom["v"]
-            text = f"{top['x']} has the highest mean {y} ({top['v']:.2f}), {gap:.2f} above {bottom['x']}"
-            found = [
-                (kind, y, "leader", top["v"], top["x"], text),
-                (kind, y, "gap", gap, bottom["x"], text),
-            ]
-    elif kind == "scatter":
-        a, b = clean_number(x), clean_number(y)
-        r = df.agg(pearson(a, b).alias("r"), F.regr_count(a, b).alias("n")).first()
-        if r["n"] >= 5 and r["r"] is not None:
-            label = f"{strength_of(r['r'])} {'positive' if r['r'] > 0 else 'negative'}"
-            found = [(kind, f"{x}, {y}", "r", r["r"], label, f"{x} and {y}: {label} relation (r = {r['r']:.2f})")]
-    elif kind == "missing":
-        empty = sum((F.count_if(col(c).isNull()) for c in df.columns), F.lit(0))
-        r = df.agg(empty.alias("m"), (F.count(F.lit(1)) * len(df.columns)).alias("cells")).first()
-        share = round(100.0 * r["m"] / r["cells"], 1) if r["cells"] else 0.0
-        found = [(kind, "table", "missing_pct", share, None, f"{share}% of all cells hold no value")]
-    if not found:
-        found = [(kind, x, None, None, None, "Nothing to report for this chart")]
+    subject, facts, lines, text = x, {}, [], ""
+    if kind in _READINGS:
+        gather, lines, text = _READINGS[kind]
+        subject, facts = gather(df, x, y)
+    if not facts:
+        return rows(df.sparkSession, [(kind, x, None, None, None, "no finding")], _INSIGHT_SCHEMA)
+    message = text.format(subject=subject, **facts)
+    found = [(kind, subject, metric, float(facts[metric]), facts.get(label), message) for metric, label in lines]
     return rows(df.sparkSession, found, _INSIGHT_SCHEMA)
 
 
@@ -590,17 +616,17 @@ def chart_insight(df: DataFrame, kind: str, x: str | None = None, y: str | None
 
 
 def pca_points(scores: DataFrame, color: str | None = None, n: int | None = None) -> DataFrame:
-    return sample_rows(_points(scores, ["PC1", "PC2"], color), n)
+    return _drawn(_points(scores, ["PC1", "PC2"], color), n)
 
 
 def cluster_points(labelled: DataFrame, x: str, y: str, label: str = "cluster", n: int | None = None) -> DataFrame:
     """The label is a column of the table, so dropping incomplete rows cannot misalign it."""
-    return sample_rows(_points(labelled, [x, y, label]), n)
+    return _drawn(_points(labelled, [x, y, label]), n)
 
 
 def anomaly_points(flagged: DataFrame, x: str, y: str, n: int | None = None) -> DataFrame:
     shown = flagged.select(col(x), col(y), "is_anomaly", "anomaly_reason").dropna(subset=[x, y])
-    return sample_rows(shown, n)
+    return _drawn(shown, n)
 
 
 def importance_bars(importance: DataFrame, top: int = 20) -> DataFrame:

@@ -14,7 +14,7 @@ from tablescope.functions.columns import col
 
 def search_rows(df: DataFrame, text: str) -> DataFrame:
     """Rows in which any cell, as text, matches the pattern ``text`` in any casing; blank keeps all."""
-    pattern = text.strip().lower()
+    pattern = text.strip()
     if not pattern:
         return df
     return df.filter(

@@ -11,6 +11,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.config import SETTINGS
 from tablescope.errors import ValidationError
@@ -319,9 +320,10 @@ def validate(df: DataFrame, allow_empty: bool = False) -> Validation:
 def sample_rows(df: DataFrame, n: int | None = None, seed: int | None = None) -> DataFrame:
     """The table itself up to ``n`` rows, else exactly ``n`` rows drawn with a fixed seed.
 
-    Rows are drawn by a hash of their place in the input, so that copies of a
-    row are drawn independently.  Only about ``n`` rows pass the first test and
-    take part in the final ordering.
+    Rows are drawn by a hash of their values and, among equal rows, of their
+    number, so that copies are drawn independently and the layout of the input
+    does not matter.  Equal rows are counted before they are shuffled.  Only
+    about ``n`` rows pass the first test and take part in the final ordering.
     """
     n = SETTINGS.sample_rows if n is None else n
     seed = SETTINGS.seed if seed is None else seed
@@ -329,7 +331,11 @@ def sample_rows(df: DataFrame, n: int | None = None, seed: int | None = None) ->
     if total <= n:
         return df
     share = (n + 10 * math.sqrt(n) + 100) / total
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 32)) / float(1 << 32)
-    return (
-        df.withColumn("_draw", draw).filter(F.col("_draw") < share).orderBy("_draw").limit(n).drop("_draw")
-    )
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields):
+        raise ValidationError("Rows with maps cannot be compared; drop those columns before sampling")
+    values = [col(c) for c in df.columns]
+    counted = df.groupBy(*values).agg(F.count(F.lit(1)).alias("_copies"))
+    one = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("_copy"), *values), F.lit(1 << 32)) / float(1 << 32)
+    drawn = one.withColumn("_draw", draw).filter(F.col("_draw") < share)
+    return drawn.orderBy("_draw", *values).limit(n).select(*values)

@@ -379,14 +379,15 @@ def regression_diagnostics(df: DataFrame, x: str, y: str) -> DataFrame:
     n = row["n"]
     if n < 5 or not row["sxx"]:
         return rows(df.sparkSession, [("insufficient_data", n) + (None,) * 7], schema)
-    r = 0.0 if row["r"] is None else row["r"]
-    sse = row["syy"] * (1.0 - r * r)
+    r = 0.0 if row["r"] is None else min(1.0, max(-1.0, row["r"]))  # rounding may carry an exact line beyond 1
+    sse = row["syy"] * max(0.0, 1.0 - r * r)
+    rest = df.agg(F.avg(b - (F.lit(row["slope"]) * a + F.lit(row["intercept"]))).alias("mean")).first()["mean"]
     std_err = math.sqrt(sse / (n - 2) / row["sxx"])
     return rows(
         df.sparkSession,
         [(
             "ok", n, round(row["slope"], 4), round(row["intercept"], 4), round(r * r, 4),
-            special.correlation_p_value(r, n), round(std_err, 4), 0.0, round(math.sqrt(sse / (n - 1)), 4),
+            special.correlation_p_value(r, n), round(std_err, 4), round(rest, 4) + 0.0, round(math.sqrt(sse / (n - 1)), 4),
         )],
         schema,
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import json
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,16 +47,30 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, **opti
     return df
 
 
-def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    lines = spark.read.option("encoding", encoding).text(path).limit(1).collect()
-    if not lines or not lines[0]["value"].strip():
+def _headers(spark: SparkSession, path: str, sep: str, encoding: str) -> dict[tuple[str, ...], list[str]]:
+    """Each different header row with the files that begin with it; empty files have none."""
+    text = spark.read.option("encoding", encoding).text(path)
+    files = text.inputFiles()
+    if len(files) == 1:
+        first = [(files[0], r["value"]) for r in text.limit(1).collect()]
+    else:
+        # a file's first line has the smallest number among its lines: the split that holds it comes first
+        line = text.select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("id"))
+        begins = line.withColumn("at", F.input_file_block_start()).where("at = 0").groupBy("file")
+        first = [(r["file"], r["value"]) for r in begins.agg(F.min_by("value", "id").alias("value")).collect()]
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file, value in sorted(first):
+        if value.strip():
+            names = next(csv.reader([value.lstrip("\ufeff")], delimiter=sep))
+            found.setdefault(tuple(names), []).append(file)
+    if not found:
         raise ValidationError(f"No header row in {path!r}")
-    return next(csv.reader([lines[0]["value"].lstrip("\ufeff")], delimiter=sep))
+    return found
 
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     sep: str = ",",
     encoding: str | None = None,
     multiline: bool = False,
@@ -65,12 +81,20 @@ def read_delimited(
     NULL.  Without an ``encoding`` the file is read as UTF-8, or as ISO-8859-1
     if some bytes are not valid UTF-8; naming the encoding saves that check, a
     pass over the text.  ``multiline`` allows line breaks inside quotes, at the
-    price of unsplittable files.
+    price of unsplittable files.  Files of a folder may order their columns
+    differently; files with other columns are an error.
     """
     if encoding is None:
         broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
         encoding = "ISO-8859-1" if broken.limit(1).count() else "UTF-8"
-    names = dedupe_columns(_header(spark, path, sep, encoding))
+    headers = _headers(spark, path, sep, encoding)
+    if len(headers) > 1:
+        orders = [dedupe_columns(list(h)) for h in headers]
+        if any(sorted(o) != sorted(orders[0]) for o in orders):
+            raise ValidationError(f"The files in {path!r} have different columns")
+        parts = [read_delimited(spark, files, sep, encoding, multiline) for files in headers.values()]
+        return reduce(DataFrame.unionByName, parts)
+    names = dedupe_columns(list(next(iter(headers))))
     surplus = "_surplus_cells"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
     raw = (
@@ -82,6 +106,8 @@ def read_delimited(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
@@ -102,14 +128,26 @@ def flatten_structs(df: DataFrame) -> DataFrame:
     return df.select([leaf for f in df.schema.fields for leaf in leaves(f.name, col(f.name), f.dataType)])
 
 
+def _one_object_per_line(spark: SparkSession, path: str) -> bool:
+    begin = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    try:
+        return len(begin) == 2 and all(isinstance(json.loads(line), dict) for line in begin)
+    except ValueError:
+        return False
+
+
 def read_json(
-    spark: SparkSession, path: str, record_path: str | None = None, lines: bool = False
+    spark: SparkSession, path: str, record_path: str | None = None, lines: bool | None = None
 ) -> DataFrame:
     """JSON records: a root list, an object that wraps a list, or a single object.
 
     ``lines`` reads one object per line, which splits; otherwise each file is
     one document and read whole, so a large dataset should come as many files.
+    By default the first two lines decide: a whole object with another line
+    behind it means one object per line.
     """
+    if lines is None:
+        lines = _one_object_per_line(spark, path)
     df = spark.read.option("multiLine", not lines).json(path)
     if "_corrupt_record" in df.columns:
         raise ValidationError(f"Invalid JSON in {path!r}")

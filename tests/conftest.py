@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tmp_path_factory.mktemp("stored").as_uri())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -26,12 +27,12 @@ def spark():
 
 @pytest.fixture(scope="session")
 def messy(spark):
-    """Twenty rows with currency text, bad dates, a constant and a nearly empty column."""
+    """Twenty shipments: tariffs as text with gaps, some unreadable days, a constant and a nearly empty column."""
     rows = []
     for i in range(1, 21):
-        revenue = "$1,200.50" if i <= 10 else None if i <= 15 else str(100.25 * i)
-        date = "not-a-date" if 11 <= i <= 15 else f"2024-01-{i:02d}"
-        rows.append((i, revenue, "NSEW"[i % 4], date, 1, 1 if i == 20 else None))
+        tariff = None if i % 4 == 3 else f"€{i},07{i % 10}.25" if i % 2 else f"{i * 31.5}"
+        day = "soon" if i % 4 == 0 else f"{3 + i % 9}/{i}/2023"
+        rows.append((i, tariff, ("north", "south", "east", "west")[i % 4], day, 1, 1 if i == 20 else None))
     return spark.createDataFrame(
         rows, "id int, revenue string, region string, date string, constant_col int, sparse_col int"
     )

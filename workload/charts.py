@@ -123,7 +123,7 @@ def qq_line(t):
     return rounded(charts.qq_line(t.events, "value"), 6)
 
 
-@query()
+@query("SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem")
 def scatter(t):
     return charts.scatter(t.lineitem, "l_quantity", "l_extendedprice", "l_returnflag")
 
@@ -138,7 +138,6 @@ def trend_lines(t):
 
 @query("SELECT o_totalprice, o_custkey, o_orderkey, o_orderstatus FROM orders")
 def bubble(t):
-    """Fewer rows than the sample size at sf0.01, so all of them are shown."""
     return charts.bubble(t.orders, "o_totalprice", "o_custkey", "o_orderkey", "o_orderstatus")
 
 

@@ -52,6 +52,42 @@ def csv_round_trip(t):
     return back.withColumns({"c_custkey": F.col("c_custkey").cast("long"), "c_nationkey": F.col("c_nationkey").cast("int")})
 
 
+@query(
+    """SELECT doc_id, md5(regexp_replace(text, '\\n', ' ', 'g') || ' say "x", ok ') AS digest, source FROM documents"""
+)
+def csv_round_trip_of_texts(t):
+    """Texts with quotes, commas and blanks at the ends come back as they went."""
+    folder = _new_folder(t)
+    line = F.concat(F.regexp_replace("text", "\n", " "), F.lit(' say "x", ok '))
+    write_csv(t.documents.select("doc_id", line.alias("line"), "source"), folder)
+    back = read_table(t.spark, folder, "csv")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("line").alias("digest"), "source")
+
+
+_LAYOUTS = {
+    "iso_minutes": ("yyyy-MM-dd HH:mm", "minute"), "iso_millis": ("yyyy-MM-dd HH:mm:ss.SSS", "millisecond"),
+    "zulu": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "second"), "noon": ("MM/dd/yyyy hh:mm a", "minute"),
+    "dotted": ("dd.MM.yyyy", "day"), "compact": ("yyyyMMdd", "day"), "named": ("MMM d yyyy", "day"),
+    "dashed": ("d-MMM-yyyy", "day"), "month": ("yyyy-MM", "month"), "short": ("M/d/yy", "day"),
+}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT event_id, '{name}' AS layout, date_trunc('{unit}', ts) AS read FROM events"
+    for name, (_, unit) in _LAYOUTS.items()
+))
+def parse_date_layouts(t):
+    """Each event's time written in each layout and read back."""
+    written = F.array(*[F.struct(F.lit(n).alias("layout"), F.date_format("ts", p).alias("text")) for n, (p, _) in _LAYOUTS.items()])
+    return t.events.select("event_id", F.inline(written)).select("event_id", "layout", parse_timestamp(F.col("text")).alias("read"))
+
+
+@query("SELECT p_name, p_type FROM part WHERE regexp_matches(p_name, '^[^0-9]+$') OR regexp_matches(p_type, '^[^0-9]+$')")
+def search_negated_class(t):
+    """A class written in capitals is not its small counterpart."""
+    return filters.search_rows(t.part.select("p_name", "p_type"), r"^\D+$")
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def tsv_read(t):
     folder = _new_folder(t)
@@ -73,7 +109,7 @@ def json_round_trip(t):
         F.struct(F.col("o_custkey").alias("key")).alias("customer"),
     )
     write_json(nested, folder)
-    return read_json(t.spark, folder, lines=True)
+    return read_json(t.spark, folder)
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")

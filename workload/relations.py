@@ -167,6 +167,17 @@ def confidence_interval(t):
     )
 
 
+@query(
+    """SELECT 'ok' AS status, count(*) AS n, 2.3 AS slope, CAST(1 AS DOUBLE) AS intercept, CAST(1 AS DOUBLE) AS r_squared,
+    CAST(0 AS DOUBLE) AS std_err, CAST(0 AS DOUBLE) AS residual_mean FROM orders"""
+)
+def regression_on_a_line(t):
+    """All rows on one line: rounding must not carry the correlation beyond 1."""
+    table = t.orders.selectExpr("o_orderkey / 3 AS x", "2.3D * (o_orderkey / 3) + 1 AS y")
+    found = relate.regression_diagnostics(table, "x", "y").drop("p_value", "residual_std")
+    return found.withColumn("slope", F.col("slope").cast("decimal(2,1)"))
+
+
 @query(
     """SELECT 'ok' AS status, count(*) AS n, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS intercept,
     round(regr_r2(y, x), 4) AS r_squared,
