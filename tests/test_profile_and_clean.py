@@ -49,7 +49,7 @@ def test_integer_with_gaps_is_not_ordinal(spark):
 def test_schema_table(messy):
     rows = {r["column"]: r for r in semantics.build_schema(messy).collect()}
     assert rows["sparse_col"]["missing_pct"] == 95.0
-    assert rows["region"]["samples"] == ["E", "N", "S", "W"]
+    assert rows["region"]["samples"] == ["east", "north", "south", "west"]
     assert rows["id"]["samples"] == ["1", "2", "3", "4", "5"]
     chosen = semantics.columns_of_type(semantics.build_schema(messy), "constant")
     assert {r["column"] for r in chosen.collect()} == {"constant_col", "sparse_col"}
