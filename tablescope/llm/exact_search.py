@@ -127,14 +127,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n, nq = vectors.count(), queries.count()
     blocks = max(1, -(-n // CANDIDATE_BLOCK))
     query_blocks = max(1, -(-nq // QUERY_BLOCK))
-    spread = F.xxhash64("vec_id")
     left = queries.select(
         F.col("vec_id").alias("query_id"), "dim", F.col("x").alias("q"),
-        F.pmod(spread, F.lit(query_blocks)).cast("int").alias("query_block"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
-    right = vectors.select(
-        "vec_id", "dim", "x", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"),
+    # candidates are dealt by their place as well, so that rows that share a vec_id do not share a block
+    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    right = vectors.select("vec_id", "dim", "x", place.alias("block")).select(
+        "vec_id", "dim", "x", "block",
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
     )
 

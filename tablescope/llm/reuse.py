@@ -23,40 +23,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablescope.llm.common import mix, ship_by_value, text_slices, utf8
+from tablescope.llm.common import ship_by_value, text_key, text_slices, utf8
 
-#: Mean bytes between cuts (a power of two), most bytes of a chunk, and bytes that the rolling hash looks at.
+#: Mean bytes between cuts, most bytes of a chunk, and bytes that the rolling hash looks at; powers of two.
 MEAN_BYTES = 1024
 MOST_BYTES = 16384
 LOOK_BYTES = 32
 #: Chunks that are broadcast; they hold at most ``SHARED_CHUNKS * MOST_BYTES`` bytes of text.
 SHARED_CHUNKS = 2048
-#: What one task remembers: words, and bytes of encoded chunks.
-MEMORY_WORDS = 300_000
+#: What one task remembers: words of one generation (there are two), and bytes of encoded chunks.
+MEMORY_WORDS = 200_000
 MEMORY_BYTES = 48 << 20
 
 # white space on which libraries differ, and characters that may be taken for it
 _ODD = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 # marks that begin a token of their own behind a letter or digit
 _TAIL = ".,;:!?|#*%$&"
-_FACTOR = 0x9E3779B97F4A7C15
-_BACK = pow(_FACTOR, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Words that are encoded as one string, and the mark between them.
+_LINE_WORDS = 500
+_MARK = "|"
+_FACTOR = 0x9E3779B1
 
 
 def cuts_of(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Ends of the chunks: where the hash of the last bytes says so, at ends of texts, and after ``MOST_BYTES``."""
     n = len(data)
-    # polynomial hash of the last LOOK_BYTES bytes: a difference of running sums, divided by the power where it begins
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, n)[:-1], out=sums[1:])
-    look = np.maximum(np.arange(1, n + 1) - LOOK_BYTES, 0)
-    cut = (mix((sums[1:] - sums[look]) * _powers(_BACK, n)[look]) & np.uint64(MEAN_BYTES - 1)) == 0
+    # polynomial hash of the last LOOK_BYTES bytes by doubling: that of 2k bytes is made of those of k bytes
+    hashes = data.astype(np.uint32) + np.uint32(1)
+    k, factor = 1, _FACTOR
+    while k < LOOK_BYTES:
+        hashes[k:] += hashes[:-k] * np.uint32(factor)
+        k, factor = 2 * k, factor * factor & 0xFFFFFFFF
+    cut = (hashes * np.uint32(_FACTOR)) >> np.uint32(33 - MEAN_BYTES.bit_length()) == 0
     # a text's first bytes see the text before; there is no cut among them
     for k in range(LOOK_BYTES):
         at = places[:-1] + k
@@ -103,7 +101,10 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.shared = shared or {}
         self.chunks: dict[bytes, tuple] = {}
         self.held = 0
@@ -115,30 +116,51 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False)
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Encode words, many as one string: white space ends a token, so the mark between two is an id of its own."""
+        plain = [] if self.mark is None else [w for w in words if _MARK not in w]
+        lines = [plain[k : k + _LINE_WORDS] for k in range(0, len(plain), _LINE_WORDS)]
+        for k in range(0, len(lines), 16):
+            texts = [f" {_MARK} ".join([*line, ""]) for line in lines[k : k + 16]]
+            made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            for line, encoding in zip(lines[k : k + 16], made, strict=True):
+                ids = encoding.ids
+                packed = np.array(ids, "<u4")
+                ends = np.flatnonzero(packed == self.mark).tolist()
+                raw, names = packed.tobytes(), [self.tokens[i] for i in ids]
+                begin = 0
+                for word, end in zip(line, ends, strict=True):
+                    self.words[word] = raw[4 * begin : 4 * end], " ".join(names[begin:end])
+                    begin = end + 1
+        rest = words if self.mark is None else [w for w in words if _MARK in w]
+        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        self.words.update(zip(rest, (self._result(e.ids) for e in made), strict=True))
+
+    def _unknown(self, words: set[str]) -> set[str]:
+        """Words that neither generation knows; those of the older one move to the younger."""
+        new = words - self.words.keys()
+        known = new & self.older.keys()
+        self.words.update((w, self.older[w]) for w in known)
+        return new - known
+
     def learn(self, words: set[str]) -> None:
         """Encode new words. A word with stops behind it is the word's ids and those of the stops; case is lost anyway."""
-        new = words - self.words.keys()
-        if len(self.words) + 2 * len(new) > MEMORY_WORDS:
-            self.words.clear()
-            new = words
-        parts = {}
-        for w in new:
+        if len(self.words) + len(words - self.words.keys()) > MEMORY_WORDS:
+            self.words, self.older = {}, self.words
+        parts = []
+        for w in self._unknown(words):
             base = w.rstrip(_TAIL)
-            last = base[-1:].lower()  # two characters for some letters, of which the second is a mark
-            if len(base) == len(w) or len(last) != 1 or last > "\u024f" or not last.isalnum():
-                base = w
-            parts[w] = (base.lower() if base.isascii() else base, w[len(base) :])
-        needed = sorted({p for pair in parts.values() for p in pair if p} - self.words.keys())
-        for k in range(0, len(needed), 20_000):
-            part = needed[k : k + 20_000]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.words.update(zip(part, (self._result(e.ids) for e in made), strict=True))
-        for w, (base, tail) in parts.items():
-            if base != w or tail:
-                ids, decoded = self.words[base]
-                if tail:
-                    ids, decoded = ids + self.words[tail][0], f"{decoded} {self.words[tail][1]}"
-                self.words[w] = ids, decoded
+            if len(base) != len(w):
+                last = base[-1:].lower()  # two characters for some letters, of which the second is a mark
+                if len(last) != 1 or last > "\u024f" or not last.isalnum():
+                    base = w
+            parts.append((w, base.lower() if base.isascii() else base, w[len(base) :]))
+        self._encode_words(sorted(self._unknown({p for _, base, tail in parts for p in (base, tail) if p})))
+        for w, base, tail in parts:
+            ids, decoded = self.words[base]
+            if tail:
+                ids, decoded = ids + self.words[tail][0], f"{decoded} {self.words[tail][1]}"
+            self.words[w] = ids, decoded
 
     def _joined(self, words: list[str]) -> tuple[bytes, str]:
         got = [self.words[w] for w in words]
@@ -214,41 +236,52 @@ class ChunkEncoder:
 def shared_chunks(docs: DataFrame, vocabulary: str, most: int = SHARED_CHUNKS) -> dict[bytes, tuple]:
     """The ``most`` chunks that occur most often, encoded: counts over all documents, texts of the chosen ones only."""
     ship_by_value()
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(text_key()[0], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def keys_of(part: pa.RecordBatch) -> Iterator[tuple[bytes, int, bytes]]:
+        raw, ends, first = chunks_of(part.column("text"))
+        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        for t, ref in enumerate(part.column("ref").to_pylist()):
+            for a, b in spans[first[t] : first[t + 1]]:
+                chunk = raw[a:b]
+                yield _key(chunk), ref, chunk
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(seen: dict[bytes, int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "n"]
-            )
+        def out(seen: dict[bytes, int], refs: dict[bytes, int]) -> pa.RecordBatch:
+            columns = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([refs[k] for k in seen], pa.int64())], ["key", "n", "ref"])
 
         seen: dict[bytes, int] = {}
+        refs: dict[bytes, int] = {}
         for batch in batches:
             for part in text_slices(batch):
-                raw, ends, _ = chunks_of(part.column("text"))
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    key = _key(raw[a:b])
+                for key, ref, _ in keys_of(part):
                     seen[key] = seen.get(key, 0) + 1
+                    refs[key] = ref
             if len(seen) > 1 << 19:
-                yield out(seen)
-                seen = {}
-        yield out(seen)
+                yield out(seen, refs)
+                seen, refs = {}, {}
+        yield out(seen, refs)
 
-    counted = texts.mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(most).select("key").collect()
+    counted = texts.mapInArrow(count, "key binary, n long, ref long").groupBy("key")
+    counted = counted.agg(F.sum("n").alias("n"), F.min("ref").alias("ref"))
+    often = counted.where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(most).select("key", "ref").collect()
     chosen = {bytes(r["key"]) for r in often}
     if not chosen:
         return {}
+    holders = sorted({r["ref"] for r in often})  # texts that hold the chosen chunks: no more than there are chunks
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, str] = {}
+        done: set[int] = set()
         for batch in batches:
             for part in text_slices(batch):
-                raw, ends, _ = chunks_of(part.column("text"))
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    key = _key(raw[a:b])
+                refs = part.column("ref").to_pylist()
+                new = [k for k, ref in enumerate(refs) if ref not in done]
+                done.update(refs)
+                for key, _, chunk in keys_of(part.take(pa.array(new, pa.int64()))):
                     if key in chosen and key not in found:
-                        found[key] = raw[a:b].decode()
+                        found[key] = chunk.decode()
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["key", "chunk"]
         )
@@ -264,7 +297,8 @@ def shared_chunks(docs: DataFrame, vocabulary: str, most: int = SHARED_CHUNKS) -
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "head", "ids", "decoded", "tail"]
             )
 
-    once = texts.mapInArrow(fetch, "key binary, chunk string").groupBy("key").agg(F.min("chunk").alias("chunk"))
+    held = texts.where(F.col("ref").isin(holders)).mapInArrow(fetch, "key binary, chunk string")
+    once = held.groupBy("key").agg(F.min("chunk").alias("chunk"))
     made = once.mapInArrow(encode, "key binary, head string, ids binary, decoded string, tail string").collect()
     return {
         bytes(r["key"]): (r["head"], None if r["ids"] is None else bytes(r["ids"]), r["decoded"], r["tail"]) for r in made
