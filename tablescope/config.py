@@ -59,7 +59,6 @@ class Settings:
     split_block_rows: int = 500_000
     sketch_accuracy: int = 1_000
     prefix_buckets: int = 10_000
-    spread_rows: int = 2_000_000
 
 
 def load_settings(environ=os.environ) -> Settings:

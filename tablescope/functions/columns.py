@@ -74,6 +74,14 @@ def clean_number(name: str, df: DataFrame | None = None) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
+def exact_number(df: DataFrame, name: str) -> Column:
+    """Whole numbers as long and decimals as they are; any other number as in ``clean_number``."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return col(name).cast("long")
+    return col(name) if isinstance(kind, T.DecimalType) else clean_number(name)
+
+
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN, which counts as missing, turned into NULL."""
     if name in floating_cols(df):

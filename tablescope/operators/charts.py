@@ -23,6 +23,7 @@ from tablescope.functions.columns import (
     clean_number,
     col,
     datetime_cols,
+    exact_number,
     numeric_cols,
     pearson,
     present,
@@ -153,7 +154,7 @@ def _group_freq(df: DataFrame, x: str | None, y: str) -> DataFrame:
     keys = [col(x).alias("x")] if x else []
     return materialize(
         df.filter(col(y).isNotNull())  # reaches the file scan
-        .select(*keys, clean_number(y).alias("y"))
+        .select(*keys, exact_number(df, y).alias("y"))
         .dropna()
         .groupBy(*(["x"] if x else []), "y")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -644,4 +645,7 @@ def seasonal_lines(parts: DataFrame) -> DataFrame:
 
 
 def forecast_lines(forecast: DataFrame) -> DataFrame:
-    return forecast.select("ds", "yhat", "yhat_lower", "yhat_upper", "is_forecast").orderBy("ds")
+    """The forecast as lines: its keys, if it has any, in front of the day and the three values."""
+    drawn = ["ds", "yhat", "yhat_lower", "yhat_upper", "is_forecast"]
+    keys = [c for c in forecast.columns if c not in drawn]
+    return forecast.select(*[col(c) for c in keys], *drawn).orderBy(*[col(c) for c in keys], "ds")

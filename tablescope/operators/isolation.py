@@ -138,8 +138,7 @@ def isolation_forest(
 ) -> DataFrame:
     """The table with ``is_isolated`` and ``isolation_score`` (above 0 means anomalous).
 
-    The cut-off is an exact quantile of all scores, which takes several passes:
-    the scores alone are written to the shared folder for it.
+    Rows are scored once and stored with their scores, since the cut-off is an exact quantile of all scores.
     """
     names = numeric_cols(df) if columns is None else columns
     share = SETTINGS.contamination if contamination is None else contamination
@@ -148,11 +147,8 @@ def isolation_forest(
         return df.withColumn("is_isolated", F.lit(False)).withColumn("isolation_score", F.lit(0.0))
     features = list(standardise_exprs(df, names).values())
     forest = fit_forest(df.select(F.array(*features).alias("features")), n, seed)
-    if n <= SETTINGS.spread_rows:
-        # A small file is read by one task; moving these few rows gives every core a share of the scoring.
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    scored = score_forest(df, features, forest, n, "_raw")
-    cut = quantiles(materialize(scored.select("_raw")), ["_raw"], [share], {"_raw": n})["_raw"][0]
+    scored = materialize(score_forest(df, features, forest, n, "_raw"))
+    cut = quantiles(scored, ["_raw"], [share], {"_raw": n})["_raw"][0]
     return (
         scored.withColumn("is_isolated", F.col("_raw") < F.lit(cut))
         .withColumn("isolation_score", F.round(F.lit(cut) - F.col("_raw"), 4))

@@ -84,33 +84,39 @@ def _pearson_wide(df: DataFrame, names: list[str]) -> list[tuple[str, str, float
     return found
 
 
-def average_ranks(freq: DataFrame, value: str) -> DataFrame:
-    """(value, rank): the mean position, from 1, of the rows that hold each value."""
-    placed = cumulative_counts(freq, [], value)
-    return placed.select(value, (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+def _rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, r, n): correlation of average ranks over the rows where both columns of a pair are present.
 
-
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (r, n): correlation of average ranks over the rows where both are present.
-
-    Rows are first reduced to distinct pairs with counts; ranks come from
-    running counts over value ranges.  The pairs are written once, as both
-    rankings and the final sums read them.
+    All pairs go together, so the number of jobs does not grow with them.  Rows
+    are first reduced to distinct values of each pair with counts, and stored,
+    as both rankings and the final sums read them; ranks come from running
+    counts over value ranges.
     """
-    x, y = clean_number(a).alias("x"), clean_number(b).alias("y")
-    known = df.filter(col(a).isNotNull() & col(b).isNotNull())
-    pairs = materialize(known.select(x, y).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
-    rank_x = average_ranks(pairs.groupBy("x").agg(F.sum("n").alias("n")), "x").withColumnRenamed("rank", "rx")
-    rank_y = average_ranks(pairs.groupBy("y").agg(F.sum("n").alias("n")), "y").withColumnRenamed("rank", "ry")
-    ranked = pairs.join(rank_x, "x").join(rank_y, "y")
-    # Both ranks have the mean (N + 1) / 2; centring by it keeps the sums small.
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    u, v, n = F.col("rx") - (total + 1) / 2, F.col("ry") - (total + 1) / 2, F.col("n")
-    return ranked.agg(
-        F.sum(n * u * v).alias("uv"), F.sum(n * u * u).alias("uu"), F.sum(n * v * v).alias("vv")
-    ).select(
-        F.try_divide("uv", F.sqrt(F.col("uu") * F.col("vv"))).alias("r"), F.lit(total).cast("long").alias("n")
+    cells = [
+        F.struct(F.lit(i).alias("pair"), clean_number(a).alias("x"), clean_number(b).alias("y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    tall = df.select(F.inline(F.array(*cells))).dropna()
+    counted = materialize(tall.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+    def deviations(value: str, output: str) -> DataFrame:
+        """(pair, value, output): the mean position of the rows that hold the value, from the middle of the ranks."""
+        freq = counted.groupBy("pair", value).agg(F.sum("n").alias("n"))
+        placed = cumulative_counts(freq, ["pair"], value)
+        return placed.select("pair", value, (F.col("before") + (F.col("n") - F.col("total")) / 2).alias(output))
+
+    ranked = counted.join(deviations("x", "u"), ["pair", "x"]).join(deviations("y", "v"), ["pair", "y"])
+    u, v, n = F.col("u"), F.col("v"), F.col("n")
+    sums = ranked.groupBy("pair").agg(
+        F.sum(n * u * v).alias("uv"), F.sum(n * u * u).alias("uu"), F.sum(n * v * v).alias("vv"), F.sum(n).alias("n")
     )
+    return sums.select("pair", F.try_divide("uv", F.sqrt(F.col("uu") * F.col("vv"))).alias("r"), "n")
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (r, n): correlation of average ranks over the rows where both are present."""
+    found = _rank_correlations(df, [(a, b)])
+    return found.agg(F.max("r").alias("r"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def pair_correlations(df: DataFrame, method: str = "pearson", columns: list[str] | None = None):
@@ -118,11 +124,9 @@ def pair_correlations(df: DataFrame, method: str = "pearson", columns: list[str]
     if method == "pearson":
         return _pearson(df, names)
     if method == "spearman":
-        found = []
-        for a, b in combinations(names, 2):
-            row = spearman(df, a, b).first()
-            found.append((a, b, row["r"], row["n"]))
-        return found
+        pairs = list(combinations(names, 2))
+        found = {r["pair"]: (r["r"], r["n"]) for r in _rank_correlations(df, pairs).collect()} if pairs else {}
+        return [(a, b, *found.get(i, (None, 0))) for i, (a, b) in enumerate(pairs)]
     raise ValidationError(f"Unknown correlation method {method!r}")
 
 

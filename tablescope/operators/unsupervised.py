@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -16,22 +17,37 @@ from tablescope.config import SETTINGS
 from tablescope.errors import ValidationError
 from tablescope.functions.columns import clean_number, numeric_cols, rows
 from tablescope.plans.quantiles import quantiles
+from tablescope.plans.storage import materialize
 
 _STARTS = 10
+_RUNS_AT_ONCE = 4
 
 
-def standardise_exprs(df: DataFrame, columns: list[str]) -> dict[str, Column]:
-    """Per column: median fill, then (x - mean) / population std, with fitted literals."""
-    medians = {c: q[0] for c, q in quantiles(df, columns, [0.5]).items()}
-    filled = {c: F.coalesce(clean_number(c), F.lit(0.0 if medians[c] is None else medians[c])) for c in columns}
+def _moments(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[bool, float, float]]:
+    """Per column whether values are missing, the mean and the population std, in one scan."""
+    if not values:
+        return {}
     aggregates = []
-    for i, c in enumerate(columns):
-        aggregates += [F.avg(filled[c]).alias(f"m{i}"), F.stddev_pop(filled[c]).alias(f"s{i}")]
+    for i, x in enumerate(values.values()):
+        aggregates += [
+            F.count_if(x.isNull()).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")
+        ]
     row = df.agg(*aggregates).first()
-    return {
-        c: ((filled[c] - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0)).alias(c)
-        for i, c in enumerate(columns)
-    }
+    return {c: (row[f"n{i}"] > 0, row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(values)}
+
+
+def standardise_exprs(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Per column: median fill, then (x - mean) / population std, with fitted literals.
+
+    One scan serves all columns without gaps; medians are searched for the others only.
+    """
+    filled = {c: clean_number(c) for c in columns}
+    moments = _moments(df, filled)
+    gaps = [c for c in columns if moments[c][0]]
+    medians = quantiles(df, gaps, [0.5])
+    filled |= {c: F.coalesce(filled[c], F.lit(medians[c][0] or 0.0)) for c in gaps}
+    moments |= _moments(df, {c: filled[c] for c in gaps})
+    return {c: ((x - F.lit(moments[c][1])) / F.lit(moments[c][2])).alias(c) for c, x in filled.items()}
 
 
 def standardise(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -112,10 +128,15 @@ def _check(df: DataFrame, names: list[str]) -> None:
 
 
 def _best_of(vectors: DataFrame, k: int, starts: int, seed: int) -> KMeansModel:
-    models = [
-        KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=100).fit(vectors)
-        for i in range(starts)
-    ]
+    """The run of lowest cost; a few runs are submitted at a time, as each leaves executors idle between its jobs."""
+
+    @inheritable_thread_target(vectors.sparkSession)
+    def fit(start: int) -> KMeansModel:
+        means = KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cluster", maxIter=100)
+        return means.fit(vectors)
+
+    with ThreadPoolExecutor(_RUNS_AT_ONCE) as pool:
+        models = list(pool.map(fit, range(starts)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -135,36 +156,29 @@ def kmeans(
     names = numeric_cols(df) if columns is None else columns
     _check(df, names)
     vectors = _vectors(df, names)
-    cached = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if k is None:
-            k = _auto_k(cached)[0][0]
-        model = _best_of(cached, k, starts, SETTINGS.seed)
-        quality = silhouette(model.transform(cached))
-    finally:
-        cached.unpersist()
+    stored = materialize(vectors.select("features"))
+    if k is None:
+        k = _auto_k(stored, starts)[0][0]
+    model = _best_of(stored, k, starts, SETTINGS.seed)
+    quality = silhouette(model.transform(stored))
     labelled = model.transform(vectors).drop("features", *[c for c in vectors.columns if c.startswith("_z")])
     return Clusters(labelled, k, model.summary.trainingCost, quality, model)
 
 
-def _auto_k(cached: DataFrame) -> list[tuple[int, float, float | None]]:
-    top = min(SETTINGS.max_kmeans_k, cached.limit(SETTINGS.max_kmeans_k + 1).count() - 1)
+def _auto_k(stored: DataFrame, starts: int) -> list[tuple[int, float, float | None]]:
+    top = min(SETTINGS.max_kmeans_k, stored.limit(SETTINGS.max_kmeans_k + 1).count() - 1)
     tried = []
     for k in range(2, top + 1):
-        model = _best_of(cached, k, 1, SETTINGS.seed)
-        tried.append((k, model.summary.trainingCost, silhouette(model.transform(cached))))
+        model = _best_of(stored, k, starts, SETTINGS.seed)
+        tried.append((k, model.summary.trainingCost, silhouette(model.transform(stored))))
     return sorted(tried, key=lambda t: (-(t[2] if t[2] is not None else -2.0), t[0]))
 
 
-def auto_k(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(k, cost, silhouette, is_best) for k from 2 to 8."""
+def auto_k(df: DataFrame, columns: list[str] | None = None, starts: int = _STARTS) -> DataFrame:
+    """(k, cost, silhouette, is_best) for k from 2 to 8, each the best of several runs."""
     names = numeric_cols(df) if columns is None else columns
     _check(df, names)
-    cached = _vectors(df, names).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tried = _auto_k(cached)
-    finally:
-        cached.unpersist()
+    tried = _auto_k(materialize(_vectors(df, names).select("features")), starts)
     best = tried[0][0] if tried else None
     return rows(
         df.sparkSession,

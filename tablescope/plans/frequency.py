@@ -98,7 +98,8 @@ def _bucket_cuts(values: DataFrame, value: str, rows_per_bucket: int) -> list[fl
 def _with_range(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
     """Add ``_range``, the index of the interval between two cut points that holds the value."""
     splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(df)
+    cut = Bucketizer(splits=splits, inputCol="_double", outputCol="_range")
+    return cut.transform(df.withColumn("_double", F.col(value).cast("double"))).drop("_double")
 
 
 def cumulative_counts(
@@ -106,13 +107,12 @@ def cumulative_counts(
 ) -> DataFrame:
     """Add ``before`` (rows with a smaller value in the same group) and ``total`` (rows of the group).
 
-    ``freq`` has one row per (keys, value) with its count ``n``; ``value`` becomes double.  Values are cut
+    ``freq`` has one row per (keys, value) with its count ``n``; ``value`` keeps its type.  Values are cut
     into even ranges, the running sum is taken per (keys, range), and the range
     totals supply the offsets; no task sees a whole group, and a group's offset
     window holds one row per range.
     """
-    freq = freq.withColumn(value, F.col(value).cast("double"))
-    cuts = _bucket_cuts(freq, value, rows_per_bucket or SETTINGS.exact_rows)
+    cuts = _bucket_cuts(freq.select(F.col(value).cast("double").alias(value)), value, rows_per_bucket or SETTINGS.exact_rows)
     by_group = Window.partitionBy(*keys)
     if not cuts:
         running = by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -18,6 +18,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.config import SETTINGS
 from tablescope.functions.columns import clean_number, col
@@ -25,7 +26,10 @@ from tablescope.functions.columns import clean_number, col
 
 @dataclass
 class _Search:
-    """Rank ``rank`` (0-based) of ``column`` lies strictly between ``low`` and ``high``."""
+    """Rank ``rank`` (0-based) of ``column`` lies strictly between ``low`` and ``high``.
+
+    Whole numbers and decimals are searched as what they are (``kind``); all else as doubles.
+    """
 
     column: str
     rank: int
@@ -34,15 +38,24 @@ class _Search:
     low: float | None = None
     high: float | None = None
     answer: float | None = None
+    kind: str = "double"
+
+    def number(self) -> Column:
+        return col(self.column).cast(self.kind)
 
     def holds(self) -> Column:
-        value = col(self.column).cast("double")
+        value = self.number()
+        if self.kind != "double":
+            inside = value.isNotNull()
+            if self.low is not None:
+                inside &= value > F.lit(self.low)
+            return inside if self.high is None else inside & (value < F.lit(self.high))
         low = float("-inf") if self.low is None else self.low
         high = float("inf") if self.high is None else self.high
         return (value > F.lit(low)) & (value < F.lit(high))  # NaN sorts above infinity
 
     def value(self) -> Column:
-        return F.when(self.holds(), col(self.column).cast("double"))
+        return F.when(self.holds(), self.number())
 
     def settle(self, cuts: list[float], smaller: list[int], equal: list[int]) -> None:
         """Use the counts of rows below and at each cut point of the span."""
@@ -61,6 +74,14 @@ class _Search:
         self.inside = end - start
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    """The type that holds the column's numbers without loss."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.simpleString()
+    return "long" if isinstance(kind, T.IntegralType) else "double"
+
+
 def _spans(searches: list[_Search]) -> list[list[_Search]]:
     """Searches that share a column and a bracket share their aggregates."""
     groups: dict[tuple, list[_Search]] = {}
@@ -95,7 +116,7 @@ def _narrow(
     cuts = [sorted(set(found[f"s{i}"])) for i in range(len(spans))]
     regions = []
     for i, group in enumerate(spans):
-        value = col(group[0].column).cast("double")
+        value = group[0].number()
         # 2j + 1 where the value is cut j, even numbers between the cuts.
         steps = [t.cast("int") for cut in cuts[i] for t in (value >= F.lit(cut), value > F.lit(cut))]
         region = F.when(group[0].holds(), sum(steps[1:], steps[0]))
@@ -155,7 +176,9 @@ def order_statistics(
     """
     exact_rows = exact_rows or SETTINGS.exact_rows
     accuracy = accuracy or SETTINGS.sketch_accuracy
-    searches = [_Search(c, r, counts[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
+    searches = [
+        _Search(c, r, counts[c], kind=_kind(df, c)) for c, rs in ranks.items() for r in sorted(set(rs))
+    ]
     while True:
         wide = [s for s in searches if s.answer is None and s.inside > exact_rows]
         if not wide:
@@ -163,8 +186,8 @@ def order_statistics(
         _narrow(df, wide, accuracy, known_cuts)
         known_cuts = None
     left = [s for s in searches if s.answer is None]
-    if left:
-        _rank_inside(df, left)
+    for kind in sorted({s.kind for s in left}):
+        _rank_inside(df, [s for s in left if s.kind == kind])
     result: dict[str, dict[int, float]] = {c: {} for c in ranks}
     for s in searches:
         result[s.column][s.rank] = s.answer
@@ -179,7 +202,8 @@ def _counts_and_cuts(
     ends = _sketch_ends(probabilities, accuracy)
     aggregates = []
     for i, c in enumerate(columns):
-        value = clean_number(c)
+        kind = _kind(df, c)
+        value = clean_number(c) if kind == "double" else col(c).cast(kind)
         aggregates += [F.count(value).alias(f"c{i}"), F.percentile_approx(value, ends, accuracy).alias(f"s{i}")]
     row = df.agg(*aggregates).first()
     counts, cuts = {}, {}
@@ -222,5 +246,5 @@ def _interpolated(df, columns, probabilities, counts, cuts, limits) -> dict[str,
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     for c, hs in positions.items():
         ends = [(found[c][math.floor(h)], found[c][math.ceil(h)], h - math.floor(h)) for h in hs]
-        result[c] = [low + (high - low) * part for low, high, part in ends]
+        result[c] = [float(low) + float(high - low) * part for low, high, part in ends]
     return result

@@ -26,6 +26,21 @@ def test_order_statistics_match_a_full_sort(skewed, exact_rows, accuracy):
     assert [found["x"][r] for r in ranks] == [ordered_x[r] for r in ranks]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "decimal(30,2)"])
+def test_order_statistics_keep_every_digit(spark, kind):
+    base = 2**60 + 1
+    df = spark.range(2_000).selectExpr(f"CAST(CAST({base} AS {kind}) + (id * 7) % 2000 AS {kind}) AS x")
+    ranks = [0, 1, 20, 1_000, 1_979, 1_999]
+    found = quantiles.order_statistics(df, {"x": ranks}, {"x": 2_000}, exact_rows=50, accuracy=20)
+    assert [int(found["x"][r]) for r in ranks] == [base + r for r in ranks]
+
+
+def test_cumulative_counts_keep_whole_numbers_apart(spark):
+    freq = spark.range(500).selectExpr(f"{2**60} + id AS x", "1L AS n")
+    placed = frequency.cumulative_counts(freq, [], "x", 50).collect()
+    assert sorted((r["x"] - 2**60, r["before"]) for r in placed) == [(i, i) for i in range(500)]
+
+
 def test_quantiles_skip_missing_values(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (1.0,), (2.0,), (float("inf"),)], "x double")
     assert quantiles.quantiles(df, ["x"], [0.5]) == {"x": [1.5]}

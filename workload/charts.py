@@ -87,6 +87,15 @@ def ecdf(t):
     return rounded(charts.ecdf(t.lineitem, "l_extendedprice"), 8)
 
 
+@query(
+    """SELECT 9007199254740993 + o_orderkey AS value,
+    round(row_number() OVER (ORDER BY o_orderkey) / CAST(count(*) OVER () AS DOUBLE), 8) AS share FROM orders"""
+)
+def ecdf_big_keys(t):
+    """Whole numbers beyond 2^53 stay apart."""
+    return rounded(charts.ecdf(t.orders.selectExpr("9007199254740993 + o_orderkey AS big"), "big"), 8)
+
+
 @query(
     """SELECT row_number() OVER (ORDER BY value) AS position, round(value, 6) AS value,
     round(CASE WHEN row_number() OVER (ORDER BY value) = n THEN pow(0.5, 1.0 / n)
@@ -351,4 +360,5 @@ def seasonal_lines(t):
 
 @query()
 def forecast_lines(t):
-    return charts.forecast_lines(timeseries.holt_winters_forecast(t.orders, "o_orderdate", "o_totalprice"))
+    """One series per user."""
+    return charts.forecast_lines(timeseries.holt_winters_forecast(t.events, "ts", "value", 30, ["user_id"]))

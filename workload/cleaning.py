@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from tablescope.config import SETTINGS
 from tablescope.operators import clean
 from tablescope.operators.clean import NULL_TEXTS
 from workload.registry import query, with_messy
@@ -112,7 +113,21 @@ def impute(t):
 def winsor_bounds(t):
     plan, _ = clean.fit_plan(t.messy_orders)
     bounds = next(s.values for s in plan.steps if s.kind == "winsorize")
-    return t.spark.createDataFrame([(c, *b) for c, b in bounds.items()], "column string, low double, high double")
+    found = [(c, float(low), float(high)) for c, (low, high) in bounds.items()]
+    return t.spark.createDataFrame(found, "column string, low double, high double")
+
+
+@query(
+    f"""WITH b AS (SELECT o_orderkey, 9007199254740993 + o_orderkey AS big FROM orders),
+    r AS (SELECT big, row_number() OVER (ORDER BY big) - 1 AS i, count(*) OVER () AS n FROM b),
+    e AS (SELECT max(CASE WHEN i = k THEN big END) AS low, max(CASE WHEN i = n - k - 1 THEN big END) AS high
+          FROM (SELECT *, CAST(floor(CAST({SETTINGS.winsor_frac} AS DOUBLE) * n) AS BIGINT) AS k FROM r))
+    SELECT o_orderkey, least(greatest(big, low), high) AS big FROM b, e"""
+)
+def winsorize_big_keys(t):
+    """Whole numbers beyond 2^53 keep every digit."""
+    table = t.orders.selectExpr("o_orderkey", "9007199254740993 + o_orderkey AS big")
+    return clean.winsorize(table, clean.winsor_bounds(table, ["big"], table.count()))
 
 
 @query(with_messy(f"WITH {_BASE}, {_FILLED}, {_BOUNDED} SELECT * FROM bounded"))

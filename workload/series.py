@@ -147,6 +147,7 @@ def forecast_history(t):
 
 @query()
 def forecast_after(t):
+    """One series per user."""
     last = t.events.agg(F.max("ts")).first()[0].date()
-    forecast = timeseries.holt_winters_forecast(t.events, "ts", "value", 30)
+    forecast = timeseries.holt_winters_forecast(t.events, "ts", "value", 30, ["user_id"])
     return timeseries.forecast_after(forecast, last)
