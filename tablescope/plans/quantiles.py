@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Context, Decimal
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,9 @@ from tablescope.config import SETTINGS
 from tablescope.functions.columns import clean_number, col
 
 
+_WIDE = Context(prec=80)
+
+
 @dataclass
 class _Search:
     """Rank ``rank`` (0-based) of ``column`` lies strictly between ``low`` and ``high``.
@@ -57,6 +61,25 @@ class _Search:
     def value(self) -> Column:
         return F.when(self.holds(), self.number())
 
+    def base(self):
+        """What the sketch counts from; it holds doubles, which tell large numbers apart only by their distance."""
+        return next((end for end in (self.low, self.high) if end is not None), 0)
+
+    def sketched(self) -> Column:
+        if self.kind == "double":
+            return self.value()
+        wide = self.number().cast("decimal(20,0)") if self.kind == "long" else self.number()
+        return F.when(self.holds(), (wide - F.lit(self.base())).cast("double"))
+
+    def cut(self, sketched: float):
+        """A sketched value as a number of the column's type."""
+        if self.kind == "double":
+            return sketched
+        if self.kind == "long":
+            return max(-(1 << 63), min((1 << 63) - 1, self.base() + round(sketched)))
+        scale = int(self.kind[:-1].split(",")[1])
+        return _WIDE.quantize(_WIDE.add(Decimal(self.base()), Decimal(sketched)), Decimal(1).scaleb(-scale))
+
     def settle(self, cuts: list[float], smaller: list[int], equal: list[int]) -> None:
         """Use the counts of rows below and at each cut point of the span."""
         place, inside = self.rank - self.below, self.inside
@@ -110,10 +133,10 @@ def _narrow(
         sketches = []
         for i, group in enumerate(spans):
             ends = _sketch_ends([(s.rank - s.below + 0.5) / s.inside for s in group], accuracy)
-            sketches.append(F.percentile_approx(group[0].value(), ends, accuracy).alias(f"s{i}"))
+            sketches.append(F.percentile_approx(group[0].sketched(), ends, accuracy).alias(f"s{i}"))
         found = df.agg(*sketches).first()
 
-    cuts = [sorted(set(found[f"s{i}"])) for i in range(len(spans))]
+    cuts = [sorted({group[0].cut(c) for c in found[f"s{i}"]}) for i, group in enumerate(spans)]
     regions = []
     for i, group in enumerate(spans):
         value = group[0].number()
@@ -202,8 +225,7 @@ def _counts_and_cuts(
     ends = _sketch_ends(probabilities, accuracy)
     aggregates = []
     for i, c in enumerate(columns):
-        kind = _kind(df, c)
-        value = clean_number(c) if kind == "double" else col(c).cast(kind)
+        value = clean_number(c)
         aggregates += [F.count(value).alias(f"c{i}"), F.percentile_approx(value, ends, accuracy).alias(f"s{i}")]
     row = df.agg(*aggregates).first()
     counts, cuts = {}, {}
