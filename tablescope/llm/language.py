@@ -1,8 +1,9 @@
 """Language by bit-sliced Bloom filters: one bit per language behind each hashed n-gram.
 
 An n-gram belongs to a language when its share among the language's n-grams reaches a bound and is not small beside
-its share in the language that uses it most. The filter is one array of language masks; the AND of an n-gram's masks
-names all languages that contain it, and each language's count of hits, less the expected false ones, decides.
+its share in the language that uses it most. The filter is an array of language masks for every 64 languages; the AND
+of an n-gram's masks names all languages that contain it, and each language's count of hits, less the expected false
+ones, decides.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ LEAST_SHARE = 2e-5
 LEAST_PART = 0.34
 FILTER_BITS = 20
 HASHES = 2
-#: Languages that one mask can hold.
-MOST_LANGUAGES = 64
+#: Languages of one mask: more languages take more masks for each place.
+MASK_LANGUAGES = 64
+#: N-grams that a task counts before it sends them on.
+COUNTED = 1 << 23
 
 
 @dataclass
 class LanguageModel:
-    """Names of the languages, the masks by place, and each language's share of set bits."""
+    """Names of the languages, the masks by 64 languages and place, and each language's share of set bits."""
 
     names: list[str] = field(default_factory=list)
-    masks: np.ndarray = field(default_factory=lambda: np.zeros(1 << FILTER_BITS, np.uint64))
+    masks: np.ndarray = field(default_factory=lambda: np.zeros((0, 1 << FILTER_BITS), np.uint64))
     filled: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
@@ -86,8 +89,8 @@ def _places(codes: np.ndarray) -> list[np.ndarray]:
 def fit(docs: DataFrame, learn=None) -> LanguageModel:
     """Count n-grams of all rows that may be learned and build the filter.
 
-    ``learn`` is a condition on ``doc_id``; by default crc32 of the id, modulo 3, is not 1. Null and blank languages
-    are not learned. Counts are combined in each task before the shuffle; what comes back is at most
+    ``learn`` is a condition on ``doc_id``; by default crc32 of the id, modulo 3, is not 1. Every language but
+    null is learned, whatever their number. Counts are combined in each task before the shuffle; what comes back is at most
     ``1 / LEAST_SHARE`` n-grams per language and n, whatever the number of documents.
     """
     ship_by_value()
@@ -107,6 +110,7 @@ def fit(docs: DataFrame, learn=None) -> LanguageModel:
                 [pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"]
             )
 
+        held = 0
         for batch in batches:
             for part in text_slices(batch, limit=1 << 19):
                 langs = np.array(part.column("lang").to_pylist(), object)
@@ -115,10 +119,18 @@ def fit(docs: DataFrame, learn=None) -> LanguageModel:
                     codes, n = np.unique(code[(langs == name)[row]], return_counts=True)
                     parts = kept.setdefault(name, [])
                     parts.append((codes, n))
+                    held += len(codes)
                     if len(parts) >= 8:
                         kept[name] = [merged(parts)]
                         if len(kept[name][0][0]) > 1 << 20:  # a bound on the task's memory, not on what is counted
                             yield out(name, kept.pop(name))
+                if held > COUNTED:  # many languages together: see what is held once equal n-grams are merged
+                    kept = {name: [merged(parts)] for name, parts in kept.items()}
+                    held = sum(len(parts[0][0]) for parts in kept.values())
+                    if held > COUNTED // 2:
+                        for name, parts in kept.items():
+                            yield out(name, parts)
+                        kept, held = {}, 0
         for name, parts in kept.items():
             yield out(name, parts)
 
@@ -126,21 +138,23 @@ def fit(docs: DataFrame, learn=None) -> LanguageModel:
     # the shares need each language's total; both come from the one stored table of counts
     counts = materialize(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").collect()
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"{len(totals)} languages; one filter holds {MOST_LANGUAGES}")
     if not totals:
         return LanguageModel()
     names = [r["lang"] for r in totals]
-    share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], float(r["total"]))]), F.col("lang"))
-    often = counts.withColumn("share", share).where(F.col("share") >= LEAST_SHARE)
-    rows = often.select("lang", "code", "share").toPandas()
-    bit = {name: np.uint64(1 << k) for k, name in enumerate(names)}
+    known = counts.sparkSession.createDataFrame(
+        [(r["lang"], k, float(r["total"])) for k, r in enumerate(totals)], "lang string, number int, total double"
+    )
+    often = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total"))
+    rows = often.where(F.col("share") >= LEAST_SHARE).select("number", "code", "share").toPandas()
     rows = rows[rows["share"] >= LEAST_PART * rows.groupby("code")["share"].transform("max")]
-    model = LanguageModel(names)
-    bits = np.array([bit[x] for x in rows["lang"]], np.uint64)
+    model = LanguageModel(names, np.zeros((-(-len(names) // MASK_LANGUAGES), 1 << FILTER_BITS), np.uint64))
+    slab, bit = np.divmod(rows["number"].to_numpy(np.int64), MASK_LANGUAGES)
+    bits = np.uint64(1) << bit.astype(np.uint64)
     for place in _places(rows["code"].to_numpy(np.int64).view(np.uint64)):
-        np.bitwise_or.at(model.masks, place, bits)
-    model.filled = np.array([((model.masks >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(names))])
+        np.bitwise_or.at(model.masks, (slab, place), bits)
+    model.filled = np.array(
+        [((model.masks[k // MASK_LANGUAGES] >> np.uint64(k % MASK_LANGUAGES)) & np.uint64(1)).mean() for k in range(len(names))]
+    )
     return model
 
 
@@ -155,15 +169,20 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, limit=1 << 19):
                 row, code, has = grams_of(part.column("text").to_pylist())
-                mask = np.full(len(code), np.uint64(2**64 - 1))
-                for place in _places(code):
-                    mask &= model.masks[place]
+                places = _places(code)
                 rows, n = part.num_rows, len(model.names)
                 total = np.maximum(np.bincount(row, minlength=rows), 1)
                 hits = np.zeros((rows, max(n, 1)))
-                for k in range(n):
-                    seen = np.bincount(row[((mask >> np.uint64(k)) & np.uint64(1)).astype(bool)], minlength=rows)
-                    hits[:, k] = np.maximum(seen - false_rate[k] * total, 0) / (1 - false_rate[k])
+                for slab, masks in enumerate(model.masks):
+                    mask = masks[places[0]]
+                    for place in places[1:]:
+                        mask &= masks[place]
+                    some = np.flatnonzero(mask)
+                    mask, at = mask[some], row[some]
+                    for k in range(slab * MASK_LANGUAGES, min((slab + 1) * MASK_LANGUAGES, n)):
+                        bit = np.uint64(k % MASK_LANGUAGES)
+                        seen = np.bincount(at[((mask >> bit) & np.uint64(1)).astype(bool)], minlength=rows)
+                        hits[:, k] = np.maximum(seen - false_rate[k] * total, 0) / (1 - false_rate[k])
                 best = hits.argmax(1)
                 most = hits[np.arange(rows), best]
                 decided = has & (most > 0) if n else np.zeros(rows, bool)

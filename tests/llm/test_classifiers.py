@@ -88,3 +88,21 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["lang_pred"] for r in language.identify(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_more_languages_than_one_mask_holds(spark):
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x0561, 0x0587)] + [chr(c) for c in range(0x10D0, 0x10F0)] + [chr(c) for c in range(0x0430, 0x0450)]
+    rows = []
+    for k in range(150):
+        own = rng.sample(letters, 9)
+        for i in range(12):
+            text = " ".join("".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(30))
+            rows.append((100 * k + i, text, f"l{k}", 0.0, 0))
+    rows.append((99000, "qq ww", " ", 0.0, 0))  # a blank name is a name
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = language.fit(docs)
+    assert len(model.names) > 128 and len(model.masks) == 3
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert len(got) == len(rows) and sum(got[r[0]] == r[2] for r in held) > 0.95 * len(held)
