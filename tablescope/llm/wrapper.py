@@ -144,11 +144,10 @@ class Page:
         self.blocks: list[tuple[int, str, int, bool]] = []  # node, text, characters of links, within the main element
         self._open: list[str] = []
         self._links = 0
-        self._walk(parse(page), self.skeleton, False)
-        self._end(self.skeleton, False)
+        self._walk(parse(page))
         # nodes are numbered from the front once runs are merged
         numbers: dict[int, int] = {}
-        self.text = self._name(self.skeleton, numbers)
+        self.text = self._name(numbers)
         self.blocks = [(numbers[k], t, n, m) for k, t, n, m in self.blocks]
 
     def _end(self, place: list, main: bool) -> None:
@@ -157,38 +156,54 @@ class Page:
             self.blocks.append((place[2], text, self._links, main))
         self._open, self._links = [], 0
 
-    def _walk(self, node: Node, place: list, main: bool) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                self._open.append(child)
-                if node.link:
-                    self._links += len(child)
-            elif child.excluded:
-                if child.tag not in _INLINE:
+    def _walk(self, root: Node) -> None:
+        # open elements, the innermost last: children to come, the element, its place, and whether main holds it
+        under = [(iter(root.children), root, self.skeleton, False)]
+        while under:
+            children, node, place, main = under[-1]
+            for child in children:
+                if isinstance(child, str):
+                    self._open.append(child)
+                    if node.link:
+                        self._links += len(child)
+                elif child.excluded:
+                    if child.tag not in _INLINE:
+                        self._end(place, main)
+                elif child.tag in _INLINE:
+                    if child.tag in ("br", "img"):
+                        self._open.append(" ")
+                    under.append((iter(child.children), child, place, main))
+                    break
+                else:
                     self._end(place, main)
-            elif child.tag in _INLINE:
-                if child.tag in ("br", "img"):
-                    self._open.append(" ")
-                self._walk(child, place, main)
+                    inside = place[1][-1] if place[1] and place[1][-1][0] == child.label else None
+                    if inside is None:
+                        inside = [child.label, [], self.count]
+                        self.count += 1
+                        place[1].append(inside)
+                    under.append((iter(child.children), child, inside, main or child.tag in _MAIN))
+                    break
             else:
-                self._end(place, main)
-                inside = place[1][-1] if place[1] and place[1][-1][0] == child.label else None
-                if inside is None:
-                    inside = [child.label, [], self.count]
-                    self.count += 1
-                    place[1].append(inside)
-                within = main or child.tag in _MAIN
-                self._walk(child, inside, within)
-                self._end(inside, within)
-
-    def _name(self, place: list, numbers: dict[int, int]) -> str:
-        numbers[place[2]] = len(numbers)
-        inner = "".join(self._name(c, numbers) for c in place[1])
-        return f"{place[0].replace('(', '').replace(')', '')}({inner})"
-
-
-def _tree(skeleton: str) -> tuple:
-    """(label, children, number) from a skeleton's string."""
+                under.pop()
+                if node.tag not in _INLINE:
+                    self._end(place, main)
+
+    def _name(self, numbers: dict[int, int]) -> str:
+        parts, rest = [], [self.skeleton]
+        while rest:
+            place = rest.pop()
+            if place is None:
+                parts.append(")")
+                continue
+            numbers[place[2]] = len(numbers)
+            parts.append(f"{place[0].replace('(', '').replace(')', '')}(")
+            rest.append(None)
+            rest.extend(reversed(place[1]))
+        return "".join(parts)
+
+
+def _tree(skeleton: str) -> list:
+    """[label, children, number] from a skeleton's string."""
     stack: list[list] = [["", []]]
     number = 0
     for label, mark in re.findall(r"([^()]*)([()])", skeleton):
@@ -199,35 +214,55 @@ def _tree(skeleton: str) -> tuple:
             stack.append(node)
         else:
             stack.pop()
+    return stack[0][1][0]
 
-    def fixed(node: list) -> tuple:
-        return node[0], tuple(fixed(c) for c in node[1]), node[2]
 
-    return fixed(stack[0][1][0])
+def _match(a: list, b: list) -> list[tuple[int, int]]:
+    """Simple tree matching: the pairs of the largest order-keeping match of two trees with equal roots."""
 
+    def opened(a: list, b: list) -> list:
+        # two trees, the table of best matches of their first children (size, pairs), and the next cell to fill
+        return [a, b, [[(0, None)] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)], 0]
 
-def _match(a: tuple, b: tuple) -> tuple[int, tuple]:
-    """Simple tree matching: size of the largest order-keeping match of two trees with equal roots, and its pairs."""
     if a[0] != b[0]:
-        return 0, ()
-    m, n = len(a[1]), len(b[1])
-    best = [[(0, ())] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            up, left = best[i - 1][j], best[i][j - 1]
+        return []
+    under, done = [opened(a, b)], None
+    while under:
+        a, b, best, at = frame = under[-1]
+        n = len(b[1])
+        while at < len(a[1]) * n:
+            i, j = divmod(at, n)
+            if done is None and a[1][i][0] == b[1][j][0]:
+                frame[3] = at
+                under.append(opened(a[1][i], b[1][j]))
+                break
+            size, pairs = done or (0, None)
+            done = None
+            up, left = best[i][j + 1], best[i + 1][j]
             kept = up if up[0] >= left[0] else left
-            size, pairs = _match(a[1][i - 1], b[1][j - 1])
-            if size and best[i - 1][j - 1][0] + size > kept[0]:
-                kept = (best[i - 1][j - 1][0] + size, (*best[i - 1][j - 1][1], *pairs))
-            best[i][j] = kept
-    return best[m][n][0] + 1, (*best[m][n][1], (a[2], b[2]))
+            if size and best[i][j][0] + size > kept[0]:
+                kept = (best[i][j][0] + size, (best[i][j][1], pairs, None))
+            best[i + 1][j + 1] = kept
+            at += 1
+        else:
+            under.pop()
+            size, pairs = best[-1][-1]
+            done = size + 1, (pairs, None, (a[2], b[2]))
+    found, rest = [], [done[1]]
+    while rest:
+        node = rest.pop()
+        if node is not None:
+            rest += node[:2]
+            if node[2]:
+                found.append(node[2])
+    return found
 
 
 def align(skeleton: str, reference: str) -> dict[int, int]:
     """The reference's node for each node of a skeleton that has one."""
     if skeleton == reference:
         return {k: k for k in range(skeleton.count("("))}
-    return dict(_match(_tree(skeleton), _tree(reference))[1])
+    return dict(_match(_tree(skeleton), _tree(reference)))
 
 
 class Aligner:
@@ -254,29 +289,30 @@ def _host():
 
 
 def _counts(pages: DataFrame) -> DataFrame:
-    """``host, skeleton, node, hash, n, chars, links``: per host, skeleton, node and text the pages that hold it; a row
-    of node -1 counts the pages of a skeleton."""
+    """``host, kind, node, hash, n, chars, links, skeleton``: per host, kind (hash of the skeleton), node and text the
+    pages that hold it; a row of node -1 counts the pages of a skeleton and alone has it as a string, which is as long
+    as a page is deep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: dict) -> pa.RecordBatch:
             rows = [(*k, *v) for k, v in held.items()]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                ["host", "skeleton", "node", "hash", "n", "chars", "links"],
+                ["host", "kind", "node", "hash", "skeleton", "n", "chars", "links"],
             )
 
         held: dict = {}
         for batch in batches:
             for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(text or "")
-                seen = {}
+                seen, kind = {}, _hash(page.text)
                 for node, block, links, _ in page.blocks:
-                    key = (host, page.text, node, _hash(block))
+                    key = (host, kind, node, _hash(block), None)
                     n, chars, linked = seen.get(key, (1, 0, 0))
                     seen[key] = (1, chars + len(block), linked + min(links, len(block)))
-                seen[host, page.text, -1, 0] = (1, 0, 0)
+                seen[host, kind, -1, 0, page.text] = (1, 0, 0)
                 for key, new in seen.items():
                     old = held.get(key, (0, 0, 0))
                     held[key] = tuple(a + b for a, b in zip(old, new, strict=True))
@@ -286,9 +322,9 @@ def _counts(pages: DataFrame) -> DataFrame:
         yield out(held)
 
     found = pages.select("host", "html").mapInArrow(
-        run, "host string, skeleton string, node int, hash long, n long, chars long, links long"
+        run, "host string, kind long, node int, hash long, skeleton string, n long, chars long, links long"
     )
-    return found.groupBy("host", "skeleton", "node", "hash").agg(
+    return found.groupBy("host", "kind", "node", "hash", "skeleton").agg(
         *[F.sum(c).alias(c) for c in ("n", "chars", "links")]
     )
 
@@ -298,7 +334,7 @@ def induce(pages: DataFrame) -> DataFrame:
     text), and the slots of menus. ``pages`` has ``host, html``."""
     ship_by_value()
     counts = materialize(_counts(pages))
-    skeletons = counts.where(F.col("node") == -1).select("host", "skeleton", "n")
+    skeletons = counts.where(F.col("node") == -1).select("host", "kind", "skeleton", "n")
     references = materialize(
         skeletons.groupBy("host").agg(
             F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference"), F.sum("n").alias("pages")
@@ -307,25 +343,25 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, skeleton, node, slot = [], [], [], []
-            for h, s, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            host, kind, node, slot = [], [], [], []
+            for h, k, s, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for a, b in align(s, r).items():
                     host.append(h)
-                    skeleton.append(s)
+                    kind.append(k)
                     node.append(a)
                     slot.append(b)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip((host, skeleton, node, slot), kinds, strict=True)],
-                ["host", "skeleton", "node", "slot"],
+                [pa.array(c, t) for c, t in zip((host, kind, node, slot), kinds, strict=True)],
+                ["host", "kind", "node", "slot"],
             )
 
     slots = materialize(
         skeletons.join(references, "host")
-        .select("host", "skeleton", "reference")
-        .mapInArrow(aligned, "host string, skeleton string, node int, slot int")
+        .select("host", "kind", "skeleton", "reference")
+        .mapInArrow(aligned, "host string, kind long, node int, slot int")
     )
-    blocks = counts.where(F.col("node") >= 0).join(slots, ["host", "skeleton", "node"])
+    blocks = counts.where(F.col("node") >= 0).join(slots, ["host", "kind", "node"])
     by_text = blocks.groupBy("host", "slot", "hash").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "links")])
     by_text = materialize(by_text.join(references.select("host", "pages"), "host"))
     # a slot has few constant texts: each takes its share of the host's pages

@@ -119,3 +119,12 @@ def test_wrappers(spark):
     assert [got[i]["text"] for i in (20, 21, 22)] == ["", "x", ""]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert wrapper.extract(df).count() == len(rows) and wrapper.extract(df.limit(0)).count() == 0
+
+
+def test_deep_pages(spark):
+    deep = ["<font>" * 10_000 + "inline", "<div>" * 10_000 + "block", "<div>x" * 3_000, "<b><section>" * 5_000 + "end"]
+    pages = [(i, "http://d.example", f"<p>own {i}</p>" + deep[i % 4], "k") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string, host string").repartition(2)).collect()}
+    assert got == {i: f"own {i}" + ("\n" + ("inline", "block", "\n".join(["x"] * 3_000), "end")[i % 4]) for i in range(8)}
+    a, b = ("x(" * n + ")" * n for n in (10_000, 9_999))
+    assert wrapper.align(a, b) == {k: k for k in range(9_999)}
