@@ -2,13 +2,14 @@
 
 1. Every text is recompressed in its task. Each window of ``width`` words names one symbol inside it (see
    ``window_symbols``); neighbouring windows that name the same symbol are a unit. One row per unit is shuffled by the
-   symbol's key, with a hash of all words of the unit.
+   symbol's key and a hash of all words of the unit.
 2. Units of equal key and content are repeats in full. Where units of one key differ, some of their windows may still
    be equal; only these windows are compared one by one, by 128 bits.
 3. The words that repeated windows cover are removed.
 
-A task sends one row per key and content at most, whatever the number of copies it has read, so no key gathers more
-rows than there are tasks.
+A task sends one row per key and content at most, whatever the number of copies it has read, so no key and content
+gather more rows than there are tasks. A key alone may have any number of contents: its contents are only counted, and
+where they are many, the few keys of that kind are broadcast.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ WIDTH = 35
 ROUNDS = 3
 #: Rows that a task holds back to combine equal ones.
 COMBINED_ROWS = 1 << 20
+#: Contents of a key beyond which its rows are not shuffled by the key.
+HOT_KEY = 1 << 16
 
 _REPEATED, _UNSURE, _WITNESS = 2, 1, 3  # a unit that repeats; one to compare by window; one that repeats and is compared with
 
@@ -129,29 +132,37 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[
 
 
 def _compared(units: DataFrame) -> DataFrame:
-    """``ref, code``: 4 * start + what is known about the unit there, for units that share their key with others."""
+    """``ref, code``: 4 * start + what is known about the unit there, for units that share their key with others.
+
+    Rows meet by key and content; of these groups one row each asks whether its key has other contents. Such keys are
+    counted with a combinable aggregate, and no task gathers the rows of a key that more than ``HOT_KEY`` contents share.
+    A unit that repeats and is a witness has a row of either code.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, content, ref, start, n in whole_groups(batches, 1):
-            state = np.where(n == 0, _REPEATED, 0)
-            open_ = np.flatnonzero(n > 0)
-            if len(open_):
-                k, c = key[open_], content[open_]
-                group = np.ones(len(k), bool)
-                group[1:] = k[1:] != k[:-1]
-                kind = group.copy()
-                kind[1:] |= c[1:] != c[:-1]
-                total = np.add.reduceat(n[open_], np.flatnonzero(kind))[np.cumsum(kind) - 1]
-                mixed = (np.add.reduceat(kind.astype(int), np.flatnonzero(group)) > 1)[np.cumsum(group) - 1]
-                state[open_] = np.where(
-                    total >= 2, np.where(mixed & kind, _WITNESS, _REPEATED), np.where(mixed, _UNSURE, 0)
-                )
-            known = state > 0
-            code = start[known].astype(np.int64) * 4 + state[known]
-            yield pa.RecordBatch.from_arrays([pa.array(ref[known]), pa.array(code)], ["ref", "code"])
+        for key, content, ref, start, n in whole_groups(batches, 2):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | ((n[1:] == 0) != (n[:-1] == 0))
+            total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
+            state = np.where((n == 0) | (total >= 2), _REPEATED, 0)
+            asks = new & (n > 0)
+            code = start.astype(np.int64) * 4 + state
+            known = asks | (state > 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[known]) for x in (key, ref, code, asks)], ["key", "ref", "code", "asks"]
+            )
 
-    rows = units.repartition("key").sortWithinPartitions("key", "content")
-    return rows.mapInArrow(run, "ref long, code long")
+    rows = units.repartition("key", "content").sortWithinPartitions("key", "content", "n")
+    rows = materialize(rows.mapInArrow(run, "key long, ref long, code long, asks boolean"))
+    asking = rows.where("asks").select("key", "ref", "code")
+    mixed = materialize(asking.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1"))
+    # few keys can be hot: their number is at most that of all units by HOT_KEY
+    hot = F.broadcast(mixed.where(F.col("contents") > HOT_KEY).select("key"))
+    others = mixed.where(F.col("contents") <= HOT_KEY).select("key")
+    found = asking.join(hot, "key").unionByName(asking.join(hot, "key", "left_anti").join(others, "key"))
+    # _UNSURE and _WITNESS follow 0 and _REPEATED
+    found = found.select("ref", (F.col("code") + 1).alias("code"))
+    return rows.where(F.col("code") % 4 == _REPEATED).select("ref", "code").unionByName(found)
 
 
 def _distinct_texts(docs: DataFrame) -> DataFrame:

@@ -66,3 +66,23 @@ def test_small_tasks_and_removal(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert substrings.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_key_of_many_contents_is_not_gathered(spark, monkeypatch):
+    gather = substrings.whole_groups
+
+    def bounded(batches, keys):
+        for columns in gather(batches, keys):
+            _, size = np.unique(np.stack([c.view(np.uint64) for c in columns[:keys]]), axis=1, return_counts=True)
+            assert size.max() <= 4, f"{size.max()} rows of a group in one task"
+            yield columns
+
+    monkeypatch.setattr(substrings, "whole_groups", bounded)
+    monkeypatch.setattr(substrings, "HOT_KEY", 20, raising=False)
+    rng = random.Random(4)
+    phrase = [f"line{i}" for i in range(30)]  # shorter than a window
+    texts = [" ".join([*(f"a{rng.random()}" for _ in range(40)), *phrase, *(f"b{rng.random()}" for _ in range(40))]) for _ in range(200)]
+    texts += [texts[0] + " end", "start " + texts[1], texts[2], texts[2] + " x y z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = substrings.digest(df).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute(texts, 35)
