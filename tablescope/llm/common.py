@@ -154,7 +154,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, ro
     """Join a bounded sample of the labels to their texts.
 
     ``held_out``: the condition on ``doc_id`` of rows that must not be learned from. The sampled ids are broadcast:
-    there are at most ``2 * rows`` of them. A document with two labels counts as label 1.
+    there are at most ``2 * rows`` of them. A document with two labels counts as label 1. Of the texts of a repeated id
+    the one with the smallest hash is taken, so the bound holds for texts too.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -175,4 +176,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, ro
     if chosen is None:
         chosen = known
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return LabelledSample(texts.join(F.broadcast(chosen), "doc_id"), sizes)
+    drawn = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    one = drawn.agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return LabelledSample(one.select("doc_id", F.col("least.text").alias("text"), "label"), sizes)

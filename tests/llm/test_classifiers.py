@@ -106,3 +106,11 @@ def test_more_languages_than_one_mask_holds(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
     assert len(got) == len(rows) and sum(got[r[0]] == r[2] for r in held) > 0.95 * len(held)
+
+
+def test_sample_has_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(200)] + [(7, None)] + [(3, f"copy {i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(20)], "doc_id long, toxic int")
+    held_out = toxicity.F.lit(False)
+    a, b = (sorted(map(tuple, toxicity.labelled_sample(docs.repartition(n), labels, "toxic", held_out, 50).docs.collect())) for n in (2, 5))
+    assert a == b and [r[0] for r in a] == list(range(20))
