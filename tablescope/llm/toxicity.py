@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-grams.
 
-Every shard of a bounded labelled sample is learned in one task with per-coordinate rates; the shards' sparse weights
-are averaged (parameter mixing). L1 leaves a few thousand weights, which are broadcast as two arrays.
+The whole of a bounded labelled sample is learned in one task with per-coordinate rates: averaging the weights of parts,
+each with the same L1 on fewer texts, would lose weights that one part alone keeps. L1 leaves a few thousand weights, which are broadcast as two arrays.
 """
 
 from __future__ import annotations
@@ -25,15 +25,14 @@ from tablescope.llm.common import (
     word_hashes,
 )
 
-#: Labelled texts of each class that the weights are learned from (a documented bound), and texts of one shard.
+#: Labelled texts of each class that the weights are learned from (a documented bound).
 SAMPLE_ROWS = 6000
-SHARD_ROWS = 6000
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class Rates:
-    """FTRL-proximal settings: learning rate, its damping, L1, L2, passes over the shard, bits of the hash space."""
+    """FTRL-proximal settings: learning rate, its damping, L1, L2, passes over the sample, bits of the hash space."""
 
     alpha: float = 1.0
     beta: float = 1.0
@@ -80,7 +79,7 @@ def hashed_features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _learn(texts: list[str], labels: np.ndarray, rates: Rates) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal on one shard: feature, weight, and the weight of the constant."""
+    """FTRL-proximal over the texts in turn: feature, weight, and the weight of the constant."""
     z = np.zeros((1 << rates.bits) + 1, np.float32)
     n = np.zeros((1 << rates.bits) + 1, np.float32)
     constant = 1 << rates.bits
@@ -114,7 +113,7 @@ def fit(
     """Learn from at most ``rows`` labelled texts per class.
 
     ``held_out`` is a condition on ``doc_id`` that keeps rows from being learned; by default crc32 of the id, modulo
-    4, is 2. Rows with null or other labels are not used. Shards of about ``SHARD_ROWS`` texts learn apart; the class
+    4, is 2. Rows with null or other labels are not used. All texts are learned in turn at every size; the class
     sizes behind the sample correct the constant.
     """
     ship_by_value()
@@ -124,7 +123,7 @@ def fit(
     if not sample.usable:
         return ToxicityModel(constant=sample.prior, bits=rates.bits)
 
-    def shard(part: pd.DataFrame) -> pd.DataFrame:
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["place", "text"], kind="stable")
         at, weight, bias = _learn(part["text"].tolist(), part["label"].to_numpy(float), rates)
         positive = float(part["label"].mean())
@@ -132,21 +131,15 @@ def fit(
         return pd.DataFrame({"at": np.append(at, [-1, -2]), "weight": np.append(weight, [bias, odds])})
 
     place = F.xxhash64("doc_id", F.lit(23))
-    shards = max(1, round(sum(min(n, rows) for n in sample.sizes.values()) / SHARD_ROWS))
-    learned = (
-        sample.docs.select("text", "label", place.alias("place"), F.pmod(place, F.lit(shards)).alias("shard"))
-        .groupBy("shard")
-        .applyInPandas(shard, "at long, weight double")
-    )
-    got = learned.groupBy("at").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).toPandas()
+    chosen = sample.docs.select("text", "label", place.alias("place"))
+    got = chosen.groupBy().applyInPandas(learn, "at long, weight double").toPandas()
     if not len(got):
         return ToxicityModel(constant=sample.prior, bits=rates.bits)
-    learners = int(got.loc[got["at"] == -1, "n"].iloc[0])
-    mean = dict(zip(got["at"], got["weight"] / learners, strict=True))
-    bias, odds = mean.pop(-1), mean.pop(-2)
+    learned = dict(zip(got["at"], got["weight"], strict=True))
+    bias, odds = learned.pop(-1), learned.pop(-2)
     bias += np.log(sample.sizes[1] / sample.sizes[0]) - odds
-    index = np.array(sorted(mean), np.int64)
-    return ToxicityModel(index, np.array([mean[k] for k in index], np.float32), float(bias), rates.bits)
+    index = np.array(sorted(learned), np.int64)
+    return ToxicityModel(index, np.array([learned[k] for k in index], np.float32), float(bias), rates.bits)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tablescope.llm import language, quality, toxicity
@@ -108,6 +109,21 @@ def test_more_languages_than_one_mask_holds(spark):
     assert len(got) == len(rows) and sum(got[r[0]] == r[2] for r in held) > 0.95 * len(held)
 
 
+def test_toxicity_learns_a_large_sample_as_one(spark):
+    rng = random.Random(7)
+    words = ["ka", "lo", "mi", "ter", "ven", "ost", "ria", "dor"]
+    docs = [(i, " ".join(rng.choices(words, k=5) + ["vile"] * (i % 3 == 0 and i % 5 > 0)), "xx", 0.0, 0) for i in range(15000)]
+    labels = [(i, 1, int(i % 3 == 0)) for i, *_ in docs]
+    docs, labels = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(labels, LABELS)
+    got = toxicity.fit(docs, labels, rates=toxicity.Rates(bits=16))
+    sample = toxicity.labelled_sample(docs, labels, "toxic", toxicity.crc_remainder(toxicity.F.col("doc_id"), 4) == 2, toxicity.SAMPLE_ROWS)
+    rows = sample.docs.select("text", "label", toxicity.F.xxhash64("doc_id", toxicity.F.lit(23)).alias("place")).toPandas()
+    assert len(rows) > 9000
+    rows = rows.sort_values(["place", "text"], kind="stable")
+    at, weight, _ = toxicity._learn(rows["text"].tolist(), rows["label"].to_numpy(float), toxicity.Rates(bits=16))
+    assert got.index.tolist() == at.tolist() and np.allclose(got.weight, weight)
+
+
 def test_sample_has_one_text_of_an_id(spark):
     docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(200)] + [(7, None)] + [(3, f"copy {i}") for i in range(900)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 8)) for i in range(20)], "doc_id long, toxic int")
