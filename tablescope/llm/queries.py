@@ -15,6 +15,7 @@ from tablescope.llm import (
     reuse,
     simhash,
     substrings,
+    token_counts,
     toxicity,
     wrapper,
 )
@@ -103,3 +104,8 @@ def op9_recompression(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_toxicity_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query
+def op13_token_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))

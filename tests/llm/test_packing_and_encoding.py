@@ -9,7 +9,8 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tablescope.llm import packing, reuse, tokens
+from tablescope.llm import packing, reuse, token_counts, transducer
+from tablescope.llm.common import utf8
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,13 +25,59 @@ def odd_texts(n=400):
     return [*texts, "x" * 5000, "long word " * 3000, " ".join(texts[:50])]
 
 
-def test_pieces_give_the_tokenizer_s_ids():
-    encoder, whole = tokens.PieceEncoder(BYTES, memory=500), Tokenizer.from_file(BYTES)
-    texts = odd_texts()
-    for k in range(0, len(texts), 50):
-        part = texts[k : k + 50]
-        expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
-        assert encoder.encode(part) == expected
+def compiled(most_states=transducer.MOST_STATES):
+    return transducer.Transducer(BYTES, transducer.character_classes(BYTES), most_states)
+
+
+def slices(texts, step):
+    for k in range(0, len(texts), step):
+        yield texts[k : k + step], utf8(pa.array(texts[k : k + step], pa.string()))
+
+
+def test_machines_give_the_tokenizer_s_ids_and_counts():
+    # few states: what was compiled is forgotten again and again
+    machine, whole = compiled(most_states=200), Tokenizer.from_file(BYTES)
+    for part, (data, places) in slices([None, *odd_texts(), "'re" * 700, " \n" * 900, "<|endoftext|>" * 3], 50):
+        expected = [whole.encode(t or "", add_special_tokens=False).ids for t in part]
+        ids, at = machine.ids(data, places)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == expected
+        assert machine.counts(data, places).tolist() == [len(e) for e in expected]
+
+
+def test_long_texts_are_read_in_windows(monkeypatch):
+    monkeypatch.setattr(transducer, "WINDOW", 300)
+    machine, whole = compiled(), Tokenizer.from_file(BYTES)
+    for text in ["".join(odd_texts(120)), "é" * 4000, " " * 3000 + "x", "ab " * 500 + "<|endoftext|>" * 200, "a" * 3000]:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        data, places = utf8(pa.array([text]))
+        assert machine.counts(data, places).tolist() == [len(ids)]
+        assert machine.ids(data, places)[0].tolist() == ids
+
+
+def test_maps_of_chunks_compose_to_reading_in_one_go():
+    rng = np.random.default_rng(1)
+    kinds = rng.integers(0, 12, 5000).astype(np.uint8)
+    one = transducer.cut_marks(kinds, lane=5000)
+    for lane in (1, 2, 7, 128):
+        assert (transducer.cut_marks(kinds, lane=lane) == one).all()
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        transducer.Transducer(WORDS, transducer.character_classes(WORDS))
+
+
+def test_token_counts(spark):
+    whole = Tokenizer.from_file(BYTES)
+    texts = [None, "", "one", "one", "word " * 700, *odd_texts(60)]
+    df = spark.createDataFrame([(i % 40, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int").repartition(3)
+    expected = sorted((i % 40, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts))
+    rows = token_counts.token_counts(df, BYTES).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows) == expected
+    assert all(r["over_limit"] == (r["n_tokens"] > 512) for r in rows) and any(r["over_limit"] for r in rows)
+    assert token_counts.token_counts(spark.createDataFrame([], "doc_id long, text string"), BYTES).count() == 0
+    named = spark.createDataFrame([(None, "a"), ("x", None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(named, BYTES).collect()} == {(None, 1), ("x", 0)}
 
 
 @pytest.mark.parametrize("limits", [packing.Limits(64), packing.Limits(64, documents=3), packing.Limits(64, attention=64**2 // 2 * 2, rule="dot"),
