@@ -7,7 +7,6 @@ many documents there are. Pieces of a length are numbered across all tasks, and
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import materialize, ship_by_value, text_slices
-from tablescope.llm.tokens import PieceEncoder
+from tablescope.llm.common import materialize, ship_by_value, text_slices, utf8
+from tablescope.llm.transducer import character_classes, transducer
 
 CAPACITY = 2048
 
@@ -122,18 +121,19 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
     last = np.array([end], "<u4").tobytes()
+    classes = character_classes(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = PieceEncoder(vocabulary)
+        compiled = transducer(vocabulary, classes)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in text_slices(batch):
                 doc, piece, start, length, crc, nth = [], [], [], [], [], []
-                ids_of = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of, strict=True):
-                    ids = ids + last
+                ids_of, places = compiled.ids(*utf8(part.column("text")))
+                raw, edges = ids_of.tobytes(), (places * 4).tolist()
+                for doc_id, x, y in zip(part.column("doc_id").to_pylist(), edges, edges[1:], strict=False):
+                    ids = raw[x:y] + last
                     n = len(ids) // 4
                     a, k = 0, 0
                     while a < n:
