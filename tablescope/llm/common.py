@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ __all__ = [
     "with_column",
     "word_bounds",
     "word_hashes",
+    "word_line",
+    "word_names",
 ]
 
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
@@ -94,13 +97,57 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte range, the same wherever the bytes stand."""
+    """A 64-bit hash of each byte range for features: some long ranges share it (see ``word_names``)."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1 + seed)) * _powers(_BASE, len(data))[:-1], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
     return mix(raw ^ mix((ends - starts).astype(np.uint64) + np.uint64(seed)))
 
 
+def word_line(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with one space between the words of a text: bytes, texts' places, and the bounds of ``word_bounds``.
+
+    A text may begin or end with a space; between two of its words there is exactly one.
+    """
+    data, places = utf8(texts)
+    blank = _SPACE[data]
+    kept = ~blank
+    kept[1:] |= ~blank[:-1]  # the first blank behind a word
+    line = np.where(blank, np.uint8(0x20), data)[kept]
+    places = np.concatenate([[0], np.cumsum(kept)])[places]
+    return line, places, *word_bounds(line, places)
+
+
+#: Bytes from which a word is hashed by itself.
+_LONG_WORD = 128
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range; eight bytes are mixed at a time, so ranges of up to eight bytes never collide
+    with others of their length."""
+    size = ends - starts
+    whole = np.zeros(len(data) // 8 * 8 + 24, np.uint8)
+    whole[: len(data)] = data
+    eight = whole.view("<u8")
+    name = mix(size.astype(np.uint64))
+    live = np.flatnonzero(size < _LONG_WORD)
+    offset = 0
+    while len(live):
+        at = starts[live] + offset
+        left = np.minimum(size[live] - offset, 8)
+        shift = ((at & 7) * 8).astype(np.uint64)
+        value = eight[at >> 3] >> shift
+        # two shifts, as one by 64 bits is undefined
+        value |= eight[(at >> 3) + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        value &= ~np.uint64(0) >> ((8 - left) * 8).astype(np.uint64) % np.uint64(64)
+        name[live] = mix(name[live] ^ value) + np.uint64(offset + 1)
+        offset += 8
+        live = live[size[live] > offset]
+    for k in np.flatnonzero(size >= _LONG_WORD).tolist():
+        name[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return name
+
+
 def text_key() -> list[Column]:
     """Two 64-bit hashes of the text; null counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -10,8 +10,10 @@ from tablescope.llm import (
     exact_search,
     language,
     packing,
+    periodic,
     phrases,
     quality,
+    ranked_search,
     reuse,
     simhash,
     substrings,
@@ -106,6 +108,48 @@ def op10_toxicity_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@_query
+def op11_presence_masks(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op11_presence_masks"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents
+), n AS (
+  SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n
+), q AS (
+  SELECT i, item_id, unnest(list_distinct(terms)) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark)
+), x AS (
+  SELECT r, unnest(terms) AS term FROM d
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY r, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term, docs
+), scored AS (
+  SELECT i, item_id, r, n.doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (r), total
+  GROUP BY i, item_id, r, n.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(_table(spark, folder, "documents"))
+
+
 @_query
 def op13_token_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))
