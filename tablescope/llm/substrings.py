@@ -4,7 +4,8 @@
    ``window_symbols``); neighbouring windows that name the same symbol are a unit. One row per unit is shuffled by the
    symbol's key and a hash of all words of the unit.
 2. Units of equal key and content are repeats in full. Where units of one key differ, some of their windows may still
-   be equal; only these windows are compared one by one, by 128 bits.
+   be equal; only these windows are compared one by one. Contents and windows are compared by the XXH3 digest of their
+   words themselves, 128 bits; keys and names only bring candidates together.
 3. The words that repeated windows cover are removed.
 
 A task sends one row per key and content at most, whatever the number of copies it has read, so no key and content
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,15 @@ from tablescope.llm.common import (
     text_key,
     text_slices,
     utf8,
-    word_bounds,
-    word_hashes,
+    word_line,
+    word_names,
 )
-from tablescope.llm.recompression import Ranges, window_symbols
+from tablescope.llm.recompression import window_symbols
 
 WIDTH = 35
 ROUNDS = 3
 #: Rows that a task holds back to combine equal ones.
-COMBINED_ROWS = 1 << 20
+COMBINED_ROWS = 1 << 19
 #: Contents of a key beyond which its rows are not shuffled by the key.
 HOT_KEY = 1 << 16
 
@@ -48,25 +50,34 @@ class _Words:
     """Words, windows and units of a slice of texts."""
 
     def __init__(self, texts: pa.Array, width: int, rounds: int):
-        self.data, places = utf8(texts)
-        self.starts, self.ends, self.first = word_bounds(self.data, places)
+        self.data, _, self.starts, self.ends, self.first = word_line(texts)
         count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), count)
-        hashes = word_hashes(self.data, self.starts, self.ends)
+        names = word_names(self.data, self.starts, self.ends)
         last = np.repeat(self.first[1:], count)
-        self.windows = np.flatnonzero(np.arange(len(hashes)) + width <= last)
-        self.key, place = window_symbols(hashes, self.text, self.windows, width, rounds)
+        self.windows = np.flatnonzero(np.arange(len(names)) + width <= last)
+        self.key, place = window_symbols(names, self.text, self.windows, width, rounds)
         new = np.ones(len(place), bool)
         new[1:] = (np.diff(place) != 0) | (np.diff(self.windows) != 1)
         self.unit = np.flatnonzero(new)  # number of a unit's first window
         self.unit_end = np.append(self.unit[1:], len(place)) if len(place) else self.unit
-        self.ranges = Ranges(hashes)
-        self.other = Ranges(hashes, 7)
-        a, b = self.windows[self.unit], self.windows[self.unit_end - 1] + width
-        offset = np.where(place[self.unit] >= 0, place[self.unit] - a, 0).astype(np.uint64)
-        self.content = mix(self.ranges.of(a, b) ^ mix(offset))
-        self.unit_text = self.text[a]
-        self.unit_start = a - self.first[self.unit_text]  # counted from the text's first word
+        self.unit_first, self.unit_last = self.windows[self.unit], self.windows[self.unit_end - 1] + width
+        self.unit_place = place[self.unit]
+        self.unit_text = self.text[self.unit_first]
+        self.unit_start = self.unit_first - self.first[self.unit_text]  # counted from the text's first word
+
+    def digests(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the digest of the words from ``a`` to ``b``, one space between them."""
+        line, digest = memoryview(self.data.tobytes()), xxhash.xxh3_128_digest
+        spans = zip(self.starts[a].tolist(), self.ends[b - 1].tolist(), strict=True)
+        made = np.frombuffer(b"".join([digest(line[x:y]) for x, y in spans]), np.uint64).reshape(-1, 2)
+        return made[:, 0], made[:, 1]
+
+    def contents(self) -> tuple[np.ndarray, np.ndarray]:
+        """What identifies the units: their words, and where in them the symbol stands."""
+        first, second = self.digests(self.unit_first, self.unit_last)
+        offset = np.where(self.unit_place >= 0, self.unit_place - self.unit_first, 0).astype(np.uint64)
+        return first ^ mix(offset), second
 
 
 def _combined(rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -74,16 +85,16 @@ def _combined(rows: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _units(docs: DataFrame, width: int, rounds: int) -> DataFrame:
-    """``key, content, ref, start, n``: units to compare (n: 1, or 2 for one that stands for several of the task), and
+    """``key, content, content2, ref, start, n``: units to compare (n: 1, or 2 for one that stands for several of the task), and
     with n = 0 units that are known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            key, content, ref, start = _combined(rows)
-            order = np.lexsort((content, key))
-            key, content, ref, start = key[order], content[order], ref[order], start[order]
+            key, content, content2, ref, start = _combined(rows)
+            order = np.lexsort((content2, content, key))
+            key, content, content2, ref, start = (x[order] for x in (key, content, content2, ref, start))
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+            new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (content2[1:] != content2[:-1])
             size = np.diff(np.append(np.flatnonzero(new), len(key)))
             n = np.zeros(len(key), np.int32)
             n[new] = np.minimum(size, 2)
@@ -91,8 +102,11 @@ def _units(docs: DataFrame, width: int, rounds: int) -> DataFrame:
             spread = mix(ref.view(np.uint64) + start.astype(np.uint64))
             key = np.where(n == 0, spread, key)
             return pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ref), pa.array(start), pa.array(n)],
-                ["key", "content", "ref", "start", "n"],
+                [
+                    *(pa.array(x.view(np.int64)) for x in (key, content, content2)),
+                    *(pa.array(x) for x in (ref, start, n)),
+                ],
+                ["key", "content", "content2", "ref", "start", "n"],
             )
 
         rows: list[tuple] = []
@@ -100,14 +114,16 @@ def _units(docs: DataFrame, width: int, rounds: int) -> DataFrame:
             for part in text_slices(batch):
                 w = _Words(part.column("text"), width, rounds)
                 ref = part.column("ref").to_numpy(zero_copy_only=False)
-                rows.append((w.key[w.unit], w.content, ref[w.unit_text], w.unit_start.astype(np.int32)))
+                rows.append((w.key[w.unit], *w.contents(), ref[w.unit_text], w.unit_start.astype(np.int32)))
                 if sum(len(r[0]) for r in rows) >= COMBINED_ROWS:
                     yield out(rows)
                     rows = []
         if rows:
             yield out(rows)
 
-    return docs.select("ref", "text").mapInArrow(run, "key long, content long, ref long, start int, n int")
+    return docs.select("ref", "text").mapInArrow(
+        run, "key long, content long, content2 long, ref long, start int, n int"
+    )
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -140,9 +156,10 @@ def _compared(units: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, content, ref, start, n in whole_groups(batches, 2):
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | ((n[1:] == 0) != (n[:-1] == 0))
+        for key, content, content2, ref, start, n in whole_groups(batches, 3):
+            new = np.arange(len(key)) == 0
+            for x in (key, content, content2, n == 0):
+                new[1:] |= x[1:] != x[:-1]
             total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
             state = np.where((n == 0) | (total >= 2), _REPEATED, 0)
             asks = new & (n > 0)
@@ -152,7 +169,7 @@ def _compared(units: DataFrame) -> DataFrame:
                 [pa.array(x[known]) for x in (key, ref, code, asks)], ["key", "ref", "code", "asks"]
             )
 
-    rows = units.repartition("key", "content").sortWithinPartitions("key", "content", "n")
+    rows = units.repartition("key", "content", "content2").sortWithinPartitions("key", "content", "content2", "n")
     rows = materialize(rows.mapInArrow(run, "key long, ref long, code long, asks boolean"))
     asking = rows.where("asks").select("key", "ref", "code")
     mixed = materialize(asking.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1"))
@@ -201,7 +218,7 @@ def _unit_windows(w: _Words, codes: list, states: tuple[int, ...]) -> tuple[np.n
 
 
 def _single_windows(flagged: DataFrame, width: int, rounds: int) -> DataFrame:
-    """``first, second, ref, ref2, start, n`` of windows to compare, both hashes of their words in front."""
+    """``first, second, ref, ref2, start, n`` of windows to compare, the digest of their words in front."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -234,9 +251,7 @@ def _single_windows(flagged: DataFrame, width: int, rounds: int) -> DataFrame:
                 text = w.text[at]
                 ref, ref2 = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("ref", "ref2"))
                 start = (at - w.first[text]).astype(np.int32)
-                rows.append(
-                    (w.ranges.of(at, at + width), w.other.of(at, at + width), ref, ref2, start, state == _UNSURE)
-                )
+                rows.append((*w.digests(at, at + width), ref, ref2, start, state == _UNSURE))
                 if sum(len(r[0]) for r in rows) >= COMBINED_ROWS:
                     yield out(rows)
                     rows = []

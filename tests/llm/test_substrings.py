@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tablescope.llm import substrings
+from tablescope.llm.common import mix, word_line, word_names
 
 
 def brute(texts, width):
@@ -86,3 +87,54 @@ def test_a_key_of_many_contents_is_not_gathered(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     got = substrings.digest(df).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in got] == brute(texts, 35)
+
+
+def alternating(flip, n):
+    """Letters by the parity of the bits of the place: sums with powers of an odd base cancel between both patterns."""
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("size", [8, 64, 1024, 4096])
+def test_words_that_cancel_in_sums_are_told_apart(spark, size):
+    common = [f"w{k}" for k in range(30)]
+    texts = [" ".join([*common, alternating(flip, size), *common[::-1][:29]]) for flip in (0, 1)]
+    texts += [" ".join(["x", *common, alternating(0, size), "tail", "words", "of", "it", "y"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = substrings.digest(df).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute(texts, 35)
+    assert [r["n_removed"] for r in got] == [0, 0, 0]
+
+
+def test_names_do_not_decide(spark, monkeypatch):
+    """Even if all words had one of four names, the words themselves are compared."""
+    import tablescope.llm.substrings as module
+
+    monkeypatch.setattr(module, "word_names", lambda data, a, b: mix((b - a).astype(np.uint64) % np.uint64(4)))
+    texts = mixed(12, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = substrings.digest(df, 9, 2).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute(texts, 9)
+
+
+def test_word_names():
+    rng = random.Random(3)
+    words = {bytes(rng.choice(b"abcd") for _ in range(rng.randrange(1, 300))) for _ in range(3000)}
+    words |= {alternating(f, n).encode() for f in (0, 1) for n in (8, 16, 1024, 2048)}
+    first = sorted(words)
+    import pyarrow as pa
+
+    names = {}
+    for order in (first, first[::-1]):
+        data, _, a, b, _ = word_line(pa.array([b" ".join(order).decode()]))
+        for word, name in zip(order, word_names(data, a, b).tolist()):
+            assert names.setdefault(word, name) == name
+    assert len(set(names.values())) == len(words)
+
+
+def test_a_long_text(spark):
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(4000)}" for _ in range(250_000)]
+    words[200_000:200_060] = words[100:160]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[150_000:150_034])), (3, " ".join(words[150_000:150_035]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.digest(df).collect()}
+    assert got == {1: 60 + 60 + 35, 2: 0, 3: 35}
