@@ -6,11 +6,11 @@ smallest hashes are the fingerprint; two fingerprints compare like the phrase se
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,47 +82,83 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
+#: Rows of the sample from which the ends of a run are taken.
+_SAMPLED_PER_RUN = 64
+
+
+def _order_key(doc_id, text_hash: int) -> tuple:
+    """Ascending key of the order whose reverse is that of the documents: null ids first, ids, hashes of the texts."""
+    return doc_id is not None, doc_id.encode() if isinstance(doc_id, str) else 0 if doc_id is None else doc_id, text_hash
+
+
+def _cuts(keyed: DataFrame, runs: int) -> list[tuple]:
+    """Keys of documents at which runs begin, evenly by rows: from a sample of distinct keys with their counts."""
+    total = keyed.count()
+    share = min(1.0, _SAMPLED_PER_RUN * runs / max(total, 1))
+    drawn = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    # a bounded number of rows: about _SAMPLED_PER_RUN to a run, however often a key is repeated
+    rows = keyed.where(drawn).groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).collect()
+    ordered = sorted((_order_key(r["doc_id"], r["hash"]), r["n"]) for r in rows)
+    step = sum(n for _, n in ordered) / runs
+    cuts, reached = [], 0.0
+    for key, n in ordered:
+        if reached >= len(cuts) * step:
+            cuts.append(key)
+        reached += n
+    return cuts
+
+
 def _runs(docs: DataFrame) -> DataFrame:
-    """``run, guest, doc_id, text``: neighbours by ``doc_id`` share a run, and a run ends with its next document as guest.
+    """``run, guest, lap, doc_id, hash, text``: neighbours in the order of documents share a run, and a run ends with its
+    next document as guest.
 
-    Runs begin at quantiles of ``doc_id``, a fixed number per shuffle partition; only the documents that begin a run are
-    copied. Null ids come last of all.
+    Documents are ordered by ``doc_id``, descending, null last, and equal ids by the hash of their texts, so that an id
+    that many texts share is cut like any other. Runs begin at documents of a sample, a fixed number per shuffle
+    partition; only these documents are copied. The order is a circle: the run of the last documents goes on with the
+    first ones, in a second lap.
     """
-    n = RUNS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = F.col("doc_id").cast("long")
-    found = docs.agg(
-        F.max(ids), F.percentile_approx(ids, [k / n for k in range(1, n + 1)], max(10_000, 20 * n))
-    ).first()
-    cuts = np.array(sorted({*(found[1] or []), found[0]} - {None}), np.int64)
-    chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if len(cuts) < 2:
-        return chosen.select(F.lit(0).alias("run"), F.lit(0).alias("guest"), "doc_id", "text")
-
-    @F.pandas_udf("array<int>")
-    def runs_of(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna().to_numpy()
-        value = doc_id.fillna(0).to_numpy().astype(np.int64)
-        own = np.where(known, np.searchsorted(cuts, value), 0)
-        begins = known & (cuts[np.minimum(own, len(cuts) - 1)] == value)
-        return pd.Series(
-            [[k, (k + 1) % len(cuts)] if b else [k] for k, b in zip(own.tolist(), begins.tolist(), strict=True)]
-        )
-
-    return chosen.select(F.posexplode(runs_of(ids)).alias("guest", "run"), "doc_id", "text").select(
-        "run", "guest", "doc_id", "text"
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
+    cuts = _cuts(keyed.select("doc_id", "hash"), RUNS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    names = ["run", "guest", "lap", "doc_id", "hash", "text"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, run, guest, lap = [], [], [], []
+            for k, (doc_id, hash_) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), strict=True)):
+                key = _order_key(doc_id, hash_)
+                # in the order of documents a run goes down from its cut to above the next smaller one
+                own = bisect.bisect_left(cuts, key)
+                over = own == len(cuts)  # above all cuts: the first documents, which follow the last ones
+                at.append(k)
+                run.append(0 if over else own)
+                guest.append(0)
+                lap.append(int(over))
+                if not over and cuts[own] == key:  # begins a run: the guest of the run before
+                    at.append(k)
+                    run.append((own + 1) % len(cuts))
+                    guest.append(1)
+                    lap.append(1)
+            rows = batch.take(pa.array(at, pa.int64()))
+            added = [pa.array(c, pa.int32()) for c in (run, guest, lap)]
+            yield pa.RecordBatch.from_arrays([*added, *rows.columns], names)
+
+    return keyed.mapInArrow(place, f"run int, guest int, lap int, doc_id {kind}, hash long, text string")
 
 
 def fingerprints(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
 
     The edited text has its last ``n_chars // 2`` characters replaced by the first as many (or all) of the next
-    document, in descending ``doc_id`` (null last, equal ids by text); after the last comes the first, so a single row
-    is its own next. Null counts as empty. The empty text has no phrase and an empty fingerprint, which is like another
+    document, in descending ``doc_id`` (null last, equal ids by the XXH64 of their texts, descending); after the last
+    comes the first, so a single row is its own next. Ids may be of any type that sorts. Null counts as empty. The empty text has no phrase and an empty fingerprint, which is like another
     empty one (1) and unlike any other (0). Equal texts have equal fingerprints.
     """
     ship_by_value()
-    rows = _runs(docs).repartition("run").sortWithinPartitions("run", "guest", F.desc_nulls_last("doc_id"), "text")
+    order = ["run", "guest", "lap", F.desc_nulls_last("doc_id"), F.desc("hash")]
+    rows = _runs(docs).repartition("run").sortWithinPartitions(*order)
+    rows = rows.select("run", "guest", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
