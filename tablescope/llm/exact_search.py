@@ -5,11 +5,16 @@ vectors from below by L * ((difference of means)^2 + (difference of deviations)^
 of the inner product from above: L * (product of means + product of deviations). A candidate whose bound is below the
 k-th best score so far is discarded at the coarsest level that shows it; survivors are scored exactly.
 
-Queries and candidates are cut into blocks of bounded size, and each pair of blocks is one group.
+Queries and candidates are cut into blocks of bounded size: vectors whose segment means have the same signs and whose
+spread is alike share one. The ranges of the statistics in two blocks bound all their inner products. Each block of
+queries first meets the block of candidates with the highest bound, which gives its queries a k-th best score; only
+blocks whose bound reaches the smallest of these are shuffled to it at all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -115,6 +120,127 @@ def best_of_block(
     return r, order[who[r, place]], top[r, place]
 
 
+#: Segments whose statistics place a vector in a block and bound blocks.
+_PLACING = 4
+#: Blocks of candidates whose ranges are sent to every task; with more vectors blocks grow.
+_MOST_BLOCKS = 100_000
+
+
+def _placed(vectors: DataFrame, block: int) -> DataFrame:
+    """``vec_id, dim, x, block, low, high``: the vectors with their block, and for each statistic its range there.
+
+    A block holds vectors of one dimension. Its number is drawn from the signs of the segment means, the deviation, and
+    a hash, so that equal vectors are spread as well; blocks hold about ``block`` rows, however many share a sign.
+    """
+    kind = "vec_id long, dim int, x array<long>, signs int, spread double, low array<double>, high array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim).astype(float)
+                if dim:
+                    stats = _statistics(x, _PLACING)
+                    signs = (stats[:, 0::2] > 0) @ (1 << np.arange(stats.shape[1] // 2))
+                    spread = np.sqrt((stats[:, 1::2] ** 2).sum(1))
+                else:
+                    stats, signs, spread = np.zeros((part.num_rows, 2)), np.zeros(part.num_rows, int), np.zeros(part.num_rows)
+                lists = pa.array(list(stats), pa.list_(pa.float64()))
+                columns = [*part.columns, pa.array(signs.astype(np.int32)), pa.array(spread), lists, lists]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "x", "signs", "spread", "low", "high"])
+
+    rows = materialize(vectors.select("vec_id", "dim", "x").mapInArrow(run, kind))
+    # cuts of the spread within each dimension and pattern of signs: few rows, as there are few patterns
+    sizes = rows.groupBy("dim", "signs").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("spread", [k / 64 for k in range(1, 64)], 1000).alias("cuts")
+    )
+    offset, table = 0, []
+    for r in sizes.orderBy("dim", "signs").collect():
+        parts = max(1, -(-r["n"] // block))
+        cuts = sorted(set(r["cuts"][:: max(1, 64 // parts)])) if parts > 1 else []
+        spare = -(-parts // (len(cuts) + 1))  # equal spreads, and more blocks than cuts, are dealt by a hash
+        table.append((r["dim"], r["signs"], cuts, spare, offset))
+        offset += (len(cuts) + 1) * spare
+    places = F.broadcast(  # one row per dimension and pattern
+        rows.sparkSession.createDataFrame(table, "dim int, signs int, cuts array<double>, spare int, offset int")
+    )
+    range_ = F.size(F.filter("cuts", lambda c: c < F.col("spread")))
+    dealt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("spare")).cast("int")
+    return rows.join(places, ["dim", "signs"]).select(
+        "vec_id", "dim", "x", (F.col("offset") + range_ * F.col("spare") + dealt).alias("block"), "low", "high"
+    )
+
+
+def _ranges(placed: DataFrame) -> DataFrame:
+    """``block, dim, rows, low, high`` of every block: the least and greatest value of each statistic."""
+    each = placed.select("block", "dim", F.posexplode(F.arrays_zip("low", "high")).alias("at", "s"))
+    found = each.groupBy("block", "dim", "at").agg(F.min("s.low").alias("low"), F.max("s.high").alias("high"))
+    by_block = found.groupBy("block", "dim").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("s"))
+    return by_block.select("block", "dim", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
+
+
+def _block_bounds(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of a block's vectors with those of each other block."""
+    corners = np.stack([low * lows, low * highs, high * lows, high * highs])
+    # rounding of the statistics: a little more than the bound
+    bound = corners.max(0).sum(1)
+    return bound + 1e-6 + 1e-9 * (np.maximum(np.abs(low), np.abs(high)) * np.maximum(np.abs(lows), np.abs(highs))).sum(1)
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _meet(queries: DataFrame, vectors: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the best ``k`` of each query in each of its block's partners.
+
+    ``pairs``: ``query_block, block``. Only blocks with a partner are shuffled, once to each.
+    """
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return _FOUND.empty_table()
+        dim = a.column("dim")[0].as_py()
+        matrix = [t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim) for t in (a, b)]
+        query_id, vec_id = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+        r, c, score = best_of_block(query_id, matrix[0], vec_id, matrix[1], k)
+        return pa.Table.from_arrays([pa.array(query_id[r]), pa.array(vec_id[c]), pa.array(score)], schema=_FOUND)
+
+    keys = ["query_block", "block"]
+    left = queries.select("vec_id", "dim", "x", F.col("block").alias("query_block")).join(pairs, "query_block")
+    right = vectors.select("vec_id", "dim", "x", "block").join(pairs, "block")
+    names = ["vec_id", "dim", "x", *keys]
+    return (
+        left.select(names).groupBy(*keys).cogroup(right.select(names).groupBy(*keys))
+        .applyInArrow(pair, "query_id long, vec_id long, score long")
+    )
+
+
+def block_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``query_block, block, bound`` for all pairs of blocks of one dimension.
+
+    The candidates' ranges, at most ``_MOST_BLOCKS`` rows, go to the tasks that hold the queries' ranges.
+    """
+    ours = _ranges(vectors).orderBy("block").toPandas()
+    dims = ours["dim"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, dim, low, high in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "low", "high")), strict=True):
+                same = np.flatnonzero(dims == dim)
+                if not len(same):
+                    continue
+                lows, highs = (np.stack(ours[c].to_numpy()[same]) for c in ("low", "high"))
+                bound = _block_bounds(np.array(low), np.array(high), lows, highs)
+                number = ours["block"].to_numpy()[same].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(same), block, np.int32)), pa.array(number), pa.array(bound)],
+                    ["query_block", "block", "bound"],
+                )
+
+    return _ranges(queries).mapInArrow(run, "query_block int, block int, bound double")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query its ``k`` best candidates by integer inner product.
 
@@ -124,36 +250,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """
     ship_by_value()
     queries = queries.groupBy("vec_id", "dim").agg(F.min("x").alias("x"))
-    n, nq = vectors.count(), queries.count()
-    blocks = max(1, -(-n // CANDIDATE_BLOCK))
-    query_blocks = max(1, -(-nq // QUERY_BLOCK))
-    left = queries.select(
-        F.col("vec_id").alias("query_id"), "dim", F.col("x").alias("q"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    # candidates are dealt by their place as well, so that rows that share a vec_id do not share a block
-    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    right = vectors.select("vec_id", "dim", "x", place.alias("block")).select(
-        "vec_id", "dim", "x", "block",
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
-    )
-
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        dim = a.column("dim")[0].as_py()
-        matrix = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim) for t, c in ((a, "q"), (b, "x"))]
-        query_id, vec_id = a.column("query_id").to_numpy(), b.column("vec_id").to_numpy()
-        r, c, score = best_of_block(query_id, matrix[0], vec_id, matrix[1], k)
-        return pa.Table.from_arrays([pa.array(query_id[r]), pa.array(vec_id[c]), pa.array(score)], schema=schema)
-
-    keys = ["query_block", "block", "dim"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, "query_id long, vec_id long, score long")
+    right = materialize(_placed(vectors, max(CANDIDATE_BLOCK, -(-vectors.count() // _MOST_BLOCKS))))
+    left = materialize(_placed(queries, QUERY_BLOCK))
+    bounds = materialize(block_pairs(left, right))
+    # the most promising block first; a pair is settled there or dropped by its bound
+    first = bounds.groupBy("query_block").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    first = materialize(first)
+    found = materialize(_meet(left, right, first, k))
+    place = F.row_number().over(Window.partitionBy("query_id", "dim").orderBy(F.desc("score"), "vec_id"))
+    # a query without k candidates yet has no least score, and its block meets all others
+    held = found.join(left.select(F.col("vec_id").alias("query_id"), "dim").distinct(), "query_id")
+    last = held.withColumn("place", place).where(F.col("place") == k).select("query_id", "dim", F.col("score").alias("kth"))
+    asked = left.select(F.col("vec_id").alias("query_id"), "dim", F.col("block").alias("query_block"))
+    least = asked.join(last, ["query_id", "dim"], "left").groupBy("query_block").agg(
+        F.min(F.coalesce("kth", F.lit(-(1 << 63)))).alias("least")
+    )
+    rest = bounds.join(first, ["query_block", "block"], "left_anti").join(least, "query_block")
+    rest = materialize(rest.where(F.col("bound") >= F.col("least")).select("query_block", "block"))
+    everything = found.unionByName(_meet(left, right, rest, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        everything.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
