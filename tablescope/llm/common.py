@@ -18,6 +18,7 @@ from tablescope.plans.storage import materialize
 __all__ = [
     "LabelledSample",
     "crc_remainder",
+    "free_names",
     "labelled_sample",
     "materialize",
     "mix",
@@ -154,6 +155,18 @@ def text_key() -> list[Column]:
     return [F.xxhash64(text).alias("ref"), F.xxhash64(F.lit(1), text).alias("ref2")]
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, longer where the table has them already (names do not tell capitals apart)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
@@ -197,12 +210,16 @@ class LabelledSample:
         return self.sizes.get(1, 0) / total if total else 0.5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int) -> LabelledSample:
-    """Join a bounded sample of the labels to their texts.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int, most_bytes: int | None = None
+) -> LabelledSample:
+    """Join a bounded sample of the labels to their texts; ``doc_id, text, label, place``, stored.
 
     ``held_out``: the condition on ``doc_id`` of rows that must not be learned from. The sampled ids are broadcast:
     there are at most ``2 * rows`` of them. A document with two labels counts as label 1. Of the texts of a repeated id
-    the one with the smallest hash is taken, so the bound holds for texts too.
+    the one with the smallest hash is taken, so the bound holds for texts too. ``place`` orders the sample by a hash of
+    the id; with ``most_bytes`` it ends in each class before the text that would exceed half of them, but never before
+    the first. Texts are taken whole.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -222,7 +239,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, ro
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         chosen = known
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     drawn = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
     one = drawn.agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
-    return LabelledSample(one.select("doc_id", F.col("least.text").alias("text"), "label"), sizes)
+    found = one.select("doc_id", F.col("least.text").alias("text"), "label", F.xxhash64("doc_id", F.lit(23)).alias("place"))
+    found = materialize(found)
+    if most_bytes is not None:
+        # one row per sampled text: at most 2 * rows numbers
+        lengths = found.select("label", "place", F.octet_length("text").alias("n")).orderBy("label", "place", "n").collect()
+        ends = {}
+        for k in (0, 1):
+            total = 0
+            for n, r in enumerate(x for x in lengths if x["label"] == k):
+                total += r["n"]
+                if n and total > most_bytes // 2:
+                    ends[k] = r["place"]
+                    break
+        for k, end in ends.items():
+            found = found.where((F.col("label") != k) | (F.col("place") < end))
+    return LabelledSample(found, sizes)

@@ -1,11 +1,13 @@
 """Quality classifier by compression: one zstandard dictionary from good texts, one from bad ones.
 
-A text is cut into blocks; each is compressed with either dictionary. The difference of both sizes per byte of text,
-small when both dictionaries help alike, is turned into a probability by a logistic curve.
+A text is cut into blocks; each is compressed with either dictionary. The difference of both sizes over their sum, zero
+when both dictionaries help alike, is turned into a probability by a logistic curve. The curve also sees how far the text
+shrinks at all, since text that repeats itself shrinks under both dictionaries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,11 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import crc_remainder, labelled_sample, utf8, with_column
+from tablescope.llm.common import crc_remainder, labelled_sample, ship_by_value, text_slices, utf8, with_column
 
 #: Labelled texts of each class that dictionaries and curve are fitted on (a documented bound).
 SAMPLE_ROWS = 4000
-#: Bytes of each sampled text that a dictionary may learn from, bytes of a dictionary, and bytes of a block.
+#: Bytes of a sampled text that a dictionary is made of, bytes of a dictionary, and bytes of a block.
 LEARN_BYTES = 4096
 DICTIONARY_BYTES = 1 << 16
 BLOCK_BYTES = 2048
@@ -91,29 +93,58 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
+def _text_features(texts: pa.Array, compress: list) -> np.ndarray:
+    """Three numbers for each whole text."""
+    data, places = utf8(texts)
+    view = memoryview(np.ascontiguousarray(data))
+    made = [_features(view[a:b], compress) for a, b in zip(places[:-1], places[1:], strict=True)]
+    return np.array(made).reshape(-1, 3)
+
+
+def _curve_points(sample: DataFrame, good: bytes, bad: bytes) -> list:
+    """Label and features of each whole text, found in the tasks that hold the texts."""
+    ship_by_value()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = _compressors(CompressionModel(good, bad))
+        for batch in batches:
+            for part in text_slices(batch):
+                x = _text_features(part.column("text"), compress)
+                columns = [part.column("label"), part.column("place"), *(pa.array(c) for c in x.T)]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "place", "a", "b", "c"])
+
+    kind = "label int, place long, a double, b double, c double"
+    return sample.select("label", "place", "text").mapInArrow(run, kind).orderBy("label", "place").collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out=None, rows: int = SAMPLE_ROWS) -> CompressionModel:
     """Fit on at most ``rows`` labelled texts per class.
 
     ``held_out`` is a condition on ``doc_id`` that keeps rows from being learned; by default crc32 of the id, modulo
-    5, is 0. Rows with null or other labels are not used. Half of the sample gives the dictionaries, the other half,
-    weighted back to the class sizes, the curve; so the curve never sees what a dictionary was made of.
+    5, is 0. Rows with null or other labels are not used. Half of the sample gives the dictionaries (``LEARN_BYTES``
+    from the middle of each text, as a dictionary holds few), the other half, whole and weighted back to the class
+    sizes, the curve; so the curve never sees what a dictionary was made of, and learns from texts as they are scored.
     """
     held_out = crc_remainder(F.col("doc_id"), 5) == 0 if held_out is None else held_out
     sample = labelled_sample(docs, labels, "quality", held_out, rows)
     if not sample.usable:
         return CompressionModel(constant=sample.prior)
-    # a bounded number of bounded pieces: 2 * rows * LEARN_BYTES bytes at most; the middle of a text, not its start
+    texts = sample.docs.where(F.octet_length("text") > 0)
+    first = F.pmod("place", F.lit(2)) == 0
+    # a bounded number of bounded pieces: 2 * rows * LEARN_BYTES bytes at most
     piece = F.substring(
         F.encode("text", "utf-8"), F.greatest(F.lit(1), (F.octet_length("text") - LEARN_BYTES) / 2).cast("int"), LEARN_BYTES
     )
-    got = sample.docs.select("doc_id", "label", piece.alias("piece")).orderBy("doc_id", "piece").collect()
-    part = {k: [bytes(r["piece"]) for r in got if r["label"] == k and r["piece"]] for k in (0, 1)}
+    got = texts.select("label", "place", first.alias("first"), piece.alias("piece")).orderBy("place", "piece").collect()
+    part = {k: [bytes(r["piece"]) for r in got if r["label"] == k] for k in (0, 1)}
     if not all(part.values()):
         return CompressionModel(constant=sample.prior)
-    model = CompressionModel(good=_dictionary(part[1][::2]), bad=_dictionary(part[0][::2]))
-    compress = _compressors(model)
-    rest = {k: v[1::2] or v for k, v in part.items()}
-    x = np.array([_features(memoryview(t), compress) for k in (0, 1) for t in rest[k]])
+    own = {k: [bytes(r["piece"]) for r in got if r["label"] == k and r["first"]] or part[k] for k in (0, 1)}
+    model = CompressionModel(good=_dictionary(own[1]), bad=_dictionary(own[0]))
+    points = _curve_points(texts.select("label", "place", "text"), model.good, model.bad)
+    rest = {k: [r for r in points if r["label"] == k and r["place"] % 2] for k in (0, 1)}
+    rest = {k: v or [r for r in points if r["label"] == k] for k, v in rest.items()}
+    x = np.array([(r["a"], r["b"], r["c"]) for k in (0, 1) for r in rest[k]])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     total = sum(sample.sizes.values())
     w = np.concatenate([np.full(len(rest[k]), sample.sizes[k] / total * len(y) / len(rest[k])) for k in (0, 1)])
@@ -140,10 +171,7 @@ def with_score(docs: DataFrame, model: CompressionModel, name: str = "score") ->
         centre, scale, beta = (np.array(x) for x in (model.centre, model.scale, model.weights))
 
         def of(texts: pa.Array) -> np.ndarray:
-            data, places = utf8(texts)
-            view = memoryview(np.ascontiguousarray(data))
-            x = np.array([_features(view[a:b], compress) for a, b in zip(places[:-1], places[1:], strict=True)])
-            z = _design(x.reshape(-1, 3), centre, scale)
+            z = _design(_text_features(texts, compress), centre, scale)
             return 1 / (1 + np.exp(-np.clip(z @ beta[:-1] + beta[-1], -30, 30)))
 
         return of

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import materialize, mix, ship_by_value, text_key, utf8
+from tablescope.llm.common import free_names, materialize, mix, ship_by_value, text_key, utf8
 from tablescope.llm.components import connected
 
 WORDS = 4
@@ -224,8 +224,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the smallest ``doc_id`` (null last), and one row of it."""
-    key = {"doc_id": F.col("doc_id")} | dict(zip(("_ref", "_ref2"), text_key(), strict=True))
+    """The rows of ``docs`` with one document of each group: the smallest ``doc_id`` (null last), and one row of it.
+
+    Null, empty and wordless texts are one group, as they share fingerprint zero. Of rows that are equal in id and text
+    one stays, whichever has other columns. Columns of any name are kept as they are.
+    """
+    first_ref, second_ref, number = free_names(docs, "ref", "ref2", "number")
+    key = {"doc_id": F.col("doc_id")} | dict(zip((first_ref, second_ref), text_key(), strict=True))
     prints = materialize(
         fingerprints(docs.select(*[c.alias(k) for k, c in key.items()], "text"), words, tuple(key))
     )
@@ -236,5 +241,5 @@ def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFr
     same = [keyed[k].eqNullSafe(kept[k]) for k in key]
     stays = keyed.join(kept, same[0] & same[1] & same[2], "left_semi")
     # rows that are equal in id and text are one document
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    return stays.withColumn("_number", number).where(F.col("_number") == 1).select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    return stays.withColumn(number, place).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.common import (
+    free_names,
     materialize,
     mix,
     ship_by_value,
@@ -364,10 +365,15 @@ def digest(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFra
 
 
 def remove(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with the repeated words taken out of ``text``; a text that loses nothing stays as it is."""
-    found = repeated_texts(docs, width, rounds).select("ref", "ref2", "kept")
-    key = {c: f"_{c}_of_text" for c in ("ref", "ref2")}
-    keyed = docs.withColumns({key[n]: c for n, c in zip(key, text_key(), strict=True)})
-    found = found.withColumnsRenamed(key | {"kept": "_kept_text"})
-    joined = keyed.join(found, list(key.values()), "left")
-    return joined.withColumn("text", F.coalesce("_kept_text", "text")).select(*docs.columns)
+    """``docs`` with the repeated words taken out of ``text``; a text that loses nothing stays as it is.
+
+    Null and empty texts stay null and empty. Repeated rows all stay, each without its repeated words. Columns of any
+    name are kept as they are.
+    """
+    names = free_names(docs, "ref", "ref2", "kept")
+    found = repeated_texts(docs, width, rounds).select("ref", "ref2", "kept").toDF(*names)
+    keyed = docs.withColumns(dict(zip(names, text_key(), strict=False)))
+    joined = keyed.join(found, names[:2], "left")
+    text = F.coalesce(F.col(names[2]), F.col("text").cast("string"))
+    shown = [text.cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*shown)

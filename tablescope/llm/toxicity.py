@@ -1,15 +1,16 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-grams.
 
 The whole of a bounded labelled sample is learned in one task with per-coordinate rates: averaging the weights of parts,
-each with the same L1 on fewer texts, would lose weights that one part alone keeps. L1 leaves a few thousand weights, which are broadcast as two arrays.
+each with the same L1 on fewer texts, would lose weights that one part alone keeps. L1 leaves a few thousand weights,
+which are broadcast as two arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tablescope.llm.common import (
     labelled_sample,
     mix,
     ship_by_value,
+    text_slices,
     utf8,
     with_column,
     word_bounds,
@@ -27,6 +29,8 @@ from tablescope.llm.common import (
 
 #: Labelled texts of each class that the weights are learned from (a documented bound).
 SAMPLE_ROWS = 6000
+#: Bytes of text that one task learns from (a documented bound; whole texts, half of it for each class).
+SAMPLE_BYTES = 256 << 20
 THRESHOLD = 0.3
 
 
@@ -78,15 +82,20 @@ def hashed_features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), (np.concatenate(codes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _learn(texts: list[str], labels: np.ndarray, rates: Rates) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over the texts in turn: feature, weight, and the weight of the constant."""
+def text_codes(texts: pa.Array, rates: Rates) -> list[np.ndarray]:
+    """The features of each text, each once, the constant last."""
+    out = []
+    for k in range(len(texts)):
+        _, code = hashed_features(texts.slice(k, 1), rates.bits)
+        out.append(np.append(np.unique(code), 1 << rates.bits).astype(np.int32))
+    return out
+
+
+def _learn(rows: list[np.ndarray], labels: np.ndarray, rates: Rates) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over the texts' features in turn: feature, weight, and the weight of the constant."""
     z = np.zeros((1 << rates.bits) + 1, np.float32)
     n = np.zeros((1 << rates.bits) + 1, np.float32)
     constant = 1 << rates.bits
-    rows = []
-    for text in texts:
-        _, code = hashed_features(pa.array([text], pa.string()), rates.bits)
-        rows.append(np.append(np.unique(code), constant).astype(np.int32))
 
     def weights(at: np.ndarray) -> np.ndarray:
         l1 = np.where(at == constant, 0.0, rates.l1)
@@ -110,29 +119,35 @@ def _learn(texts: list[str], labels: np.ndarray, rates: Rates) -> tuple[np.ndarr
 def fit(
     docs: DataFrame, labels: DataFrame, held_out=None, rows: int = SAMPLE_ROWS, rates: Rates | None = None
 ) -> ToxicityModel:
-    """Learn from at most ``rows`` labelled texts per class.
+    """Learn from at most ``rows`` labelled texts per class, and ``SAMPLE_BYTES`` of text.
 
     ``held_out`` is a condition on ``doc_id`` that keeps rows from being learned; by default crc32 of the id, modulo
-    4, is 2. Rows with null or other labels are not used. All texts are learned in turn at every size; the class
-    sizes behind the sample correct the constant.
+    4, is 2. Rows with null or other labels are not used. All texts are learned in turn at every size, whole; the task
+    holds their features, not the texts. The class sizes behind the sample correct the constant.
     """
     ship_by_value()
     rates = rates or Rates()
     held_out = crc_remainder(F.col("doc_id"), 4) == 2 if held_out is None else held_out
-    sample = labelled_sample(docs, labels, "toxic", held_out, rows)
+    sample = labelled_sample(docs, labels, "toxic", held_out, rows, SAMPLE_BYTES)
     if not sample.usable:
         return ToxicityModel(constant=sample.prior, bits=rates.bits)
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["place", "text"], kind="stable")
-        at, weight, bias = _learn(part["text"].tolist(), part["label"].to_numpy(float), rates)
-        positive = float(part["label"].mean())
-        odds = np.log(max(positive, 1e-6) / max(1 - positive, 1e-6))
-        return pd.DataFrame({"at": np.append(at, [-1, -2]), "weight": np.append(weight, [bias, odds])})
-
-    place = F.xxhash64("doc_id", F.lit(23))
-    chosen = sample.docs.select("text", "label", place.alias("place"))
-    got = chosen.groupBy().applyInPandas(learn, "at long, weight double").toPandas()
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, marks = [], []
+        for batch in batches:
+            for part in text_slices(batch):
+                codes += text_codes(part.column("text"), rates)
+                marks += part.column("label").to_pylist()
+        if codes:
+            y = np.array(marks, float)
+            at, weight, bias = _learn(codes, y, rates)
+            odds = np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(at, [-1, -2])), pa.array(np.append(weight, [bias, odds]).astype(float))], ["at", "weight"]
+            )
+
+    chosen = sample.docs.select("text", "label", "place").repartition(1).sortWithinPartitions("place", "text")
+    got = chosen.mapInArrow(learn, "at long, weight double").toPandas()
     if not len(got):
         return ToxicityModel(constant=sample.prior, bits=rates.bits)
     learned = dict(zip(got["at"], got["weight"], strict=True))

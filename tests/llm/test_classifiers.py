@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablescope.llm import language, quality, toxicity
@@ -117,10 +119,11 @@ def test_toxicity_learns_a_large_sample_as_one(spark):
     docs, labels = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(labels, LABELS)
     got = toxicity.fit(docs, labels, rates=toxicity.Rates(bits=16))
     sample = toxicity.labelled_sample(docs, labels, "toxic", toxicity.crc_remainder(toxicity.F.col("doc_id"), 4) == 2, toxicity.SAMPLE_ROWS)
-    rows = sample.docs.select("text", "label", toxicity.F.xxhash64("doc_id", toxicity.F.lit(23)).alias("place")).toPandas()
+    rows = sample.docs.select("text", "label", "place").toPandas()
     assert len(rows) > 9000
     rows = rows.sort_values(["place", "text"], kind="stable")
-    at, weight, _ = toxicity._learn(rows["text"].tolist(), rows["label"].to_numpy(float), toxicity.Rates(bits=16))
+    codes = toxicity.text_codes(pa.array(rows["text"]), toxicity.Rates(bits=16))
+    at, weight, _ = toxicity._learn(codes, rows["label"].to_numpy(float), toxicity.Rates(bits=16))
     assert got.index.tolist() == at.tolist() and np.allclose(got.weight, weight)
 
 
@@ -128,5 +131,95 @@ def test_sample_has_one_text_of_an_id(spark):
     docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(200)] + [(7, None)] + [(3, f"copy {i}") for i in range(900)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 8)) for i in range(20)], "doc_id long, toxic int")
     held_out = toxicity.F.lit(False)
-    a, b = (sorted(map(tuple, toxicity.labelled_sample(docs.repartition(n), labels, "toxic", held_out, 50).docs.collect())) for n in (2, 5))
+    a, b = (sorted(map(tuple, toxicity.labelled_sample(docs.repartition(n), labels, "toxic", held_out, 50).docs.select("doc_id", "text", "label").collect())) for n in (2, 5))
     assert a == b and [r[0] for r in a] == list(range(20))
+
+
+def test_sample_is_bounded_in_bytes_by_whole_texts(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * 1000) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(300)], "doc_id long, toxic int")
+    def sample(most):
+        return toxicity.labelled_sample(docs, labels, "toxic", toxicity.F.lit(False), 500, most).docs.collect()
+    assert len(sample(None)) == len(sample(10**6)) == 300
+    few = sample(100_000)
+    for k in (0, 1):
+        total = sum(len(r["text"]) for r in few if r["label"] == k)
+        assert 0 < total <= 50_000 and all(len(r["text"]) > 1000 for r in few)
+    assert sum(r["label"] for r in few) == 40
+    assert sorted(r["label"] for r in sample(10)) == [0, 1]
+
+
+def plain_ftrl(texts, labels, rates):
+    """FTRL-proximal with dicts, feature by feature."""
+    z, n = {}, {}
+
+    def weight(k, l1):
+        v = z.get(k, 0.0)
+        if abs(v) <= l1:
+            return 0.0
+        return -(v - math.copysign(l1, v)) / ((rates.beta + math.sqrt(n.get(k, 0.0))) / rates.alpha + rates.l2)
+
+    rows = [{int(c) for c in toxicity.hashed_features(pa.array([t]), rates.bits)[1]} | {"bias"} for t in texts]
+    for _ in range(rates.passes):
+        for row, y in zip(rows, labels):
+            w = {k: weight(k, 0.0 if k == "bias" else rates.l1) for k in row}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
+            for k in row:
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / rates.alpha * w[k]
+                n[k] = before + g * g
+    return {k: weight(k, rates.l1) for k in z if k != "bias" and abs(z[k]) > rates.l1}, weight("bias", 0.0)
+
+
+def test_ftrl_against_plain_updates():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["ka", "lo", "mi", "vile", "dor"], k=rng.randint(1, 9))) for _ in range(300)]
+    labels = [int("vile" in t) for t in texts]
+    rates = toxicity.Rates(bits=12, l1=1.0)
+    at, weight, bias = toxicity._learn(toxicity.text_codes(pa.array(texts), rates), np.array(labels, float), rates)
+    expected, constant = plain_ftrl(texts, labels, rates)
+    assert set(at.tolist()) == set(expected) and len(expected) > 3
+    assert bias == pytest.approx(constant, rel=1e-3)
+    assert weight.tolist() == pytest.approx([expected[int(k)] for k in at], rel=1e-3)
+
+
+def test_the_curve_learns_from_whole_texts(spark):
+    """Long good texts that repeat a block at their end are good; their middle alone would not show it."""
+    rng = random.Random(4)
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 7))) for _ in range(n))
+    docs, labels = [], []
+    for i in range(400):
+        good = i % 2
+        text = words(2500) + " tail" * 900 * (i % 4 > 1) if good else "! ".join(words(6).upper() for _ in range(300))
+        docs.append((i, text))
+        labels.append((i, good))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    real = quality._text_features
+    model = quality.fit(docs, labels)
+    compress = quality._compressors(model)
+    for r in docs.where("doc_id < 8").collect():
+        seen.append(real(pa.array([r["text"]]), compress)[0])
+    points = {(p["a"], p["b"], p["c"]) for p in quality._curve_points(quality.labelled_sample(docs, labels, "quality", quality.F.lit(False), 4000).docs, model.good, model.bad)}
+    assert all(tuple(x) in points for x in seen)  # what the curve sees of a text is what scoring sees
+    result = quality.classify(docs, labels).collect()
+    held = [r for r in result if r["held_out"]]
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in held) and len(held) > 50
+
+
+def test_words_of_languages_against_plain_sets(spark):
+    """Per language the n-grams found in the bit-sliced filters, against exact sets."""
+    rng = random.Random(8)
+    sounds = {"aa": ["sha", "dor", "lin"], "bb": ["sho", "der", "lan"]}
+    rows = [(i, " ".join("".join(rng.choice(sounds[n]) for _ in range(3)) for _ in range(20)), n, 0.0, 0) for i in range(200) for n in [rng.choice(["aa", "bb"])]]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    grams = {n: set() for n in sounds}
+    for i, text, name, _, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            grams[name] |= {text[k : k + 4] for k in range(len(text) - 3)}
+    for i, text, name, _, _ in rows:
+        own = {text[k : k + 4] for k in range(len(text) - 3)}
+        best = max(sounds, key=lambda n: len(own & grams[n]))
+        assert got[i]["lang_pred"] == best == name
