@@ -10,32 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.llm import packing, quality, simhash, substrings, toxicity
-from tablescope.llm.common import materialize
+from tablescope.llm.common import free_names, materialize
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
+def _kept(docs: DataFrame, with_score, model, keep) -> DataFrame:
+    """The rows whose score passes, under whatever columns they have."""
+    (name,) = free_names(docs, "score")
+    return with_score(docs, model, name).where(keep(F.col(name))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier takes for good."""
-    scored = quality.with_score(docs, quality.fit(docs, _labels(spark, sf_dir)), "_score")
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    """Documents that the compression classifier takes for good.
+
+    Null and empty texts are judged like the empty text; repeated rows all stay or all go. An empty table stays empty;
+    without labels of both classes the share of good labels decides for all.
+    """
+    model = quality.fit(docs, _labels(spark, sf_dir))
+    return _kept(docs, quality.with_score, model, lambda score: score >= quality.THRESHOLD)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not take for toxic."""
-    scored = toxicity.with_score(docs, toxicity.fit(docs, _labels(spark, sf_dir)), "_score")
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents that the toxicity model does not take for toxic.
+
+    Null and empty texts are judged like the empty text; repeated rows all stay or all go. An empty table stays empty;
+    without labels of both classes the share of toxic labels decides for all.
+    """
+    model = toxicity.fit(docs, _labels(spark, sf_dir))
+    return _kept(docs, toxicity.with_score, model, lambda score: score < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id, null last.
+
+    Null, empty and wordless texts are one group; of rows equal in id and text one stays; an empty table stays empty.
+    """
     return simhash.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that stand more than once; ``n_chars`` follows the text."""
+    """All documents, without the words of passages that stand more than once; ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are, repeated rows stay without what they repeat, an empty table stays empty.
+    """
     kept = substrings.remove(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -43,7 +63,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2048 tokens."""
+    """The documents' pieces in sequences of at most 2048 tokens.
+
+    Null and empty texts are a piece of the end token alone, repeated rows are packed as often as they come, an empty
+    table has no piece.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
