@@ -13,47 +13,11 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-DATE_LAYOUTS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "d/M/yyyy",
-    "d/M/yyyy H:m:s",
-    "M-d-yyyy",
-    "M-d-yyyy H:m:s",
-    "d-M-yyyy",
-    "d-M-yyyy H:m:s",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-    "yyyy-M-d H:m",
-    "yyyy-M-d'T'H:m",
-    "yyyy-M-d H:m:s.SSSSSSSSS",
-    "yyyy-M-d'T'H:m:s.SSSSSSSSS",
-    "yyyy-M-d'T'H:mXXX",
-    "yyyy-M-d'T'H:m:sXXX",
-    "yyyy-M-d'T'H:m:s.SSSSSSSSSXXX",
-    "yyyy-M-d H:m:sXXX",
-    "yyyy/M/d H:m:s",
-    "M/d/yyyy H:m",
-    "M/d/yyyy h:m a",
-    "M/d/yyyy h:m:s a",
-    "M/d/yy",
-    "d.M.yyyy",
-    "d.M.yyyy H:m",
-    "d.M.yyyy H:m:s",
-    "MMMM d yyyy",
-    "MMM d yyyy",
-    "d-MMMM-yyyy",
-    "d-MMM-yyyy",
-    "yyyy-MM",
-    "yyyyMMdd",
-]
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+#: Two-digit years from here on belong to the last century.
+PIVOT_YEAR = 69
+#: No date is longer.
+MOST_DATE_CHARACTERS = 64
 DATE_NAME_HINT = r"(?i)date|time|dt|timestamp|year|month|day"
 
 _NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))$"
@@ -88,17 +52,127 @@ def layout_shape(layout: str) -> str:
     return f"^{shape}{re.escape(layout[end:])}$"
 
 
-def parse_timestamp(text: Column, layouts: list[str] | None = None) -> Column:
-    """Timestamp (without zone) read with the first layout that fits; month-first wins over day-first.
+_MONTH = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?"
+)
+_WEEKDAY = r"(?:(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?\s*,?\s+)?"
+_NTH = "(?:st|nd|rd|th)?"
+# the alternatives of a date, then a time, then an offset; names are fields, a digit behind a name tells alternatives apart
+_DATES = [
+    r"(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{1,2})(?P=s1)(?P<d1>\d{1,2})",
+    r"(?P<y2>\d{4})[-/](?P<m2>\d{2})",
+    r"(?P<y3>\d{4})-?w(?P<w3>\d{2})(?:-?(?P<e3>[1-7]))?",
+    r"(?P<a4>\d{1,2})(?P<s4>[-/.])(?P<b4>\d{1,2})(?P=s4)(?P<y4>\d{4}|\d{2})",
+    r"(?P<y5>\d{4})(?P<m5>\d{2})(?P<d5>\d{2})",
+    rf"(?P<d6>\d{{1,2}}){_NTH}[-.\s]\s*(?:of\s+)?(?P<n6>{_MONTH})(?:\.?\s*,\s*|\.?\s+|-)(?P<y6>\d{{4}}|\d{{2}})",
+    rf"(?P<n7>{_MONTH})(?:\.?\s+|-)(?P<d7>\d{{1,2}}){_NTH}(?:\s*,\s*|\s+|-)(?P<y7>\d{{4}})",
+    rf"(?P<n8>{_MONTH})(?:\.?\s*,\s*|\.?\s+|-)(?P<y8>\d{{4}})",
+    rf"(?P<y9>\d{{4}})[-\s](?P<n9>{_MONTH})[-\s](?P<d9>\d{{1,2}})",
+]
+_TIMES = [
+    r"(?P<H1>\d{1,2}):(?P<M1>\d{1,2})(?::(?P<S1>\d{1,2})(?:[.,](?P<f1>\d{1,9}))?)?(?:\s*(?P<p1>[ap])\.?m\.?)?",
+    r"(?P<H2>\d{1,2})\s*(?P<p2>[ap])\.?m\.?",
+    r"(?<=t)(?P<H3>\d{2})(?P<M3>\d{2})(?:(?P<S3>\d{2})(?:[.,](?P<f3>\d{1,9}))?)?",
+]
+_GRAMMAR = (
+    rf"(?i)^{_WEEKDAY}(?:{'|'.join(_DATES)})(?:(?:\s*t\s*|\s*,\s*|\s+)(?:at\s+)?(?:{'|'.join(_TIMES)}))?"
+    r"(?:\s*(?P<z>z|utc|gmt)|\s*(?:utc|gmt)?(?P<g>[+-])(?P<zh>\d{2}):?(?P<zm>\d{2})?)?$"
+)
+_FIELDS = re.findall(r"\(\?P<(\w+)>", _GRAMMAR)
+_MARK = "\x01"
+
+
+def _engine_pattern() -> str:
+    """The grammar with numbered groups."""
+    plain = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{_FIELDS.index(m.group(1)) + 1}(?:)", _GRAMMAR)
+    return re.sub(r"\(\?P<\w+>", "(", plain)
+
+
+def _read_fields(p: Column, day_first: bool) -> Column:
+    """Timestamp of the grammar's fields."""
+
+    def text(*names: str) -> Column:
+        return F.concat(*[p[_FIELDS.index(n)] for n in names])
+
+    def number(*names: str) -> Column:
+        # at most one of the alternatives has a value
+        return text(*names).try_cast("int")
+
+    short = text("y4", "y6")
+    year = number(*[n for n in _FIELDS if n[0] == "y"])
+    year = F.when(F.length(short) == 2, year + F.when(year >= PIVOT_YEAR, 1900).otherwise(2000)).otherwise(year)
+    first, second = number("a4"), number("b4")
+    # the day stands first behind dots, if asked for, or where the first number is no month
+    swapped = (text("s4") == ".") & (second <= 12) | (first > 12)
+    if day_first:
+        swapped = swapped | (second <= 12)
+    name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(text(*[n for n in _FIELDS if n[0] == "n"]), F.lit(3))))
+    month = F.coalesce(
+        number("m1", "m2", "m5"), F.when(swapped, second).otherwise(first), F.when(name > 0, name.cast("int")), F.lit(1)
+    )
+    day = F.coalesce(number("d1", "d5", "d6", "d7", "d9"), F.when(swapped, first).otherwise(second), F.lit(1))
+    clock = number("H1", "H2", "H3")
+    half = F.lower(text("p1", "p2"))
+    hour = F.when(half == "", clock).when(clock.between(1, 12), clock % 12 + F.when(half == "p", 12).otherwise(0))
+    hour = F.when(clock.isNull(), 0).otherwise(hour)
+    fraction = F.left(F.rpad(text("f1", "f3"), 6, "0"), F.lit(6))
+    seconds = F.concat(F.coalesce(F.nullif(text("S1", "S3"), F.lit("")), F.lit("0")), F.lit("."), fraction)
+    read = F.try_make_timestamp_ntz(
+        year, month, day, hour, F.coalesce(number("M1", "M3"), F.lit(0)), seconds.cast("decimal(16,6)")
+    )
+    # the fourth of January lies in the first week
+    week = number("w3")
+    fourth = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), hour, F.coalesce(number("M1", "M3"), F.lit(0)), seconds.cast("decimal(16,6)"))
+    days = F.coalesce(number("e3"), F.lit(1)) - 1 - F.weekday(fourth) + 7 * (week - 1)
+    of_week = fourth + F.make_dt_interval(days)
+    read = F.when(week.isNull(), read).when(F.weekofyear(of_week) == week, of_week)
+    ahead = F.when(text("g") == "-", -1).otherwise(1) * (60 * number("zh") + F.coalesce(number("zm"), F.lit(0)))
+    utc = read - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(ahead, F.lit(0)))
+    zoned = F.convert_timezone(F.lit("UTC"), F.current_timezone(), utc)
+    return F.when((text("z") == "") & (text("g") == ""), read).otherwise(zoned)
+
+
+def _fields(text: Column) -> Column:
+    """The grammar's fields in the text, empty where absent; NULL for a text that is no date."""
+    value = F.trim(text)
+    found = F.split(F.regexp_replace(value, _engine_pattern(), _MARK.join(f"${k + 1}" for k in range(len(_FIELDS)))), _MARK)
+    return F.when((F.length(value) <= MOST_DATE_CHARACTERS) & ~value.contains(_MARK) & value.rlike("[0-9]"), found)
+
+
+def _bound(value: Column, make) -> Column:
+    """``make`` of a value that is computed once."""
+    return F.transform(F.array(value), make)[0]
 
-    A text with an offset gives the time on the session's clock.  Two-digit years lie in 2000 to 2099.
 
-    A failed parse costs the JVM an exception, so a layout is only tried on
-    texts of its shape.
+def day_order_votes(text: Column) -> tuple[Column, Column]:
+    """Whether only the first, and only the second, of two numbers before a year can be the day."""
+
+    def votes(p: Column) -> Column:
+        a, b = (p[_FIELDS.index(n)].try_cast("int") for n in ("a4", "b4"))
+        return F.when((a > 12) & (b <= 12), 1).when((a <= 12) & (b > 12), 2)
+
+    vote = _bound(_fields(text), lambda p: F.when(F.size(p) == len(_FIELDS), votes(p)))
+    return vote == 1, vote == 2
+
+
+def parse_timestamp(text: Column, layouts: list[str] | None = None, day_first: bool = False) -> Column:
+    """Timestamp (without zone) of a date in text, with or without a time and an offset.
+
+    Reads years first, numbers with the month first (``day_first``: the day), names of months in English, ISO weeks,
+    compact forms, 12- and 24-hour times, fractions of seconds. Numbers that cannot be a month are days. A text with an
+    offset gives the time on the session's clock. Two-digit years from ``PIVOT_YEAR`` on are of the last century. One
+    regular expression takes the text apart; ``layouts`` reads patterns of ``to_timestamp`` instead, the first that fits.
     """
-    value = F.trim(text)
+    if layouts is not None:
+        return _by_layout(F.trim(text), layouts)
+    return _bound(_fields(text), lambda p: F.when(F.size(p) == len(_FIELDS), _read_fields(p, day_first)))
+
+
+def _by_layout(value: Column, layouts: list[str]) -> Column:
+    # a failed parse costs the JVM an exception, so a layout is only tried on texts of its shape
     by_shape: dict[str, list[Column]] = {}
-    for layout in layouts or DATE_LAYOUTS:
+    for layout in layouts:
         by_shape.setdefault(layout_shape(layout), []).append(F.try_to_timestamp(value, F.lit(layout)))
     shapes = iter(by_shape.items())
     shape, tries = next(shapes)

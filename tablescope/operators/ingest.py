@@ -26,7 +26,8 @@ from tablescope.functions.columns import (
     rows,
     stack_rows,
 )
-from tablescope.functions.parsing import DATE_NAME_HINT, parse_number, parse_timestamp
+from tablescope.functions.parsing import DATE_NAME_HINT, day_order_votes, parse_number, parse_timestamp
+from tablescope.plans.copies import draw_rows, row_hashes
 from tablescope.plans.frequency import value_frequencies
 
 
@@ -115,7 +116,10 @@ def _numbers_in_text(df: DataFrame, min_success: float | None = None) -> Choice:
     return Choice(aggregates, decide)
 
 
-def _dates_in_text(df: DataFrame, layouts: list[str] | None) -> Choice:
+def _dates_in_text(df: DataFrame, layouts: list[str] | None, day_order: str = "value") -> Choice:
+    """Columns of dates, each with whether the day stands before the month."""
+    if day_order not in ("value", "column"):
+        raise ValueError("day_order is 'value' or 'column'")
     names = categorical_cols(df)
     aggregates = []
     for i, name in enumerate(names):
@@ -123,6 +127,9 @@ def _dates_in_text(df: DataFrame, layouts: list[str] | None) -> Choice:
             F.count(col(name)).alias(f"date_of{i}"),
             F.count(parse_timestamp(col(name), layouts)).alias(f"date_ok{i}"),
         ]
+        if day_order == "column":
+            first, second = day_order_votes(col(name))
+            aggregates += [F.count_if(first).alias(f"day_first{i}"), F.count_if(second).alias(f"day_second{i}")]
 
     def decide(row):
         chosen = {}
@@ -130,7 +137,7 @@ def _dates_in_text(df: DataFrame, layouts: list[str] | None) -> Choice:
             hinted = re.search(DATE_NAME_HINT, c)
             needed = SETTINGS.datetime_success_rate if hinted else SETTINGS.datetime_success_rate_unhinted
             if row[f"date_of{i}"] and row[f"date_ok{i}"] / row[f"date_of{i}"] >= needed:
-                chosen[c] = True
+                chosen[c] = day_order == "column" and row[f"day_first{i}"] > 0 == row[f"day_second{i}"]
         return chosen
 
     return Choice(aggregates, decide)
@@ -183,12 +190,15 @@ def sanitize_infinities(df: DataFrame) -> DataFrame:
     )
 
 
-def infer_datetimes(df: DataFrame, layouts: list[str] | None = None) -> DataFrame:
+def infer_datetimes(df: DataFrame, layouts: list[str] | None = None, day_order: str = "value") -> DataFrame:
     """Turn text columns into timestamps where enough values parse; other cells become NULL.
 
     A column whose name hints at dates needs a lower share of readable values.
+    ``3/4/2023`` has the month first; with ``day_order="column"`` the day is
+    first if some value of the column must be read that way and none the other.
     """
-    return _edited(df, {c: parse_timestamp(col(c), layouts) for c in _taken(df, _dates_in_text(df, layouts))})
+    chosen = _taken(df, _dates_in_text(df, layouts, day_order))
+    return _edited(df, {c: parse_timestamp(col(c), layouts, first) for c, first in chosen.items()})
 
 
 def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:
@@ -199,13 +209,13 @@ def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:
     return _edited(df, {c: col(c).cast(kind) for c, kind in _taken(df, _widths(df, floats)).items()})
 
 
-def normalise(df: DataFrame, layouts: list[str] | None = None) -> Ingested:
+def normalise(df: DataFrame, layouts: list[str] | None = None, day_order: str = "value") -> Ingested:
     """Empty rows, header names, numbers in text, dates in text, infinities, integer widths, in this order.
 
     One scan decides everything; the result is a filter and a projection.
     """
     named = rename_duplicates(df)
-    numbers, dates, widths = _numbers_in_text(named), _dates_in_text(named, layouts), _widths(named)
+    numbers, dates, widths = _numbers_in_text(named), _dates_in_text(named, layouts, day_order), _widths(named)
     row = named.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(reduce(or_, [col(c).isNotNull() for c in named.columns])).alias("kept"),
@@ -221,7 +231,7 @@ def normalise(df: DataFrame, layouts: list[str] | None = None) -> Ingested:
     if empty:
         notes.append(f"columns without values: {', '.join(empty)}")
     edits = {c: col(c).cast(kind) for c, kind in widths.decide(row).items()}
-    edits |= {c: parse_timestamp(col(c), layouts) for c in dates.decide(row)}
+    edits |= {c: parse_timestamp(col(c), layouts, first) for c, first in dates.decide(row).items()}
     edits |= {c: parse_number(col(c)) for c in numbers.decide(row)}  # a number is never read as a date
     typed = _edited(drop_empty_rows(named), edits)
     for name, before, after in zip(named.columns, named.dtypes, typed.dtypes):
@@ -258,26 +268,15 @@ def schema_report(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row (rows, distinct_rows, duplicate_rows); nulls count as equal.
 
-    A row whose 64-bit hash occurs once is unique, so only hashes are shuffled
-    at first; the rows behind repeated hashes are then compared in full.
+    Rows that agree in both 64-bit hashes are taken for equal.  Only hashes are
+    shuffled, combined per task, whether rows repeat or not.
     """
-    names = analysable_cols(df)
-    if len(names) == len(df.columns):
-        # Hashes pass over nulls, hence the flags.
-        parts = [p for c in names for p in (col(c), col(c).isNull())]
-    else:
-        parts = [F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})]
-    hashed = df.withColumn("_hash", F.xxhash64(*parts))
-    per_hash = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
-    found = per_hash.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") == 1).alias("unique")
-    ).first()
-    total, distinct = found["rows"], found["unique"]
-    if distinct < total:
-        repeated = hashed.join(per_hash.filter("n > 1").select("_hash"), "_hash", "left_semi").drop("_hash")
-        distinct += repeated.distinct().count()
-    return rows(
-        df.sparkSession, [(total, distinct, total - distinct)], "rows long, distinct_rows long, duplicate_rows long"
+    first, second = row_hashes(df)
+    hashed = df.select(first.alias("first"), second.alias("second"))
+    counted = hashed.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+    total, distinct = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
+    return counted.agg(
+        total.alias("rows"), distinct.alias("distinct_rows"), (total - distinct).alias("duplicate_rows")
     )
 
 
@@ -320,22 +319,14 @@ def validate(df: DataFrame, allow_empty: bool = False) -> Validation:
 def sample_rows(df: DataFrame, n: int | None = None, seed: int | None = None) -> DataFrame:
     """The table itself up to ``n`` rows, else exactly ``n`` rows drawn with a fixed seed.
 
-    Rows are drawn by a hash of their values and, among equal rows, of their
-    number, so that copies are drawn independently and the layout of the input
-    does not matter.  Equal rows are counted before they are shuffled.  Only
-    about ``n`` rows pass the first test and take part in the final ordering.
+    Copies of a row are drawn independently, and the layout of the input does
+    not matter (see ``draw_rows``).  Rows with maps cannot be compared.
     """
     n = SETTINGS.sample_rows if n is None else n
     seed = SETTINGS.seed if seed is None else seed
     total = df.count()
     if total <= n:
         return df
-    share = (n + 10 * math.sqrt(n) + 100) / total
     if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields):
         raise ValidationError("Rows with maps cannot be compared; drop those columns before sampling")
-    values = [col(c) for c in df.columns]
-    counted = df.groupBy(*values).agg(F.count(F.lit(1)).alias("_copies"))
-    one = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("_copy"), *values), F.lit(1 << 32)) / float(1 << 32)
-    drawn = one.withColumn("_draw", draw).filter(F.col("_draw") < share)
-    return drawn.orderBy("_draw", *values).limit(n).select(*values)
+    return draw_rows(df, seed, (n + 10 * math.sqrt(n) + 100) / total, n)

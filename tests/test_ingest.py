@@ -23,19 +23,56 @@ def values(df, column):
     return [r[column] for r in df.collect()]
 
 
-def test_csv_round_trip(spark, tmp_path):
-    source = spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "a int, b int, c int")
+def test_what_is_written_is_read(spark, tmp_path):
+    source = spark.createDataFrame([(7, -3), (12, 40), (90, 0)], "load int, shift int")
     folder = str(tmp_path / "out")
     write_csv(source, folder)
     back = ingest.normalise(read_table(spark, folder, "csv")).df
-    assert sorted(map(tuple, back.collect())) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
+    assert {(r["load"], r["shift"]) for r in back.collect()} == {(7.0, -3.0), (12.0, 40.0), (90.0, 0.0)}
 
 
-def test_unknown_format_is_rejected(spark, tmp_path):
+@pytest.mark.parametrize("name", ["picture.webp", "absent.csv"])
+def test_what_cannot_be_read_is_an_error(spark, tmp_path, name):
+    if name == "picture.webp":
+        write(tmp_path, name, "RIFF")
     with pytest.raises(ValidationError):
-        read_table(spark, write(tmp_path, "test.exe", "x"))
-    with pytest.raises(ValidationError):
-        read_table(spark, str(tmp_path / "absent.csv"))
+        read_table(spark, str(tmp_path / name))
+
+
+def test_line_breaks_in_cells_stay_in_their_cell(spark, tmp_path):
+    rows = [("a\nb", "1"), ('say ""\n"x"', "2"), ("\n", "3"), ("plain", "4"), ("r\r\nn", "5"), (' 5" pipe', "6")]
+    folder = str(tmp_path / "out")
+    write_csv(spark.createDataFrame(rows, "t string, n string").coalesce(1), folder)
+    assert sorted(map(tuple, read_table(spark, folder, "csv").collect()), key=lambda r: r[1]) == rows
+
+
+def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "a folder + more"
+    folder.mkdir()
+    (folder / "one.csv").write_text('t,n\n"x\ny",1\nz,2\n')
+    (folder / "two.csv").write_text("t,n\nu,3\nv,4\n")
+    (folder / "three.csv").write_text("n,t\n5,w\n")
+    df = read_table(spark, str(folder), "csv")
+    assert {tuple(r) for r in df.collect()} == {("x\ny", "1"), ("z", "2"), ("u", "3"), ("v", "4"), ("w", "5")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 3
+
+
+def test_header_cells_with_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "h.csv", '"first\nname",n\nx,1\n')
+    df = read_table(spark, path)
+    assert df.columns == ["first\nname", "n"] and [tuple(r) for r in df.collect()] == [("x", "1")]
+
+
+def test_stray_quotes_invent_no_rows(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'a,b\n5" pipe,1\n6,2\nx"y"z,3\n')
+    assert {tuple(r) for r in read_table(spark, path).collect()} == {('5" pipe', "1"), ("6", "2"), ('x"y"z', "3")}
+
+
+def test_folder_of_wrapped_documents(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_text(f'{{"page": {k}, "data": [{{"n": {2 * k}}}, {{"n": {2 * k + 1}}}]}}')
+    assert sorted(values(read_json(spark, str(tmp_path)), "n")) == [0, 1, 2, 3, 4, 5]
 
 
 def test_long_rows_are_skipped_and_short_rows_padded(spark, tmp_path):
@@ -99,7 +136,18 @@ def test_numbers_in_text(spark, text, number):
         ("2023-12-25", "2023-12-25 00:00:00"), ("25/12/2023", "2023-12-25 00:00:00"),
         ("03/04/2023", "2023-03-04 00:00:00"), ("12-25-2023", "2023-12-25 00:00:00"),
         ("December 25, 2023", "2023-12-25 00:00:00"), ("2023-12-25T10:30:00", "2023-12-25 10:30:00"),
-        ("not-a-date", None), ("2023-13-45", None),
+        ("not-a-date", None), ("2023-13-45", None), ("2024-01-05T10:00:00+0200", "2024-01-05 08:00:00"),
+        ("20240105T103000", "2024-01-05 10:30:00"), ("Fri, 05 Jan 2024", "2024-01-05 00:00:00"),
+        ("5 January 2024 10:00", "2024-01-05 10:00:00"), ("Jan 5, 2024 10:30 PM", "2024-01-05 22:30:00"),
+        ("01/05/2024 22:30:15.123", "2024-01-05 22:30:15.123"), ("2024-01-05 10:00:00 UTC", "2024-01-05 10:00:00"),
+        ("2024/01/05 10:00", "2024-01-05 10:00:00"), ("Jan-2024", "2024-01-01 00:00:00"),
+        ("5th January 2024", "2024-01-05 00:00:00"), ("2024-W01", "2024-01-01 00:00:00"), ("1/5/99", "1999-01-05 00:00:00"),
+        ("1/5/68", "2068-01-05 00:00:00"), ("2020-W53-7", "2021-01-03 00:00:00"), ("2021-W53", None),
+        ("2024-01-05 12:05 am", "2024-01-05 00:05:00"), ("2024-01-05 13:05 pm", None), ("31/04/2024", None),
+        ("Sept. 3rd, 2021 at 7 pm", "2021-09-03 19:00:00"), ("2024-02-30", None), ("2024-01-05T10:00:00.123456789Z", "2024-01-05 10:00:00.123456"),
+        ("2024-01-05 10:00:00-05:30", "2024-01-05 15:30:00"), ("3 of May 2020", "2020-05-03 00:00:00"), ("2024 Mar 7", "2024-03-07 00:00:00"),
+        ("may", None), ("2024", None), ("12", None), ("1.5", None), ("2024.05", None), ("", None), ("05.01.2024", "2024-01-05 00:00:00"),
+        ("2024-01/05", None), ("10:30", None), ("Monday", None), ("marching 5 2024", None), ("2024-01-05 25:00", None),
     ],
 )
 def test_dates_in_text(spark, text, day):
@@ -107,6 +155,22 @@ def test_dates_in_text(spark, text, day):
     assert got.first()["d"] == day
 
 
+def test_order_of_day_and_month(spark):
+    df = spark.createDataFrame([("03/04/2023",), ("25/12/2023",), ("7/8/2023 10:00",)], "d string")
+    first = df.select(parse_timestamp(F.col("d"), day_first=True).cast("string").alias("d"))
+    assert values(first, "d") == ["2023-04-03 00:00:00", "2023-12-25 00:00:00", "2023-08-07 10:00:00"]
+    # by value: the month stands first wherever it can; by column: one value that cannot decides for all
+    assert values(ingest.infer_datetimes(df), "d")[0].isoformat() == "2023-03-04T00:00:00"
+    assert values(ingest.infer_datetimes(df, day_order="column"), "d")[0].isoformat() == "2023-04-03T00:00:00"
+    both = df.unionByName(spark.createDataFrame([("12/25/2023",)], "d string"))
+    assert values(ingest.infer_datetimes(both, day_order="column"), "d")[0].isoformat() == "2023-03-04T00:00:00"
+
+
+def test_own_layouts(spark):
+    df = spark.createDataFrame([("2024|05|06",), ("2024-05-06",)], "d string")
+    assert [str(v) for v in values(df.select(parse_timestamp(F.col("d"), ["yyyy'|'MM'|'dd"]).alias("d")), "d")] == ["2024-05-06 00:00:00", "None"]
+
+
 def test_normalise(spark, messy):
     done = ingest.normalise(messy)
     kinds = dict(done.df.dtypes)

@@ -53,12 +53,12 @@ def csv_round_trip(t):
 
 
 @query(
-    """SELECT doc_id, md5(regexp_replace(text, '\\n', ' ', 'g') || ' say "x", ok ') AS digest, source FROM documents"""
+    """SELECT doc_id, md5(text || ' say "x",\nok ') AS digest, source FROM documents"""
 )
 def csv_round_trip_of_texts(t):
-    """Texts with quotes, commas and blanks at the ends come back as they went."""
+    """Texts with line breaks, quotes, commas and blanks at the ends come back as they went."""
     folder = _new_folder(t)
-    line = F.concat(F.regexp_replace("text", "\n", " "), F.lit(' say "x", ok '))
+    line = F.concat("text", F.lit(' say "x",\nok '))
     write_csv(t.documents.select("doc_id", line.alias("line"), "source"), folder)
     back = read_table(t.spark, folder, "csv")
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("line").alias("digest"), "source")
@@ -72,13 +72,42 @@ _LAYOUTS = {
 }
 
 
+# name: (how the event's time is written, what is read back)
+_WRITTEN = {
+    "offset": (lambda ts: F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0200")), "date_trunc('second', ts) - INTERVAL 2 HOUR"),
+    "compact_time": (lambda ts: F.date_format(ts, "yyyyMMdd'T'HHmmss"), "date_trunc('second', ts)"),
+    "mail": (lambda ts: F.date_format(ts, "EEE, dd MMM yyyy"), "date_trunc('day', ts)"),
+    "long_day": (lambda ts: F.date_format(ts, "d MMMM yyyy HH:mm"), "date_trunc('minute', ts)"),
+    "named_noon": (lambda ts: F.date_format(ts, "MMM d, yyyy h:mm a"), "date_trunc('minute', ts)"),
+    "slashed_millis": (lambda ts: F.date_format(ts, "MM/dd/yyyy HH:mm:ss.SSS"), "date_trunc('millisecond', ts)"),
+    "zone_name": (lambda ts: F.date_format(ts, "yyyy-MM-dd HH:mm:ss 'UTC'"), "date_trunc('second', ts)"),
+    "slashed_year": (lambda ts: F.date_format(ts, "yyyy/MM/dd HH:mm"), "date_trunc('minute', ts)"),
+    "named_month": (lambda ts: F.date_format(ts, "MMM-yyyy"), "date_trunc('month', ts)"),
+    "ordinal": (
+        lambda ts: F.concat(
+            F.dayofmonth(ts),
+            F.when(F.dayofmonth(ts).isin(1, 21, 31), "st").when(F.dayofmonth(ts).isin(2, 22), "nd")
+            .when(F.dayofmonth(ts).isin(3, 23), "rd").otherwise("th"),
+            F.date_format(ts, " MMMM yyyy"),
+        ),
+        "date_trunc('day', ts)",
+    ),
+    "iso_week": (
+        lambda ts: F.concat(F.extract(F.lit("YEAROFWEEK"), ts), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0")),
+        "date_trunc('week', ts)",
+    ),
+    "last_century": (lambda ts: F.date_format(ts - F.expr("INTERVAL 25 YEARS"), "M/d/yy"), "date_trunc('day', ts) - INTERVAL 25 YEAR"),
+}
+
+
 @query(" UNION ALL ".join(
-    f"SELECT event_id, '{name}' AS layout, date_trunc('{unit}', ts) AS read FROM events"
-    for name, (_, unit) in _LAYOUTS.items()
+    [f"SELECT event_id, '{name}' AS layout, date_trunc('{unit}', ts) AS read FROM events" for name, (_, unit) in _LAYOUTS.items()]
+    + [f"SELECT event_id, '{name}' AS layout, {read} AS read FROM events" for name, (_, read) in _WRITTEN.items()]
 ))
 def parse_date_layouts(t):
     """Each event's time written in each layout and read back."""
-    written = F.array(*[F.struct(F.lit(n).alias("layout"), F.date_format("ts", p).alias("text")) for n, (p, _) in _LAYOUTS.items()])
+    texts = {n: F.date_format("ts", p) for n, (p, _) in _LAYOUTS.items()} | {n: w(F.col("ts")) for n, (w, _) in _WRITTEN.items()}
+    written = F.array(*[F.struct(F.lit(n).alias("layout"), x.alias("text")) for n, x in texts.items()])
     return t.events.select("event_id", F.inline(written)).select("event_id", "layout", parse_timestamp(F.col("text")).alias("read"))
 
 
@@ -121,6 +150,16 @@ def json_record_list(t):
     return read_json(t.spark, folder, record_path="records", lines=True)
 
 
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def json_wrapped_folder(t):
+    """A folder of documents, one to a file, each with the records of twenty conversations under ``data``."""
+    folder = _new_folder(t)
+    record = F.struct("conv_id", "turn", "role", "text")
+    documents = t.conversations.groupBy(F.floor(F.col("conv_id") / 20).alias("page")).agg(F.collect_list(record).alias("data"))
+    documents.write.option("maxRecordsPerFile", 1).json(folder)
+    return read_json(t.spark, folder)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
 def parquet_read(t):
     folder = _new_folder(t)
