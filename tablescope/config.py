@@ -17,7 +17,7 @@ class Settings:
     # These decide results.
     sample_rows: int = 20_000
     line_sample_rows: int = 5_000
-    normality_sample_rows: int = 5_000
+    wilk_rows: int = 5_000
     preview_rows: int = 500
     sparse_missing_frac: float = 0.60
     rare_category_frac: float = 0.02

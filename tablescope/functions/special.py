@@ -90,6 +90,10 @@ def normal_upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+def normal_density(z: float) -> float:
+    return math.exp(-z * z / 2.0) / math.sqrt(2.0 * math.pi)
+
+
 def normal_quantile(p: float) -> float:
     return _STD_NORMAL.inv_cdf(p)
 

@@ -28,8 +28,8 @@ from tablescope.functions.columns import (
     require_numeric,
     rows,
 )
+from tablescope.functions.normal import normal_quantile
 from tablescope.operators.describe import corrected_kurtosis, corrected_skew
-from tablescope.operators.ingest import sample_rows
 from tablescope.plans.frequency import cumulative_counts
 from tablescope.plans.shipping import ship_by_value
 from tablescope.plans.storage import materialize
@@ -84,39 +84,136 @@ def _pearson_wide(df: DataFrame, names: list[str]) -> list[tuple[str, str, float
     return found
 
 
-def _rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(pair, r, n): correlation of average ranks over the rows where both columns of a pair are present.
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (r, n): correlation of average ranks over the rows where both are present.
 
-    All pairs go together, so the number of jobs does not grow with them.  Rows
-    are first reduced to distinct values of each pair with counts, and stored,
-    as both rankings and the final sums read them; ranks come from running
-    counts over value ranges.
+    Rows are first reduced to distinct pairs with counts, and stored, as both rankings and the final sums read them;
+    ranks come from running counts over value ranges.
     """
-    cells = [
-        F.struct(F.lit(i).alias("pair"), clean_number(a).alias("x"), clean_number(b).alias("y"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    tall = df.select(F.inline(F.array(*cells))).dropna()
-    counted = materialize(tall.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    pairs = df.select(F.lit(0).alias("all"), clean_number(a).alias("x"), clean_number(b).alias("y")).dropna()
+    counted = materialize(pairs.groupBy("all", "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
     def deviations(value: str, output: str) -> DataFrame:
-        """(pair, value, output): the mean position of the rows that hold the value, from the middle of the ranks."""
-        freq = counted.groupBy("pair", value).agg(F.sum("n").alias("n"))
-        placed = cumulative_counts(freq, ["pair"], value)
-        return placed.select("pair", value, (F.col("before") + (F.col("n") - F.col("total")) / 2).alias(output))
+        """(value, output): the mean position of the rows that hold the value, from the middle of the ranks."""
+        freq = counted.groupBy("all", value).agg(F.sum("n").alias("n"))
+        placed = cumulative_counts(freq, ["all"], value)
+        return placed.select(value, (F.col("before") + (F.col("n") - F.col("total")) / 2).alias(output))
 
-    ranked = counted.join(deviations("x", "u"), ["pair", "x"]).join(deviations("y", "v"), ["pair", "y"])
+    ranked = counted.join(deviations("x", "u"), "x").join(deviations("y", "v"), "y")
     u, v, n = F.col("u"), F.col("v"), F.col("n")
-    sums = ranked.groupBy("pair").agg(
-        F.sum(n * u * v).alias("uv"), F.sum(n * u * u).alias("uu"), F.sum(n * v * v).alias("vv"), F.sum(n).alias("n")
-    )
-    return sums.select("pair", F.try_divide("uv", F.sqrt(F.col("uu") * F.col("vv"))).alias("r"), "n")
+    sums = ranked.agg(
+        F.sum(n * u * v).alias("uv"), F.sum(n * u * u).alias("uu"), F.sum(n * v * v).alias("vv"),
+        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n"),
+    )
+    return sums.select(F.try_divide("uv", F.sqrt(F.col("uu") * F.col("vv"))).alias("r"), "n")
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (r, n): correlation of average ranks over the rows where both are present."""
-    found = _rank_correlations(df, [(a, b)])
-    return found.agg(F.max("r").alias("r"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"))
+def _null_patterns(df: DataFrame, names: list[str]) -> list[int]:
+    """For each column the number of the set of rows where it is null; 0 for none, equal numbers for equal sets.
+
+    Sets are told apart by sums of row hashes (90 bits).
+    """
+    row_hash = F.xxhash64(*[clean_number(c) for c in names], *[clean_number(c).isNull() for c in names])
+    aggregates = []
+    for i, c in enumerate(names):
+        missing = clean_number(c).isNull()
+        aggregates.append(F.count_if(missing).alias(f"n{i}"))
+        for k in range(3):
+            part = F.shiftright(row_hash, 20 * k).bitwiseAND((1 << 20) - 1)
+            aggregates.append(F.sum(F.when(missing, part * part)).cast("string").alias(f"s{i}_{k}"))
+    row = df.agg(*aggregates).first()
+    known: dict[tuple, int] = {(0, None, None, None): 0}
+    return [known.setdefault((row[f"n{i}"], *(row[f"s{i}_{k}"] for k in range(3))), len(known)) for i in range(len(names))]
+
+
+def _rankings(patterns: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Which rankings are needed, as (column, pattern of the other column), and for each pair of columns its two.
+
+    A pair is ranked over the rows where both are present. A ranking is the same for all partners of one pattern, and
+    where a partner has no nulls, or the same ones, it is the column's own.
+    """
+    wanted: dict[tuple[int, int], int] = {}
+
+    def ranking(column: int, other: int) -> int:
+        pattern = 0 if other == patterns[column] else other
+        return wanted.setdefault((column, pattern), len(wanted))
+
+    pairs = [
+        (ranking(a, patterns[b]), ranking(b, patterns[a])) for a, b in combinations(range(len(patterns)), 2)
+    ]
+    return list(wanted), pairs
+
+
+#: Rows whose ranks are multiplied at a time.
+_RANK_BLOCK_BITS = 12
+
+
+def _rank_matrix(df: DataFrame, names: list[str]) -> list[tuple[str, str, float | None, int]]:
+    """(a, b, r, pairs) for all pairs of columns: correlations of average ranks.
+
+    Every column is ranked once per pattern of nulls of its partners. Ranks come from running counts over value ranges,
+    go back to their rows, and are multiplied in blocks of rows, so what is shuffled grows with the columns and not
+    with their pairs.
+    """
+    ship_by_value()
+    patterns = _null_patterns(df, names)
+    wanted, pairs = _rankings(patterns)
+    cells = [clean_number(c).alias(f"c{i}") for i, c in enumerate(names)]
+    stored = materialize(df.select(F.monotonically_increasing_id().alias("id"), *cells))  # fixes the numbers of rows
+    entries = []
+    for k, (column, pattern) in enumerate(wanted):
+        value = F.col(f"c{column}")
+        if pattern:
+            value = F.when(F.col(f"c{patterns.index(pattern)}").isNotNull(), value)
+        entries.append(F.struct(F.lit(k).alias("ranking"), value.alias("value")))
+    tall = stored.select("id", F.inline(F.array(*entries))).where("value IS NOT NULL")
+    freq = tall.groupBy("ranking", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = cumulative_counts(freq, ["ranking"], "value")
+    mean = placed.select("ranking", "value", (F.col("before") + (F.col("n") - F.col("total")) / 2).alias("u"))
+    ranked = tall.join(mean, ["ranking", "value"]).select(F.shiftright("id", _RANK_BLOCK_BITS).alias("block"), "id", "ranking", "u")
+    left, right = (np.array(side) for side in zip(*pairs, strict=True))
+    rankings, size = len(wanted), 1 << _RANK_BLOCK_BITS
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        products, squares, rows_of = np.zeros(len(left)), np.zeros(rankings), np.zeros(rankings, np.int64)
+        x = np.zeros((size, rankings))
+        at = None
+
+        def close() -> None:
+            for k in range(0, len(left), 256):
+                products[k : k + 256] += (x[:, left[k : k + 256]] * x[:, right[k : k + 256]]).sum(0)
+            x[:] = 0.0
+
+        for batch in batches:
+            block, row = batch["block"].to_numpy(), batch["id"].to_numpy() & (size - 1)
+            ranking, u = batch["ranking"].to_numpy(), batch["u"].to_numpy()
+            rows_of += np.bincount(ranking, minlength=rankings)
+            squares += np.bincount(ranking, u * u, minlength=rankings)
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    if at is not None and block[a] != at:
+                        close()
+                    at = block[a]
+                    x[row[a:b], ranking[a:b]] = u[a:b]
+        if at is not None:
+            close()
+            yield pd.DataFrame({"pair": np.arange(len(left)), "ranking": -1, "total": products, "n": 0})
+            yield pd.DataFrame({"pair": -1, "ranking": np.arange(rankings), "total": squares, "n": rows_of})
+
+    blocks = ranked.repartition("block").sortWithinPartitions("block")
+    sums = blocks.mapInPandas(add_up, "pair int, ranking int, total double, n long")
+    product, square, count = {}, {}, {}
+    for r in sums.groupBy("pair", "ranking").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
+        if r["pair"] >= 0:
+            product[r["pair"]] = r["total"]
+        else:
+            square[r["ranking"]], count[r["ranking"]] = r["total"], r["n"]
+    found = []
+    for k, (a, b) in enumerate(combinations(names, 2)):
+        spread = square.get(pairs[k][0], 0.0) * square.get(pairs[k][1], 0.0)
+        found.append((a, b, product[k] / math.sqrt(spread) if spread > 0 else None, count.get(pairs[k][0], 0)))
+    return found
 
 
 def pair_correlations(df: DataFrame, method: str = "pearson", columns: list[str] | None = None):
@@ -124,9 +221,7 @@ def pair_correlations(df: DataFrame, method: str = "pearson", columns: list[str]
     if method == "pearson":
         return _pearson(df, names)
     if method == "spearman":
-        pairs = list(combinations(names, 2))
-        found = {r["pair"]: (r["r"], r["n"]) for r in _rank_correlations(df, pairs).collect()} if pairs else {}
-        return [(a, b, *found.get(i, (None, 0))) for i, (a, b) in enumerate(pairs)]
+        return _rank_matrix(df, names) if len(names) > 1 else []
     raise ValidationError(f"Unknown correlation method {method!r}")
 
 
@@ -172,8 +267,8 @@ def significant_correlations(
 
 
 _NORMALITY_SCHEMA = (
-    "test string, status string, n long, w double, p_value double, significant boolean, "
-    "rows long, skew double, kurtosis double, moment_statistic double, moment_p_value double"
+    "test string, status string, n long, w double, z double, p_value double, significant boolean, "
+    "skew double, kurtosis double, moment_statistic double, moment_p_value double"
 )
 
 # Coefficients of Royston (1995), "Remark AS R94", highest power first.
@@ -192,59 +287,117 @@ def _poly(coefficients: list[float], x: float) -> float:
     return value
 
 
-def shapiro_wilk(values: list[float]) -> tuple[float, float]:
-    """W and its p-value for at most a few thousand values (eight or more)."""
-    x = sorted(values)
-    n = len(x)
+def wilk_weights(n: int) -> tuple[float, float, float]:
+    """What turns normal scores into the weights of Shapiro and Wilk for ``n`` values (eight or more).
+
+    The weights of the largest and the second largest value, and the factor of the scores of all others.
+    """
     m = [special.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
     norm = sum(v * v for v in m)
     u = 1.0 / math.sqrt(n)
     last = m[-1] / math.sqrt(norm) + u * _poly(_ROYSTON_LAST, u)
     second = m[-2] / math.sqrt(norm) + u * _poly(_ROYSTON_SECOND, u)
     scale = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-    a = [v / math.sqrt(scale) for v in m]
-    a[-1], a[-2], a[0], a[1] = last, second, -last, -second
-    mean = sum(x) / n
-    spread = sum((v - mean) ** 2 for v in x)
-    if spread == 0.0:
-        return 1.0, 1.0
-    w = min(1.0, sum(ai * xi for ai, xi in zip(a, x)) ** 2 / spread)
-    if w == 1.0:
-        return 1.0, 1.0
+    return last, second, 1.0 / math.sqrt(scale)
+
+
+def _wilk_z(w: float, n: int) -> float:
+    """Standard normal under normality; large values speak against it."""
     if n >= 12:
         log_n = math.log(n)
         mean_z, sd_z = _poly(_ROYSTON_LARGE_MEAN, log_n), math.exp(_poly(_ROYSTON_LARGE_LOG_SD, log_n))
-        z = (math.log1p(-w) - mean_z) / sd_z
-    else:
-        mean_z, sd_z = _poly(_ROYSTON_SMALL_MEAN, n), math.exp(_poly(_ROYSTON_SMALL_LOG_SD, n))
-        gamma = 0.459 * n - 2.273
-        z = (-math.log(gamma - math.log1p(-w)) - mean_z) / sd_z
-    return w, special.normal_upper(z)
+        return (math.log1p(-w) - mean_z) / sd_z
+    mean_z, sd_z = _poly(_ROYSTON_SMALL_MEAN, n), math.exp(_poly(_ROYSTON_SMALL_LOG_SD, n))
+    return (-math.log(0.459 * n - 2.273 - math.log1p(-w)) - mean_z) / sd_z
+
+
+def _francia_z(w: float, n: int) -> float:
+    """As ``_wilk_z``, after Royston (1993)."""
+    log_n = math.log(n)
+    log_log = math.log(log_n)
+    return (math.log1p(-w) - (-1.2725 + 1.0521 * (log_log - log_n))) / (1.0308 - 0.26758 * (log_log + 2.0 / log_n))
+
+
+def francia_norm(n: int, single: int = 20_000) -> float:
+    """Sum of the squared normal scores of all ranks.
+
+    The ``single`` outermost ranks of each side are summed one by one. Between them the sum is the integral of the
+    squared quantile, which has a closed form.
+    """
+    size = n + 0.25
+
+    def edge(i: int) -> float:
+        """Quantile between the ranks i and i + 1 (from 0), in the lower half for accuracy."""
+        return special.normal_quantile((i + 0.125) / size)
+
+    outer = min(single, n // 2)
+    z = [edge(i) for i in range(outer + 1)]
+    scores = [size * (special.normal_density(a) - special.normal_density(b)) for a, b in zip(z, z[1:])]
+    total = 2.0 * sum(v * v for v in scores)
+    inner = n - 2 * outer
+    if inner == 1:  # the middle rank
+        return total
+    if inner > 1:
+        low = z[-1]
+        total += size * ((1.0 - 2.0 * special.normal_upper(-low)) + 2.0 * low * special.normal_density(low))
+    return total
+
+
+def _run_scores(before, count, n: int):
+    """Sum of the normal scores of a run of equal values: a difference of densities."""
+
+    def density(ranks):
+        z = normal_quantile((ranks + 0.125) / F.lit(n + 0.25))
+        return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+
+    return F.lit(n + 0.25) * (density(before) - density(before + count))
 
 
 def normality_test(df: DataFrame, column: str) -> DataFrame:
-    """Shapiro-Wilk on a repeatable sample of at most 5000 values, and the moment test on all rows.
+    """Tests of normality on all rows: a W statistic, and the moment test.
 
-    The sample is the test's own limit: its p-value is defined up to that size.
+    Up to ``wilk_rows`` values W is that of Shapiro and Wilk; beyond, where their weights are not defined, it is that of
+    Shapiro and Francia, the squared correlation of the values with their normal scores. Equal values share a run of
+    ranks, whose scores have a closed form, so the test needs only counts of distinct values. The p-value beyond
+    5000 values extrapolates its published range. A constant column has W = 1. Too few values give a status.
     """
     require_numeric(df, column)
     values = df.select(clean_number(column).alias("v")).dropna()
-    sample = [r["v"] for r in sample_rows(values, SETTINGS.normality_sample_rows).collect()]
-    if len(sample) < 8:
-        return rows(
-            df.sparkSession,
-            [("shapiro-wilk", "insufficient_data", len(sample)) + (None,) * 8],
-            _NORMALITY_SCHEMA,
-        )
-    w, p = shapiro_wilk(sample)
-    whole = values.agg(F.count("v").alias("n"), F.skewness("v").alias("s"), F.kurtosis("v").alias("k")).first()
+    whole = values.agg(
+        F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("var"),
+        F.skewness("v").alias("s"), F.kurtosis("v").alias("k"),
+    ).first()
     n, s, k = whole["n"], whole["s"], whole["k"]
+    if n < 8:
+        return rows(df.sparkSession, [("shapiro-wilk", "insufficient_data", n) + (None,) * 8], _NORMALITY_SCHEMA)
+    spread = whole["var"] * n
+    freq = values.groupBy(F.lit(0).alias("all"), "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = cumulative_counts(freq, ["all"], "v")
+    centred = F.col("v") - F.lit(whole["m"])
+    exact = n <= SETTINGS.wilk_rows
+    if spread == 0.0:
+        w = 1.0
+    elif exact:
+        last, second, factor = wilk_weights(n)
+        rank = F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n")))
+        ranked = placed.select(centred.alias("x"), rank.alias("i"))
+        i = F.col("i")
+        weight = F.lit(factor) * normal_quantile((i - 0.375) / F.lit(n + 0.25))
+        ends = {1: -last, 2: -second, n - 1: second, n: last}
+        for at, value in ends.items():
+            weight = F.when(i == at, F.lit(value)).otherwise(weight)
+        w = min(1.0, ranked.agg(F.sum(weight * F.col("x")).alias("b")).first()["b"] ** 2 / spread)
+    else:
+        b = placed.agg(F.sum(centred * _run_scores(F.col("before"), F.col("n"), n)).alias("b")).first()["b"]
+        w = min(1.0, b * b / (spread * francia_norm(n)))
+    z = -math.inf if w == 1.0 else (_wilk_z(w, n) if exact else _francia_z(w, n))
+    p = 1.0 if w == 1.0 else special.normal_upper(z)
     moment = None if s is None else n / 6.0 * (s * s + k * k / 4.0)
     return rows(
         df.sparkSession,
         [(
-            "shapiro-wilk", "ok", len(sample), w, p, p < SETTINGS.alpha,
-            n, corrected_skew(s, n), corrected_kurtosis(k, n),
+            "shapiro-wilk" if exact else "shapiro-francia", "ok", n, w, None if w == 1.0 else z, p, p < SETTINGS.alpha,
+            corrected_skew(s, n), corrected_kurtosis(k, n),
             moment, None if moment is None else special.chi2_upper(moment, 2),
         )],
         _NORMALITY_SCHEMA,

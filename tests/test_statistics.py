@@ -114,14 +114,82 @@ def test_significant_correlations(numbers):
     assert rows[0]["p_value"] < 1e-50 and rows[0]["n"] == 300
 
 
-def test_shapiro_wilk():
-    # Weights of eleven men, the worked example of the original paper (W = 0.79).
-    w, p = relate.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
-    assert w == pytest.approx(0.7888, abs=5e-4) and p == pytest.approx(0.0067, abs=5e-4)
-    rng = np.random.default_rng(0)
-    rejected = [relate.shapiro_wilk(list(rng.normal(size=50)))[1] < 0.05 for _ in range(400)]
+def shapiro_wilk(values):
+    """W and its p-value, value by value."""
+    x = sorted(values)
+    n = len(x)
+    last, second, factor = relate.wilk_weights(n)
+    weights = [factor * special.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    weights[0], weights[1], weights[-2], weights[-1] = -last, -second, second, last
+    mean = sum(x) / n
+    w = sum(a * v for a, v in zip(weights, x)) ** 2 / sum((v - mean) ** 2 for v in x)
+    return w, special.normal_upper(relate._wilk_z(w, n))
+
+
+def test_shapiro_wilk(spark):
+    # the published example of eleven weights
+    w, p = shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert w == pytest.approx(0.79, abs=0.01) and p == pytest.approx(0.007, abs=0.001)
+    rng = np.random.default_rng(5)
+    rejected = [shapiro_wilk(rng.normal(size=50).tolist())[1] < 0.05 for _ in range(400)]
     assert 0.02 < np.mean(rejected) < 0.09
-    assert relate.shapiro_wilk(list(rng.exponential(size=200)))[1] < 1e-6
+    for values in (rng.normal(size=40), rng.exponential(size=200), rng.integers(0, 6, 300).astype(float), rng.normal(size=9)):
+        row = relate.normality_test(spark.createDataFrame([(float(v),) for v in values], "x double"), "x").first()
+        assert (row["test"], row["n"]) == ("shapiro-wilk", len(values))
+        assert (row["w"], row["p_value"]) == pytest.approx(shapiro_wilk(values.tolist()), rel=1e-9)
+
+
+def test_w_of_any_number_of_rows(spark, monkeypatch):
+    """Scores of runs in closed form against ranks one by one, and the rate of false alarms."""
+    from dataclasses import replace
+
+    monkeypatch.setattr(relate, "SETTINGS", replace(relate.SETTINGS, wilk_rows=10))
+
+    def francia(values):
+        x, n = np.sort(values), len(values)
+        z = [special.normal_quantile((i + 0.125) / (n + 0.25)) for i in range(n + 1)]
+        score = (n + 0.25) * -np.diff([special.normal_density(v) for v in z])
+        return ((x - x.mean()) @ score) ** 2 / ((x - x.mean()) @ (x - x.mean()) * (score @ score))
+
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=3000), np.round(rng.normal(size=4001) * 3), rng.exponential(size=700), rng.integers(0, 2, 999) * 1.0):
+        row = relate.normality_test(spark.createDataFrame([(float(v),) for v in values], "x double"), "x").first()
+        assert (row["test"], row["n"]) == ("shapiro-francia", len(values))
+        assert row["w"] == pytest.approx(francia(values), rel=1e-6)
+    for n in (101, 5000, 100_001):
+        z = np.array([special.normal_quantile((i + 0.125) / (n + 0.25)) for i in range(n + 1)])
+        score = (n + 0.25) * -np.diff(np.exp(-z * z / 2) / np.sqrt(2 * np.pi))
+        assert relate.francia_norm(n) == pytest.approx(score @ score, rel=1e-12 if n < 40_000 else 1e-8)
+        assert relate.francia_norm(n, single=200) == pytest.approx(score @ score, rel=1e-4)
+    alarms = [relate._francia_z(francia(rng.normal(size=2000)), 2000) > 1.645 for _ in range(300)]
+    assert 0.02 < np.mean(alarms) < 0.09
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_rank_matrix_equals_pairs(spark, ties):
+    rng = np.random.default_rng(7)
+    table = rng.integers(0, 5 if ties else 10**6, (600, 6)).astype(float)
+    table[:, 3] = -table[:, 0] + table[:, 3] / 3
+    rows_ = [[None if (k % 3 == 0 and i % (4 + k) == 1) or (k == 4 and i % 5 == 1) else float(v) for k, v in enumerate(r)] for i, r in enumerate(table)]
+    df = spark.createDataFrame([tuple(r) for r in rows_], ", ".join(f"c{k} double" for k in range(6))).repartition(5)
+    found = relate.pair_correlations(df, "spearman")
+    assert len(found) == 15
+    for a, b, r, n in found:
+        one = relate.spearman(df, a, b).first()
+        assert n == one["n"] and r == pytest.approx(one["r"], abs=1e-12)
+
+
+def test_columns_are_ranked_once_per_pattern_of_nulls(spark):
+    assert len(relate._rankings([0] * 100)[0]) == 100
+    assert len(relate._rankings([0, 0, 1, 1, 0])[0]) == 3 + 3 + 2  # the full columns also among the rows of pattern 1
+    df = spark.range(50).selectExpr("id a", "IF(id = 3, NULL, id) b", "id + 1 c", "IF(id = 3, NULL, -id) d", "IF(id = 4, NULL, id) e")
+    assert relate._null_patterns(df, ["a", "b", "c", "d", "e"]) == [0, 1, 0, 1, 2]
+
+
+def test_rank_matrix_of_constant_and_empty_columns(spark):
+    df = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, None), (3.0, 5.0, None)], "a double, b double, c double")
+    assert [(r, n) for _, _, r, n in relate.pair_correlations(df, "spearman")] == [(None, 3), (None, 0), (None, 0)]
+    assert [(r, n) for _, _, r, n in relate.pair_correlations(df.limit(0), "spearman")] == [(None, 0)] * 3
 
 
 def test_normality_test(spark, numbers):

@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tablescope.functions import normal
 from tablescope.operators import relate
 from workload.registry import query, rounded
 
@@ -82,23 +83,63 @@ def significant_correlations(t):
     return relate.significant_correlations(table).drop("p_value")
 
 
-@query(
-    """SELECT count(*) AS rows, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurtosis,
-    round(count(*) / 6.0 * (pow(avg(pow(z, 3)), 2) + pow(avg(pow(z, 4)) - 3, 2) / 4), 4) AS moment_statistic
+def _ratio_sql(top: list[float], bottom: list[float], x: str) -> str:
+    def horner(coefficients):
+        text = f"{coefficients[0]!r}::DOUBLE"
+        for c in coefficients[1:]:
+            text = f"({text} * {x} + {c!r}::DOUBLE)"
+        return text
+
+    return f"({horner(top)} / {horner(bottom)})"
+
+
+def _quantile_sql(p: str) -> str:
+    """Inverse of the normal distribution function at the column ``p``."""
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    centre = f"({p} - 0.5) * " + _ratio_sql(normal.CENTRE_TOP, normal.CENTRE_BOTTOM, f"(0.180625 - pow({p} - 0.5, 2))")
+    middle = _ratio_sql(normal.MIDDLE_TOP, normal.MIDDLE_BOTTOM, f"({r} - 1.6)")
+    far = _ratio_sql(normal.FAR_TOP, normal.FAR_BOTTOM, f"({r} - 5)")
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN {centre} ELSE sign({p} - 0.5) * CASE WHEN {r} <= 5 THEN {middle} ELSE {far} END END"
+
+
+_MOMENTS = """SELECT skewness(value) AS skew, kurtosis(value) AS kurtosis,
+    count(*) / 6.0 * (pow(avg(pow(z, 3)), 2) + pow(avg(pow(z, 4)) - 3, 2) / 4) AS moment_statistic
     FROM (SELECT value, (value - m) / s AS z FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events))"""
+
+
+@query(
+    f"""WITH v AS (SELECT value AS x, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+    e AS (SELECT i, n, (i + 0.125) / (n + 0.25) AS p FROM (SELECT i, n FROM v UNION ALL SELECT DISTINCT 0, n FROM v)),
+    d AS (SELECT i, n, exp(-z * z / 2) / sqrt(2 * pi()) AS f FROM (SELECT i, n, {_quantile_sql("p")} AS z FROM e)),
+    s AS (SELECT i, (n + 0.25) * (lag(f) OVER (ORDER BY i) - f) AS score FROM d),
+    w AS (SELECT count(*) AS n, pow(sum((x - (SELECT avg(x) FROM v)) * score), 2) / (var_pop(x) * count(*)) / sum(score * score) AS w
+          FROM v JOIN s USING (i)),
+    z AS (SELECT n, w, (ln(1 - w) - (-1.2725 + 1.0521 * (ln(ln(n)) - ln(n)))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS z FROM w)
+    SELECT 'shapiro-francia' AS test, 'ok' AS status, n, round(w, 6) AS w, round(z, 3) AS z, z > 1.6448536269514722 AS significant,
+           round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(moment_statistic, 4) AS moment_statistic
+    FROM z, ({_MOMENTS})"""
 )
-def normality_moments(t):
-    """The moment test on all rows; Shapiro-Wilk on its sample is unit-tested."""
-    found = relate.normality_test(t.events, "value")
-    return found.select(
-        "rows", F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"),
-        F.round("moment_statistic", 4).alias("moment_statistic"),
+def normality_test(t):
+    """W and the moment test on all rows; p-values are unit-tested."""
+    found = relate.normality_test(t.events, "value").drop("p_value", "moment_p_value")
+    return found.withColumns(
+        {c: F.round(c, d) for c, d in (("w", 6), ("z", 3), ("skew", 6), ("kurtosis", 6), ("moment_statistic", 4))}
     )
 
 
-@query()
-def normality_test(t):
-    return relate.normality_test(t.events, "value")
+@query(
+    """WITH v AS (SELECT l_quantity AS x FROM lineitem), n AS (SELECT count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM v)
+    SELECT 'ok' AS status, any_value(n) AS n, round(skewness(x), 6) AS skew, round(kurtosis(x), 6) AS kurtosis,
+           round(any_value(n) / 6.0 * (pow(avg(pow((x - m) / s, 3)), 2) + pow(avg(pow((x - m) / s, 4)) - 3, 2) / 4), 3) AS moment_statistic
+    FROM v, n"""
+)
+def normality_moments(t):
+    """The moment test where few values fill all rows."""
+    found = relate.normality_test(t.lineitem, "l_quantity")
+    return found.select(
+        "status", "n", F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"),
+        F.round("moment_statistic", 3).alias("moment_statistic"),
+    )
 
 
 @query(
