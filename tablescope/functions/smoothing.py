@@ -7,38 +7,125 @@ import itertools
 import numpy as np
 
 
-def _run(y: np.ndarray, weights, period: int, trend: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Days of a straight line beyond which it is walked in closed form.
+_LONG = 64
+
+
+class _Line:
+    """What many days of a straight line do to the state, and to the residuals.
+
+    The state is level, slope, seasons, the day's value and the value's step; ``move`` takes it over the days. Residuals
+    are linear in it: ``rows`` are a few forms with the same sum of squares, ``total`` is their sum. Two lines that
+    follow one another make one, so ``n`` periods take the logarithm of ``n`` steps.
+    """
+
+    def __init__(self, move: np.ndarray, rows: np.ndarray, total: np.ndarray):
+        self.move, self.rows, self.total = move, rows, total
+
+    def then(self, other: _Line) -> _Line:
+        rows = np.concatenate([self.rows, other.rows @ self.move])
+        if len(rows) > len(self.move):
+            rows = np.linalg.qr(rows, "r")
+        return _Line(other.move @ self.move, rows, self.total + other.total @ self.move)
+
+    def times(self, n: int) -> _Line:
+        size = len(self.move)
+        out, power = _Line(np.eye(size), np.zeros((0, size)), np.zeros(size)), self
+        while n:
+            if n & 1:
+                out = out.then(power)
+            power, n = power.then(power), n >> 1
+        return out
+
+
+def _day(weights, phase: int, period: int, trend: bool) -> _Line:
+    """One day at a place in the season."""
+    alpha, beta, gamma = weights
+    size = 2 + period + 2
+    error = np.zeros(size)
+    error[[0, 1, -2]] = -1.0, -1.0, 1.0
+    if period:
+        error[2 + phase] = -1.0
+    move = np.eye(size)
+    move[0] += alpha * error
+    move[0, 1] += 1.0
+    if trend:
+        move[1] += alpha * beta * error
+    if period:
+        move[2 + phase] += gamma * (1.0 - alpha) * error
+    move[-2, -1] += 1.0
+    return _Line(move, error[None, :], error)
+
+
+class _Fit:
     """Residuals and last state as affine functions of the unknown start state.
 
     Column 0 holds the constant part, the other columns one unit start value
     each (level, slope, seasons), so the best start is a least-squares problem.
     """
-    alpha, beta, gamma = weights
-    size = 1 + trend + period
-    level, slope = np.zeros(1 + size), np.zeros(1 + size)
-    seasons = [np.zeros(1 + size) for _ in range(period)]
-    level[1] = 1.0
-    if trend:
-        slope[2] = 1.0
-    for j in range(period):
-        seasons[j][1 + 1 + trend + j] = 1.0
-    errors = np.empty((len(y), 1 + size))
-    for t, observed in enumerate(y):
-        fitted = level + slope
-        if period:
-            fitted = fitted + seasons[t % period]
-        error = -fitted
-        error[0] += observed
-        errors[t] = error
-        level = level + slope + alpha * error
+
+    def __init__(self, y: np.ndarray, length: np.ndarray, rise: np.ndarray, weights, period: int, trend: bool):
+        size = 1 + trend + period
+        state = np.zeros((2 + period, 1 + size))
+        state[0, 1] = 1.0
         if trend:
-            slope = slope + alpha * beta * error
-        if period:
-            seasons[t % period] = seasons[t % period] + gamma * (1.0 - alpha) * error
-    state = np.array([level, slope, *seasons])
-    start, *_ = np.linalg.lstsq(errors[:, 1:], -errors[:, 0], rcond=None)
-    known = np.concatenate([[1.0], start])
-    return errors @ known, state @ known, known
+            state[1, 2] = 1.0
+        for j in range(period):
+            state[2 + j, 2 + trend + j] = 1.0
+        alpha, beta, gamma = weights
+        errors, total, days = [], np.zeros(1 + size), 0
+        for first, n, step in zip(y.tolist(), length.tolist(), rise.tolist()):
+            singles = n if n <= _LONG else 0
+            for k in range(singles):
+                season = 2 + (days + k) % period if period else None
+                error = -(state[0] + state[1])
+                if period:
+                    error -= state[season]
+                error[0] += first + step * k
+                errors.append(error)
+                total += error
+                state[0] += state[1] + alpha * error
+                if trend:
+                    state[1] += alpha * beta * error
+                if period:
+                    state[season] += gamma * (1.0 - alpha) * error
+            if n > singles:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    walked = self._straight(state, first, step, n, days, weights, period, trend)
+                if walked is None:
+                    self.cost = float("inf")
+                    return
+                state, rows, added = walked
+                errors += rows
+                total += added
+            days += n
+        errors = np.array(errors)
+        start, *_ = np.linalg.lstsq(errors[:, 1:], -errors[:, 0], rcond=None)
+        known = np.concatenate([[1.0], start])
+        residuals = errors @ known
+        self.cost = float(residuals @ residuals)
+        self.spread = float(np.sqrt(max(self.cost / days - (total @ known / days) ** 2, 0.0)))
+        self.state, self.days = state @ known, days
+
+    @staticmethod
+    def _straight(state, first, step, n, days, weights, period, trend):
+        cycle = [_day(weights, (days + k) % period if period else 0, period, trend) for k in range(max(period, 1))]
+
+        def after(parts: list[_Line]) -> _Line:
+            line = parts[0]
+            for part in parts[1:]:
+                line = line.then(part)
+            return line
+
+        line = after(cycle).times(n // len(cycle))
+        if rest := n % len(cycle):
+            line = line.then(after(cycle[:rest]))
+        whole = np.zeros((len(state) + 2, state.shape[1]))
+        whole[:-2] = state
+        whole[-2, 0], whole[-1, 0] = first, step
+        if not (np.isfinite(line.rows).all() and np.isfinite(line.move).all()):
+            return None  # weights under which errors grow without end
+        return (line.move @ whole)[:-2], list(line.rows @ whole), line.total @ whole
 
 
 def _minimise(cost, start: np.ndarray, rounds: int = 120) -> np.ndarray:
@@ -71,28 +158,33 @@ def _minimise(cost, start: np.ndarray, rounds: int = 120) -> np.ndarray:
     return np.array(scored[0][1])
 
 
-def fit_additive(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float]:
-    """Forecast and residual spread; trend and weekly season are used where the series is long enough."""
-    n = len(y)
+def fit_additive(
+    y: np.ndarray, horizon: int, length: np.ndarray | None = None, rise: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Forecast and residual spread; trend and weekly season are used where the series is long enough.
+
+    ``length`` and ``rise`` give the series as straight runs: ``y`` is the first value of each, ``rise`` its daily step.
+    """
+    length = np.ones(len(y), np.int64) if length is None else length
+    rise = np.zeros(len(y)) if rise is None else rise
+    n = int(length.sum())
     period = min(7, n // 2) if n // 2 >= 2 else 0
     trend = n > 2 * (period or 2)
     if not (period > 1 and n > 2 * period):
         period = 0
     free = [True, trend, period > 0]
 
-    def weights(p):
+    def fit(p) -> _Fit:
         chosen = iter(p)
-        return [next(chosen) if used else 0.0 for used in free]
+        return _Fit(y, length, rise, [next(chosen) if used else 0.0 for used in free], period, trend)
 
     def cost(p):
-        residuals, _, _ = _run(y, weights(p), period, trend)
-        return float(residuals @ residuals)
+        return fit(p).cost
 
     grid = itertools.product(*[(0.1, 0.5, 0.9) for used in free if used])
-    best = _minimise(cost, np.array(min(grid, key=cost)))
-    residuals, state, _ = _run(y, weights(best), period, trend)
+    best = fit(_minimise(cost, np.array(min(grid, key=cost))))
     steps = np.arange(1, horizon + 1)
-    ahead = state[0] + steps * state[1]
+    ahead = best.state[0] + steps * best.state[1]
     if period:
-        ahead = ahead + np.array([state[2 + (n + h - 1) % period] for h in steps])
-    return ahead, float(np.std(residuals))
+        ahead = ahead + np.array([best.state[2 + (n + h - 1) % period] for h in steps])
+    return ahead, best.spread

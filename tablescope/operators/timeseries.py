@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from tablescope.config import SETTINGS
 from tablescope.functions.columns import clean_number, col, require_columns, require_numeric
 from tablescope.functions.smoothing import fit_additive
-from tablescope.plans.ordered import POSITION, largest_group, with_positions
+from tablescope.plans.ordered import POSITION, largest_group, tie_break, with_positions
 from tablescope.plans.shipping import ship_by_value
 
 _WEEK = 7
@@ -20,7 +22,8 @@ _WEEK = 7
 def _indexed(series: DataFrame, order_by: list[str], keys: list[str], hot_group_rows: int | None) -> DataFrame:
     """Add ``_i``, consecutive within each key; where it starts does not matter to a slope."""
     if largest_group(series, keys) <= (hot_group_rows or SETTINGS.hot_group_rows):
-        spec = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in order_by])
+        # rows that are equal in `order_by` come in the order of the same hash as below
+        spec = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in order_by], tie_break(series))
         return series.withColumn("_i", F.row_number().over(spec))
     return with_positions(series, [*keys, *order_by]).withColumnRenamed(POSITION, "_i")
 
@@ -103,44 +106,48 @@ def _by_day(keys: list[str]):
     return Window.partitionBy(*[col(k) for k in keys]).orderBy("day")
 
 
+def calendar_runs(df: DataFrame, date: str, value: str, partition_by: list[str] | None = None) -> DataFrame:
+    """(keys..., day, days, value, next_value): daily means as runs on a calendar without gaps.
+
+    A run begins at a day with values and lasts ``days`` days, up to the next such day; a gap of any length is one row.
+    ``next_value`` is the mean on the day behind the run, NULL behind the last one, which lasts one day.
+    """
+    keys = partition_by or []
+    order = _by_day(keys)
+    known = _daily(df, date, value, keys)
+    lasts = F.coalesce(F.datediff(F.lead("day").over(order), "day"), F.lit(1))
+    return known.select(
+        *[col(k) for k in keys], "day", lasts.alias("days"), "value", F.lead("value").over(order).alias("next_value")
+    )
+
+
+def _exploded(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., day, past, days, value, next_value): every day of every run, ``past`` days after its first."""
+    each = runs.withColumn("past", F.explode(F.sequence(F.lit(0), F.col("days") - 1)))
+    return each.select(*[col(k) for k in keys], F.date_add("day", F.col("past")).alias("day"), "past", "days", "value", "next_value")
+
+
+def _on_line(days: DataFrame, keys: list[str]) -> DataFrame:
+    step = (F.col("next_value") - F.col("value")) * F.col("past") / F.col("days")
+    filled = F.when(F.col("past") == 0, F.col("value")).otherwise(F.col("value") + step)
+    return days.select(*[col(k) for k in keys], "day", filled.alias("value"))
+
+
 def resample_daily(df: DataFrame, date: str, value: str, partition_by: list[str] | None = None) -> DataFrame:
     """(keys..., day, value): daily means on a calendar without gaps; value is NULL on added days.
 
     Each known day generates the missing days up to the next one, so the
-    calendar needs no join.
+    calendar needs no join.  ``calendar_runs`` is the same without a row per day.
     """
     keys = partition_by or []
-    days = _calendar(df, date, value, keys)
-    return days.select(
-        *[col(k) for k in keys], "day", F.when(F.col("day") == F.col("_known"), F.col("value")).alias("value")
-    )
+    days = _exploded(calendar_runs(df, date, value, keys), keys)
+    return days.select(*[col(k) for k in keys], "day", F.when(F.col("past") == 0, F.col("value")).alias("value"))
 
 
 def daily_series(df: DataFrame, date: str, value: str, partition_by: list[str] | None = None) -> DataFrame:
     """Gap-free daily means with gaps filled by straight lines between known days."""
     keys = partition_by or []
-    days = _calendar(df, date, value, keys)
-    past = F.datediff("day", "_known")
-    step = (F.col("_next_value") - F.col("value")) * past / F.datediff("_next", "_known")
-    filled = F.when(past == 0, F.col("value")).otherwise(F.col("value") + step)
-    return days.select(*[col(k) for k in keys], "day", filled.alias("value"))
-
-
-def _calendar(df: DataFrame, date: str, value: str, keys: list[str]) -> DataFrame:
-    """Every day with the last known day and value, and the next ones."""
-    order = _by_day(keys)
-    known = _daily(df, date, value, keys).withColumns(
-        {"_next": F.lead("day").over(order), "_next_value": F.lead("value").over(order)}
-    )
-    until = F.coalesce(F.date_sub("_next", 1), F.col("day"))
-    return known.select(
-        *[col(k) for k in keys],
-        F.col("day").alias("_known"),
-        "value",
-        "_next",
-        "_next_value",
-        F.explode(F.sequence(F.col("day"), until)).alias("day"),
-    )
+    return _on_line(_exploded(calendar_runs(df, date, value, keys), keys), keys)
 
 
 def interpolate_linear(
@@ -159,7 +166,7 @@ def interpolate_linear(
     """
     keys = partition_by or []
     if largest_group(df, keys) <= (hot_group_rows or SETTINGS.hot_group_rows):
-        place = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order))
+        place = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order), tie_break(df))
         around = _known_neighbours(df.withColumn("_i", F.row_number().over(place)), keys, value)
     else:
         block = F.floor(F.col("_i") / (block_rows or SETTINGS.split_block_rows))
@@ -280,8 +287,10 @@ def holt_winters_forecast(
     """(keys..., ds, yhat, yhat_lower, yhat_upper, is_forecast) per series.
 
     Series with fewer than 14 raw points are left out.  History rows carry the
-    daily value in all three columns.  Spark builds the daily series; one task
-    fits one series, whose size is its number of days.
+    daily value in all three columns.  One task fits one series, whose size is
+    its number of days with values: a gap is one row, and the fit walks a long
+    straight line in closed form.  Forecast rows need no history rows; days
+    beyond the calendar's end (9999-12-31) are left out.
     """
     ship_by_value()
     keys = partition_by or []
@@ -289,44 +298,38 @@ def holt_winters_forecast(
     raw = df.select(*[col(k) for k in keys], col(date), clean_number(value).alias(value)).dropna(subset=[date, value])
     enough = raw.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_points"))
     enough = enough.filter(F.col("_points") >= SETTINGS.min_rows_forecast)
-    daily = daily_series(raw, date, value, keys)
+    runs = calendar_runs(raw, date, value, keys)
     if keys:
-        daily = daily.join(enough.drop("_points"), keys, "left_semi")
+        runs = runs.join(enough.drop("_points"), keys, "left_semi")
     elif not enough.take(1):
-        daily = daily.limit(0)
-    fields = [df.schema[k] for k in keys]
-    result = T.StructType(
-        fields
-        + [
-            T.StructField("ds", T.DateType()),
-            T.StructField("yhat", T.DoubleType()),
-            T.StructField("yhat_lower", T.DoubleType()),
-            T.StructField("yhat_upper", T.DoubleType()),
-            T.StructField("is_forecast", T.BooleanType()),
-        ]
-    )
+        runs = runs.limit(0)
+    kinds = [T.StructField(n, T.DoubleType()) for n in ("yhat", "yhat_lower", "yhat_upper")]
+    ahead_kind = T.StructType([df.schema[k] for k in keys] + [T.StructField("ds", T.DateType())] + kinds)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("day")
-        history = frame["value"].to_numpy(dtype=float)
-        ahead, spread = fit_additive(history, horizon)
-        days = pd.to_datetime(frame["day"])
-        future = pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=horizon, freq="D")
-        band = 1.96 * spread
+        first, length = frame["value"].to_numpy(dtype=float), frame["days"].to_numpy()
+        rise = np.nan_to_num(frame["next_value"].to_numpy(dtype=float) - first) / length
+        ahead, spread = fit_additive(first, horizon, length, rise)
+        last = frame["day"].iloc[-1]
+        room = min(horizon, datetime.date.max.toordinal() - last.toordinal())
         out = pd.DataFrame(
             {
-                "ds": list(days.dt.date) + list(future.date),
-                "yhat": np.concatenate([history, ahead]),
-                "yhat_lower": np.concatenate([history, ahead - band]),
-                "yhat_upper": np.concatenate([history, ahead + band]),
-                "is_forecast": [False] * len(history) + [True] * horizon,
+                "ds": pd.Series([last + datetime.timedelta(days=k + 1) for k in range(room)], dtype=object),
+                "yhat": ahead[:room],
+                "yhat_lower": ahead[:room] - 1.96 * spread,
+                "yhat_upper": ahead[:room] + 1.96 * spread,
             }
         )
         for position, key in enumerate(keys):
             out.insert(position, key, frame[key].iloc[0])
         return out
 
-    return daily.groupBy(*[col(k) for k in keys]).applyInPandas(fit, result)
+    ahead = runs.groupBy(*[col(k) for k in keys]).applyInPandas(fit, ahead_kind)
+    past = _on_line(_exploded(runs, keys), keys)
+    shown = [col(k) for k in keys]
+    history = past.select(*shown, F.col("day").alias("ds"), *[F.col("value").alias(f.name) for f in kinds])
+    return history.withColumn("is_forecast", F.lit(False)).unionByName(ahead.withColumn("is_forecast", F.lit(True)))
 
 
 def forecast_after(forecast: DataFrame, last_actual) -> DataFrame:

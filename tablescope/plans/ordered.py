@@ -27,7 +27,7 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
 
 
-def _tie(df: DataFrame) -> Column:
+def tie_break(df: DataFrame) -> Column:
     """A hash of the row, which orders rows that are equal in all columns of the order."""
     return F.xxhash64(*[col(c) for c in analysable_cols(df)])
 
@@ -39,7 +39,7 @@ def with_positions(df: DataFrame, order_by: list[str]) -> DataFrame:
     keys), rows are numbered per partition, and the written table fixes that
     numbering before partition sizes are turned into offsets.
     """
-    numbered = df.orderBy(*[col(c) for c in order_by], _tie(df)).withColumn("_id", F.monotonically_increasing_id())
+    numbered = df.orderBy(*[col(c) for c in order_by], tie_break(df)).withColumn("_id", F.monotonically_increasing_id())
     stored = materialize(numbered).withColumn("_part", F.shiftright("_id", 33))
     sizes = sorted((r["_part"], r["n"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect())
     starts = [0, *accumulate(n for _, n in sizes)]
@@ -71,7 +71,7 @@ def over_order(
     keys = [col(k) for k in partition_by]
     if largest_group(df, partition_by) <= limit:
         # rows that are equal in `order_by` come in the order of the same hash as below
-        spec = Window.partitionBy(*keys).orderBy(*[col(c) for c in order_by], _tie(df))
+        spec = Window.partitionBy(*keys).orderBy(*[col(c) for c in order_by], tie_break(df))
         return df.withColumns(columns(spec))
     block = max(block_rows or SETTINGS.split_block_rows, lookback + 1)
     home = F.floor(F.col(POSITION) / block)

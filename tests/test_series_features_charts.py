@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.errors import ValidationError
+from tablescope.functions import smoothing
 from tablescope.functions.smoothing import fit_additive
 from tablescope.operators import charts, features, timeseries
 
@@ -101,6 +102,47 @@ def test_frequencies_count_nulls_and_skip_many_levels(spark):
     assert {(r["few"], r["few_freq"]) for r in made.collect()} == {(None, 20), ("1", 20), ("2", 20)}
 
 
+def test_far_dates_are_one_run(spark):
+    days = [(f"2024-01-{d:02d}", 10.0 + d % 7) for d in range(1, 21)] + [("9999-12-31", 12.0)]
+    df = spark.createDataFrame(days, "d string, y double").select(F.to_date("d").alias("d"), "y")
+    runs = timeseries.calendar_runs(df, "d", "y").orderBy("day").collect()
+    assert len(runs) == 21 and runs[-2]["days"] > 2_900_000 and runs[-1]["days"] == 1
+    assert sum(r["days"] for r in runs) == (runs[-1]["day"] - runs[0]["day"]).days + 1
+    ahead = timeseries.holt_winters_forecast(df, "d", "y").where("is_forecast")
+    assert ahead.count() == 0  # the calendar ends there
+    near = df.where("d < '2025-01-01'").unionByName(spark.sql("SELECT DATE'2999-01-01' AS d, 12.0D AS y"))
+    found = timeseries.holt_winters_forecast(near, "d", "y", 5).where("is_forecast").orderBy("ds").collect()
+    assert str(found[0]["ds"]) == "2999-01-02" and len(found) == 5 and all(abs(r["yhat"] - 12) < 0.1 for r in found)
+
+
+def test_a_long_line_is_walked_as_its_days():
+    rng = np.random.default_rng(2)
+    at = np.concatenate([np.arange(20), [300, 301, 302, 303, 304, 500, 501]])
+    v = rng.normal(10, 2, len(at))
+    days = np.interp(np.arange(at[-1] + 1), at, v)
+    length, rise = np.append(np.diff(at), 1), np.append(np.diff(v) / np.diff(at), 0)
+    one, each = smoothing.fit_additive(v, 20, length, rise), smoothing.fit_additive(days, 20)
+    assert one[0] == pytest.approx(each[0], rel=1e-9) and one[1] == pytest.approx(each[1], rel=1e-9)
+
+
+def test_forecast_of_a_line_with_a_week(spark):
+    df = spark.range(70).selectExpr("date_add(DATE'2024-01-01', CAST(id AS INT)) AS d", "CAST(5 + 0.5 * id + (id % 7) * (id % 7) AS DOUBLE) AS y")
+    found = timeseries.holt_winters_forecast(df, "d", "y", 14).where("is_forecast").orderBy("ds").collect()
+    for k, r in enumerate(found, 70):
+        assert r["yhat"] == pytest.approx(5 + 0.5 * k + (k % 7) ** 2, abs=1e-6)
+
+
+def test_ties_in_the_order_do_not_depend_on_size_or_layout(spark):
+    df = spark.range(400).selectExpr("id % 3 AS o", "CAST(id * 37 % 101 AS DOUBLE) AS y", "CAST(IF(id % 4 = 0, NULL, id) AS DOUBLE) AS z")
+    seen = set()
+    for limit in (10**6, 1):
+        for parts in (1, 5):
+            t = timeseries.trend_direction(df.repartition(parts), "y", ["o"], hot_group_rows=limit).first()
+            filled = timeseries.interpolate_linear(df.repartition(parts), "o", "z", hot_group_rows=limit, block_rows=64)
+            seen.add((t["slope"], t["pct_change"], round(filled.agg(F.sum("z")).first()[0], 6)))
+    assert len(seen) == 1
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     rng = np.random.default_rng(5)
@@ -115,7 +157,8 @@ def test_histogram(table):
     assert {r["bin"]: r["n"] for r in rows} == {i: c for i, c in enumerate(counts) if c}
     flat = df.selectExpr("1.0D AS x")
     assert [r["n"] for r in charts.histogram(flat, "x").collect()] == [500]
-    assert charts.histogram(df, "x", 500).agg(F.max("bin")).first()[0] < 60
+    fine = {r["bin"]: r["n"] for r in charts.histogram(df, "x", 200).collect()}
+    assert fine == {i: c for i, c in enumerate(np.histogram(frame.x, 200)[0]) if c}
 
 
 def test_density_integrates_to_one(table):
@@ -130,6 +173,68 @@ def test_density_integrates_to_one(table):
     assert charts.violin(df, "g", "y").count() == 600
 
 
+def exact_density(values, at):
+    h = values.std() * len(values) ** -0.2
+    return np.exp(-0.5 * ((at - values.to_numpy()[:, None]) / h) ** 2).sum(0) / (len(values) * h * np.sqrt(2 * np.pi)), h
+
+
+@pytest.mark.parametrize("groups", [charts._LOOKUP_GROUPS, 0])
+def test_densities_stay_within_the_stated_error(spark, monkeypatch, groups):
+    monkeypatch.setattr(charts, "_LOOKUP_GROUPS", groups)
+    rng = np.random.default_rng(11)
+    parts = {
+        "normal": rng.normal(1e6, 3, 900), "far": np.append(rng.normal(size=300), 5000.0), "few": rng.integers(0, 3, 400) * 1.0,
+        "three": np.array([1.0, 2.0, 4.0]), "two": np.array([1.0, 2.0]), "flat": np.full(50, 7.0), "skewed": rng.pareto(1.5, 800),
+    }
+    frame = pd.DataFrame([(g, float(v)) for g, x in parts.items() for v in x], columns=["g", "y"])
+    curves = charts._densities(spark.createDataFrame(frame).repartition(5), "y", ["g"]).toPandas()
+    assert set(curves.g) == set(parts) - {"two", "flat"}
+    for g, curve in curves.groupby("g"):
+        curve = curve.sort_values("point")
+        values = frame[frame.g == g].y
+        expected, h = exact_density(values, curve["at"].to_numpy())
+        assert curve.point.tolist() == list(range(200))
+        # the bound, and what doubles lose in the distances
+        assert np.abs(curve.density - expected).max() < 1e-12 / h + 1e-9 * expected.max()
+        alone = charts.kde(spark.createDataFrame(frame[frame.g == g]), "y").orderBy("point").toPandas()
+        assert np.abs(alone.density.to_numpy() - expected).max() < 1e-12 / h + 1e-9 * expected.max()
+
+
+def test_densities_need_no_python_worker_and_no_join_of_rows(spark):
+    df = spark.range(5000).selectExpr("CAST(id % 3 AS STRING) AS g", "CAST(id * id % 977 AS DOUBLE) AS y")
+    plan = charts._densities(df, "y", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_box_of_a_column_and_of_many_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"y": rng.exponential(size=700)})
+    df = spark.createDataFrame(frame)
+    (row,) = charts.box_stats(df, None, "y").collect()
+    assert "x" not in row.asDict() and row["n"] == 700
+    assert (row["q1"], row["median"], row["q3"]) == pytest.approx(tuple(frame.y.quantile([0.25, 0.5, 0.75])))
+    # one hot group among very many small ones, looked up or joined
+    wide = spark.range(60_000).selectExpr("IF(id % 3 = 0, -1, id) AS g", "CAST(id * 7919 % 1000 AS DOUBLE) AS y")
+    seen = []
+    for limit in (10**6, 10):
+        monkeypatch.setattr(charts, "_LOOKUP_GROUPS", limit)
+        seen.append(charts.box_stats(wide, "g", "y").agg(F.count("*"), F.sum("n"), F.sum("median"), F.sum("outliers")).first())
+    assert seen[0] == seen[1] and seen[0][0] == 40_001 and seen[0][1] == 60_000
+
+
+@pytest.mark.parametrize("agg", ["median", "var", "nunique", "std", "mean", "count"])
+def test_bar_aggregates(spark, agg):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"g": rng.integers(0, 6, 300).astype(str), "y": np.round(rng.normal(size=300), 1)})
+    frame.loc[frame.g == "5", "y"] = np.nan
+    found = {r["x"]: r["value"] for r in charts.bar(spark.createDataFrame(frame), "g", "y", agg).collect()}
+    expected = frame.groupby("g").y.agg(agg)
+    assert set(found) == set(expected.index)
+    for g, v in expected.items():
+        assert (found[g] is None and np.isnan(v)) or found[g] == pytest.approx(v)
+
+
 def test_box(table):
     df, frame = table
     for r in charts.box_stats(df, "g", "y").collect():
