@@ -17,6 +17,7 @@ from tablescope.config import SETTINGS
 from tablescope.functions.columns import numeric_cols
 from tablescope.operators.outliers import robust_scales, spikes_column, spikes_text
 from tablescope.operators.unsupervised import standardise_exprs
+from tablescope.plans.copies import draw_rows
 from tablescope.plans.quantiles import quantiles
 from tablescope.plans.shipping import ship_by_value
 from tablescope.plans.storage import materialize
@@ -63,11 +64,10 @@ def _grow(points: np.ndarray, seed: int) -> list[list]:
 
 
 def _subsamples(points: DataFrame, n: int, seed: int, trees: int) -> DataFrame:
-    """(tree, features, _draw): for each tree about 1.5 x 256 rows, drawn by a hash of the row's place.
+    """(tree, features, _draw): for each tree about 1.5 x 256 rows, drawn by hashes of the row and its copy's number.
 
-    Copies of a row are drawn independently, so no group grows with the data.
-    A first test on one hash spares most rows of a large table the per-tree
-    hashes.
+    Copies of a row are drawn independently, so no group grows with the data, and the layout of the table does not
+    matter. A first test on one hash spares most rows of a large table the per-tree hashes.
     """
     per_tree = min(1.0, 1.5 * SUBSAMPLE / n)
     first = min(1.0, trees * per_tree)
@@ -76,8 +76,7 @@ def _subsamples(points: DataFrame, n: int, seed: int, trees: int) -> DataFrame:
     def draw(*salt):
         return F.pmod(F.xxhash64("_place", *salt), F.lit(1 << 32))
 
-    placed = points.select("features", F.monotonically_increasing_id().alias("_place"))
-    chosen = placed.filter(draw(F.lit(seed)) < first * scale)
+    chosen = draw_rows(points.select("features"), seed, first, place="_place")
     ids = F.array(*[F.lit(t) for t in range(trees)])
     wins = F.filter(ids, lambda t: draw(F.lit(seed + 1), t) < per_tree / first * scale)
     joined = chosen.select("features", "_place", F.explode(wins).alias("tree"))
@@ -90,7 +89,7 @@ def fit_forest(points: DataFrame, n: int, seed: int | None = None, trees: int =
     seed = SETTINGS.seed if seed is None else seed
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        kept = frame.nsmallest(SUBSAMPLE, "_draw")
+        kept = frame.sort_values("_draw").head(SUBSAMPLE)
         tree = int(frame["tree"].iloc[0])
         nodes = _grow(np.array(kept["features"].tolist(), dtype=float), seed + tree)
         table = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "path"])

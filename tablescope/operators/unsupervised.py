@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
 from tablescope.errors import ValidationError
 from tablescope.functions.columns import clean_number, numeric_cols, rows
+from tablescope.plans.copies import draw_rows
 from tablescope.plans.quantiles import quantiles
+from tablescope.plans.shipping import ship_by_value
 from tablescope.plans.storage import materialize
 
 _STARTS = 10
@@ -111,7 +118,7 @@ def pca(df: DataFrame, k: int = 2, columns: list[str] | None = None) -> Componen
 
 @dataclass
 class Clusters:
-    """``labelled`` is the table with ``cluster``; ``k`` the number of clusters asked for."""
+    """``labelled`` is the table with ``cluster``; ``k`` the number of clusters asked for; Euclidean silhouette."""
 
     labelled: DataFrame
     k: int
@@ -149,6 +156,88 @@ def silhouette(labelled: DataFrame, features: str = "features", label: str = "cl
     return None if math.isnan(value) else round(value, 4)
 
 
+#: Rows whose silhouettes are computed, each against all rows; smaller tables are computed whole.
+_SILHOUETTE_ROWS = 2_000
+
+
+def silhouette_interval(
+    labelled: DataFrame, features: str = "features", label: str = "cluster", sample: int = _SILHOUETTE_ROWS
+) -> DataFrame:
+    """One row (silhouette, low, high, rows): the mean silhouette with Euclidean distances.
+
+    The silhouettes of ``sample`` rows, drawn from each cluster by its size, are exact: their distances to all rows are
+    added up in one scan.  Their weighted mean estimates that of all rows, with a 95 % interval; a table of at most
+    ``sample`` rows is computed whole, and the interval is a point.  The only row of a cluster has 0.  Fewer than two
+    clusters give NULL.
+    """
+    ship_by_value()
+    vector = isinstance(labelled.schema[features].dataType, VectorUDT)
+    points = labelled.select(
+        (vector_to_array(features) if vector else F.col(features)).alias("x"), F.col(label).cast("long").alias("c")
+    ).dropna()
+    schema = "silhouette double, low double, high double, rows long"
+    sizes = {r["c"]: r["n"] for r in points.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cluster
+    if len(sizes) < 2:
+        return rows(labelled.sparkSession, [(None, None, None, 0)], schema)
+    total = sum(sizes.values())
+    if total <= sample:
+        drawn, wanted = points, sizes
+    else:
+        wanted = {c: min(n, max(2, math.ceil(sample * n / total))) for c, n in sizes.items()}
+        rare = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, wanted[c])])
+        share = min(1.0, max((w + 10 * math.sqrt(w) + 20) / sizes[c] for c, w in wanted.items()))
+        # clusters differ in size: those that need less than the common share drop rows by the same hash
+        first = draw_rows(points, SETTINGS.seed, share, place="spot")
+        order = Window.partitionBy("c").orderBy("spot")
+        drawn = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rare[F.col("c")]).select("x", "c")
+    picked = drawn.collect()  # at most `sample` rows and two per cluster
+    at, own = np.array([r["x"] for r in picked], float), np.array([r["c"] for r in picked])
+    names = sorted(sizes)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(names), len(at)))
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, c = np.stack(batch["x"].to_numpy()).astype(float), batch["c"].to_numpy()
+            for a in range(0, len(x), 256):
+                square = np.zeros((len(x[a : a + 256]), len(at)))
+                for j in range(x.shape[1]):
+                    square += (x[a : a + 256, j, None] - at[None, :, j]) ** 2
+                distance = np.sqrt(square)
+                for k, name in enumerate(names):
+                    sums[k] += distance[c[a : a + 256] == name].sum(0)
+        cluster, row = np.indices(sums.shape)
+        yield pd.DataFrame({"cluster": cluster.ravel(), "row": row.ravel(), "s": sums.ravel()})
+
+    parts = points.mapInPandas(add_up, "cluster int, row int, s double").groupBy("cluster", "row").agg(F.sum("s").alias("s"))
+    sums = np.zeros((len(names), len(at)))
+    for r in parts.collect():  # clusters times picked rows
+        sums[r["cluster"], r["row"]] = r["s"]
+    count = np.array([sizes[c] for c in names], float)
+    mine = np.searchsorted(names, own)
+    everyone = np.arange(len(at))
+    inside = sums[mine, everyone] / np.maximum(count[mine] - 1, 1)
+    means = sums / count[:, None]
+    means[mine, everyone] = np.inf
+    outside = means.min(0)
+    value = np.where(count[mine] > 1, (outside - inside) / np.maximum(np.maximum(outside, inside), 1e-300), 0.0)
+    mean = variance = 0.0
+    for k, name in enumerate(names):
+        s, share = value[mine == k], sizes[name] / total
+        if len(s):
+            mean += share * s.mean()
+            if 1 < len(s) < sizes[name]:
+                variance += share**2 * s.var(ddof=1) / len(s) * (1 - len(s) / sizes[name])
+    half = 1.96 * math.sqrt(variance)
+    return rows(labelled.sparkSession, [(float(mean), float(mean - half), float(mean + half), len(at))], schema)
+
+
+def _euclidean(labelled: DataFrame) -> float | None:
+    value = silhouette_interval(labelled).first()["silhouette"]
+    return None if value is None else round(value, 4)
+
+
 def kmeans(
     df: DataFrame, k: int | None = None, columns: list[str] | None = None, starts: int = _STARTS
 ) -> Clusters:
@@ -160,7 +249,7 @@ def kmeans(
     if k is None:
         k = _auto_k(stored, starts)[0][0]
     model = _best_of(stored, k, starts, SETTINGS.seed)
-    quality = silhouette(model.transform(stored))
+    quality = _euclidean(model.transform(stored))
     labelled = model.transform(vectors).drop("features", *[c for c in vectors.columns if c.startswith("_z")])
     return Clusters(labelled, k, model.summary.trainingCost, quality, model)
 
@@ -170,7 +259,7 @@ def _auto_k(stored: DataFrame, starts: int) -> list[tuple[int, float, float | No
     tried = []
     for k in range(2, top + 1):
         model = _best_of(stored, k, starts, SETTINGS.seed)
-        tried.append((k, model.summary.trainingCost, silhouette(model.transform(stored))))
+        tried.append((k, model.summary.trainingCost, _euclidean(model.transform(stored))))
     return sorted(tried, key=lambda t: (-(t[2] if t[2] is not None else -2.0), t[0]))
 
 
