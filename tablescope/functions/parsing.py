@@ -79,77 +79,98 @@ _GRAMMAR = (
     rf"(?i)^{_WEEKDAY}(?:{'|'.join(_DATES)})(?:(?:\s*t\s*|\s*,\s*|\s+)(?:at\s+)?(?:{'|'.join(_TIMES)}))?"
     r"(?:\s*(?P<z>z|utc|gmt)|\s*(?:utc|gmt)?(?P<g>[+-])(?P<zh>\d{2}):?(?P<zm>\d{2})?)?$"
 )
-_FIELDS = re.findall(r"\(\?P<(\w+)>", _GRAMMAR)
+_GROUPS = re.findall(r"\(\?P<(\w+)>", _GRAMMAR)
 _MARK = "\x01"
+#: What is read of a date, and the groups that may hold it: a date fits one alternative, so the others are empty.
+_FIELDS = {
+    "year": [g for g in _GROUPS if g[0] == "y"], "month": ["m1", "m2", "m5"], "day": ["d1", "d5", "d6", "d7", "d9"],
+    "name": [g for g in _GROUPS if g[0] == "n"], "first": ["a4"], "dot": ["s4"], "second": ["b4"], "week": ["w3"],
+    "weekday": ["e3"], "hour": ["H1", "H2", "H3"], "minute": ["M1", "M3"], "seconds": ["S1", "S3"],
+    "fraction": ["f1", "f3"], "half": ["p1", "p2"], "utc": ["z"], "sign": ["g"], "ahead": ["zh"], "minutes": ["zm"],
+}
+_AT = {name: k for k, name in enumerate(_FIELDS)}
 
 
 def _engine_pattern() -> str:
     """The grammar with numbered groups."""
-    plain = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{_FIELDS.index(m.group(1)) + 1}(?:)", _GRAMMAR)
+    plain = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{_GROUPS.index(m.group(1)) + 1}(?:)", _GRAMMAR)
     return re.sub(r"\(\?P<\w+>", "(", plain)
 
 
+def _engine_replacement() -> str:
+    """The fields behind one another."""
+    return _MARK.join("".join(f"${_GROUPS.index(g) + 1}" for g in groups) for groups in _FIELDS.values())
+
+
+def _bound(value: Column, make) -> Column:
+    """``make`` of a value that is computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
 def _read_fields(p: Column, day_first: bool) -> Column:
     """Timestamp of the grammar's fields."""
 
-    def text(*names: str) -> Column:
-        return F.concat(*[p[_FIELDS.index(n)] for n in names])
-
-    def number(*names: str) -> Column:
-        # at most one of the alternatives has a value
-        return text(*names).try_cast("int")
-
-    short = text("y4", "y6")
-    year = number(*[n for n in _FIELDS if n[0] == "y"])
-    year = F.when(F.length(short) == 2, year + F.when(year >= PIVOT_YEAR, 1900).otherwise(2000)).otherwise(year)
-    first, second = number("a4"), number("b4")
-    # the day stands first behind dots, if asked for, or where the first number is no month
-    swapped = (text("s4") == ".") & (second <= 12) | (first > 12)
-    if day_first:
-        swapped = swapped | (second <= 12)
-    name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(text(*[n for n in _FIELDS if n[0] == "n"]), F.lit(3))))
-    month = F.coalesce(
-        number("m1", "m2", "m5"), F.when(swapped, second).otherwise(first), F.when(name > 0, name.cast("int")), F.lit(1)
+    def text(name: str) -> Column:
+        return p[_AT[name]]
+
+    def number(name: str) -> Column:
+        return text(name).try_cast("int")
+
+    def month_and_day(pair: Column) -> Column:
+        # the day stands first behind dots, if asked for, or where the first number is no month
+        first, second = pair["first"], pair["second"]
+        swapped = (first > 12) | ((F.lit(day_first) | (text("dot") == ".")) & (second <= 12))
+        return F.struct(F.when(swapped, second).otherwise(first).alias("month"), F.when(swapped, first).otherwise(second).alias("day"))
+
+    name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(text("name"), F.lit(3)))).cast("int")
+    month = F.when(text("month") != "", number("month")).when(text("name") != "", name).otherwise(1)
+    plain = F.struct(month.alias("month"), F.when(text("day") != "", number("day")).otherwise(1).alias("day"))
+    pair = _bound(F.struct(number("first").alias("first"), number("second").alias("second")), month_and_day)
+    date = F.when(text("first") == "", plain).otherwise(pair)
+    # a two-digit year of this or the last century
+    year = F.when(F.length(text("year")) > 2, number("year")).otherwise(
+        number("year") + F.when(text("year") < str(PIVOT_YEAR), 2000).otherwise(1900)
     )
-    day = F.coalesce(number("d1", "d5", "d6", "d7", "d9"), F.when(swapped, first).otherwise(second), F.lit(1))
-    clock = number("H1", "H2", "H3")
-    half = F.lower(text("p1", "p2"))
-    hour = F.when(half == "", clock).when(clock.between(1, 12), clock % 12 + F.when(half == "p", 12).otherwise(0))
-    hour = F.when(clock.isNull(), 0).otherwise(hour)
-    fraction = F.left(F.rpad(text("f1", "f3"), 6, "0"), F.lit(6))
-    seconds = F.concat(F.coalesce(F.nullif(text("S1", "S3"), F.lit("")), F.lit("0")), F.lit("."), fraction)
-    read = F.try_make_timestamp_ntz(
-        year, month, day, hour, F.coalesce(number("M1", "M3"), F.lit(0)), seconds.cast("decimal(16,6)")
+    half = F.lower(text("half"))
+    clock = F.when(half == "", number("hour")).when(
+        number("hour").between(1, 12), number("hour") % 12 + F.when(half == "p", 12).otherwise(0)
     )
-    # the fourth of January lies in the first week
-    week = number("w3")
-    fourth = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), hour, F.coalesce(number("M1", "M3"), F.lit(0)), seconds.cast("decimal(16,6)"))
-    days = F.coalesce(number("e3"), F.lit(1)) - 1 - F.weekday(fourth) + 7 * (week - 1)
-    of_week = fourth + F.make_dt_interval(days)
-    read = F.when(week.isNull(), read).when(F.weekofyear(of_week) == week, of_week)
-    ahead = F.when(text("g") == "-", -1).otherwise(1) * (60 * number("zh") + F.coalesce(number("zm"), F.lit(0)))
-    utc = read - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(ahead, F.lit(0)))
-    zoned = F.convert_timezone(F.lit("UTC"), F.current_timezone(), utc)
-    return F.when((text("z") == "") & (text("g") == ""), read).otherwise(zoned)
+    clock = F.when(text("hour") == "", 0).otherwise(clock)
+    seconds = F.concat(F.when(text("seconds") == "", "0").otherwise(text("seconds")), F.lit("."), F.left(F.rpad(text("fraction"), 6, "0"), F.lit(6)))
+    parts = F.struct(
+        year.alias("y"), date.alias("date"), clock.alias("h"), F.when(text("minute") == "", 0).otherwise(number("minute")).alias("mi"),
+        seconds.cast("decimal(16,6)").alias("s"),
+    )
+
+    def moment(v: Column) -> Column:
+        # the fourth of January lies in the first week
+        fourth = F.try_make_timestamp_ntz(v["y"], F.lit(1), F.lit(4), v["h"], v["mi"], v["s"])
+        days = F.when(text("weekday") == "", 0).otherwise(number("weekday") - 1) - F.weekday(fourth) + 7 * (number("week") - 1)
+        of_week = _bound(fourth + F.make_dt_interval(days), lambda d: F.when(F.weekofyear(d) == number("week"), d))
+        read = F.try_make_timestamp_ntz(v["y"], v["date"]["month"], v["date"]["day"], v["h"], v["mi"], v["s"])
+        return F.when(text("week") == "", read).otherwise(of_week)
+
+    def on_session_clock(read: Column) -> Column:
+        ahead = F.when(text("sign") == "-", -1).otherwise(1) * (60 * number("ahead") + F.coalesce(number("minutes"), F.lit(0)))
+        utc = read - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(ahead, F.lit(0)))
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), utc)
+
+    local = _bound(parts, moment)
+    return F.when((text("utc") == "") & (text("sign") == ""), local).otherwise(_bound(local, on_session_clock))
 
 
 def _fields(text: Column) -> Column:
     """The grammar's fields in the text, empty where absent; NULL for a text that is no date."""
     value = F.trim(text)
-    found = F.split(F.regexp_replace(value, _engine_pattern(), _MARK.join(f"${k + 1}" for k in range(len(_FIELDS)))), _MARK)
+    found = F.split(F.regexp_replace(value, _engine_pattern(), _engine_replacement()), _MARK)
     return F.when((F.length(value) <= MOST_DATE_CHARACTERS) & ~value.contains(_MARK) & value.rlike("[0-9]"), found)
 
 
-def _bound(value: Column, make) -> Column:
-    """``make`` of a value that is computed once."""
-    return F.transform(F.array(value), make)[0]
-
-
 def day_order_votes(text: Column) -> tuple[Column, Column]:
     """Whether only the first, and only the second, of two numbers before a year can be the day."""
 
     def votes(p: Column) -> Column:
-        a, b = (p[_FIELDS.index(n)].try_cast("int") for n in ("a4", "b4"))
+        a, b = (p[_AT[n]].try_cast("int") for n in ("first", "second"))
         return F.when((a > 12) & (b <= 12), 1).when((a <= 12) & (b > 12), 2)
 
     vote = _bound(_fields(text), lambda p: F.when(F.size(p) == len(_FIELDS), votes(p)))

@@ -5,6 +5,7 @@ from workload import (  # noqa: F401
     features,
     ingest,
     insights,
+    model_checks,
     models,
     profiling,
     relations,

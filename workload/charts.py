@@ -243,7 +243,7 @@ def hierarchy(t):
     return rounded(charts.hierarchy(t.lineitem, ["l_returnflag", "l_linestatus", "l_linenumber"], "l_extendedprice"), 2)
 
 
-@query()
+@query("SELECT o_orderdate, o_totalprice FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL")
 def line(t):
     return charts.line(t.orders, "o_orderdate", "o_totalprice")
 
