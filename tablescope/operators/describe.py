@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tablescope.config import SETTINGS
 from tablescope.functions.columns import clean_number, col, numeric_cols, pearson, require_numeric, rows
 from tablescope.plans.ordered import over_order
-from tablescope.plans.quantiles import quantiles
+from tablescope.plans.quantiles import cut_aggregates, quantiles
 
 _STATS_SCHEMA = (
     "column string, count long, mean double, std double, min double, q25 double, median double, "
@@ -20,8 +20,13 @@ _STATS_SCHEMA = (
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """One scan: rows, count, mean, std, min, max and corrected shape of each column."""
+    return _moments_and(df, columns, [])[0]
+
+
+def _moments_and(df: DataFrame, columns: list[str], more: list[Column]) -> tuple[dict[str, dict], Row | None]:
+    """The moments, and the row of the scan, which also has the aggregates in ``more``."""
     if not columns:
-        return {}
+        return {}, None
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
         value = clean_number(name)
@@ -34,7 +39,7 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
             F.skewness(value).alias(f"skew{i}"),
             F.kurtosis(value).alias(f"kurt{i}"),
         ]
-    row = df.agg(*aggregates).first()
+    row = df.agg(*aggregates, *more).first()
     found = {}
     for i, name in enumerate(columns):
         n = row[f"n{i}"]
@@ -48,7 +53,18 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
             "skew": corrected_skew(row[f"skew{i}"], n),
             "kurtosis": corrected_kurtosis(row[f"kurt{i}"], n),
         }
-    return found
+    return found, row
+
+
+_QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _moments_and_quartiles(df: DataFrame, columns: list[str]) -> tuple[dict[str, dict], dict[str, list[float | None]]]:
+    """The scan for the moments also sketches where the quartiles lie."""
+    shape, row = _moments_and(df, columns, cut_aggregates(columns, _QUARTILES))
+    counts = {c: shape[c]["count"] for c in columns}
+    cuts = {c: row[f"s{i}"] or [] for i, c in enumerate(columns)}
+    return shape, quantiles(df, columns, _QUARTILES, counts, cuts)
 
 
 def corrected_skew(population: float | None, n: int) -> float | None:
@@ -87,8 +103,7 @@ def _rounded(value: float | None, digits: int) -> float | None:
 def descriptive_stats(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:
     """One row per numeric column; empty without numeric columns."""
     names = numeric_cols(df) if columns is None else columns
-    shape = moments(df, names)
-    spread = quantiles(df, names, [0.25, 0.5, 0.75], {c: shape[c]["count"] for c in names})
+    shape, spread = _moments_and_quartiles(df, names)
     mad = mean_absolute_deviation(df, {c: shape[c]["mean"] for c in names})
     data = []
     for c in names:
@@ -110,8 +125,7 @@ def descriptive_stats(df: DataFrame, columns: list[str] | None = None, digits: i
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The short overview: count, mean, std, min, quartiles, max at two decimals."""
     names = numeric_cols(df) if columns is None else columns
-    shape = moments(df, names)
-    spread = quantiles(df, names, [0.25, 0.5, 0.75], {c: shape[c]["count"] for c in names})
+    shape, spread = _moments_and_quartiles(df, names)
     data = [
         (c, shape[c]["count"])
         + tuple(

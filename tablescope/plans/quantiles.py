@@ -217,17 +217,19 @@ def order_statistics(
     return result
 
 
+def cut_aggregates(columns: list[str], probabilities: list[float], accuracy: int | None = None) -> list[Column]:
+    """Sketched cut points of each column, for a scan that a caller makes anyway."""
+    accuracy = accuracy or SETTINGS.sketch_accuracy
+    ends = _sketch_ends(probabilities, accuracy)
+    return [F.percentile_approx(clean_number(c), ends, accuracy).alias(f"s{i}") for i, c in enumerate(columns)]
+
+
 def _counts_and_cuts(
     df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int | None
 ) -> tuple[dict[str, int], dict[str, list[float]]]:
     """Finite values and sketched cut points per column in one scan."""
-    accuracy = accuracy or SETTINGS.sketch_accuracy
-    ends = _sketch_ends(probabilities, accuracy)
-    aggregates = []
-    for i, c in enumerate(columns):
-        value = clean_number(c)
-        aggregates += [F.count(value).alias(f"c{i}"), F.percentile_approx(value, ends, accuracy).alias(f"s{i}")]
-    row = df.agg(*aggregates).first()
+    counted = [F.count(clean_number(c)).alias(f"c{i}") for i, c in enumerate(columns)]
+    row = df.agg(*counted, *cut_aggregates(columns, probabilities, accuracy)).first()
     counts, cuts = {}, {}
     for i, c in enumerate(columns):
         counts[c], cuts[c] = row[f"c{i}"], row[f"s{i}"] or []
@@ -249,15 +251,17 @@ def quantiles(
     columns: list[str],
     probabilities: list[float],
     counts: dict[str, int] | None = None,
+    cuts: dict[str, list[float]] | None = None,
     **limits,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of several columns; None where a column is empty.
 
-    ``counts`` saves a scan of small columns if the finite values are counted already.
+    ``counts`` saves a scan of small columns if the finite values are counted already, ``cuts`` one of large columns if
+    their sketches are (see ``cut_aggregates``).
     """
     if counts is None:
         return counted_quantiles(df, columns, probabilities, **limits)[1]
-    return _interpolated(df, columns, probabilities, counts, None, limits)
+    return _interpolated(df, columns, probabilities, counts, cuts, limits)
 
 
 def _interpolated(df, columns, probabilities, counts, cuts, limits) -> dict[str, list[float | None]]:
