@@ -79,6 +79,8 @@ _GRAMMAR = (
     rf"(?i)^{_WEEKDAY}(?:{'|'.join(_DATES)})(?:(?:\s*t\s*|\s*,\s*|\s+)(?:at\s+)?(?:{'|'.join(_TIMES)}))?"
     r"(?:\s*(?P<z>z|utc|gmt)|\s*(?:utc|gmt)?(?P<g>[+-])(?P<zh>\d{2}):?(?P<zm>\d{2})?)?$"
 )
+# how every date begins; it turns most other texts down at their first letters
+_BEGINNING = rf"(?i)^\s*{_WEEKDAY}(?:\d{{1,2}}(?:[-/.\s]|{_NTH[:-1]})|\d{{4}}(?:[-/.\s]|-?w\d|\d{{4}}(?!\d))|(?:{_MONTH})[-.,\s])"
 _GROUPS = re.findall(r"\(\?P<(\w+)>", _GRAMMAR)
 _MARK = "\x01"
 #: What is read of a date, and the groups that may hold it: a date fits one alternative, so the others are empty.
@@ -163,7 +165,11 @@ def _fields(text: Column) -> Column:
     """The grammar's fields in the text, empty where absent; NULL for a text that is no date."""
     value = F.trim(text)
     found = F.split(F.regexp_replace(value, _engine_pattern(), _engine_replacement()), _MARK)
-    return F.when((F.length(value) <= MOST_DATE_CHARACTERS) & ~value.contains(_MARK) & value.rlike("[0-9]"), found)
+    return F.when(_may_be_date(text) & ~value.contains(_MARK), found)
+
+
+def _may_be_date(text: Column) -> Column:
+    return (F.length(text) <= 2 * MOST_DATE_CHARACTERS) & text.rlike(_BEGINNING) & (F.length(F.trim(text)) <= MOST_DATE_CHARACTERS)
 
 
 def day_order_votes(text: Column) -> tuple[Column, Column]:
@@ -174,6 +180,7 @@ def day_order_votes(text: Column) -> tuple[Column, Column]:
         return F.when((a > 12) & (b <= 12), 1).when((a <= 12) & (b > 12), 2)
 
     vote = _bound(_fields(text), lambda p: F.when(F.size(p) == len(_FIELDS), votes(p)))
+    vote = F.when(_may_be_date(text), vote)
     return vote == 1, vote == 2
 
 
@@ -187,7 +194,9 @@ def parse_timestamp(text: Column, layouts: list[str] | None = None, day_first: b
     """
     if layouts is not None:
         return _by_layout(F.trim(text), layouts)
-    return _bound(_fields(text), lambda p: F.when(F.size(p) == len(_FIELDS), _read_fields(p, day_first)))
+    # bound values are interpreted, so texts that are no dates are kept away from them
+    read = _bound(_fields(text), lambda p: F.when(F.size(p) == len(_FIELDS), _read_fields(p, day_first)))
+    return F.when(_may_be_date(text), read)
 
 
 def _by_layout(value: Column, layouts: list[str]) -> Column:
