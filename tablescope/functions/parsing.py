@@ -80,7 +80,7 @@ _GRAMMAR = (
     r"(?:\s*(?P<z>z|utc|gmt)|\s*(?:utc|gmt)?(?P<g>[+-])(?P<zh>\d{2}):?(?P<zm>\d{2})?)?$"
 )
 # how every date begins; it turns most other texts down at their first letters
-_BEGINNING = rf"(?i)^\s*{_WEEKDAY}(?:\d{{1,2}}(?:[-/.\s]|{_NTH[:-1]})|\d{{4}}(?:[-/.\s]|-?w\d|\d{{4}}(?!\d))|(?:{_MONTH})[-.,\s])"
+_BEGINNING = rf"(?i)^\s*{_WEEKDAY}(?:\d{{1,2}}(?:[-/.\s]\s*(?:of\s+)?(?:\d|{'|'.join(MONTHS)})|{_NTH[:-1]})|\d{{4}}(?:[-/.\s]|-?w\d|\d{{4}}(?!\d))|(?:{_MONTH})[-.,\s])"
 _GROUPS = re.findall(r"\(\?P<(\w+)>", _GRAMMAR)
 _MARK = "\x01"
 #: What is read of a date, and the groups that may hold it: a date fits one alternative, so the others are empty.
