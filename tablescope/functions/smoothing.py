@@ -1,4 +1,4 @@
-"""Additive exponential smoothing of one short series."""
+"""Additive exponential smoothing of short series, one by one or many side by side."""
 
 from __future__ import annotations
 
@@ -158,20 +158,160 @@ def _minimise(cost, start: np.ndarray, rounds: int = 120) -> np.ndarray:
     return np.array(scored[0][1])
 
 
+def _parts(n: int) -> tuple[int, bool]:
+    """The season's length (0: none) and whether there is a trend, for a series of ``n`` days."""
+    period = min(7, n // 2) if n // 2 >= 2 else 0
+    trend = n > 2 * (period or 2)
+    if not (period > 1 and n > 2 * period):
+        period = 0
+    return period, trend
+
+
+def _starts(free: list[bool]) -> list[tuple]:
+    return list(itertools.product(*[(0.1, 0.5, 0.9) for used in free if used]))
+
+
+class _Together:
+    """The costs of many series of one kind at once, one step of the days for all of them.
+
+    ``days`` holds the series as columns, the longest first.  One season's start value is left out: a shift of the level
+    against all seasons changes no residual.
+    """
+
+    def __init__(self, days: np.ndarray, length: np.ndarray, period: int, trend: bool):
+        self.days, self.length, self.period, self.trend = days, length, period, trend
+        self.width = 2 + trend + max(period - 1, 0)
+
+    def costs(self, who: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Least sums of squares of the series ``who`` (ascending) under their weights."""
+        n, count, period, width = self.length[who], len(who), self.period, self.width
+        chosen = iter(weights.T)
+        alpha, beta, gamma = [next(chosen) if used else np.zeros(count) for used in (True, self.trend, period > 0)]
+        level, slope = np.zeros((width, count)), np.zeros((width, count))
+        seasons = np.zeros((max(period, 1), width, count))
+        # the last column is the constant part, so the corner of R is the norm of the residuals
+        level[0] = 1.0
+        if self.trend:
+            slope[1] = 1.0
+        for j in range(period - 1):
+            seasons[j, 1 + self.trend + j] = 1.0
+        errors = np.zeros((max(int(n[0]), width), width, count))
+        rise, turn = alpha * beta, gamma * (1.0 - alpha)
+        days = self.days[:, who]
+        for d, live in enumerate(np.searchsorted(-n, -np.arange(n[0]), "left")):
+            part = slice(0, live)
+            error = level[:, part] + slope[:, part]
+            if period:
+                season = seasons[d % period, :, part]
+                error += season
+            np.negative(error, out=error)
+            error[-1] += days[d, part]
+            errors[d, :, part] = error
+            level[:, part] += slope[:, part] + alpha[part] * error
+            if self.trend:
+                slope[:, part] += rise[part] * error
+            if period:
+                season += turn[part] * error
+        return np.linalg.qr(np.ascontiguousarray(errors.transpose(2, 0, 1)), "r")[:, -1, -1] ** 2
+
+    def minimise(self) -> tuple[np.ndarray, np.ndarray]:
+        """What ``_minimise`` does, for each series its own steps: weights and costs."""
+        inside = lambda p: np.clip(p, 1e-4, 1.0 - 1e-4)
+        everyone = np.arange(self.days.shape[1])
+        grid = np.array(_starts([True, self.trend, self.period > 0]))
+        tried = np.stack([self.costs(everyone, np.broadcast_to(g, (len(everyone), len(g)))) for g in grid])
+        start = grid[tried.argmin(0)]
+        size = start.shape[1]
+        points = np.stack([inside(start)] + [inside(start + step) for step in 0.1 * np.eye(size)])
+        costs = np.stack([self.costs(everyone, p) for p in points])
+
+        def sort(who):
+            p, c = points[:, who], costs[:, who]
+            order = np.lexsort([*(p[..., k] for k in reversed(range(size))), c], axis=0)
+            points[:, who] = np.take_along_axis(p, order[..., None], 0)
+            costs[:, who] = np.take_along_axis(c, order, 0)
+
+        sort(everyone)
+        who = everyone
+        for _ in range(120):
+            who = who[~(costs[-1, who] - costs[0, who] <= 1e-10 * (np.abs(costs[0, who]) + 1e-12))]
+            if not len(who):
+                break
+            worst, centre = points[-1, who], points[:-1, who].mean(0)
+
+            def at(factor, some):
+                p = inside(centre[some] + factor * (worst[some] - centre[some]))
+                return self.costs(who[some], p), p
+
+            cost, trial = at(-1.0, np.arange(len(who)))
+            better, poor = cost < costs[0, who], cost >= costs[-2, who]
+            if len(some := np.flatnonzero(better)):
+                c, p = at(-2.0, some)
+                before = np.lexsort([*(np.stack([trial[some, k], p[:, k]]) for k in reversed(range(size))), np.stack([cost[some], c])], axis=0)
+                taken = before[0] == 1
+                cost[some[taken]], trial[some[taken]] = c[taken], p[taken]
+            if len(some := np.flatnonzero(poor & ~better)):
+                cost[some], trial[some] = at(0.5, some)
+            won = cost < costs[-1, who]
+            points[-1, who[won]], costs[-1, who[won]] = trial[won], cost[won]
+            if len(lost := who[~won]):
+                for k in range(1, size + 1):
+                    points[k, lost] = inside(points[0, lost] + 0.5 * (points[k, lost] - points[0, lost]))
+                    costs[k, lost] = self.costs(lost, points[k, lost])
+            sort(who)
+        return points[0], costs[0]
+
+
+#: Series that are fitted one by one if there are no more of their kind, and numbers that are fitted at once.
+_FEW, _CELLS = 8, 1 << 18
+
+
+def fit_many(
+    series: list[tuple[np.ndarray, np.ndarray, np.ndarray]], horizon: int
+) -> list[tuple[np.ndarray, float]]:
+    """``fit_additive`` of many series (first values, lengths and daily steps of their runs), side by side.
+
+    Series with a run that is walked in closed form are fitted alone.
+    """
+    days = [int(length.sum()) for _, length, _ in series]
+    kinds: dict[tuple, list[int]] = {}
+    for i, (_, length, _) in enumerate(series):
+        if length.max() <= _LONG:
+            kinds.setdefault(_parts(days[i]), []).append(i)
+    found: dict[int, np.ndarray] = {}
+    for (period, trend), members in kinds.items():
+        members.sort(key=lambda i: -days[i])
+        while len(members) >= _FEW:
+            n = days[members[0]]
+            block = max(_FEW, _CELLS // (n * (3 + period)))
+            some, members = members[:block], members[block:]
+            daily = np.zeros((n, len(some)))
+            for k, i in enumerate(some):
+                first, length, rise = series[i]
+                past = np.arange(days[i]) - np.repeat(np.cumsum(length) - length, length)
+                daily[: days[i], k] = np.repeat(first, length) + np.repeat(rise, length) * past
+            with np.errstate(over="ignore", invalid="ignore"):
+                weights, costs = _Together(daily, np.array([days[i] for i in some]), period, trend).minimise()
+            found |= {i: w for i, w, c in zip(some, weights, costs) if np.isfinite(c)}
+    return [fit_additive(y, horizon, length, rise, found.get(i)) for i, (y, length, rise) in enumerate(series)]
+
+
 def fit_additive(
-    y: np.ndarray, horizon: int, length: np.ndarray | None = None, rise: np.ndarray | None = None
+    y: np.ndarray,
+    horizon: int,
+    length: np.ndarray | None = None,
+    rise: np.ndarray | None = None,
+    weights: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float]:
     """Forecast and residual spread; trend and weekly season are used where the series is long enough.
 
     ``length`` and ``rise`` give the series as straight runs: ``y`` is the first value of each, ``rise`` its daily step.
+    ``weights`` saves the search for the best ones.
     """
     length = np.ones(len(y), np.int64) if length is None else length
     rise = np.zeros(len(y)) if rise is None else rise
     n = int(length.sum())
-    period = min(7, n // 2) if n // 2 >= 2 else 0
-    trend = n > 2 * (period or 2)
-    if not (period > 1 and n > 2 * period):
-        period = 0
+    period, trend = _parts(n)
     free = [True, trend, period > 0]
 
     def fit(p) -> _Fit:
@@ -181,8 +321,7 @@ def fit_additive(
     def cost(p):
         return fit(p).cost
 
-    grid = itertools.product(*[(0.1, 0.5, 0.9) for used in free if used])
-    best = fit(_minimise(cost, np.array(min(grid, key=cost))))
+    best = fit(_minimise(cost, np.array(min(_starts(free), key=cost))) if weights is None else weights)
     steps = np.arange(1, horizon + 1)
     ahead = best.state[0] + steps * best.state[1]
     if period:

@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablescope.config import SETTINGS
 from tablescope.functions.columns import clean_number, col, require_columns, require_numeric
-from tablescope.functions.smoothing import fit_additive
+from tablescope.functions.smoothing import fit_many
 from tablescope.plans.ordered import POSITION, largest_group, tie_break, with_positions
 from tablescope.plans.shipping import ship_by_value
+from tablescope.plans.storage import materialize
 
 _WEEK = 7
 
@@ -287,9 +287,9 @@ def holt_winters_forecast(
     """(keys..., ds, yhat, yhat_lower, yhat_upper, is_forecast) per series.
 
     Series with fewer than 14 raw points are left out.  History rows carry the
-    daily value in all three columns.  One task fits one series, whose size is
-    its number of days with values: a gap is one row, and the fit walks a long
-    straight line in closed form.  Forecast rows need no history rows; days
+    daily value in all three columns.  A series is one row in one task, whose
+    size is its number of days with values: a gap is one run, and the fit walks
+    a long straight line in closed form; a task fits many series side by side.  Forecast rows need no history rows; days
     beyond the calendar's end (9999-12-31) are left out.
     """
     ship_by_value()
@@ -303,32 +303,31 @@ def holt_winters_forecast(
         runs = runs.join(enough.drop("_points"), keys, "left_semi")
     elif not enough.take(1):
         runs = runs.limit(0)
-    kinds = [T.StructField(n, T.DoubleType()) for n in ("yhat", "yhat_lower", "yhat_upper")]
-    ahead_kind = T.StructType([df.schema[k] for k in keys] + [T.StructField("ds", T.DateType())] + kinds)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("day")
-        first, length = frame["value"].to_numpy(dtype=float), frame["days"].to_numpy()
-        rise = np.nan_to_num(frame["next_value"].to_numpy(dtype=float) - first) / length
-        ahead, spread = fit_additive(first, horizon, length, rise)
-        last = frame["day"].iloc[-1]
-        room = min(horizon, datetime.date.max.toordinal() - last.toordinal())
-        out = pd.DataFrame(
-            {
-                "ds": pd.Series([last + datetime.timedelta(days=k + 1) for k in range(room)], dtype=object),
-                "yhat": ahead[:room],
-                "yhat_lower": ahead[:room] - 1.96 * spread,
-                "yhat_upper": ahead[:room] + 1.96 * spread,
-            }
-        )
-        for position, key in enumerate(keys):
-            out.insert(position, key, frame[key].iloc[0])
-        return out
-
-    ahead = runs.groupBy(*[col(k) for k in keys]).applyInPandas(fit, ahead_kind)
-    past = _on_line(_exploded(runs, keys), keys)
     shown = [col(k) for k in keys]
-    history = past.select(*shown, F.col("day").alias("ds"), *[F.col("value").alias(f.name) for f in kinds])
+    run = F.struct("day", "days", "value", "next_value")
+    series = runs.groupBy(*shown).agg(F.sort_array(F.collect_list(run)).alias("_runs")).filter(F.size("_runs") > 0)
+    if keys:  # fitting takes far longer than its few bytes suggest, hence the given number of tasks
+        series = series.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    @F.pandas_udf("yhat array<double>, spread double")
+    def fit(value: pd.Series, days: pd.Series, next_value: pd.Series) -> pd.DataFrame:
+        lines = []
+        for first, length, after in zip(value, days, next_value):
+            first, length = np.asarray(first, dtype=float), np.asarray(length)
+            lines.append((first, length, np.nan_to_num(np.asarray(after, dtype=float) - first) / length))
+        found = fit_many(lines, horizon)
+        return pd.DataFrame({"yhat": [ahead for ahead, _ in found], "spread": [spread for _, spread in found]})
+
+    fitted = fit("_runs.value", "_runs.days", "_runs.next_value").alias("_fit")
+    # stored, as a sort of the forecasts would fit the series twice
+    fits = materialize(series.select(*shown, F.element_at("_runs", -1)["day"].alias("_last"), fitted))
+    ahead = fits.select(*shown, "_last", F.col("_fit.spread").alias("_spread"), F.posexplode("_fit.yhat").alias("_step", "yhat"))
+    ahead = ahead.filter(F.datediff(F.lit(datetime.date.max), "_last") > F.col("_step")).select(
+        *shown, F.date_add("_last", F.col("_step") + 1).alias("ds"), "yhat",
+        (F.col("yhat") - 1.96 * F.col("_spread")).alias("yhat_lower"), (F.col("yhat") + 1.96 * F.col("_spread")).alias("yhat_upper"),
+    )
+    past = _on_line(_exploded(runs, keys), keys)
+    history = past.select(*shown, F.col("day").alias("ds"), *[F.col("value").alias(n) for n in ("yhat", "yhat_lower", "yhat_upper")])
     return history.withColumn("is_forecast", F.lit(False)).unionByName(ahead.withColumn("is_forecast", F.lit(True)))
 
 

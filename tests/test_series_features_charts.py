@@ -303,3 +303,27 @@ def test_interpolation_across_blocks(spark, keys):
     if not keys:
         expected = df.toPandas().sort_values("id").v.interpolate()
         assert [a[i] for i in range(400) if a[i] is not None] == pytest.approx(expected.dropna().tolist())
+
+
+def test_many_series_are_fitted_side_by_side(spark):
+    rng = np.random.default_rng(5)
+    many = []
+    for i in range(60):
+        length = rng.integers(1, 4, 30 if i % 2 else rng.integers(1, 30))
+        length[-1] = 1
+        y = rng.normal(100, 20, len(length)) + i * np.arange(len(length))
+        many.append((y, length, np.append(np.diff(y), 0.0) / length))
+    many.append((np.array([1.0, 5.0]), np.array([300, 1]), np.array([4 / 300, 0.0])))
+    alone = [smoothing.fit_additive(y, 9, length, rise) for y, length, rise in many]
+    calls, single = [], smoothing._minimise
+    smoothing._minimise = lambda *a: calls.append(1) or single(*a)
+    try:
+        together = smoothing.fit_many(many, 9)
+    finally:
+        smoothing._minimise = single
+    for (a, s), (b, t) in zip(alone, together):
+        assert np.allclose(a, b, rtol=1e-5) and s == pytest.approx(t, rel=1e-5, abs=1e-6)
+    assert len(calls) < 30  # few of a kind and long runs only
+    days = spark.range(240).selectExpr("id % 12 AS k", "date_add(DATE'2024-01-01', CAST(id / 12 AS INT)) AS d", "id * 1.0D AS y")
+    found = timeseries.holt_winters_forecast(days, "d", "y", 3, ["k"])
+    assert found.where("is_forecast").groupBy("k").count().where("count = 3").count() == 12
