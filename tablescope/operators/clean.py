@@ -236,8 +236,14 @@ def fit_plan(df: DataFrame) -> tuple[CleanPlan, DataFrame]:
     return plan, report
 
 
-def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
-    """The plan, the report and the de-duplicated table.
+def clean_upto(df: DataFrame, upto: int) -> DataFrame:
+    """The state after the first ``upto`` steps (the de-duplication at least); later steps are not fitted."""
+    plan, _, base = _fit(df, upto)
+    return apply_plan(base, CleanPlan(plan.steps[_STEPS_BEFORE_BASE:upto]))
+
+
+def _fit(df: DataFrame, upto: int | None = None) -> tuple[CleanPlan, DataFrame, DataFrame]:
+    """The plan (its first ``upto`` steps at least), the report and the de-duplicated table.
 
     The latter is written once to the shared folder, so that later fits and
     steps read it back instead of repeating the full-row shuffle.
@@ -285,6 +291,8 @@ def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
     for name, value in fills.items():
         note("impute", name, "filled", facts[name].missing)
         note("impute", name, "value", f"{value:.4f}" if isinstance(value, float) else value)
+    if upto is not None and upto <= len(steps):
+        return CleanPlan(steps), rows(df.sparkSession, report, _REPORT_SCHEMA), base
 
     filled = impute(kept, fills)
     wide = [c for c in numbers if _distinct_after_fill(kept, c, facts[c], fills) >= 5]
@@ -296,6 +304,8 @@ def _fit(df: DataFrame) -> tuple[CleanPlan, DataFrame, DataFrame]:
             note("winsorize", name, "changed", count)
             note("winsorize", name, "low", bounds[name][0])
             note("winsorize", name, "high", bounds[name][1])
+    if upto is not None and upto <= len(steps):
+        return CleanPlan(steps), rows(df.sparkSession, report, _REPORT_SCHEMA), base
 
     collapse = {}
     for name in words:

@@ -99,8 +99,7 @@ def drop_sparse_and_constant(t):
 
 @query(with_messy(f"WITH {_BASE}, {_FILLED} SELECT * FROM filled"))
 def impute(t):
-    plan, _ = clean.fit_plan(t.messy_orders)
-    return clean.replay(t.messy_orders, plan, 5)
+    return clean.clean_upto(t.messy_orders, 5)
 
 
 @query(with_messy(
@@ -132,8 +131,7 @@ def winsorize_big_keys(t):
 
 @query(with_messy(f"WITH {_BASE}, {_FILLED}, {_BOUNDED} SELECT * FROM bounded"))
 def winsorize(t):
-    plan, _ = clean.fit_plan(t.messy_orders)
-    return clean.replay(t.messy_orders, plan, 6)
+    return clean.clean_upto(t.messy_orders, 6)
 
 
 @query(with_messy(
