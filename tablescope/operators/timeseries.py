@@ -17,6 +17,8 @@ from tablescope.plans.shipping import ship_by_value
 from tablescope.plans.storage import materialize
 
 _WEEK = 7
+#: Rows that a task sorts for a window, as far as series allow.
+_ROWS_OF_A_SORT = 250_000
 
 
 def _indexed(series: DataFrame, order_by: list[str], keys: list[str], hot_group_rows: int | None) -> DataFrame:
@@ -165,7 +167,12 @@ def interpolate_linear(
     values at their edges on to each other.
     """
     keys = partition_by or []
-    if largest_group(df, keys) <= (hot_group_rows or SETTINGS.hot_group_rows):
+    sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    size = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    if (size["largest"] or 0) <= (hot_group_rows or SETTINGS.hot_group_rows):
+        if keys:  # rows may come of few (gaps that were filled up), so their own number says how many tasks sort them
+            tasks = max(df.sparkSession.sparkContext.defaultParallelism, (size["total"] or 0) // _ROWS_OF_A_SORT + 1)
+            df = df.repartition(tasks, *[col(k) for k in keys])
         place = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order), tie_break(df))
         around = _known_neighbours(df.withColumn("_i", F.row_number().over(place)), keys, value)
     else:
