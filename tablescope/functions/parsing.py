@@ -116,7 +116,8 @@ def _read_fields(p: Column, day_first: bool) -> Column:
         return p[_AT[name]]
 
     def number(name: str) -> Column:
-        return text(name).try_cast("int")
+        # a failed cast costs an exception
+        return F.when(text(name) != "", text(name).try_cast("int"))
 
     def month_and_day(pair: Column) -> Column:
         # the day stands first behind dots, if asked for, or where the first number is no month
@@ -189,16 +190,90 @@ def parse_timestamp(text: Column, layouts: list[str] | None = None, day_first: b
 
     Reads years first, numbers with the month first (``day_first``: the day), names of months in English, ISO weeks,
     compact forms, 12- and 24-hour times, fractions of seconds. Numbers that cannot be a month are days. A text with an
-    offset gives the time on the session's clock. Two-digit years from ``PIVOT_YEAR`` on are of the last century. One
-    regular expression takes the text apart; ``layouts`` reads patterns of ``to_timestamp`` instead, the first that fits.
+    offset gives the time on the session's clock. Two-digit years from ``PIVOT_YEAR`` on are of the last century. Dates in
+    frequent shapes are cast, one regular expression takes all others apart; ``layouts`` reads patterns of ``to_timestamp`` instead, the first that fits.
     """
     if layouts is not None:
         return _by_layout(F.trim(text), layouts)
+    return _by_frequent_shape(text, day_first, _by_grammar(text, day_first))
+
+
+def _by_grammar(text: Column, day_first: bool) -> Column:
     # bound values are interpreted, so texts that are no dates are kept away from them
     read = _bound(_fields(text), lambda p: F.when(F.size(p) == len(_FIELDS), _read_fields(p, day_first)))
     return F.when(_may_be_date(text), read)
 
 
+# shapes of frequent dates; a shape takes only texts that a cast of its parts reads as the grammar does
+_SECOND = r":[0-5]?\d(?:\.\d{1,6})?"
+_TIME = rf"\d{{1,2}}:\d{{1,2}}(?:{_SECOND})?"
+_HALF_TIME = rf"(?:0?[1-9]|1[0-2]):\d{{1,2}}(?:{_SECOND})?"
+#: Groups of a time, and of a time before AM or PM, behind a date.
+_CLOCK = rf"(?: (?:({_TIME})|({_HALF_TIME}) (?i:[ap]m)))?"
+_MONTH_NUMBER = "(0?[1-9]|1[0-2])"
+_ISO = rf"^\d{{4}}(?:[-/]\d{{2}}|([-/])\d{{1,2}}\1\d{{1,2}}(?:[ T]{_TIME})?)$"
+_ISO_ZONE = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}[ T]\d{{1,2}}:\d{{1,2}}{_SECOND}(?:Z| UTC|[+-](?:0\d|1[0-7]):?[0-5]\d)$"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})([0-5]\d)$"
+_WEEK = r"^\d{4}-W\d{2}$"
+_LETTERS = rf"(?i:{_MONTH})"
+_DAY_NAME = rf"^(\d{{1,2}})(?i:{_NTH})[- ]{_LETTERS}[- ](\d{{4}}){_CLOCK}"
+_WEEKDAY_NAME = rf"^(?i:mon|tue|wed|thu|fri|sat|sun), (\d{{1,2}}) {_LETTERS} (\d{{4}}){_CLOCK}"
+_NAME_DAY = rf"^{_LETTERS}[- ](\d{{1,2}}),? (\d{{4}}){_CLOCK}"
+_NAME_YEAR = rf"^{_LETTERS}[- ](\d{{4}})"
+
+
+def _by_frequent_shape(text: Column, day_first: bool, rest: Column) -> Column:
+    """Timestamps of dates in frequent shapes by casts, which are compiled; ``rest`` reads all other texts."""
+    half = F.lower(F.right(text, F.lit(2)))
+    noon = text.contains(" 12:")
+    hours = F.when((half == "pm") & ~noon, 12).when((half == "am") & noon & text.contains(":"), -12).otherwise(0)
+
+    def put(shape: str, order: str, of: Column = text, has_clock: bool = True) -> Column:
+        """The shape's groups in the order of a timestamp."""
+        read = F.regexp_replace(of, shape, order).try_cast("timestamp_ntz")
+        return read + F.make_dt_interval(F.lit(0), hours) if has_clock else read
+
+    def named(shape: str, order: str, start: Column, has_clock: bool = True) -> Column:
+        """A date whose month's name begins at ``start``; the month's number is put behind the text as its last group."""
+        place = F.instr(F.lit("".join(MONTHS)), F.lower(F.substr(text, start, F.lit(3))))
+        return put(rf"{shape}\|(\d+)$", order, F.concat(text, F.lit("|"), F.floor((place + 2) / 3).cast("string")), has_clock)
+
+    cases: list[tuple[str, Column]] = [(_ISO, F.translate(text, "/", "-").try_cast("timestamp_ntz"))]
+    # numbers before the year; two digits from PIVOT_YEAR on are of the last century
+    years = [(r"(\d{4})", ""), (r"([0-5]\d|6[0-8])", "20"), (r"(69|[7-9]\d)", "19")]
+    dots = "[-/.]" if day_first else r"\."
+    for year, century in years:
+        if not day_first:
+            shape = rf"^{_MONTH_NUMBER}([-/])(\d{{1,2}})\2{year}{_CLOCK}$"
+            cases.append((shape, put(shape, f"{century}$4-$1-$3 $5$6")))
+        shape = rf"^(?=\d{{1,2}}{dots}|(?:1[3-9]|[2-9]\d)[-/])(\d{{1,2}})([-/.]){_MONTH_NUMBER}\2{year}{_CLOCK}$"
+        cases.append((shape, put(shape, f"{century}$4-$3-$1 $5$6")))
+    cases.append((_COMPACT, put(_COMPACT, "$1-$2-$3", has_clock=False)))
+    cases.append((_COMPACT_TIME, put(_COMPACT_TIME, "$1-$2-$3 $4:$5:$6", has_clock=False)))
+    cases.append((_ISO_ZONE, text.try_cast("timestamp").cast("timestamp_ntz")))
+    # the fourth of January lies in the first week
+    fourth = F.concat(F.left(text, F.lit(4)), F.lit("-01-04")).try_cast("date")
+    week = F.substring(text, 7, 2).try_cast("int")
+    monday = F.date_add(fourth, 7 * (week - 1) - F.weekday(fourth))
+    cases.append((_WEEK, F.when(F.weekofyear(monday) == week, monday).cast("timestamp_ntz")))
+    # names of months
+    first = F.substring_index(F.substring_index(text, " ", 1), "-", 1)
+    cases.append((f"{_DAY_NAME}$", named(_DAY_NAME, "$2-$5-$1 $3$4", F.length(first) + 2)))
+    second = F.when(F.substring(text, 7, 1) == " ", 8).otherwise(9)
+    letters = [
+        (f"{_NAME_DAY}$", named(_NAME_DAY, "$2-$5-$1 $3$4", F.lit(1))),
+        (f"{_NAME_YEAR}$", named(_NAME_YEAR, "$1-$2", F.lit(1), has_clock=False)),
+        (f"{_WEEKDAY_NAME}$", named(_WEEKDAY_NAME, "$2-$5-$1 $3$4", second)),
+    ]
+    digit = F.left(text, F.lit(1)).between("0", "9")
+    shapes = [digit & text.rlike(s) for s, _ in cases] + [~digit & text.rlike(s) for s, _ in letters]
+    found = F.when(shapes[0], cases[0][1])
+    for shape, (_, read) in zip(shapes[1:], cases[1:] + letters, strict=True):
+        found = found.when(shape, read)
+    return found.otherwise(rest)
+
+
 def _by_layout(value: Column, layouts: list[str]) -> Column:
     # a failed parse costs the JVM an exception, so a layout is only tried on texts of its shape
     by_shape: dict[str, list[Column]] = {}
