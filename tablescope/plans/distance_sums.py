@@ -235,8 +235,6 @@ def sums_by_point(points: DataFrame, total: int, classes: int, finish, schema: s
         x, y, c, n, leaf = _columns(group, "x", "y", "c", "n", "leaf")
         order = np.argsort(leaf, kind="stable")
         x, y, c, n, leaf = (v[order] for v in (x, y, c, n, leaf))
-        weights = np.zeros((len(x), classes))
-        weights[np.arange(len(x)), c] = n
         first = key[0].as_py() * _LEAVES_AT_ONCE
         made = []
         for one in range(first, min(first + _LEAVES_AT_ONCE, len(starts) - 1)):
@@ -247,7 +245,8 @@ def sums_by_point(points: DataFrame, total: int, classes: int, finish, schema: s
             out = np.stack([((ax @ s) * ay).sum(1) for s in leaf_sums[one]], 1)
             for other in sources[starts[one] : starts[one + 1]]:
                 a, b = np.searchsorted(leaf, [other, other + 1])
-                theirs, step = weights[a:b], max(1, _AT_ONCE // max(b - a, 1))
+                theirs, step = np.zeros((b - a, classes)), max(1, _AT_ONCE // max(b - a, 1))
+                theirs[np.arange(b - a), c[a:b]] = n[a:b]
                 for i in range(mine.start, mine.stop, step):
                     some = slice(i, min(i + step, mine.stop))
                     square, up = x[some, None] - x[a:b], y[some, None] - y[a:b]
